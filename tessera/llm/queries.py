@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .ann import op2_nearest_neighbours
 from .bpe import op5_byte_bpe
+from .html_extract import op6_html_text
+from .lang_id import op8_language_id
+from .license_scan import op4_license_scan
 from .media import op9_media
+from .minhash import op10_minhash
 from .packing import op3_packing
+from .secret_scan import op1_secret_scan
 from .token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op3_packing, op5_byte_bpe, op7_token_counts, op9_media)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_packing, op4_license_scan, op5_byte_bpe, op6_html_text, op7_token_counts, op8_language_id, op9_media, op10_minhash)}
 ORACLE_SQL: dict[str, str] = {}
