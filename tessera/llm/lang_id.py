@@ -7,8 +7,8 @@ bits, beside rows of one log-probability per language. A document's language is
 length-normalised cross-entropy over its whole text.
 
 The score is the share of the best language when cross-entropies are turned into odds, with a temperature fitted
-on sample documents that were kept out of the counts; these also set, per language, the cross-entropy beyond which a
-document is rejected as none of the languages. Defined cases: a null text or one without letters is `und` with score 0
+on sample documents that were kept out of the counts; these, and the same with their letters shuffled, also set, per
+language, the cross-entropy beyond which a document is rejected as none of the languages. Defined cases: a null text or one without letters is `und` with score 0
 and is rejected; without labelled documents everything is `und`; ties go to the language that sorts first;
 unlabelled documents are scored like others.
 """
@@ -25,8 +25,8 @@ from .common import map_texts, table
 ORDER = 4
 #: Bound of the sample that models are fitted on, and the share of it that calibrates.
 PER_LANGUAGE, CALIBRATE = 400, 0.25
-#: Cross-entropies this many standard deviations above a language's calibration mean are rejected.
-REJECT = 8.0
+#: A document is rejected when its cross-entropy is this far on the way from its language's mean to that of shuffled letters.
+REJECT = 0.6
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _letters: np.ndarray | None = None
@@ -141,7 +141,7 @@ class Models:
     def __init__(self, langs: list[str], counts: list[dict[tuple, int]], order: int = ORDER):
         self.langs, self.order = langs, order
         self.temperature = np.float64(10.0)
-        self.mean, self.sd = np.zeros(len(langs)), np.full(len(langs), np.inf)
+        self.limit = np.full(len(langs), np.inf)
         fitted = [kneser_ney(c, order) for c in counts]
         grams = sorted(set().union(*(p for p, _ in fitted)))
         contexts = sorted(set().union(*(w for _, w in fitted)))
@@ -192,7 +192,7 @@ class Models:
         return -sums / (size - 1)[:, None]
 
     def calibrate(self, docs: list[tuple[str, np.ndarray]]) -> None:
-        """Temperature by likelihood, and each language's mean and deviation of cross-entropy, from documents of known language."""
+        """Temperature by likelihood, and each language's limit of rejection, from documents of known language and the same with their letters shuffled."""
         docs = [(lang, d) for lang, d in docs if len(d) and lang in self.langs]
         if not docs:
             return
@@ -201,10 +201,12 @@ class Models:
         rows = np.arange(len(true))
         grid = 2.0 ** np.arange(0, 7.5, 0.5)
         self.temperature = grid[np.argmax([np.log(_share(h, t)[rows, true] + 1e-12).sum() for t in grid])]
+        rng = np.random.default_rng(1)
+        noise = self.cross_entropy([np.concatenate((d[:1], rng.permutation(d[1:]))) for _, d in docs]).min(1)
         for i in range(len(self.langs)):
-            own = h[true == i, i]
-            if len(own) >= 10:
-                self.mean[i], self.sd[i] = np.median(own), max(own.std(), 0.02)
+            if (true == i).sum() >= 10:
+                usual = np.median(h[true == i, i])
+                self.limit[i] = usual + REJECT * max(np.median(noise[true == i]) - usual, 0.5)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, score, rejected) of each text."""
@@ -215,7 +217,7 @@ class Models:
             h = self.cross_entropy([docs[i] for i in some])
             best = h.argmin(1)
             score = _share(h, self.temperature)[np.arange(len(some)), best]
-            far = h[np.arange(len(some)), best] > self.mean[best] + REJECT * self.sd[best]
+            far = h[np.arange(len(some)), best] > self.limit[best]
             for i, b, s, f in zip(some, best.tolist(), score.tolist(), far.tolist()):
                 out[i] = (self.langs[b], min(max(s, 0.0), 1.0), f)
         return out
