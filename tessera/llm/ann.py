@@ -34,15 +34,15 @@ class Settings:
     leaf size of the first graph; most rounds of NN-descent, ended earlier when fewer than `settled` of all entries
     change; nodes that a local join takes together; beam of a search and expansions a round; rows of the tree sample; landmarks."""
 
-    build: int = 20
-    searched: int = 36
+    build: int = 28
+    searched: int = 48
     trees: int = 10
     leaf: int = 256
-    rounds: int = 4
+    rounds: int = 6
     settled: float = 0.02
     together: int = 96
-    beam: int = 128
-    expand: int = 16
+    beam: int = 192
+    expand: int = 24
     sample: int = 8192
     landmarks: int = 64
     seed: int = 7
