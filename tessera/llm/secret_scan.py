@@ -165,7 +165,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
     text = F.when(F.col("row.was_null"), F.lit(None).cast("string")).when(F.size("spans") == 0, F.col("text")).otherwise(clean)
-    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    kept = kept.select("row", text.alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return kept.select(*(new[c].alias(c) if c in new else F.col("row.rest")[c].alias(c) for c in docs.columns))
 
 
