@@ -329,6 +329,8 @@ def nearest(vectors: DataFrame, is_query: Callable, k: int = 20, o: Settings = S
     own = materialise(valid(vectors), "vectors")
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     classes = materialise(own.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "vector-classes")
+    if classes.isEmpty():
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     longest = classes.agg(F.max(square)).first()[0] or 1.0
 
     def augment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
