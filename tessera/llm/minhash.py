@@ -5,9 +5,9 @@ and its maximum, so half as many hash evaluations fill a signature; bands of its
 which are confirmed on the full sets. Documents with equal sets are one class from the start.
 
 Within a bucket of equal band values only pairs with the bucket's smallest member are confirmed at first. Buckets
-whose members are then in several components are gone through again: members outside the largest component are
-held against all members of other components by their signatures, in blocks, and pairs that may still reach the
-threshold are confirmed as well. So nothing is capped, yet a large group costs its size, not its square.
+whose members are then in several components are gone through again, in blocks: members outside the largest
+component are held against all members of other components. So nothing is capped, no pairs but links leave a
+task, and a group whose members are linked with its smallest costs its size, not its square.
 
 Links are contracted to components round by round in Spark. Defined cases: a document without words (or null)
 has an empty set and is linked with nothing; fewer words than k make one shingle of all of them; repeated rows
@@ -123,8 +123,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int, group: int
                     at, first, done = (a, part), kept, set()
                 elif at == (a, part) and node not in done:
                     done.add(node)
-                    both = len(np.intersect1d(first, kept, assume_unique=True))
-                    if 100 * both >= percent * (len(first) + len(kept) - both):
+                    if reaches(first, kept, percent):
                         a_out.append(a)
                         b_out.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
@@ -150,50 +149,73 @@ def components(links: DataFrame) -> DataFrame:
     return label if label is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def cross_candidates(members: DataFrame, percent: int, block: int = 2048) -> DataFrame:
-    """Pairs of different components in a bucket that may reach the threshold by their signatures.
+def reaches(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Is the similarity of two sets (sorted) at least percent / 100?"""
+    both = int((one[np.minimum(np.searchsorted(one, other), len(one) - 1)] == other).sum())
+    return 100 * both >= percent * (len(one) + len(other) - both)
 
-    members: key, node, label, low. Members outside the bucket's largest component (`minor`) go to each of the
-    bucket's blocks, all others to one.
+
+def cross_links(members: DataFrame, texts: DataFrame, k: int, percent: int, block: int = 512) -> DataFrame:
+    """Links (a, b) between members of different components in a bucket; enough of them to join all components that any such link joins.
+
+    members: key, node, label, low. Buckets with the same members count once. Members outside the bucket's largest
+    component (minors) are held against all members of other components, block by block: pairs whose signatures rule the
+    threshold out are passed over, the others are compared on their full sets, likeliest first, until they are in one
+    component. Only links leave a task.
     """
-    sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-    buckets = sizes.groupBy("key").agg(F.sum("n").alias("m"), F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main"))
-    open_ = members.join(buckets.where("labels > 1 and m > 2"), "key").withColumn("minor", F.col("label") != F.col("main"))
-    parts = F.ceil(F.col("m") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    placed = open_.select("key", "node", "label", "low", F.lit(0).alias("role"), own.alias("part")).unionByName(
-        open_.where("minor").select("key", "node", "label", "low", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"))
+    buckets = sizes.groupBy("key").agg(F.sum("n").alias("m"), F.sum("h").alias("h"), F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"))
+    open_ = buckets.where("labels > 1 and m > 2").groupBy("m", "h").agg(F.min(F.struct("key", "main", "n_main")).alias("b")).select("b.*", "m")
+    own_blocks = F.ceil(F.col("m") / block).cast("int")
+    minor_blocks = F.ceil((F.col("m") - F.col("n_main")) / block).cast("int")
+    rows = members.join(open_, "key").withColumn("own", own_blocks).withColumn("minors", minor_blocks).withColumn("h", F.xxhash64("node"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    placed = rows.select("key", "node", "label", "low", F.lit(0).alias("role"), F.pmod("h", "own").cast("int").alias("part"), every(F.col("minors")).alias("minor_part")).unionByName(
+        rows.where("label <> main").select("key", "node", "label", "low", F.lit(1).alias("role"), every(F.col("own")).alias("part"), F.pmod("h", "minors").cast("int").alias("minor_part"))
     )
     least = percent / 100 - SLACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, minors, out = None, [], []
-
-        def compare(rows: list[tuple]) -> None:
-            if not rows or not minors:
-                return
-            own_low = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-            own_label = np.array([r[1] for r in rows])
-            for node, label, low in minors:
-                same = (own_low == np.frombuffer(low, np.uint8)).mean(1)
-                for i in np.flatnonzero((own_label != label) & ((same * 256 - 1) / 255 >= least)).tolist():
-                    out.append((node, rows[i][0]))
-
-        rows: list[tuple] = []
+        out: list[tuple] = []
+
+        def compare(minors: dict, rows: dict) -> None:
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (up := root.get(x, x)) != x:
+                    x = up
+                return x
+
+            nodes = list(rows)
+            low = np.frombuffer(b"".join(rows[n][1] for n in nodes), np.uint8).reshape(len(nodes), -1)
+            for node, (label, own_low, kept) in minors.items():
+                estimate = ((low == np.frombuffer(own_low, np.uint8)).mean(1) * 256 - 1) / 255
+                near = np.flatnonzero(estimate >= least)
+                for i in near[np.argsort(-estimate[near], kind="stable")].tolist():
+                    other = rows[nodes[i]]
+                    a, b = find(label), find(other[0])
+                    if a != b and reaches(kept, other[2], percent):
+                        root[max(a, b)] = min(a, b)
+                        out.append((node, nodes[i]))
+
+        at, minors, rows = None, {}, {}
         for batch in batches:
-            for key, part, role, node, label, low in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if at != (key, part):
-                    compare(rows)
-                    at, minors, rows = (key, part), [], []
-                (minors if role == 1 else rows).append((node, label, low))
+            for key, part, minor_part, role, node, label, low, text in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                if at != (key, part, minor_part):
+                    if minors and rows:
+                        compare(minors, rows)
+                    at, minors, rows = (key, part, minor_part), {}, {}
+                kept = shingles(text, k)
+                if node_of(kept) == node:
+                    (minors if role == 1 else rows)[node] = (label, low, kept)
             yield _pairs(out)
             out.clear()
-        compare(rows)
+        if minors and rows:
+            compare(minors, rows)
         yield _pairs(out)
 
-    placed = placed.select("key", "part", F.col("role"), "node", "label", "low")
-    pairs = placed.repartition("key", "part").sortWithinPartitions("key", "part", F.desc("role"), "node").mapInArrow(run, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    placed = placed.join(texts.select("node", "text"), "node").select("key", "part", "minor_part", "role", "node", "label", "low", "text")
+    return placed.repartition("key", "part", "minor_part").sortWithinPartitions("key", "part", "minor_part", F.desc("role"), "node").mapInArrow(run, "a long, b long")
 
 
 def _pairs(rows: list[tuple]) -> pa.RecordBatch:
@@ -216,10 +238,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = materialise(confirm(stars, texts, k, percent), "links")
     label = components(links)
     labelled = members.join(nodes.select("node", "low"), "node").join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "low")
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialise(cross_candidates(labelled, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = materialise(cross_links(labelled, texts, k, percent), "links")
     if not more.isEmpty():
-        label = components(links.unionByName(confirm(more, texts, k, percent)))
+        label = components(links.unionByName(more))
 
     grouped = nodes.select("node", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
