@@ -16,11 +16,11 @@ WIDTH = 64
 
 
 def gain_sql(p: str = "panel_id") -> str:
-    return f"(1.0 + (({p} * 7) % 5 - 2) * 0.05)"
+    return f"(1.0D + (({p} * 7) % 5 - 2) * 0.05D)"
 
 
 def offset_sql(p: str = "panel_id") -> str:
-    return f"((({p} * 3) % 7 - 3) * 0.002)"
+    return f"((({p} * 3) % 7 - 3) * 0.002D)"
 
 
 def sky(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +35,9 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands = F.filter(F.array(band - 1, band), lambda b: (b >= 0) & (F.col("y") < b * BAND + BAND + OVER))
     cols = F.filter(F.array(F.lit(0), F.lit(1)), lambda c: ((c == 0) & (F.col("x") < COLUMNS[0][1])) | ((c == 1) & (F.col("x") >= COLUMNS[1][0])))
     p = sky(spark, sf_dir).withColumn("band", F.explode(bands)).withColumn("col", F.explode(cols)).withColumn("panel_id", (F.col("band") * 2 + F.col("col")).cast("long"))
-    p = p.withColumn("ch", F.explode(F.sequence(F.lit(0), F.lit(CHANNELS - 1)))).withColumn("s", F.expr("if(ch = 0, t + 0.6, t * 0.5 + 0.45)"))
+    p = p.withColumn("ch", F.explode(F.sequence(F.lit(0), F.lit(CHANNELS - 1)))).withColumn("s", F.expr("if(ch = 0, t + 0.6D, t * 0.5D + 0.45D)"))
     hole = F.expr("(x * 31 + y * 17 + panel_id * 13 + ch * 5) % 1009 = 0")
-    return p.select("panel_id", F.col("ch").cast("long"), "x", "y", F.when(hole, F.lit(0)).otherwise(F.floor(F.expr(f"(s * {gain_sql()} + {offset_sql()}) * {SCALE} + 0.5"))).cast("long").alias("v"))
+    return p.select("panel_id", F.col("ch").cast("long"), "x", "y", F.when(hole, F.lit(0)).otherwise(F.floor(F.expr(f"(s * {gain_sql()} + {offset_sql()}) * {SCALE} + 0.5D"))).cast("long").alias("v"))
 
 
 #: The same in DuckDB SQL: the common table expression px.
