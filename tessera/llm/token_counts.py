@@ -7,13 +7,17 @@ task gets the whole histogram. A null text counts as an empty one; an empty tabl
 
 from __future__ import annotations
 
+import json
+import os
+from array import array
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ChunkCoder, map_texts, materialise, table
 
-_coders: dict[str, ChunkCoder] = {}
+_coders: dict[str, tuple] = {}
 
 
 def default_tokenizer() -> str:
@@ -22,27 +26,55 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: How byte-level BPE files cut texts (fixed value of that format).
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The ranks of a plain byte-level BPE file whose merges stand in the order of their ids; None for any other file.
+
+    For such a file a rank encoder gives the ids that the file's own library gives, in a fraction of its time.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")) and spec.get("normalizer") is None
+    if not plain or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or pre.get("use_regex") is False:
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    special = {t["content"] for t in spec.get("added_tokens", ())}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    merged = [ranks.get(bytes(byte_of[c] for c in "".join(m if isinstance(m, list) else m.split(" ")))) for m in model["merges"]]
+    return ranks if all(a is not None and b is not None and a < b for a, b in zip(merged, merged[1:])) and len(ranks) == len(merged) + 256 else None
+
+
 def encode_all(path: str, texts: list[str]) -> list[bytes]:
     """Each text's ids, as little-endian unsigned 32-bit numbers, by a byte-level tokenizer file; loaded once in each worker process."""
     if path not in _coders:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
         def encode_many(chunks: list[str]) -> list[bytes]:
             return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-        _coders[path] = ChunkCoder(encode_many)
-        _coders[path].special = special
-    coder = _coders[path]
-    whole = [any(s in t for s in coder.special) for t in texts]  # special tokens may span chunks
-    if not any(whole):
+        fast = encode_many
+        if ranks := byte_ranks(path):
+            import tiktoken
+
+            encode = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            fast = lambda chunks: [array("I", encode(c)).tobytes() for c in chunks]
+        _coders[path] = ChunkCoder(fast), encode_many, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    coder, slow, special = _coders[path]
+    whole = [i for i, t in enumerate(texts) if any(s in t for s in special)]  # special tokens may span chunks
+    if not whole:
         return coder.encode(texts)
-    return [coder.encode_many([t])[0] if w else coder.encode([t])[0] for t, w in zip(texts, whole)]
+    out = coder.encode(["" if any(s in t for s in special) else t for t in texts])
+    for i in whole:
+        out[i] = slow([texts[i]])[0]
+    return out
 
 
 def encoded_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
