@@ -10,8 +10,31 @@ from .license_scan import op4_license_scan
 from .media import op9_media
 from .minhash import op10_minhash
 from .packing import op3_packing
-from .secret_scan import op1_secret_scan
+from .secret_scan import BASE, RULES, op1_secret_scan
 from .token_counts import op7_token_counts
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_packing, op4_license_scan, op5_byte_bpe, op6_html_text, op7_token_counts, op8_language_id, op9_media, op10_minhash)}
-ORACLE_SQL: dict[str, str] = {}
+_RULES = "\n UNION ALL ".join(
+    f"SELECT doc_id, '{r.kind}' AS kind, {i} AS place, {r.least} AS least, regexp_extract_all(text, {q}, 0) AS m, regexp_extract_all(text, {q}, {r.group}) AS g, string_split_regex(text, {q}) AS p FROM d"
+    for i, r in enumerate(RULES)
+    for q in ["'" + r.regex.replace("'", "''") + "'"]
+)
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scan": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), r AS ({_RULES}),
+        s AS (SELECT doc_id, kind, place, least, m, g, p, unnest(range(1, len(m) + 1)) AS i FROM r),
+        t AS (SELECT doc_id, kind, place, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a, length(m[i]) AS n FROM s WHERE length(g[i]) >= least),
+        c AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+            string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, place, a + n) FILTER (place < {len(BASE)}) AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, place, a + n) AS spans FROM t GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN c USING (doc_id)""",
+    "op10_minhash": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_n FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM both JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both_n >= 80 * (na.n + nb.n - both_n)),
+        sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach(p, q) AS (SELECT a, a FROM sym UNION SELECT r.p, s.b FROM reach r JOIN sym s ON r.q = s.a),
+        comp AS (SELECT p, min(q) AS c FROM reach GROUP BY p)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, doc_id = coalesce(c, doc_id) AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.p = doc_id""".replace("both AS", "common AS").replace("FROM both", "FROM common"),
+}
