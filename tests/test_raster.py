@@ -254,3 +254,45 @@ def test_session_and_stream(spark, sf_dir, tmp_path):
     got = {(r.panel_id, r.ch, r.x8, r.y8): (r.n, r.s) for r in scan.merge(spark.read.parquet(str(tmp_path / "sums"))).collect()}
     want = {(r.panel_id, r.ch, r.x8, r.y8): (r.n, float(r.s)) for r in queries.Raster(spark, sf_dir).cells.collect()}
     assert got == want
+
+
+def test_solutions(spark):
+    from tessera.functions import solution
+
+    props = [(p, i, solution.PREFIX + n, v) for p in (0, 1) for i, (n, v) in enumerate((("ReferenceCelestialCoordinates", [120.0, 20.0]), ("ReferenceImageCoordinates", [50.0, 40.0]), ("LinearTransformationMatrix", [-1e-3, 0.0, 0.0, 1e-3]))) if (p, i) != (1, 1)]
+    props.append((0, 9, solution.PREFIX + "ReferenceImageCoordinates", [1.0, 1.0]))  # the first counts
+    df = spark.createDataFrame([(p, o, i, None, None, v) for p, o, i, v in props], "panel_id long, ord int, id string, f64 double, i64 long, f64s array<double>")
+    missing = solution.unsolved(df.select("panel_id"), df).collect()
+    assert [(r.panel_id, r.missing) for r in missing] == [(1, [solution.PREFIX + "ReferenceImageCoordinates"])]
+    row = solution.lookup(df, [solution.PREFIX + n for n in solution.NEEDED]).where("panel_id = 0").first()
+    w = solution.linear(row.asDict())
+    assert w.crpix == (50.5, 40.5) and solution.linear({}) is None and solution.linear(row.asDict() | {"ProjectionSystem": "Other"}) is None
+    xs, ys = np.meshgrid(np.arange(11) * 10.0, np.arange(9) * 10.0)
+    native = (astrometry.Grid(-1e-3 * (xs - 50), 0, 0, 10.0), astrometry.Grid(1e-3 * (ys - 40), 0, 0, 10.0))
+    model = solution.checked(solution.Model(w, 100, 80, native))
+    assert np.allclose(model.to_sky(33.3, 12.1), w.to_sky(33.3, 12.1)) and np.isnan(model.to_sky(200, 0)[0])
+    with pytest.raises(ValueError):
+        solution.checked(solution.Model(w, 100, 80, (native[1], native[0])))
+    assert solution.nodes(100, 30) == 5
+    stats = spark.createDataFrame([(10,), (60,)], "n_covered long")
+    assert solution.classify(stats, [(10, 10, 1)] * 2) == "solved" and solution.classify(stats.limit(1), [(10, 10, 1)] * 2) == "aligned" and solution.classify(stats, [(10, 10, 1)]) == "solved"
+
+
+def test_synthetic_gains_and_seam_map(spark, tmp_path):
+    from tessera.sinks import seam_map
+    from tessera.sources import synth
+
+    truth, panels, done = synth.generate(synth.Spec(width=256, height=192, stars=20))
+    rows = [pd.DataFrame({"panel_id": p, "ch": 0, "y": (ix := np.nonzero(v[0]))[0], "x": ix[1], "v": v[0][ix]}) for p, v in enumerate(panels)]
+    px = spark.createDataFrame(pd.concat(rows)[["panel_id", "ch", "x", "y", "v"]])
+    cells = summary.cells(summary.wide(px), 256, 192).persist()
+    edges = overlap.overlap_edges(cells)
+    solved = {r.panel_id: r for r in photometry.solve(cells, edges, photometry.fit_edges(photometry.edge_pairs(cells, edges))).collect()}
+    gauge = overlap.gauge_panels(cells, edges).first().panel_id
+    for p, d in enumerate(done):
+        assert solved[p].gain == pytest.approx(done[gauge]["gain"] / d["gain"], rel=0.03)
+    distance = overlap.distance_map(cells, 32, 24)
+    owner = seam.voronoi_owner(distance, 64.0).select("x8", "y8", "owner")
+    colours = seam_map.seam_colours(owner, blend.preview(photometry.corrected(cells, spark.createDataFrame(list(solved.values()))), distance, 64.0), seam.boundary_cells(owner))
+    seam_map.write_seam_map(colours, str(tmp_path / "m.png"), 32, 24)
+    assert (tmp_path / "m.png").read_bytes()[:8] == b"\x89PNG\r\n\x1a\n"
