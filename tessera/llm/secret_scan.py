@@ -14,17 +14,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from itertools import product
+from re import _constants as sre
+from re import _parser as sre_parse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-try:
-    from re import _constants as sre, _parser as sre_parse
-except ImportError:  # before Python 3.11
-    import sre_constants as sre
-    import sre_parse
 
 
 @dataclass(frozen=True)
