@@ -42,7 +42,7 @@ class Settings:
     settled: float = 0.02
     together: int = 96
     beam: int = 192
-    expand: int = 24
+    expand: int = 40
     sample: int = 8192
     landmarks: int = 64
     seed: int = 7
@@ -236,7 +236,7 @@ def _best(held: dict[int, dict[int, float]], keep: int) -> Iterator[tuple]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver notice that earlier rounds' shuffles have no reader, so that their files go before the next round."""
+    """Let the driver drop what earlier rounds left: plans, and shuffles that have no reader any more, whose files then go before the next round."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -314,7 +314,7 @@ def search(queries: DataFrame, nodes: DataFrame, lists: DataFrame, o: Settings)
         after = materialise(state.unionByName(found).repartition("q").sortWithinPartitions("q").mapInArrow(merge, _STATE_DDL), "beams")
         discard(state)
         state = after
-    release(spark)
+        release(spark)
     return state.select("q", "vs")
 
 
@@ -348,6 +348,7 @@ def nearest(vectors: DataFrame, is_query: Callable, k: int = 20, o: Settings = S
 
     nodes = materialise(classes.select("node", "embedding").mapInArrow(augment, "node long, vec binary"), "nodes")
     graph = first_graph(nodes, o)
+    release(spark)
     entries = nodes.count() * o.build
     for _ in range(o.rounds):
         after = descend(nodes, graph, o)
