@@ -50,7 +50,15 @@ def discard(df: DataFrame | None) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def map_texts(df: DataFrame, keep: list[str], run: Callable, fields: str, most: int = 4_000_000) -> DataFrame:
+def text_runs(text: pa.Array, most: int = 1_500_000) -> list[tuple[int, int]]:
+    """First and last (exclusive) row of runs of texts that have about `most` bytes together."""
+    size = pc.fill_null(pc.binary_length(text), 0).to_numpy()
+    part = (np.cumsum(size) - size) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+    return [(lo, hi) for lo, hi in zip(cuts, cuts[1:]) if lo < hi]
+
+
+def map_texts(df: DataFrame, keep: list[str], run: Callable, fields: str, most: int = 1_500_000) -> DataFrame:
     """The columns `keep` of df and new ones that `run` makes from its column text, by Arrow batches.
 
     run(texts) returns the new columns as lists, or (rows, columns) where rows says which input row each output
@@ -64,12 +72,7 @@ def map_texts(df: DataFrame, keep: list[str], run: Callable, fields: str, most:
         types = [to_arrow_type(f.dataType) for f in new]
         for batch in batches:
             text = batch.column(len(keep))
-            size = pc.fill_null(pc.binary_length(text), 0).to_numpy()
-            part = (np.cumsum(size) - size) // most
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
+            for lo, hi in text_runs(text, most):
                 cols = run(text.slice(lo, hi - lo).to_pylist())
                 kept = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
                 if isinstance(cols, tuple):

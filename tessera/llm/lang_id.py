@@ -286,7 +286,7 @@ def identify(docs: DataFrame, models: Models, keep: tuple[str, ...] = ("doc_id",
         cols = [list(c) for c in zip(*out)]
         return [texts, *cols] if with_text else cols
 
-    return map_texts(docs, list(keep), run, "text string, " * with_text + "lang_pred string, score double, rejected boolean", most=1_000_000)
+    return map_texts(docs, list(keep), run, "text string, " * with_text + "lang_pred string, score double, rejected boolean", most=300_000)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise, table
+from .common import materialise, table, text_runs
 from .token_counts import default_tokenizer, encode_all
 
 
@@ -138,28 +138,29 @@ def rounded_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int) ->
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, length: int) -> DataFrame:
     """Each document's ids with its rank among its partition's documents: part, tail, in_tail (rank among equal tails), in_full (full sequences before it)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, full = np.zeros(length, np.int64), 0
-        for batch in batches:
-            n = batch.column(1).to_numpy()
-            tail, whole = n % length, n // length
-            rank = np.empty(len(n), np.int64)
-            for i, t in enumerate(tail.tolist()):
-                rank[i] = seen[t]
-                seen[t] += 1
-            before = full + np.cumsum(whole) - whole
-            full += int(whole.sum())
-            part = np.full(len(n), TaskContext.get().partitionId(), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *map(pa.array, (part, tail, rank, before))], names=["doc_id", "n", "ids", "part", "tail", "in_tail", "in_full"])
-
-    def encode(texts: list) -> list:
+    def encode(texts: list) -> tuple[list[int], list[bytes]]:
         codes = [c + end_id.to_bytes(4, "little") for c in encode_all(tokenizer, [t or "" for t in texts])]
+        n = [len(c) // 4 for c in codes]
         if all(int(np.frombuffer(c, "<u4").max()) < 1 << 16 for c in codes):
-            return [[len(c) // 4 for c in codes], [b"\x02" + np.frombuffer(c, "<u4").astype("<u2").tobytes() for c in codes]]
-        return [[len(c) // 4 for c in codes], [b"\x04" + c for c in codes]]
+            return n, [b"\x02" + np.frombuffer(c, "<u4").astype("<u2").tobytes() for c in codes]
+        return n, [b"\x04" + c for c in codes]
 
-    # The first byte of ids says how many bytes an id takes.
-    return map_texts(docs, ["doc_id"], encode, "n long, ids binary").mapInArrow(run, "doc_id long, n long, ids binary, part long, tail long, in_tail long, in_full long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, full, part = np.zeros(length, np.int64), 0, TaskContext.get().partitionId()
+        for batch in batches:
+            for lo, hi in text_runs(batch.column(1)):
+                n, ids = encode(batch.column(1).slice(lo, hi - lo).to_pylist())
+                tail, whole = np.array(n) % length, np.array(n) // length
+                rank = np.empty(len(n), np.int64)
+                for i, t in enumerate(tail.tolist()):
+                    rank[i] = seen[t]
+                    seen[t] += 1
+                before = full + np.cumsum(whole) - whole
+                full += int(whole.sum())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), *map(pa.array, (np.full(len(n), part, np.int64), tail, rank, before))], names=["doc_id", "n", "ids", "part", "tail", "in_tail", "in_full"])
+
+    # The first byte of ids says how many bytes an id takes. Encoding and ranking share a worker process, and so its memory.
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary, part long, tail long, in_tail long, in_full long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024) -> DataFrame:

@@ -66,7 +66,7 @@ def encode_all(path: str, texts: list[str]) -> list[bytes]:
 
             encode = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
             fast = lambda chunks: [array("I", encode(c)).tobytes() for c in chunks]
-        _coders[path] = ChunkCoder(fast), encode_many, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        _coders[path] = ChunkCoder(fast, limit=200_000), encode_many, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     coder, slow, special = _coders[path]
     whole = [i for i, t in enumerate(texts) if any(s in t for s in special)]  # special tokens may span chunks
     if not whole:
