@@ -225,6 +225,24 @@ def test_html_text(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_text_of_copies_and_stubs(spark):
+    menu = "".join(f"<p>Menu entry {w}</p>" for w in "home news maps shop jobs help".split())
+    words = "granite harbour violet lantern meadow copper orchard thunder saddle river velvet compass".split()
+    body = "".join(f"<p>{w} story that only this {w} article tells</p>" for w in words)
+    stub = lambda i: f"<p>{words[i]} {words[i + 1]}</p><p>{words[-1 - i]} {words[-2 - i]} {words[i + 3]}</p>"
+    rows = [(i, f"http://e.f/a/{i}", menu + body) for i in range(5)]  # equal pages
+    rows += [(10 + i, f"http://e.f/b/{i}", menu + body + f"<p>read {i + 117} times so far today</p>") for i in range(5)]  # near copies
+    rows += [(20 + i, f"http://e.f/c/{i}", menu + stub(i)) for i in range(4)] + [(30 + i, f"http://g.h/c/{i}", menu + stub(i)) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    plain = lambda html: html_extract.main_text(html, None)
+    for i in range(5):
+        assert text[i] == plain(body)
+        assert text[10 + i] == plain(body) + f" read {i + 117} times so far today"
+    for i in range(4):
+        assert text[20 + i] == text[30 + i] == plain(stub(i))
+
+
 def test_lines_align_by_longest_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(50):
