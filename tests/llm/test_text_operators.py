@@ -225,6 +225,28 @@ def test_html_text(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<div>Real text</div><section class='comments'><article>Troll</article></section>", "Real text"),
+        ("<div>Real text</div><article class='comment'>Troll</article><aside><article>Teaser</article></aside>", "Real text"),
+        ("<article>Real text</article><div id=comments><article>Troll</article></div>", "Real text"),
+        ("<p class='advert'>Buy<p>Real<p>text", "Real text"),
+        ("<ul><li class='share'>Share<li>Real<li>text</ul><p>end", "Real text end"),
+        ("<table><tr><td class=ad>Buy<td>Real<tr><td>text</table>", "Real text"),
+        ("<div><span class='ad'>Buy<b>now</div><p>Real text", "Real text"),
+        ("<div class='ad'><div>Buy<p>now</div>more</div>Real text", "Real text"),
+        ("<head><title>t</title><p>Real text", "Real text"),
+        ("<div>a<nav>menu<article>Real</article> more</div>", "Real"),
+        ("<div class='has sidebar'><h2>x</h2><main>Real text</main></div>", "Real text"),
+        ("<div class='has sidebar'><article>Real text</article></div>", "Real text"),
+        ("<div class='ad'></span>Buy</p>Buy</div>Real <b>te</b>xt", "Real text"),
+    ],
+)
+def test_html_elements_end_as_html_has_it(html, want):
+    assert html_extract.main_text(html, None) == want
+
+
 def test_html_text_of_copies_and_stubs(spark):
     menu = "".join(f"<p>Menu entry {w}</p>" for w in "home news maps shop jobs help".split())
     words = "granite harbour violet lantern meadow copper orchard thunder saddle river velvet compass".split()
