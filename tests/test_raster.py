@@ -215,6 +215,18 @@ def test_xisf_files(spark, tmp_path):
             xisf.image(xisf.header(data), len(data))
 
 
+def test_stretch_medians_are_exact_and_gather_no_channel(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    values = {0: rng.normal(0, 1, 4001).round(3), 1: rng.random(1000) / 7, 2: np.array([0.25])}
+    df = spark.createDataFrame(pd.DataFrame([(c, float(v)) for c, x in values.items() for v in x], columns=["ch", "value"]))
+    monkeypatch.setattr(files.F, "collect_list", lambda *_: pytest.fail("a whole channel in one array"))
+    got = {r.ch: r for r in files.stretch(df).collect()}
+    upper = lambda x: np.sort(x)[len(x) // 2]
+    for c, x in values.items():
+        assert (got[c].m, got[c].mad) == (upper(x), upper(np.abs(x - upper(x))))
+    assert files.stretch(df.limit(0)).count() == 0
+
+
 def test_fits_and_png(spark, tmp_path):
     rows = [(x, y, 0, float(x + 10 * y + 1)) for x in range(5) for y in range(4) if (x, y) != (2, 2)]
     df = spark.createDataFrame(rows, "x long, y long, ch long, value double")
