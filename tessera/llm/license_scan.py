@@ -2,10 +2,10 @@
 
 Candidate blocks are the lines of a text that name a licence, a right or a warranty, the sentences around such words in long
 lines, and paragraphs of several lines around them. Each block is compressed with every template as zstandard
-raw dictionary; templates rank by how much smaller that makes it. The best-ranked ones are confirmed by the exact
+raw dictionary; templates rank by how much smaller that makes it. All that make it smaller are confirmed by the exact
 wording differences: both are cut into words, aligned, and the words that were left out, put in or changed are
 counted. A block is its template's if at least `least` of the template's words stand in it in order, and no number
-(a version, a term) was changed.
+(a version, a term) was changed. A block can hold several licences; words that stand for one don't count for the next.
 
 Templates are a parameter. Blocks repeat across documents, so results are remembered by block, in bounded memory.
 Defined cases: null and empty texts have no blocks; ties between templates go to the one listed first; repeated rows
@@ -82,24 +82,30 @@ def blocks(text: str | None) -> list[tuple[int, int]]:
 
 def differences(block: str, template: str) -> tuple[int, int, int, int]:
     """(template's words that the block has in order, template's words, words left out or changed, words put in or changed)."""
-    a, b = _WORD.findall(template.lower()), _WORD.findall(block.lower())
+    return aligned(_WORD.findall(block.lower()), _WORD.findall(template.lower()))[:4]
+
+
+def aligned(block: list[str], template: list[str]) -> tuple[int, int, int, int, set[int]]:
+    """The differences of two lists of words, and the places of the block's words that stand in the template."""
     same = out = new = 0
-    for kind, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+    places: set[int] = set()
+    for kind, i, j, k, m in SequenceMatcher(None, template, block, autojunk=False).get_opcodes():
         if kind == "equal":
             same += j - i
+            places.update(range(k, m))
         else:
             out, new = out + j - i, new + m - k
-    return same, len(a), out, new
+    return same, len(template), out, new, places
 
 
 class Scanner:
     """Compresses and confirms blocks against templates; remembers `known` short blocks at most."""
 
-    def __init__(self, templates: dict[str, str], least: float = 0.9, tried: int = 3, level: int = 3, known: int = 50_000):
-        self.templates, self.least, self.tried, self.limit = templates, least, tried, known
+    def __init__(self, templates: dict[str, str], least: float = 0.9, level: int = 3, known: int = 50_000):
+        self.templates, self.least, self.limit = templates, least, known
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
         self.given = {k: zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in templates.items()}
-        self.known: dict[str, tuple | None] = {}
+        self.known: dict[str, list[tuple]] = {}
 
     def rank(self, block: str) -> list[tuple[int, str]]:
         """(bytes saved, template), most first; ties in the templates' order."""
@@ -107,27 +113,36 @@ class Scanner:
         size = len(self.plain.compress(raw))
         return sorted(((size - len(c.compress(raw)), k) for k, c in self.given.items()), key=lambda x: -x[0])
 
-    def match(self, block: str) -> tuple | None:
-        """(licence, bytes saved, words kept, words of the template, words out, words in) of the best confirmed template."""
+    def match(self, block: str) -> list[tuple]:
+        """(licence, bytes saved, words kept, words of the template, words out, words in) of each confirmed template, the one with most words first.
+
+        Every template that saves a byte is tried. Words that stand for one licence don't count for the next.
+        """
         if block in self.known:
             return self.known[block]
-        best = None
         ranked = [(saved, name) for saved, name in self.rank(block) if saved > 0]
-        limit = sorted((s for s, _ in ranked), reverse=True)[: self.tried]
-        for saved, name in ranked:
-            if saved < limit[-1]:  # templates that save as much as the last one tried are tried too
+        words, out = _WORD.findall(block.lower()), []
+        while ranked:
+            confirmed = []
+            for saved, name in ranked:
+                template = _WORD.findall(self.templates[name].lower())
+                have = set(words)
+                if sum(w in have for w in template) < self.least * len(template) or not all(w in have for w in template if w[0].isdigit()):
+                    continue  # too few words, or a number is missing
+                same, size, left, new, places = aligned(words, template)
+                if same >= self.least * size:
+                    confirmed.append((name, saved, same, size, left, new, places))
+            if not confirmed:
                 break
-            template = self.templates[name]
-            same, size, out, new = differences(block, template)
-            numbers = [w for w in _WORD.findall(template.lower()) if w[0].isdigit()]
-            if same >= self.least * size and all(n in _WORD.findall(block.lower()) for n in numbers):
-                if best is None or (same, -out - new) > (best[2], -best[4] - best[5]):
-                    best = (name, saved, same, size, out, new)
+            best = max(confirmed, key=lambda c: (c[2], -c[4] - c[5]))  # the first of equals
+            out.append(best[:6])
+            words = ["" if i in best[6] else w for i, w in enumerate(words)]
+            ranked = [(c[1], c[0]) for c in confirmed if c[0] != best[0]]
         if len(block) <= 512:
             if len(self.known) >= self.limit:
                 self.known.clear()
-            self.known[block] = best
-        return best
+            self.known[block] = out
+        return out
 
 
 _scanners: dict[str, Scanner] = {}
@@ -145,7 +160,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
             _scanners[key] = Scanner(templates)
         scanner, rows, out = _scanners[key], [], []
         for i, text in enumerate(texts):
-            found = [(name, lo, hi, *rest) for lo, hi in blocks(text) if (m := scanner.match(text[lo:hi])) for name, *rest in [m]]
+            found = [(name, lo, hi, *rest) for lo, hi in blocks(text) for name, *rest in scanner.match(text[lo:hi])]
             found.sort(key=lambda f: (f[6] + f[7], f[1], f[2]))
             taken: list[tuple] = []
             for f in found:

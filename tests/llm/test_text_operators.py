@@ -290,6 +290,18 @@ def test_license_blocks(spark, docs, empty):
     assert license_scan.scan_licenses(empty).count() == 0 and license_scan.scan_licenses(docs).count() == 1
 
 
+def test_all_licenses_of_a_block(spark):
+    mit = license_scan.TEMPLATES["MIT-grant"]
+    rows = [(1, mit + ".\nThis work is licensed under the GNU General Public License,\nversion 3."), (2, "This work is licensed under the GNU Lesser General Public License, version 3.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.license) for r in license_scan.scan_licenses(df).collect()} == {(1, "MIT-grant"), (1, "GPL-3.0"), (2, "LGPL-3.0")}
+    # variants that compress better do not keep the true one from being tried
+    t = {f"V{i}": f"Licensed under the Example Public License with exception {w}, version {i}.5." for i, w in enumerate("alpha beta gamma delta".split())}
+    t["true"] = "Example Public License."
+    block = "Licensed under the Example Public License with exception omega, version 9."
+    assert [m[0] for m in license_scan.Scanner(t).match(block)] == ["true"]
+
+
 def test_language_models(spark, empty, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     edge = spark.createDataFrame([(10**6, None, "en"), (10**6 + 1, "12 34 !", "en"), (10**6 + 2, "", None)], "doc_id long, text string, lang string")
