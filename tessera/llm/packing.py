@@ -3,10 +3,11 @@
 A document is its ids and an end id. It gives full sequences and a tail of fewer tokens than a sequence. Only the
 histogram of tail lengths (at most length - 1 numbers) goes to the driver: column generation solves the linear
 program over patterns (multisets of tail lengths that fit into a sequence), a knapsack dynamic program prices
-columns, and patterns that fill a sequence exactly are kept with their rounded counts. Documents are ranked
-within their tail length (rank in their partition plus the counts of earlier partitions) and rank and length
-alone say which pattern, copy and slot a tail gets. Tails beyond the rounded patterns form a stream that is cut
-at sequence ends; its last part is cut into powers of two, which need no padding.
+columns, the patterns' counts are rounded, and what rounding leaves over is put into patterns longest first.
+Documents are ranked within their tail length (rank in their partition plus the counts of earlier partitions) and
+rank and length alone say which pattern, copy and slot a tail gets. Sequences of the emptiest patterns are taken
+back: their tails form a stream that is cut to fill the gaps that all other patterns leave; what is left of it fills
+whole sequences and, at its end, powers of two. So there is no padding, and only the stream's documents are cut.
 
 Ids cross the network once, in a join on (partition, tail length). No task needs all rows of a length.
 A null text counts as an empty one (its sequence part is the end id alone); repeated doc_ids stay separate
@@ -54,10 +55,13 @@ def _unpack(pick: np.ndarray, weights: np.ndarray, c: int, into: np.ndarray) ->
     return into
 
 
-def _first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """A feasible basis: the longest tail left is topped up with the longest that fit; each pattern is used until a length runs out."""
+def _first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A feasible basis, its counts and its inverse: the longest tail left is topped up with the longest that fit; each pattern is used until a length runs out.
+
+    A pattern has no length that ran out before, so the basis is triangular in the order in which lengths run out.
+    """
     n = len(lengths)
-    left, columns, x, used_up = demand.astype(float), np.zeros((n, n)), np.zeros(n), np.zeros(n, bool)
+    left, columns, x, used_up, order = demand.astype(float), np.zeros((n, n)), np.zeros(n), np.zeros(n, bool), []
     for k in range(n):
         open_ = np.flatnonzero(~used_up)
         room, i = capacity, open_[-1]
@@ -73,8 +77,15 @@ def _first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
         copies = left[on] / columns[on, k]
         x[k] = copies.min()
         left[on] -= x[k] * columns[on, k]
-        used_up[on[copies.argmin()]] = True
-    return columns, x
+        order.append(on[copies.argmin()])
+        used_up[order[-1]] = True
+    inverse = np.zeros((n, n))
+    for k, i in enumerate(order):
+        inverse[k, i] = 1.0
+        for j in np.flatnonzero(columns[i, :k]):
+            inverse[k] -= columns[i, j] * inverse[j]
+        inverse[k] /= columns[i, k]
+    return columns, x, inverse
 
 
 def cutting_stock(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 40, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
@@ -82,14 +93,14 @@ def cutting_stock(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds
 
     Ends when no pattern prices above 1 + gap or the sequences are within that gap of all tokens over the capacity
     (both bound the distance from the optimum), or after `rounds` knapsacks; the counts meet the demand exactly at any time.
+    The inverse is updated row by row and products are taken over a pattern's few lengths, so no step needs a threaded matrix library.
     """
     n = len(lengths)
-    columns, x = _first_basis(lengths, demand, capacity)
-    inverse = np.linalg.inv(columns)
+    columns, x, inverse = _first_basis(lengths, demand, capacity)
+    dual = inverse.sum(0)
     for _ in range(rounds):
-        dual = inverse.sum(0)
         best, pick = knapsack(lengths, dual, capacity)
-        if best[capacity] <= 1 + gap or x.sum() <= (1 + gap) * (lengths @ demand) / capacity:
+        if best[capacity] <= 1 + gap or x.sum() <= (1 + gap) * int((lengths * demand).sum()) / capacity:
             break
         value = dual + best[capacity - lengths]
         entered = False
@@ -97,9 +108,11 @@ def cutting_stock(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds
             column = np.zeros(n)
             column[first] += 1
             column = _unpack(pick, lengths, capacity - lengths[first], column)
-            if inverse.sum(0) @ column <= 1 + gap:  # duals have changed since
+            on = np.flatnonzero(column)
+            priced = (dual[on] * column[on]).sum()
+            if priced <= 1 + gap:  # duals have changed since
                 continue
-            way = inverse @ column
+            way = (inverse[:, on] * column[on]).sum(1)
             up = way > 1e-9
             if not up.any():
                 continue
@@ -108,31 +121,64 @@ def cutting_stock(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds
             x = np.maximum(x - ratio[out] * way, 0)
             x[out] = ratio[out]
             row = inverse[out] / way[out]
-            inverse -= np.outer(way, row)
+            moved = np.flatnonzero(way)
+            inverse[moved] -= way[moved, None] * row
             inverse[out] = row
+            dual = dual - (priced - 1) * row
             columns[:, out] = column
             entered = True
         if not entered:
             break
+        dual = inverse.sum(0)
     return columns.T.round().astype(np.int64), x
 
 
-def rounded_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """(copies, {length: uses}) of the patterns kept: those that fill a sequence, rounded down and never above the demand."""
+def rounded_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int], int]]:
+    """(copies, {length: uses}, gap) of whole patterns, in the order of their gaps; the tails in none of them have at least as many tokens as all gaps together.
+
+    Counts are rounded down, then up where the demand allows it; the tails left go longest first into patterns that
+    they fill greedily. Copies with the largest gaps are taken back until the tails that they free can fill all others.
+    """
     if not len(lengths):
         return []
     patterns, counts = cutting_stock(lengths, demand, capacity)
-    left, kept = demand.copy(), []
-    for i in sorted(range(len(counts)), key=lambda i: (-counts[i], i)):
-        uses = patterns[i]
-        if uses @ lengths != capacity:
-            continue
-        on = uses > 0
-        copies = min(int(counts[i] + 1e-6), int((left[on] // uses[on]).min()))
+    left = demand.copy()
+    whole: dict[tuple, int] = {}
+
+    def place(uses: np.ndarray, most: int) -> None:
+        on = np.flatnonzero(uses)
+        copies = min(most, int((left[on] // uses[on]).min()))
         if copies > 0:
-            left -= copies * uses
-            kept.append((copies, {int(lengths[j]): int(uses[j]) for j in np.flatnonzero(on)}))
-    return kept
+            left[on] -= copies * uses[on]
+            key = tuple(zip(lengths[on].tolist(), uses[on].tolist()))
+            whole[key] = whole.get(key, 0) + copies
+
+    down = np.floor(counts + 1e-6).astype(np.int64)
+    for i in np.argsort(-counts, kind="stable"):
+        place(patterns[i], int(down[i]))
+    for i in np.argsort(down - counts, kind="stable"):
+        if counts[i] > down[i]:
+            place(patterns[i], 1)
+    while left.any():
+        uses, room = np.zeros(len(lengths), np.int64), capacity
+        while True:
+            fit = np.flatnonzero((left > uses) & (lengths <= room))
+            if not len(fit):
+                break
+            i = fit[-1]
+            more = min(int(left[i] - uses[i]), int(room // lengths[i]))
+            uses[i] += more
+            room -= more * int(lengths[i])
+        place(uses, int(left.max()))
+    kept = sorted((capacity - sum(t * k for t, k in key), key, copies) for key, copies in whole.items())
+    gaps, free = sum(g * c for g, _, c in kept), 0
+    while gaps > free:
+        g, key, copies = kept.pop()
+        back = min(copies, -(-(gaps - free) // capacity))
+        gaps, free = gaps - back * g, free + back * (capacity - g)
+        if back < copies:
+            kept.append((g, key, copies - back))
+    return [(copies, dict(key), g) for g, key, copies in kept]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, length: int) -> DataFrame:
@@ -178,27 +224,34 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024) -
     # Where the tails of each length go, by rank: runs of ranks that belong to one pattern, then the stream.
     runs: dict[int, list] = {int(t): [] for t in lengths}
     used = dict.fromkeys(runs, 0)
-    next_sequence = n_full
-    for copies, uses in rounded_patterns(lengths, demand, length):
+    next_sequence, upto = n_full, 0
+    segments = []  # of the stream: (at, size, copies, sequence, offset): so many equal parts, one in each of consecutive sequences
+    for copies, uses, gap in rounded_patterns(lengths, demand, length):
         at = 0
         for t, k in uses.items():
             runs[t].append((used[t], used[t] + copies * k, k, next_sequence, at))
             used[t] += copies * k
             at += t * k
+        if gap:
+            segments.append((upto, gap, copies, next_sequence, at))
+            upto += gap * copies
         next_sequence += copies
-    stream, rows = 0, []
+    stream_at, stream = {}, 0
     for t in runs:
-        rows.append((t, runs[t], used[t], stream))
+        stream_at[t] = stream
         stream += (histogram[t] - used[t]) * t
-    n_stream = stream // length  # full sequences; what is left is cut into powers of two
-    rest, at, cuts = stream % length, n_stream * length, []
-    while rest:
-        size = 1 << (rest.bit_length() - 1)
-        cuts.append((at, size))
-        at, rest = at + size, rest - size
-    cut_list = F.array(*(F.struct(F.lit(a).cast("long").alias("at"), F.lit(s).cast("long").alias("size")) for a, s in cuts)) if cuts else F.expr("cast(array() as array<struct<at:bigint,size:bigint>>)")
-
-    slots = spark.createDataFrame(rows, "tail long, runs array<struct<lo:long,hi:long,uses:long,sequence:long,at:long>>, in_runs long, stream_at long")
+    rest = stream - upto
+    sizes = [(length, rest // length)] + [(1 << i, 1) for i in range(length.bit_length() - 1, -1, -1) if rest % length >> i & 1]
+    for size, copies in sizes:
+        if copies:
+            segments.append((upto, size, copies, next_sequence, 0))
+            upto, next_sequence = upto + size * copies, next_sequence + copies
+    rows = []
+    for t in runs:
+        lo, hi = stream_at[t], stream_at[t] + (histogram[t] - used[t]) * t
+        rows.append((t, runs[t], used[t], lo, [g for g in segments if g[0] < hi and g[0] + g[1] * g[2] > lo]))
+
+    slots = spark.createDataFrame(rows, "tail long, runs array<struct<lo:long,hi:long,uses:long,sequence:long,at:long>>, in_runs long, stream_at long, segments array<struct<at:long,size:long,copies:long,sequence:long,offset:long>>")
     earlier = lambda key: Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = counts.groupBy("part").agg(F.sum("full").alias("full")).withColumn("group", F.expr("part div 4096"))
     groups = parts.groupBy("group").agg(F.sum("full").alias("full"))
@@ -215,20 +268,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024) -
     in_run = F.expr(
         "array(named_struct('start', n - tail, 'length', tail, 'sequence_id', run.sequence + (rank - run.lo) div run.uses, 'offset', run.at + tail * ((rank - run.lo) % run.uses)))"
     )
-    placed = placed.withColumn("s", F.expr("stream_at + (rank - in_runs) * tail")).withColumn("cuts", cut_list)
-    # The stream's sequences that [s, s + tail) meets: full ones, then those of the powers of two.
-    placed = placed.withColumn(
-        "bins",
-        F.expr(
-            f"""concat(
-            transform(filter(sequence(s div {length}, (s + tail - 1) div {length}), b -> b < {n_stream}L), b -> named_struct('at', b * {length}, 'size', {length}L, 'id', {next_sequence}L + b)),
-            transform(cuts, (c, i) -> named_struct('at', c.at, 'size', c.size, 'id', {next_sequence}L + {n_stream}L + i)))"""
-        ),
-    )
+    placed = placed.withColumn("s", F.expr("stream_at + (rank - in_runs) * tail"))
+    # The parts of the stream's segments that [s, s + tail) meets.
     in_stream = F.expr(
-        """transform(filter(bins, b -> b.at < s + tail and b.at + b.size > s), b -> named_struct(
-            'start', n - tail + greatest(b.at, s) - s, 'length', least(b.at + b.size, s + tail) - greatest(b.at, s),
-            'sequence_id', b.id, 'offset', greatest(b.at, s) - b.at))"""
+        """flatten(transform(filter(segments, g -> g.at < s + tail and g.at + g.size * g.copies > s), g -> transform(
+            sequence(greatest(s - g.at, 0L) div g.size, (least(s + tail, g.at + g.size * g.copies) - g.at - 1) div g.size),
+            j -> named_struct(
+                'start', n - tail + greatest(g.at + j * g.size, s) - s, 'length', least(g.at + (j + 1) * g.size, s + tail) - greatest(g.at + j * g.size, s),
+                'sequence_id', g.sequence + j, 'offset', g.offset + greatest(s - g.at - j * g.size, 0L)))))"""
     )
     none = F.expr("cast(array() as array<struct<start:bigint,length:bigint,sequence_id:bigint,offset:bigint>>)")
     pieces = F.concat(full, F.when(F.col("tail") == 0, none).when(F.col("run").isNotNull(), in_run).otherwise(in_stream))

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -133,16 +134,42 @@ def test_cutting_stock_is_near_its_bound():
         assert (patterns @ lengths <= 1024).all() and np.allclose(counts @ patterns, demand)
         kept = packing.rounded_patterns(lengths, demand, 1024)
         used = np.zeros(1025, int)
-        for copies, uses in kept:
-            assert sum(k * v for k, v in uses.items()) == 1024
+        for copies, uses, gap in kept:
+            assert copies > 0 and gap >= 0 and sum(k * v for k, v in uses.items()) == 1024 - gap
             for k, v in uses.items():
                 used[k] += copies * v
         assert (used[lengths] <= demand).all()
+        free = ((demand - used[lengths]) * lengths).sum()
+        assert free >= sum(copies * gap for copies, _, gap in kept)
+        if n >= 60:
+            assert free <= 0.05 * (demand * lengths).sum()
     # thirds and halves: the optimum is known
     patterns, counts = packing.cutting_stock(np.array([342, 512, 682]), np.array([300, 200, 100]), 1024)
     assert counts.sum() <= 100 + 100 + 100 + 1
 
 
+def test_packing_of_every_tail_length(spark, tmp_path):
+    """1023 tail lengths, and more in some partitions than in others; ids are bytes, so that lengths are chosen freely."""
+    path = tmp_path / "bytes.json"
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.BPE(vocab={c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}, merges=[]))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    t.save(str(path))
+    rng = np.random.default_rng(6)
+    sizes = list(range(1023)) * 2 + rng.integers(0, 5000, 400).tolist() + [300] * 500
+    rows = spark.createDataFrame([(i, "a" * n) for i, n in enumerate(sizes)], "doc_id long, text string").repartition(7)
+    got = packing.pack(rows, str(path)).select("doc_id", "start", "length", "sequence_id", "offset").collect()
+    assert packed(got) == 0
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == ends.get(r.doc_id, 0)
+        ends[r.doc_id] = r.start + r.length
+    assert ends == {i: n + 1 for i, n in enumerate(sizes)}
+    pieces = Counter(r.doc_id for r in got)
+    assert sum(pieces[i] > -(-(n + 1) // 1024) for i, n in enumerate(sizes)) < 0.05 * len(sizes)  # few tails are cut
+
+
 def brute_spans(text):
     rules = [("assign", re.compile(secret_scan.BASE[0].regex), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
     found = [(m.start(), i, m.end(), kind) for i, (kind, r, g, least) in enumerate(rules) for m in r.finditer(text) if len(m[g]) >= least]
