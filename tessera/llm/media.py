@@ -1,9 +1,10 @@
-"""Media columns: telephony audio (mu-law, A-law, IMA ADPCM) in WAV form, expanded to PCM and resampled.
+"""Media columns: telephony audio (mu-law, A-law, IMA ADPCM) in WAV form, expanded to PCM, resampled and stored.
 
 mu-law and A-law samples are expanded through 256-entry tables; ADPCM blocks are decoded position by position
 with numpy across all blocks of a recording, since blocks are independent and samples within one are not.
 
-Nulls count as empty texts; equal texts give equal values; an empty payload gives empty PCM.
+Nulls count as empty texts; equal texts give equal values; an empty payload gives empty PCM; repeated rows stay
+separate recordings; long texts are long recordings, taken whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_texts, table
+from .common import map_texts, materialise, table, text_runs
 
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
 
@@ -144,7 +146,7 @@ def decode(media: bytes) -> tuple[int, np.ndarray]:
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation; positions and weights are integers, so that the result is the same everywhere."""
+    """Upwards linear interpolation, downwards the mean over each new sample's span. Positions and weights are integers, so that the result is the same everywhere."""
     if not len(pcm) or rate == to:
         return pcm.astype(np.int16)
     if to == 2 * rate:
@@ -152,12 +154,21 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
         out[0::2], out[-1] = pcm, pcm[-1]
         out[1:-1:2] = (pcm[:-1].astype(np.int32) + pcm[1:]) >> 1
         return out
-    at = np.arange(-(-len(pcm) * to // rate), dtype=np.int64) * rate
+    at = np.arange(-(-len(pcm) * to // rate) + (to < rate), dtype=np.int64) * rate
+    if to < rate:
+        at = np.minimum(at, len(pcm) * to)
+        i, part = at // to, at % to
+        sums = np.concatenate(([0], np.cumsum(pcm, dtype=np.int64)))
+        area = sums[i] * to + np.append(pcm, 0).astype(np.int64)[i] * part
+        return (np.diff(area) // np.diff(at)).astype(np.int16)
     i, part = at // to, at % to
     j = np.minimum(i + 1, len(pcm) - 1)
     return ((pcm[i].astype(np.int64) * (to - part) + pcm[j].astype(np.int64) * part) // to).astype(np.int16)
 
 
+DIGESTS = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def features(pcm: np.ndarray, rate: int) -> str:
     """Whole-number features, exact on every machine: rate, samples, peak, mean square, sign changes."""
     x = pcm.astype(np.int32)
@@ -201,24 +212,35 @@ def _pcm_wav(media: bytes | None, to_rate: int) -> bytes | None:
     return write_wav(PCM, to_rate, resample(pcm, rate, to_rate).astype("<i2").tobytes())
 
 
-def digest_media(docs: DataFrame, rate: int = 8000, to_rate: int = 16000) -> DataFrame:
-    """Per document: store the text, read the stored bytes back, expand and resample them, and return digests.
+def stored_media(docs: DataFrame, rate: int = 8000, to_rate: int = 16000) -> DataFrame:
+    """The texts' recordings and their resampled PCM as a table in the shared folder, read back: doc_id, n_bytes, media, pcm."""
+    return materialise(decode_media(store_texts(docs, rate), to_rate), "media")
+
 
-    Stored form and PCM live in one task at a time only, so nothing but digests is written or shuffled.
+def digest_media(stored: DataFrame) -> DataFrame:
+    """doc_id, digests and features of each row of stored_media(), all from the stored bytes.
+
+    Features: of the stored PCM, and of what the payload's bytes are as A-law codes and as ADPCM blocks of 64 bytes
+    (decoded across all recordings of a run at once).
     """
 
-    def run(texts: list) -> list:
-        rows = []
-        for text in texts:
-            n, raw = payload(text)
-            media = write_wav(MULAW, rate, raw)
-            back = read_wav(media)[3]
-            own, pcm = decode(media)
-            rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(resample(pcm, own, to_rate), to_rate)))
-        return list(zip(*rows))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in text_runs(batch.column(2)):
+                rows, backs = [], []
+                for n, media, pcm in zip(*(batch.column(i).slice(lo, hi - lo).to_pylist() for i in (1, 2, 3))):
+                    _, rate, _, back = read_wav(media)
+                    backs.append(back)
+                    rows.append([n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"pcm:{features(*decode(pcm)[::-1])},alaw:{features(ALAW_PCM[np.frombuffer(back, np.uint8)], rate)}"])
+                samples = decode_adpcm(b"".join(backs), 64)
+                ends = np.cumsum([len(b) // 64 for b in backs]) * 121
+                for row, end, start in zip(rows, ends.tolist(), [0, *ends.tolist()]):
+                    row[-1] += f",adpcm:{features(samples[start:end], rate)}"
+                types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=["doc_id", *DIGESTS])
 
-    return map_texts(docs, ["doc_id"], run, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_media(table(spark, sf_dir, "documents"))
+    return digest_media(stored_media(table(spark, sf_dir, "documents")))
