@@ -22,13 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; a folder of our own where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; where that is unset, one of our own: in the warehouse, or, if all of Spark runs in this process, a temporary one."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        if spark.sparkContext.master.startswith("local"):
+            _own_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        else:
+            _own_dir = f"{spark.conf.get('spark.sql.warehouse.dir')}/tessera-{uuid.uuid4().hex}"
     return _own_dir
 
 

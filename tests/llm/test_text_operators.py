@@ -2,8 +2,10 @@
 
 import hashlib
 import json
+import os
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -224,15 +226,22 @@ def test_media_round_trips(spark, docs, empty):
     assert media.ALAW_PCM[[0xD5, 0x55, 0x2A, 0xAA]].tolist() == [8, -8, -32256, 32256]
     for kind in (media.MULAW, media.ALAW):
         assert media.read_wav(media.write_wav(kind, 8000, b"abc"))[3] == b"abc"
-    rows = media.digest_media(docs).collect()
+    rows = media.digest_media(media.stored_media(docs)).collect()
     for r, (i, text, *_) in zip(sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0)), sorted(EDGE, key=lambda r: (r[0] is None, r[0] or 0))):
         raw = (text or "").encode()
         want = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         assert (r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256) == (i, len(raw), len(want), hashlib.sha256(want).hexdigest())
-    assert media.digest_media(empty).count() == 0
+        codes = np.frombuffer(want, np.uint8)
+        pcm = media.resample(media.MULAW_PCM[codes], 8000, 16000)
+        assert r.feature == f"pcm:{media.features(pcm, 16000)},alaw:{media.features(media.ALAW_PCM[codes], 8000)},adpcm:{media.features(media.decode_adpcm(want, 64), 8000)}"
+    assert media.digest_media(media.stored_media(empty)).count() == 0
+    long = spark.createDataFrame([(1, "tone " * 400_000)], "doc_id long, text string")
+    assert media.digest_media(media.stored_media(long)).first().payload_bytes == 2_000_000
     stored = media.decode_media(media.store_texts(docs)).collect()
     assert all(media.read_wav(bytes(r.pcm))[1] == 16000 for r in stored)
     assert media.resample(np.arange(10, dtype=np.int16), 8000, 12000).tolist() == [0, 0, 1, 2, 2, 3, 4, 4, 5, 6, 6, 7, 8, 8, 9]
+    assert media.resample(np.array([3, 6, 0, 30, 31], np.int16), 12000, 8000).tolist() == [4, 2, 30, 31]
+    assert media.resample(np.arange(8, dtype=np.int16), 16000, 8000).tolist() == [0, 2, 4, 6]
 
 
 PAGE = "<html><head><title>t</title></head><body><nav><a>Menu {i}</a></nav><div class='x ad'>buy<div>more</div></div><article><h1>Title {i}</h1><p>One &amp; two&nbsp;three <b>bo</b>ld.<br>Next<p>Shared line</p><script>var a='</p>'</script><!-- c --><div class='comments'><p>no</p></div></article><footer>foot {i}</footer></body></html>"
@@ -268,12 +277,77 @@ def test_html_text(spark):
         ("<div class='has sidebar'><h2>x</h2><main>Real text</main></div>", "Real text"),
         ("<div class='has sidebar'><article>Real text</article></div>", "Real text"),
         ("<div class='ad'></span>Buy</p>Buy</div>Real <b>te</b>xt", "Real text"),
+        ("<article>Real text</article><section class='comments'><article class='comment'><p>Troll</article></section>", "Real text"),
+        ("<article><p>Real text<article class='comment'>Troll", "Real text"),
+        ("<aside><article>Teaser</article></aside><header><article>Promo</article></header><article>Real text</article>", "Real text"),
+        ("<div class='layout has-sidebar'><div class='content'><p>Real text", "Real text"),
+        ("<h1>Re</h1><div class='has-sidebar'><p>al text, and much of it<div class='sidebar'>side</div></div>", "Re al text, and much of it"),
+        ("<p>Real text</p><div class='comments'><p>A comment that is far longer than the text that it is about</div>", "Real text"),
+        ("<div class='page-header'>" * 300 + "<p>Real text", "Real text"),
     ],
 )
 def test_html_elements_end_as_html_has_it(html, want):
     assert html_extract.main_text(html, None) == want
 
 
+class Reader(HTMLParser):
+    """The text of the article elements by the standard library's parser: an independent extractor for pages whose article is marked."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.skip, self.out = 0, 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.skip += tag in ("script", "style")
+        if tag not in html_extract.INLINE:
+            self.out.append("\n")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.skip -= tag in ("script", "style")
+        if tag not in html_extract.INLINE:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if self.depth and not self.skip:
+            self.out.append(data.replace("\n", " "))
+
+
+def test_html_text_equals_an_independent_extractor(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        reader = Reader()
+        reader.feed(r.html)
+        reader.close()
+        want[r.page_id] = " ".join(filter(None, (" ".join(x.split()) for x in "".join(reader.out).split("\n"))))
+    got = {r.page_id: r.text for r in html_extract.op6_html_text(spark, sf_dir).collect()}
+    assert got == want and all(want.values())
+
+
+def test_differencing_equals_brute_force(spark):
+    """Pages without marks: what stays is each page's text less a longest common subsequence with its nearest neighbour's lines."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(400)]
+    line = lambda: " ".join(rng.choice(words, 12))
+    menu, rows = [line() for _ in range(6)], []
+    for i in range(40):
+        own = [line() for _ in range(int(rng.integers(4, 9)))]
+        rows.append((i, f"http://h.i/{i // 5:02}/{i % 5}", menu[: int(rng.integers(3, 7))] + own))
+    df = spark.createDataFrame([(i, u, "".join(f"<p>{x}</p>" for x in t)) for i, u, t in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    for i, url, text in rows:
+        sides = [rows[j] for j in (i - 1, i + 1) if 0 <= j < len(rows)]
+        other = max(sides, key=lambda r: len(os.path.commonprefix([r[1], url])))[2]
+        shared, at = [], 0
+        for x in text:  # own lines are unlike, so the common lines stand in the same order in both
+            if x in other[at:]:
+                shared.append(x)
+                at = other.index(x, at) + 1
+        assert got[i] == " ".join(x for x in text if x not in shared) and shared
+
+
 def test_html_text_of_copies_and_stubs(spark):
     menu = "".join(f"<p>Menu entry {w}</p>" for w in "home news maps shop jobs help".split())
     words = "granite harbour violet lantern meadow copper orchard thunder saddle river velvet compass".split()
