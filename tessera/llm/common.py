@@ -35,10 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back. The new frame has no lineage, so lost executors cost a re-read."""
+def materialise(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """Write df as a table in the shared folder (zstandard at that level) and read it back. The new frame has no lineage, so lost executors cost a re-read."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out

@@ -154,6 +154,11 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
         out[0::2], out[-1] = pcm, pcm[-1]
         out[1:-1:2] = (pcm[:-1].astype(np.int32) + pcm[1:]) >> 1
         return out
+    if rate % to == 0:
+        k, whole = rate // to, len(pcm) // (rate // to)
+        out = pcm[: whole * k].reshape(whole, k).sum(1, dtype=np.int64) // k
+        rest = pcm[whole * k :].astype(np.int64)
+        return np.append(out, rest.sum() // len(rest) if len(rest) else []).astype(np.int16)
     at = np.arange(-(-len(pcm) * to // rate) + (to < rate), dtype=np.int64) * rate
     if to < rate:
         at = np.minimum(at, len(pcm) * to)
@@ -171,9 +176,12 @@ DIGESTS = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_by
 
 def features(pcm: np.ndarray, rate: int) -> str:
     """Whole-number features, exact on every machine: rate, samples, peak, mean square, sign changes."""
-    x = pcm.astype(np.int32)
-    square = int(np.dot(x.astype(np.float64), x)) // len(x) if len(x) else 0
-    return f"rate={rate};n={len(x)};peak={int(np.abs(x).max()) if len(x) else 0};ms={square};zc={int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))}"
+    square, peak = 0, 0
+    for at in range(0, len(pcm), 1 << 22):  # sums of so many squares are exact
+        x = pcm[at : at + (1 << 22)].astype(np.float64)
+        square, peak = square + int(np.dot(x, x)), max(peak, int(x.max()), int(-x.min()))
+    below = pcm < 0
+    return f"rate={rate};n={len(pcm)};peak={peak};ms={square // max(len(pcm), 1)};zc={np.count_nonzero(below[1:] ^ below[:-1])}"
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -182,7 +190,7 @@ def payload(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
 
 
-def store_texts(docs: DataFrame, rate: int = 8000) -> DataFrame:
+def store_texts(docs: DataFrame, rate: int = 16000) -> DataFrame:
     """Texts as mu-law recordings: doc_id, n_bytes, media (WAV). A null text is an empty one."""
 
     def run(texts: list) -> list:
@@ -192,7 +200,7 @@ def store_texts(docs: DataFrame, rate: int = 8000) -> DataFrame:
     return map_texts(docs, ["doc_id"], run, "n_bytes long, media binary")
 
 
-def decode_media(media: DataFrame, to_rate: int = 16000) -> DataFrame:
+def decode_media(media: DataFrame, to_rate: int = 8000) -> DataFrame:
     """media(doc_id, media, ...) with pcm (16-bit WAV at to_rate) added; null media give null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,9 +220,9 @@ def _pcm_wav(media: bytes | None, to_rate: int) -> bytes | None:
     return write_wav(PCM, to_rate, resample(pcm, rate, to_rate).astype("<i2").tobytes())
 
 
-def stored_media(docs: DataFrame, rate: int = 8000, to_rate: int = 16000) -> DataFrame:
-    """The texts' recordings and their resampled PCM as a table in the shared folder, read back: doc_id, n_bytes, media, pcm."""
-    return materialise(decode_media(store_texts(docs, rate), to_rate), "media")
+def stored_media(docs: DataFrame, rate: int = 16000, to_rate: int = 8000) -> DataFrame:
+    """The texts' wide-band recordings and their PCM in telephone band as a table in the shared folder, read back: doc_id, n_bytes, media, pcm."""
+    return materialise(decode_media(store_texts(docs, rate), to_rate), "media", 9)
 
 
 def digest_media(stored: DataFrame) -> DataFrame:

@@ -232,15 +232,16 @@ def test_media_round_trips(spark, docs, empty):
         want = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         assert (r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256) == (i, len(raw), len(want), hashlib.sha256(want).hexdigest())
         codes = np.frombuffer(want, np.uint8)
-        pcm = media.resample(media.MULAW_PCM[codes], 8000, 16000)
-        assert r.feature == f"pcm:{media.features(pcm, 16000)},alaw:{media.features(media.ALAW_PCM[codes], 8000)},adpcm:{media.features(media.decode_adpcm(want, 64), 8000)}"
+        pcm = media.resample(media.MULAW_PCM[codes], 16000, 8000)
+        assert r.feature == f"pcm:{media.features(pcm, 8000)},alaw:{media.features(media.ALAW_PCM[codes], 16000)},adpcm:{media.features(media.decode_adpcm(want, 64), 16000)}"
     assert media.digest_media(media.stored_media(empty)).count() == 0
     long = spark.createDataFrame([(1, "tone " * 400_000)], "doc_id long, text string")
     assert media.digest_media(media.stored_media(long)).first().payload_bytes == 2_000_000
     stored = media.decode_media(media.store_texts(docs)).collect()
-    assert all(media.read_wav(bytes(r.pcm))[1] == 16000 for r in stored)
+    assert all(media.read_wav(bytes(r.pcm))[1] == 8000 for r in stored)
     assert media.resample(np.arange(10, dtype=np.int16), 8000, 12000).tolist() == [0, 0, 1, 2, 2, 3, 4, 4, 5, 6, 6, 7, 8, 8, 9]
     assert media.resample(np.array([3, 6, 0, 30, 31], np.int16), 12000, 8000).tolist() == [4, 2, 30, 31]
+    assert media.resample(np.arange(9, dtype=np.int16), 16000, 8000).tolist() == [0, 2, 4, 6, 8]
     assert media.resample(np.arange(8, dtype=np.int16), 16000, 8000).tolist() == [0, 2, 4, 6]
 
 
