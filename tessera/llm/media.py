@@ -156,7 +156,7 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
         return out
     if rate % to == 0:
         k, whole = rate // to, len(pcm) // (rate // to)
-        out = pcm[: whole * k].reshape(whole, k).sum(1, dtype=np.int64) // k
+        out = sum(pcm[i : whole * k : k].astype(np.int64) for i in range(k)) // k
         rest = pcm[whole * k :].astype(np.int64)
         return np.append(out, rest.sum() // len(rest) if len(rest) else []).astype(np.int16)
     at = np.arange(-(-len(pcm) * to // rate) + (to < rate), dtype=np.int64) * rate
