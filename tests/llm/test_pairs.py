@@ -89,26 +89,55 @@ def vectors():
     return (x * rng.uniform(0.5, 2, (1500, 1))).astype(np.float32)
 
 
-def test_nearest_neighbours_recall(spark, vectors):
-    x = vectors.astype(float)
-    x[900:1000] = x[900]
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x.astype(np.float32))]
-    bad = [(5000, None, 1), (5001, [0.0] * 24, 1), (5002, [float("nan")] + [1.0] * 23, 1), (5003, [None] + [1.0] * 23, 1), (None, [1.0] * 24, 1), (5004, [1.0] * 3, 1), (0, rows[0][1], 0)]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, node int")
-    got = defaultdict(list)
-    for r in ann.nearest(df, lambda i: i % 20 == 0).collect():
-        got[r.query_id].append((r["rank"], r.vec_id, r.score))
-    x = x.astype(np.float32).astype(float)
+def recall_of(got, x, ids, queries, k=20):
+    """Checks ranks and scores of the answers (query: [(rank, vec_id, score)]); gives the share of the true nearest that were found."""
     hits = 0
-    for q in range(0, 1500, 20):
+    for q in queries:
         s = x @ x[q]
         s[q] = -np.inf
-        want = np.lexsort((np.arange(1500), -s))[:20].tolist()
-        own = sorted(got[q])
-        assert [r for r, _, _ in own] == list(range(1, 21)) and all(abs(s[v] - score) < 1e-9 * max(1, abs(score)) for _, v, score in own)
+        want = np.lexsort((ids, -s))[:k]
+        own = sorted(got[ids[q]])
+        assert [r for r, _, _ in own] == list(range(1, k + 1)) and all(abs(s[np.flatnonzero(ids == v)[0]] - score) < 1e-9 * max(1, abs(score)) for _, v, score in own)
         assert all((a[2], -a[1]) >= (b[2], -b[1]) for a, b in zip(own, own[1:]))
-        hits += len(set(want) & {v for _, v, _ in own})
-    assert set(got) == set(range(0, 1500, 20)) and hits >= 0.9 * 20 * 75
+        hits += len(set(ids[want].tolist()) & {v for _, v, _ in own})
+    assert set(got) == {ids[q] for q in queries}
+    return hits / (k * len(queries))
+
+
+def answers(df, **more):
+    got = defaultdict(list)
+    for r in ann.nearest(df, lambda i: i % 20 == 0, **more).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    return got
+
+
+def test_nearest_neighbours_recall(spark, vectors):
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)]
+    bad = [(5000, None, 1), (5001, [0.0] * 24, 1), (5002, [float("nan")] + [1.0] * 23, 1), (5003, [None] + [1.0] * 23, 1), (None, [1.0] * 24, 1)]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, node int")
+    assert recall_of(answers(df), vectors.astype(float), np.arange(1500), range(0, 1500, 20)) >= 0.9
+
+
+def test_nearest_neighbours_of_very_different_lengths(spark):
+    """One vector is ten thousand times longer than most, a fifth of them are a thousand times shorter."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1200, 16)) * rng.uniform(0.5, 2, (1200, 1))
+    x[:240] *= 1e-3
+    x[777] *= 1e4
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert recall_of(answers(df), x.astype(float), np.arange(1200), range(0, 1200, 20)) >= 0.9
+
+
+def test_nearest_neighbours_of_repeated_ids_and_mixed_sizes(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (3, [2.0, 0.0, 0.0]), (20, [1.0, 1.0, 0.0]), (5, [3.0, 3.0]), (7, [0.0, 2.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, lambda i: i % 20 == 0).orderBy("query_id", "query_row", "rank").collect():
+        got[r.query_id, r.query_row].append((r.vec_id, r.score))
+    zero = [(5, 3.0), (1, 0.5), (1, 0.5), (0, 0.0)]
+    assert [v for (q, _), v in got.items() if q == 0] == [zero, zero]
+    assert [v for (q, _), v in got.items() if q == 20] == [[(3, 2.0), (7, 2.0)]]
 
 
 def test_nearest_neighbours_of_few(spark):
