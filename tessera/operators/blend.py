@@ -1,8 +1,8 @@
 """Blending panels into a mosaic: feather and preview as plain aggregation, two-band and pyramid over tiles and strips.
 
 Cells are 1/64 of the pixels. Star-free bases are made panel by panel; seam ramps, the reference base and the pyramid tile by
-tile of cell rows, each with a halo wider than any filter reaches; pixels strip by strip of rows, joined with the
-rows of cells that bilinear taps need. No group holds the whole mosaic.
+tile of cells, each with a halo wider than any filter reaches; pixels tile by tile, joined with the cells that bilinear taps
+need. No group holds the whole mosaic, or a whole row of it.
 """
 
 from __future__ import annotations
@@ -117,17 +117,18 @@ TILE_DDL = "panel_id long, x8 long, y8 long, base array<double>, d double, vdet
 
 
 def tile_prep(prep: DataFrame, owner: DataFrame, feather: float, use_pyramid: bool = True, tile: int = 512) -> DataFrame:
-    """prep with seam ramps, hard cells, the reference weight and the pyramid base. Tiles are ranges of cell rows with a halo."""
+    """prep with seam ramps, hard cells, the reference weight and the pyramid base. Tiles are squares of cells with a halo."""
     levels = levels_for_feather(feather)
-    halo = 4 << levels
+    halo = 8 << levels
+    tile = max(tile, halo)
     c = prep.join(owner, ["x8", "y8"], "left").withColumn("owner", F.coalesce("owner", F.lit(-1)))
-    tiles = F.array_distinct(F.transform(F.array(F.lit(-halo), F.lit(0), F.lit(halo)), lambda k: F.floor(F.greatest(F.col("y8") + k, F.lit(0)) / tile)))
-    c = c.withColumn("tile", F.explode(tiles))
+    tiles = lambda axis: F.array_distinct(F.transform(F.array(F.lit(-halo), F.lit(0), F.lit(halo)), lambda k: F.floor(F.greatest(F.col(axis) + k, F.lit(0)) / tile)))
+    c = c.withColumn("tile_y", F.explode(tiles("y8"))).withColumn("tile_x", F.explode(tiles("x8")))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         step = 1 << levels
-        y0 = pdf["y8"].min() // step * step
-        own = pdf.assign(y8=pdf["y8"] - y0)
+        x0, y0 = pdf["x8"].min() // step * step, pdf["y8"].min() // step * step
+        own = pdf.assign(x8=pdf["x8"] - x0, y8=pdf["y8"] - y0)
         w, h = own["x8"].max() + 1, own["y8"].max() + 1
         owners = np.full((h, w), -1, np.int64)
         owners[own["y8"], own["x8"]] = own["owner"]
@@ -151,15 +152,15 @@ def tile_prep(prep: DataFrame, owner: DataFrame, feather: float, use_pyramid: bo
                 if owning:
                     bref[ch], defined = blend_levels([build(base[p][ch], valid[p], levels) for p in owning], masks)
         out = []
-        inside = (np.arange(h) + y0) // tile == key[0]
+        in_y, in_x = (np.arange(h) + y0) // tile == key[0], (np.arange(w) + x0) // tile == key[1]
         for p, g in panels.items():
-            g = g[inside[g["y8"]]]
+            g = g[in_y[g["y8"]] & in_x[g["x8"]]]
             y, x = g["y8"].to_numpy(), g["x8"].to_numpy()
             ramp = ramps.get(p, np.zeros((h, w)))
-            out.append(pd.DataFrame({"panel_id": p, "x8": x, "y8": y + y0, "base": list(base[p][:, y, x].T), "d": g["d"].to_numpy(), "vdet": g["vdet"].to_numpy(), "masked": masked[p][y, x], "ramp": ramp[y, x], "ref": ref[y, x], "hard": hard[y, x], "owner": owners[y, x], "bref": list(bref[:, y, x].T), "defined": defined[y, x]}))
+            out.append(pd.DataFrame({"panel_id": p, "x8": x + x0, "y8": y + y0, "base": list(base[p][:, y, x].T), "d": g["d"].to_numpy(), "vdet": g["vdet"].to_numpy(), "masked": masked[p][y, x], "ramp": ramp[y, x], "ref": ref[y, x], "hard": hard[y, x], "owner": owners[y, x], "bref": list(bref[:, y, x].T), "defined": defined[y, x]}))
         return pd.concat(out)
 
-    return c.groupBy("tile").applyInPandas(run, TILE_DDL)
+    return c.groupBy("tile_y", "tile_x").applyInPandas(run, TILE_DDL)
 
 
 def _taps(plane: np.ndarray, gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
@@ -172,26 +173,25 @@ def _taps(plane: np.ndarray, gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
     return (plane[y, x] * (1 - tx) + plane[y, x1] * tx) * (1 - ty) + (plane[y1, x] * (1 - tx) + plane[y1, x1] * tx) * ty
 
 
-def two_band(samples: DataFrame, tiles: DataFrame, feather: float, veto: bool = True, strip: int = 64) -> DataFrame:
+def two_band(samples: DataFrame, tiles: DataFrame, feather: float, veto: bool = True, side: int = 512) -> DataFrame:
     """x, y, ch, value: the reference base plus the owner's detail, mixed across seams only.
 
-    samples: panel_id, x, y, ch, v (corrected). tiles: of tile_prep(). One group is a strip of pixel rows with the cell rows that touch it.
+    samples: panel_id, x, y, ch, v (corrected). tiles: of tile_prep(). One group is a square of pixels (`side` is a multiple of 8) with the cells that touch it.
     """
-    pix = samples.groupBy("panel_id", "x", "y").agg(F.array_sort(F.collect_list(F.struct("ch", "v"))).alias("v")).select(F.expr(f"y div {strip}").alias("strip"), "panel_id", "x", "y", F.transform("v", lambda e: e["v"]).alias("v"))
-    rows8 = strip // 8
-    near = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.greatest(F.col("y8") + k, F.lit(0)) / rows8)))
-    cells = tiles.withColumn("strip", F.explode(near))
+    pix = samples.groupBy("panel_id", "x", "y").agg(F.array_sort(F.collect_list(F.struct("ch", "v"))).alias("v")).select(F.expr(f"y div {side}").alias("sy"), F.expr(f"x div {side}").alias("sx"), "panel_id", "x", "y", F.transform("v", lambda e: e["v"]).alias("v"))
+    near = lambda axis: F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.greatest(F.col(axis) + k, F.lit(0)) / (side // 8))))
+    cells = tiles.withColumn("sy", F.explode(near("y8"))).withColumn("sx", F.explode(near("x8")))
 
     def run(pdf: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty or cell.empty:
             return pd.DataFrame({"x": [], "y": [], "ch": [], "value": []}).astype({"x": int, "y": int, "ch": int})
-        y0, y8 = int(pdf["y"].min()), int(cell["y8"].min())
-        hgt, wid, h8, w8 = int(pdf["y"].max()) - y0 + 1, int(pdf["x"].max()) + 1, int(cell["y8"].max()) - y8 + 1, int(cell["x8"].max()) + 1
-        cell = cell.assign(y8=cell["y8"] - y8)
+        x0, y0, x8, y8 = int(pdf["x"].min()), int(pdf["y"].min()), int(cell["x8"].min()), int(cell["y8"].min())
+        hgt, wid, h8, w8 = int(pdf["y"].max()) - y0 + 1, int(pdf["x"].max()) - x0 + 1, int(cell["y8"].max()) - y8 + 1, int(cell["x8"].max()) - x8 + 1
+        cell = cell.assign(x8=cell["x8"] - x8, y8=cell["y8"] - y8)
         nch = len(pdf["v"].iloc[0])
-        yy, xx = np.mgrid[y0 : y0 + hgt, 0:wid]
-        gx, gy = (xx + 0.5) / 8 - 0.5, (yy + 0.5) / 8 - 0.5 - y8
-        cy, cx = np.clip(yy // 8 - y8, 0, h8 - 1), np.clip(xx // 8, 0, w8 - 1)
+        yy, xx = np.mgrid[y0 : y0 + hgt, x0 : x0 + wid]
+        gx, gy = (xx + 0.5) / 8 - 0.5 - x8, (yy + 0.5) / 8 - 0.5 - y8
+        cy, cx = np.clip(yy // 8 - y8, 0, h8 - 1), np.clip(xx // 8 - x8, 0, w8 - 1)
 
         def plane(g: pd.DataFrame, k: str, fill=0.0) -> np.ndarray:
             return plane_of(g, k, w8, h8, fill)
@@ -212,10 +212,10 @@ def two_band(samples: DataFrame, tiles: DataFrame, feather: float, veto: bool =
         wsum, base_sum = np.zeros((hgt, wid)), np.zeros((nch, hgt, wid))
         for p, g in sorted((int(p), g) for p, g in pdf.groupby("panel_id")):
             v, cov = np.zeros((nch, hgt, wid)), np.zeros((hgt, wid), bool)
-            y, x = g["y"].to_numpy() - y0, g["x"].to_numpy()
+            y, x = g["y"].to_numpy() - y0, g["x"].to_numpy() - x0
             v[:, y, x], cov[y, x] = np.stack(g["v"].to_numpy()).T, True
             k = own_cells[p]
-            d = 8 * _taps(np.minimum(plane(k, "d"), 1e6), xx / 8, yy / 8 - y8)
+            d = 8 * _taps(np.minimum(plane(k, "d"), 1e6), xx / 8 - x8, yy / 8 - y8)
             w = np.where(cov, np.maximum(np.clip(d / feather, 0, 1), LEAST_WEIGHT), 0)
             base = np.stack([_taps(b, gx, gy) for b in planes(k, "base")])
             ramp = _taps(plane(k, "ramp"), gx, gy) * np.clip(d / RAMP_PX, 0, 1)
@@ -261,6 +261,6 @@ def two_band(samples: DataFrame, tiles: DataFrame, feather: float, veto: bool =
                         det = np.where(swap, np.where(np.abs(detail[q]) < np.abs(detail[p]), detail[q], detail[p]), det)
         out = bref + det
         y, x = np.nonzero(some)
-        return pd.concat([pd.DataFrame({"x": x, "y": y + y0, "ch": ch, "value": out[ch, y, x]}) for ch in range(nch)])
+        return pd.concat([pd.DataFrame({"x": x + x0, "y": y + y0, "ch": ch, "value": out[ch, y, x]}) for ch in range(nch)])
 
-    return pix.groupBy("strip").cogroup(cells.groupBy("strip")).applyInPandas(run, "x long, y long, ch long, value double")
+    return pix.groupBy("sy", "sx").cogroup(cells.groupBy("sy", "sx")).applyInPandas(run, "x long, y long, ch long, value double")

@@ -1,11 +1,13 @@
 """Photometric matching: robust line fits on overlaps, then global gains and offsets.
 
 Edge fits run one group an edge and channel (its shared cells). The global solves couple all panels through a few
-numbers an edge; these and only these are collected.
+numbers an edge; these and only these are collected, and solved by conjugate gradients in memory that grows with edges and panels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,6 +37,34 @@ def solve_dense(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+def solve_sparse(times: Callable[[np.ndarray], np.ndarray], b: np.ndarray, precondition: Callable[[np.ndarray], np.ndarray], free: np.ndarray) -> np.ndarray:
+    """Solution of a symmetric positive system by preconditioned conjugate gradients; entries that are not free stay 0."""
+    x, r = np.zeros_like(b), np.where(free, b, 0.0)
+    z = np.where(free, precondition(r), 0.0)
+    p, rz, goal = z, (r * z).sum(), 1e-28 * (b * precondition(b)).sum()
+    for _ in range(20 * b.size + 1000):
+        if not rz > goal:
+            break
+        q = np.where(free, times(p), 0.0)
+        step = rz / (p * q).sum()
+        x, r = x + step * p, r - step * q
+        z = np.where(free, precondition(r), 0.0)
+        rz, before = (r * z).sum(), rz
+        p = z + rz / before * p
+    if not np.isfinite(x).all():
+        raise ArithmeticError("singular system")
+    return x
+
+
+def solve_differences(n: int, ia: np.ndarray, ib: np.ndarray, w: np.ndarray, diff: np.ndarray, fixed: list[int]) -> np.ndarray:
+    """x of least weighted squares of x[ia] - x[ib] - diff with a small ridge; fixed entries are 0."""
+    free = np.ones(n, bool)
+    free[fixed] = False
+    sums = lambda e: np.bincount(ia, e, n) - np.bincount(ib, e, n)
+    diagonal = RIDGE + np.bincount(ia, w, n) + np.bincount(ib, w, n)
+    return solve_sparse(lambda x: RIDGE * x + sums(w * (x[ia] - x[ib])), sums(w * diff), lambda r: r / diagonal, free)
+
+
 def edge_pairs(cells: DataFrame, edges: DataFrame) -> DataFrame:
     """Shared cells of each edge, with u, v: their place in the edge's box, from 0 to 1."""
     p = cell_pairs(cells).join(edges.select("a", "b", "x0", "y0", "x1", "y1"), ["a", "b"])
@@ -116,18 +146,7 @@ def global_gains(fits: list, gauges: set[int], panels: list[int]) -> dict[int, f
     robust = np.ones(len(use))
     fixed = [at[g] for g in gauges]
     for _ in range(IRLS_ROUNDS):
-        m, v, w = np.zeros((len(panels), len(panels))), np.zeros(len(panels)), base * robust
-        np.add.at(m, (ia, ia), w)
-        np.add.at(m, (ib, ib), w)
-        np.add.at(m, (ia, ib), -w)
-        np.add.at(m, (ib, ia), -w)
-        np.add.at(v, ia, w * rhs)
-        np.add.at(v, ib, -w * rhs)
-        m[np.diag_indices(len(panels))] += RIDGE
-        for g in fixed:
-            m[g], v[g] = 0.0, 0.0
-            m[g, g] = 1.0
-        log_gain = solve_dense(m, v)
+        log_gain = solve_differences(len(panels), ia, ib, base * robust, rhs, fixed)
         new = L1_FLOOR / np.maximum(np.abs(log_gain[ia] - log_gain[ib] - rhs), L1_FLOOR)
         new /= new.max()
         moved = np.abs(new - robust) / np.maximum(robust, 1e-300)
@@ -140,22 +159,10 @@ def global_gains(fits: list, gauges: set[int], panels: list[int]) -> dict[int, f
 def global_offsets(fits: list, gauges: set[int], panels: list[int], gains: dict[int, float]) -> dict[int, float]:
     """Offsets of one channel by least squares over all edges with cells; gauge panels at 0."""
     at = {p: i for i, p in enumerate(panels)}
-    m, v = np.zeros((len(panels), len(panels))), np.zeros(len(panels))
-    for f in fits:
-        if f.n > 0:
-            a, b = at[f.a], at[f.b]
-            r = gains[f.b] * f.stats[2] / f.stats[0] - gains[f.a] * f.stats[1] / f.stats[0]
-            m[a, a] += 1
-            m[b, b] += 1
-            m[a, b] -= 1
-            m[b, a] -= 1
-            v[a] += r
-            v[b] -= r
-    m[np.diag_indices(len(panels))] += RIDGE
-    for g in gauges:
-        m[at[g]], v[at[g]] = 0.0, 0.0
-        m[at[g], at[g]] = 1.0
-    x = solve_dense(m, v)
+    use = [f for f in fits if f.n > 0]
+    ia, ib = (np.array([at[getattr(f, s)] for f in use], int) for s in "ab")
+    diff = np.array([gains[f.b] * f.stats[2] / f.stats[0] - gains[f.a] * f.stats[1] / f.stats[0] for f in use])
+    x = solve_differences(len(panels), ia, ib, np.ones(len(use)), diff, [at[g] for g in gauges])
     return {p: 0.0 if p in gauges else float(x[at[p]]) for p in panels}
 
 

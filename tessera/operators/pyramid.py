@@ -33,23 +33,24 @@ def up(coarse: np.ndarray, h: int, w: int) -> np.ndarray:
 
 
 def build(plane: np.ndarray, valid: np.ndarray, levels: int) -> list[np.ndarray]:
-    """Laplacian levels of the valid part: what each level has beyond its coarser one; the last is what remains."""
+    """`levels` Laplacian levels of the valid part, what each has beyond its coarser one, and what remains."""
     chain = []
     a, v = plane * valid, valid.astype(float)
-    for i in range(levels):
+    for i in range(levels + 1):
         chain.append(np.where(v > EPS, a / np.where(v > EPS, v, 1), 0.0))
-        if i < levels - 1:
+        if i < levels:
             a, v = down(a), down(v)
     return [g - up(c, *g.shape) for g, c in zip(chain, chain[1:])] + chain[-1:]
 
 
 def mask_levels(mask: np.ndarray, valid: np.ndarray, levels: int) -> list[np.ndarray]:
-    """Gaussian chain of a mask, each level smoothed once more, 0 where there is hardly valid data."""
+    """Gaussian chain of a mask, a plane for each of build()'s: smoothed once more, 0 where there is hardly valid data (in the chain too)."""
     out = []
     m, v = mask.astype(float), valid.astype(float)
-    for i in range(levels):
+    for i in range(levels + 1):
+        m = np.where(v < SUPPORT, 0.0, m)
         out.append(np.where(v < SUPPORT, 0.0, smooth(m)))
-        if i < levels - 1:
+        if i < levels:
             m, v = down(m), down(v)
     return out
 

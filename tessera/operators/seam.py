@@ -44,12 +44,12 @@ def seam_path(cost: np.ndarray) -> np.ndarray:
     return path
 
 
-def edge_relabels(cells: DataFrame, edges: DataFrame, distance: DataFrame, masks: DataFrame) -> DataFrame:
-    """a, b, x8, y8, owner: who owns the shared, fully covered cells of each long enough edge. cells: with `value` and `gain`.
+def edge_relabels(cells: DataFrame, edges: DataFrame, distance: DataFrame, masks: DataFrame, least: int = LEAST_LONG) -> DataFrame:
+    """a, b, x8, y8, owner: who owns the shared, fully covered cells of each edge whose box is `least` cells long or more. cells: with `value` and `gain`.
 
     One group is the rows of one edge's box: both panels' cells there.
     """
-    long = edges.where((F.col("x1") - F.col("x0") >= LEAST_LONG) | (F.col("y1") - F.col("y0") >= LEAST_LONG))
+    long = edges.where((F.col("x1") - F.col("x0") >= least) | (F.col("y1") - F.col("y0") >= least))
     c = full_cells(cells).groupBy("panel_id", "x8", "y8").agg(F.array_sort(F.collect_list(F.struct("ch", "value"))).alias("v"), F.max(F.col("detail") * F.coalesce("gain", F.lit(1.0))).alias("detail"))
     c = c.join(distance.select("panel_id", "x8", "y8", "d"), ["panel_id", "x8", "y8"])
     c = c.join(masks.select("panel_id", "x8", "y8", F.lit(1).alias("star")), ["panel_id", "x8", "y8"], "left")
@@ -81,9 +81,9 @@ def edge_relabels(cells: DataFrame, edges: DataFrame, distance: DataFrame, masks
     return rows.groupBy("a", "b").applyInPandas(run, "a long, b long, x8 long, y8 long, owner long")
 
 
-def owner_map(cells: DataFrame, edges: DataFrame, distance: DataFrame, masks: DataFrame, feather: float) -> DataFrame:
+def owner_map(cells: DataFrame, edges: DataFrame, distance: DataFrame, masks: DataFrame, feather: float, least: int = LEAST_LONG) -> DataFrame:
     """x8, y8, owner: the first owners, overwritten by edges in their order; a later edge wins."""
-    new = edge_relabels(cells, edges, distance, masks).groupBy("x8", "y8").agg(F.max_by("owner", F.struct("a", "b")).alias("new"))
+    new = edge_relabels(cells, edges, distance, masks, least).groupBy("x8", "y8").agg(F.max_by("owner", F.struct("a", "b")).alias("new"))
     return voronoi_owner(distance, feather).join(new, ["x8", "y8"], "left").select("x8", "y8", F.coalesce("new", "owner").alias("owner"))
 
 

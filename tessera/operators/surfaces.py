@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .overlap import gauge_panels
-from .photometry import solve_dense
+from .photometry import solve_dense, solve_sparse
 from .summary import full_cells
 
 BG_K, CLIP, ROUNDS, FLOOR, RIDGE, STABLE, WARN = 3.0, 2.5, 2, 1e-7, 1e-3, 1e-9, 5.0
@@ -42,7 +42,7 @@ def fit_surfaces(values: DataFrame, edges: DataFrame, width: int, height: int, o
     """panel_id, ch, coef, max_abs_s, bg_mad.
 
     Each edge's clipped residuals and each panel's cells become sums over basis functions in Spark; the driver gets a
-    matrix of (terms of a panel)² numbers for each edge and panel, and solves for all panels of a channel at once.
+    matrix of (terms of a panel)² numbers for each edge and panel, and solves for all panels of a channel by conjugate gradients.
     """
     n = n_terms(order)
 
@@ -67,30 +67,39 @@ def fit_surfaces(values: DataFrame, edges: DataFrame, width: int, height: int, o
     norm = full.groupBy("panel_id", "ch").agg(*(F.avg(phi[i] * phi[j]).alias(f"p{i}_{j}") for i in range(n) for j in range(n))).collect()
     gauges = {r.panel_id for r in gauge_panels(values, edges).collect()}
     panels = sorted({r.panel_id for r in norm})
-    at = {p: i * n for i, p in enumerate(panels)}
+    at = {p: i for i, p in enumerate(panels)}
     out = []
     for ch in sorted({r.ch for r in norm}):
-        m, v = np.zeros((len(panels) * n,) * 2), np.zeros(len(panels) * n)
-        for r in sorted((r for r in rows if r.ch == ch), key=lambda r: (r.a, r.b)):
-            pp, pr, a, b = np.array(r.pp).reshape(n, n), np.array(r.pr), slice(at[r.a], at[r.a] + n), slice(at[r.b], at[r.b] + n)
-            m[a, a] += pp
-            m[b, b] += pp
-            m[a, b] -= pp
-            m[b, a] -= pp
-            v[a] -= pr
-            v[b] += pr
+        use = sorted((r for r in rows if r.ch == ch), key=lambda r: (r.a, r.b))
+        ia, ib = (np.array([at[getattr(r, s)] for r in use], int) for s in "ab")
+        pp, pr = np.array([r.pp for r in use]).reshape(-1, n, n), np.array([r.pr for r in use]).reshape(-1, n)
+        own = np.zeros((len(panels), n, n))
         for r in norm:
             if r.ch == ch:
-                own = slice(at[r.panel_id], at[r.panel_id] + n)
-                m[own, own] += RIDGE * np.array([[r[f"p{i}_{j}"] for j in range(n)] for i in range(n)])
-        d = np.diag_indices(len(v))
-        m[d] += STABLE * (1 + m[d])
-        for g in gauges:
-            if g in at:
-                m[at[g]], v[at[g]] = 0.0, 0.0
-                m[at[g], at[g]] = 1.0
-        coef = solve_dense(m, v)
-        out += [(p, ch, coef[at[p] : at[p] + n].tolist()) for p in panels]
+                own[at[r.panel_id]] = RIDGE * np.array([[r[f"p{i}_{j}"] for j in range(n)] for i in range(n)])
+        blocks = own.copy()  # the diagonal blocks of the whole matrix
+        np.add.at(blocks, ia, pp)
+        np.add.at(blocks, ib, pp)
+        stable = STABLE * (1 + np.einsum("pii->pi", blocks))
+        np.einsum("pii->pi", blocks)[...] += stable
+        free = np.ones((len(panels), n), bool)
+        free[[at[g] for g in gauges if g in at], 0] = False
+        right = np.zeros((len(panels), n))
+        np.add.at(right, ia, -pr)
+        np.add.at(right, ib, pr)
+
+        def times(x: np.ndarray) -> np.ndarray:
+            y = np.einsum("pij,pj->pi", own, x) + stable * x
+            e = np.einsum("eij,ej->ei", pp, x[ia] - x[ib])
+            np.add.at(y, ia, e)
+            np.add.at(y, ib, -e)
+            return y
+
+        # a fixed term is left out of its panel's block
+        kept = np.where(free[:, :, None] & free[:, None, :], blocks, np.eye(n))
+        inverse = np.stack([np.stack([solve_dense(k, unit) for unit in np.eye(n)], 1) for k in kept])
+        coef = solve_sparse(times, right, lambda r: np.einsum("pij,pj->pi", inverse, r), free)
+        out += [(p, ch, coef[at[p]].tolist()) for p in panels]
     surf = values.sparkSession.createDataFrame(out, "panel_id long, ch long, coef array<double>")
     s = sum((F.element_at("coef", i + 1) * phi[i] for i in range(1, n)), F.element_at("coef", 1) * phi[0])
     largest = full.join(F.broadcast(surf), ["panel_id", "ch"]).groupBy("panel_id", "ch").agg(F.max(F.abs(s)).alias("max_abs_s"))

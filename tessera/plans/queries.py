@@ -332,10 +332,33 @@ def base_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where((F.col("x8") >= 0) & (F.col("y8") >= 0) & (F.col("x8") < -(-WIDTH // 8)) & (F.col("y8") < -(-r.height // 8))).groupBy("panel_id").agg(F.count("*").alias("n"))
 
 
-@query()
+def _fit_round(keep: str, name: str) -> str:
+    """SQL: sums and line of a round's least squares over the kept pairs, and what the next round keeps."""
+    return f"""
+{name}s AS (SELECT a, b, ch, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM {keep} GROUP BY ALL),
+{name}l AS (SELECT *, (sy - slope * sx) / n AS icpt FROM (SELECT *, CASE WHEN n * sxx - sx * sx > n * sxx * 1e-12 THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) ELSE 1 END AS slope FROM {name}s)),
+{name}m AS (SELECT k.a, k.b, k.ch, any_value(slope) AS slope, any_value(icpt) AS icpt, greatest({photometry.CLIP} * sqrt(avg((y - slope * x - icpt) * (y - slope * x - icpt))), {photometry.FLOOR}) AS lim FROM {keep} k JOIN {name}l USING (a, b, ch) GROUP BY k.a, k.b, k.ch),
+{name} AS (SELECT p.* FROM ep p JOIN {name}m m USING (a, b, ch) WHERE abs(y - slope * x - icpt) <= lim)"""
+
+
+FITS = PAIRS + f""",
+ep AS (SELECT p.a, p.b, p.ch, p.ma AS x, p.mb AS y, (p.x8 - x0) / greatest(x1 - x0, 1) AS u, (p.y8 - y0) / greatest(y1 - y0, 1) AS v FROM pairs p JOIN edges e ON p.a = e.a AND p.b = e.b),{_fit_round("ep", "k1")},{_fit_round("k1", "k2")},
+me AS (SELECT a, b, ch, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, sum(x * x) AS sxx FROM k2 GROUP BY ALL),
+mo AS (SELECT a, b, ch, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, any_value(sxx) AS sxx, sum((x - mx) * (x - mx)) AS xx, sum((y - my) * (y - my)) AS yy, sum((x - mx) * (y - my)) AS xy,
+  sum((u - mu) * (u - mu)) AS uu, sum((v - mv) * (v - mv)) AS vv, sum((u - mu) * (v - mv)) AS uv, sum((x - mx) * (u - mu)) AS xu, sum((x - mx) * (v - mv)) AS xv, sum((y - my) * (u - mu)) AS yu, sum((y - my) * (v - mv)) AS yv FROM k2 JOIN me USING (a, b, ch) GROUP BY a, b, ch),
+pl AS (SELECT *, n >= 8 AND uu * vv - uv * uv > 1e-9 * uu * vv AS plane, uu * vv - uv * uv AS det FROM mo),
+fl AS (SELECT *, (xx - if(plane, (xu * (xu * vv - xv * uv) + xv * (xv * uu - xu * uv)) / det, 0)) / n AS vxx, (yy - if(plane, (yu * (yu * vv - yv * uv) + yv * (yv * uu - yu * uv)) / det, 0)) / n AS vyy,
+  (xy - if(plane, (yu * (xu * vv - xv * uv) + yv * (xv * uu - xu * uv)) / det, 0)) / n AS vxy FROM pl),
+kn AS (SELECT *, vxx > sxx / n * 1e-12 AND vyy > 0 AND vxy * vxy / (vxx * vyy) >= {photometry.LEAST_R**2} AS known FROM fl),
+ga AS (SELECT a, b, ch, n, mx, my, known, CASE WHEN known THEN (vyy - vxx + sqrt((vyy - vxx) * (vyy - vxx) + 4 * vxy * vxy)) / (2 * vxy) ELSE 1 END AS gain FROM kn),
+fits AS (SELECT k.a, k.b, k.ch, any_value(gain) AS gain, any_value(my - gain * mx) AS off, any_value(n) AS n, sqrt(avg((y - gain * x - (my - gain * mx)) * (y - gain * x - (my - gain * mx)))) AS rms, any_value(known) AS identifiable FROM k2 k JOIN ga USING (a, b, ch) GROUP BY k.a, k.b, k.ch)"""
+
+
+@query(FITS + " SELECT a, b, ch, round(gain, 6) AS gain, round(off, 1) AS off, n, round(rms, 2) AS rms, identifiable FROM fits")
 def edge_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Raster(spark, sf_dir)
-    return photometry.fit_edges(photometry.edge_pairs(r.cells, r.edges)).drop("stats")
+    fits = photometry.fit_edges(photometry.edge_pairs(r.cells, r.edges))
+    return fits.select("a", "b", "ch", F.round("gain", 6).alias("gain"), F.round("offset", 1).alias("off"), "n", F.round("rms", 2).alias("rms"), "identifiable")
 
 
 @query()
@@ -350,26 +373,65 @@ def surfaces_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surfaces.fit_surfaces(r.solved, r.edges, WIDTH, r.height, 2)
 
 
-@query()
+@query(DIST + f""", bg AS (SELECT x8, y8, ch, sum(greatest(d, 1) * value) / sum(greatest(d, 1)) AS value FROM fullc JOIN dist USING (panel_id, x8, y8) GROUP BY ALL),
+m AS (SELECT ch, median(value) AS med FROM bg GROUP BY 1), md AS (SELECT ch, any_value(med) AS med, median(abs(value - med)) AS mad FROM bg JOIN m USING (ch) GROUP BY 1),
+dark AS (SELECT x8, y8 FROM bg JOIN md USING (ch) GROUP BY 1, 2 HAVING bool_and(value <= med + {surfaces.FLATTEN_K} * mad)),
+p AS (SELECT ch, value AS v, (x8 + 0.5) * 8 / {WIDTH} AS x, (y8 + 0.5) * 8 / h AS y FROM bg SEMI JOIN dark USING (x8, y8), top),
+c AS (SELECT ch, avg(v) AS mv, avg(x) AS mx, avg(y) AS my, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, v) AS xv, covar_pop(y, v) AS yv FROM p GROUP BY 1),
+q AS (SELECT *, (xv * yy - yv * xy) / (xx * yy - xy * xy) AS c1, (yv * xx - xv * xy) / (xx * yy - xy * xy) AS c2 FROM c)
+SELECT ch, round(mv - c1 * mx - c2 * my, 1) AS c0, round(c1, 1) AS c1, round(c2, 1) AS c2 FROM q""")
 def flatten_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Raster(spark, sf_dir)
-    return surfaces.fit_flatten(surfaces.merged_background(r.values, r.distance), WIDTH, r.height, 1)
+    fit = surfaces.fit_flatten(surfaces.merged_background(r.values, r.distance), WIDTH, r.height, 1)
+    return fit.select("ch", *(F.round(F.col("coef")[i], 1).alias(f"c{i}") for i in range(3)))
 
 
-@query()
+MASK = DIST.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+md AS (SELECT panel_id, x8, y8, max(n / area) AS coverage, max(sqrt(greatest(ss / n - mean * mean, 0))) AS detail FROM cells GROUP BY ALL),
+mm AS (SELECT panel_id, list_sort(list(detail))[count(*) // 2 + 1] AS m FROM md WHERE coverage >= 1 GROUP BY 1),
+grow AS (SELECT panel_id, x8, y8, detail > {masks.SEED} * m AS seed FROM md JOIN mm USING (panel_id) WHERE detail > {masks.GROW} * m),
+mask(panel_id, x8, y8) AS (SELECT panel_id, x8, y8 FROM grow WHERE seed UNION SELECT g.panel_id, g.x8, g.y8 FROM mask k JOIN grow g ON g.panel_id = k.panel_id AND abs(g.x8 - k.x8) <= 1 AND abs(g.y8 - k.y8) <= 1),
+joined(panel_id, x8, y8, fx, fy) AS (SELECT panel_id, x8, y8, x8, y8 FROM mask UNION SELECT m.panel_id, m.x8, m.y8, j.fx, j.fy FROM joined j JOIN mask m ON m.panel_id = j.panel_id AND abs(m.x8 - j.x8) <= 1 AND abs(m.y8 - j.y8) <= 1),
+named AS (SELECT panel_id, x8, y8, min(fy * 1000000 + fx) AS part FROM joined GROUP BY ALL),
+parts AS (SELECT panel_id, part, count(*) AS area, greatest(max(x8) - min(x8), max(y8) - min(y8)) + 1 AS longest FROM named GROUP BY ALL),
+stars AS (SELECT panel_id, x8, y8, area <= {masks.AREA} OR longest <= {masks.DIM} OR area <= {masks.THIN} * longest AS compact FROM named JOIN parts USING (panel_id, part))"""
+
+
+@query(MASK + " SELECT * FROM stars")
 def star_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.mask_table(Raster(spark, sf_dir).cells)
 
 
-@query()
+#: Cells from which the registered queries move an edge's seam; few of the derived raster's edges are as long as the operator asks for.
+SEAM = 8
+G = GAIN.replace("panel_id", "f.panel_id")
+O = OFFSET.replace("panel_id", "f.panel_id")
+SEAMS = MASK + f""",
+fc AS (SELECT f.panel_id, f.x8, f.y8, max(sqrt(greatest(ss / n - mean * mean, 0)) * (1 / {G})) AS det, list((1 / {G}) * mean + (-{O} * {SCALE} / {G}) ORDER BY ch) AS v FROM fullc f GROUP BY ALL),
+fd AS (SELECT fc.*, d, s.panel_id IS NOT NULL AS star FROM fc JOIN dist USING (panel_id, x8, y8) LEFT JOIN stars s USING (panel_id, x8, y8)),
+lo AS (SELECT *, x1 - x0 >= y1 - y0 AS along_x, greatest(x1 - x0, y1 - y0) AS len, least(x1 - x0, y1 - y0) AS wid FROM edges WHERE x1 - x0 >= {SEAM} OR y1 - y0 >= {SEAM}),
+sh AS (SELECT e.a, e.b, if(along_x, p.x8 - x0, p.y8 - y0) AS t, if(along_x, p.y8 - y0, p.x8 - x0) AS s, p.x8, p.y8, list_max(list_transform(range(1, len(p.v) + 1), lambda i: abs(p.v[i] - q.v[i]))) + {seam.BETA} * greatest(p.det, q.det) AS cost, p.d - q.d AS dd, p.star OR q.star AS star
+  FROM lo e JOIN fd p ON p.panel_id = e.a JOIN fd q ON q.panel_id = e.b AND q.x8 = p.x8 AND q.y8 = p.y8),
+um AS (SELECT a, b, list_sort(list(cost))[count(*) // 2 + 1] * {seam.MASK_COST} AS more FROM sh GROUP BY ALL),
+grid AS (SELECT a, b, t, s, coalesce(sh.cost + if(sh.star, more, 0), {seam.UNSHARED}) AS cost FROM (SELECT a, b, unnest(range(len)) AS t, wid FROM lo) g JOIN (SELECT a, b, unnest(range(wid)) AS s FROM lo) h USING (a, b) LEFT JOIN sh USING (a, b, t, s) JOIN um USING (a, b)),
+costs AS (SELECT a, b, t, list(cost ORDER BY s) AS c FROM grid GROUP BY ALL),
+sides AS (SELECT a, b, t, list_transform(range(1, len(c) + 2), lambda p: coalesce(c[p - 1], 0) + coalesce(c[p], 0)) AS c FROM costs),
+best(a, b, t, c) AS (SELECT a, b, t, c FROM sides WHERE t = 0 UNION ALL SELECT s.a, s.b, s.t, list_transform(range(1, len(s.c) + 1), lambda p: least(z.c[p], z.c[p - 1], z.c[p + 1]) + s.c[p]) FROM best z JOIN sides s ON s.a = z.a AND s.b = z.b AND s.t = z.t + 1),
+path(a, b, t, p) AS (SELECT a, b, t, list_position(c, list_min(c)) FROM best JOIN lo USING (a, b) WHERE t = len - 1
+  UNION ALL SELECT k.a, k.b, z.t, CASE WHEN z.c[p + 1] < least(z.c[p], z.c[p - 1]) THEN p + 1 WHEN z.c[p - 1] < z.c[p] THEN p - 1 ELSE p END FROM path k JOIN best z ON z.a = k.a AND z.b = k.b AND z.t = k.t - 1),
+low AS (SELECT a, b, coalesce(sum(dd) FILTER (s = 0), 0) >= 0 AS a_low FROM sh GROUP BY ALL),
+moved AS (SELECT x8, y8, arg_max(if((s < p - 1) = a_low, a, b), (a, b)) AS new FROM sh JOIN path USING (a, b, t) JOIN low USING (a, b) GROUP BY ALL)"""
+
+
+@query(SEAMS + " SELECT x8, y8, coalesce(new, owner) AS owner FROM owner LEFT JOIN moved USING (x8, y8)")
 def dp_seam_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Raster(spark, sf_dir)
-    return seam.owner_map(r.values, r.edges, r.distance, masks.mask_table(r.cells), FEATHER)
+    return seam.owner_map(r.values, r.edges, r.distance, masks.mask_table(r.cells), FEATHER, SEAM)
 
 
 def _blend(spark: SparkSession, sf_dir: str, pyramid: bool, veto: bool) -> DataFrame:
     r = Raster(spark, sf_dir)
-    owner = seam.owner_map(r.values, r.edges, r.distance, masks.mask_table(r.cells), FEATHER)
+    owner = seam.owner_map(r.values, r.edges, r.distance, masks.mask_table(r.cells), FEATHER, SEAM)
     tiles = blend.tile_prep(blend.panel_prep(r.values, r.distance), owner, FEATHER, pyramid)
     return blend.two_band(blend.apply_corrections(r.wide, r.corrections, None, WIDTH, r.height), tiles, FEATHER, veto)
 

@@ -2,7 +2,7 @@
 
 The sky is `embeddings`: pixel (x, y) is component x of vector y. Panels are windows of it: two columns (x in [0, 40) and
 [24, 64)) by bands of BAND + OVER rows that start every BAND rows. A panel has its own gain and offset; values are
-fixed-point numbers (millionths), so sums are exact in any order. Some pixels are 0, which means no data.
+fixed-point numbers (millionths), so sums are exact in any order. Some pixels are 0, which means no data; some are bright stars.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BAND, OVER, SCALE, CHANNELS, BLOCK = 300, 120, 1_000_000, 2, 8
 COLUMNS = ((0, 40), (24, 64))
 WIDTH = 64
+#: Which pixels are stars, and how much brighter.
+STAR, GLOW = "(x * 37 + y * 101) % 1499 = 0", 4.0
 
 
 def gain_sql(p: str = "panel_id") -> str:
@@ -35,7 +37,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands = F.filter(F.array(band - 1, band), lambda b: (b >= 0) & (F.col("y") < b * BAND + BAND + OVER))
     cols = F.filter(F.array(F.lit(0), F.lit(1)), lambda c: ((c == 0) & (F.col("x") < COLUMNS[0][1])) | ((c == 1) & (F.col("x") >= COLUMNS[1][0])))
     p = sky(spark, sf_dir).withColumn("band", F.explode(bands)).withColumn("col", F.explode(cols)).withColumn("panel_id", (F.col("band") * 2 + F.col("col")).cast("long"))
-    p = p.withColumn("ch", F.explode(F.sequence(F.lit(0), F.lit(CHANNELS - 1)))).withColumn("s", F.expr("if(ch = 0, t + 0.6D, t * 0.5D + 0.45D)"))
+    p = p.withColumn("ch", F.explode(F.sequence(F.lit(0), F.lit(CHANNELS - 1)))).withColumn("s", F.expr(f"if(ch = 0, t + 0.6D, t * 0.5D + 0.45D) + if({STAR}, {GLOW}D, 0.0D)"))
     hole = F.expr("(x * 31 + y * 17 + panel_id * 13 + ch * 5) % 1009 = 0")
     return p.select("panel_id", F.col("ch").cast("long"), "x", "y", F.when(hole, F.lit(0)).otherwise(F.floor(F.expr(f"(s * {gain_sql()} + {offset_sql()}) * {SCALE} + 0.5D"))).cast("long").alias("v"))
 
@@ -47,7 +49,7 @@ wins AS (SELECT b.b * 2 + c.c AS panel_id, c.lo, c.hi, b.b * {BAND} AS y0, b.b *
   FROM (SELECT unnest(generate_series(0, (SELECT max(vec_id) // {BAND} FROM embeddings))) AS b) b, (VALUES (0, {COLUMNS[0][0]}, {COLUMNS[0][1]}), (1, {COLUMNS[1][0]}, {COLUMNS[1][1]})) c(c, lo, hi)),
 chans AS (SELECT unnest(generate_series(0, {CHANNELS - 1})) AS ch),
 px AS (SELECT panel_id, ch, x, y, CASE WHEN (x * 31 + y * 17 + panel_id * 13 + ch * 5) % 1009 = 0 THEN 0
-  ELSE floor(((CASE WHEN ch = 0 THEN t + 0.6 ELSE t * 0.5 + 0.45 END) * (1.0::DOUBLE + ((panel_id * 7) % 5 - 2) * 0.05::DOUBLE) + ((panel_id * 3) % 7 - 3) * 0.002::DOUBLE) * {SCALE} + 0.5)::BIGINT END AS v
+  ELSE floor(((CASE WHEN ch = 0 THEN t + 0.6 ELSE t * 0.5 + 0.45 END + CASE WHEN {STAR} THEN {GLOW}::DOUBLE ELSE 0 END) * (1.0::DOUBLE + ((panel_id * 7) % 5 - 2) * 0.05::DOUBLE) + ((panel_id * 3) % 7 - 3) * 0.002::DOUBLE) * {SCALE} + 0.5)::BIGINT END AS v
   FROM sky, wins, chans WHERE x >= lo AND x < hi AND y >= y0 AND y < y1)"""
 
 
