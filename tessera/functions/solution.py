@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .astrometry import PROJECTIONS, Grid, LinearWcs
 
 PREFIX = "PCL:AstrometricSolution:"
+SPLINE = PREFIX + "SplineWorldTransformation:"
 NEEDED = ("ReferenceCelestialCoordinates", "ReferenceImageCoordinates", "LinearTransformationMatrix")
 #: Most differences that a lookup grid may have from the linear terms: at the reference point and corners (degrees), and round trip (pixels).
 AT_REFERENCE, AT_CORNERS, ROUND_TRIP = 0.01, 0.05, 5.0
@@ -33,7 +34,7 @@ def unsolved(panels: DataFrame, properties: DataFrame) -> DataFrame:
 
 
 def classify(stats: DataFrame, geometries: list[tuple[int, int, int]], most: float = 0.5) -> str:
-    """aligned: two panels or more on one grid, none of which covers most of it; otherwise solved. stats: n_covered by panel."""
+    """aligned: two panels or more on one grid, none of which covers most of it; otherwise solved. stats: n_covered by panel (read only if geometries leave it open)."""
     if len(geometries) < 2 or len(set(geometries)) > 1:
         return "solved"
     width, height, _ = geometries[0]
@@ -88,10 +89,50 @@ class Model:
 
 
 def nodes(extent: float, delta: float) -> int:
-    """Nodes that a grid over an extent must have."""
+    """Nodes that a grid over an extent must have; an extent that is a multiple of the step up to rounding counts as one."""
     if not (np.isfinite(extent) and np.isfinite(delta)) or delta <= 0 or extent < 0:
         raise ValueError("extent or step of a grid")
-    return 1 + int(np.ceil(extent / delta))
+    return 1 + int(np.ceil(extent / delta - 1e-6))
+
+
+def _grids(values: dict[str, dict], way: str) -> tuple[Grid, Grid, tuple[float, float, float, float]]:
+    """The two lookup grids of one direction, and their rectangle, from a panel's properties by name."""
+    part = lambda name: values.get(f"{SPLINE}PointGridInterpolation:{way}:{name}") or {}
+    rect, delta, gx, gy = part("Rect").get("f64s"), part("Delta").get("f64"), part("GridX"), part("GridY")
+    if rect is None or len(rect) != 4 or delta is None:
+        raise ValueError(f"the grid {way} lacks its rectangle or step")
+    shape = nodes(rect[3] - rect[1], delta), nodes(rect[2] - rect[0], delta)
+    for g in (gx, gy):
+        if g.get("f64s") is None or (g.get("rows"), g.get("cols")) != shape or min(shape) < 2:
+            raise ValueError(f"the grid {way} has not the nodes that its rectangle and step ask for")
+    x, y = (Grid(np.array(g["f64s"], float).reshape(shape), rect[0], rect[1], delta) for g in (gx, gy))
+    return x, y, tuple(rect)
+
+
+def from_properties(properties: list[dict], width: int, height: int) -> Model | None:
+    """A panel's solution from its properties (dicts with id, str, f64, i64, f64s, rows, cols; the first of a name counts).
+
+    None where parts of the linear solution are missing; ValueError where a solution with lookup grids is not sound: it is never
+    replaced by its linear part.
+    """
+    values: dict[str, dict] = {}
+    for p in properties:
+        values.setdefault(p["id"], p)
+    plain = {k.removeprefix(PREFIX): v.get("str") or v.get("f64s") for k, v in values.items() if k.startswith(PREFIX)}
+    wcs = linear(plain)
+    if wcs is None:
+        return None
+    if not any(k.startswith(SPLINE) for k in values):
+        return Model(wcs, width, height)
+    for name, usual in (("ReferenceNativeCoordinates", (0.0, 90.0)), ("CelestialPoleNativeCoordinates", (180.0, 90.0))):
+        own = plain.get(name)
+        if own is not None and not (len(own) == 2 and np.allclose(own, usual, rtol=0, atol=1e-9)):
+            raise ValueError(f"{name} {own}")
+    *there, image_rect = _grids(values, "ImageToNative")
+    *back, rect = _grids(values, "NativeToImage")
+    if not np.allclose(image_rect, (0, 0, width, height), rtol=0, atol=1):
+        raise ValueError("the grid does not cover the image")
+    return checked(Model(wcs, width, height, tuple(there), tuple(back), rect))
 
 
 def checked(model: Model) -> Model:

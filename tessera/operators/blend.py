@@ -155,10 +155,12 @@ def tile_prep(prep: DataFrame, owner: DataFrame, feather: float, use_pyramid: bo
         in_y, in_x = (np.arange(h) + y0) // tile == key[0], (np.arange(w) + x0) // tile == key[1]
         for p, g in panels.items():
             g = g[in_y[g["y8"]] & in_x[g["x8"]]]
+            if g.empty:  # it reaches the halo only
+                continue
             y, x = g["y8"].to_numpy(), g["x8"].to_numpy()
             ramp = ramps.get(p, np.zeros((h, w)))
             out.append(pd.DataFrame({"panel_id": p, "x8": x + x0, "y8": y + y0, "base": list(base[p][:, y, x].T), "d": g["d"].to_numpy(), "vdet": g["vdet"].to_numpy(), "masked": masked[p][y, x], "ramp": ramp[y, x], "ref": ref[y, x], "hard": hard[y, x], "owner": owners[y, x], "bref": list(bref[:, y, x].T), "defined": defined[y, x]}))
-        return pd.concat(out)
+        return pd.concat(out) if out else pd.DataFrame({f.split()[0]: pd.Series(dtype=object) for f in TILE_DDL.split(", ")})
 
     return c.groupBy("tile_y", "tile_x").applyInPandas(run, TILE_DDL)
 

@@ -7,10 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blend, masks, overlap, photometry, seam, summary, surfaces
+from ..functions import astrometry, solution
+from ..functions.scalar import sanitize
+from ..operators import align, blend, diag, masks, overlap, photometry, seam, summary, surfaces
+from ..sources import xisf
 
 VERSION = 1
 TABLES = ("canvas", "panels", "cells", "edges", "fits", "corrections", "surfaces", "distance", "masks")
+#: Tables of a session for people to read, beside the one-row `summary.json`.
+REPORTS = ("report_panels", "report_fits", "report_seams", "report_components")
 
 
 @dataclass(frozen=True)
@@ -35,14 +40,85 @@ class Options:
             raise ValueError("roi is x0, y0, x1, y1 with exclusive upper bounds")
 
 
-def analyze(px: DataFrame, width: int, height: int, path: str, options: Options = Options()) -> None:
-    """px (panel_id, ch, x, y, v) to the session's tables."""
-    spark = px.sparkSession
+def write(df: DataFrame, path: str, name: str) -> DataFrame:
+    """The table `name` of a session, read back."""
+    df.withColumn("schema_version", F.lit(VERSION)).write.mode("overwrite").parquet(f"{path}/{name}")
+    return load(df.sparkSession, path, name)
+
+
+def panel_files(spark: SparkSession, paths: list[str] | str) -> list:
+    """A row a file with panel_id (the order of paths), geometry, keywords and properties."""
+    rows = sorted(xisf.scan_headers(spark, paths).collect(), key=lambda r: r.path)
+    if not rows:
+        raise ValueError("no input panels")
+    return list(enumerate(rows))
+
+
+def models_of(files: list) -> dict[int, tuple]:
+    """Each panel's (solution, width, height); ValueError that names all files without a sound one."""
+    models, wrong = {}, []
+    for p, r in files:
+        try:
+            found = solution.from_properties([x.asDict() for x in r.properties], r.width, r.height)
+            if found is None:
+                wrong.append(f"{r.path}: no solution")
+            else:
+                models[p] = (found, r.width, r.height)
+        except ValueError as e:
+            wrong.append(f"{r.path}: {e}")
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return models
+
+
+def probe(spark: SparkSession, paths: list[str] | str, kind: str = "auto") -> tuple[list, astrometry.Frame | None]:
+    """Geometries of the panels, and the frame they would be brought to: None for aligned ones, and with `auto` where any has no sound solution."""
+    files = panel_files(spark, paths)
+    shapes = [(r.width, r.height, r.channels) for _, r in files]
+    if kind == "aligned":
+        return shapes, None
+    try:
+        return shapes, astrometry.choose_frame([(m.wcs, w, h) for m, w, h in models_of(files).values()])
+    except ValueError:
+        if kind == "solved":
+            raise
+        return shapes, None
+
+
+def analyze_files(spark: SparkSession, paths: list[str] | str, path: str, options: Options = Options(), kind: str = "auto") -> DataFrame:
+    """Panel files to a session's tables; gives the pixels that blend_session() takes.
+
+    aligned: all on one grid; solved: brought to a common frame by their solutions, which must be sound for every file. auto: aligned if
+    all have one geometry and none covers most of it. Reprojected panels are the session's table `aligned`, the frame is `frame`.
+    """
+    if kind not in ("auto", "aligned", "solved"):
+        raise ValueError("kind is auto, aligned or solved")
+    files = panel_files(spark, paths)
+    shapes = [(r.width, r.height, r.channels) for _, r in files]
+    strips = xisf.scan_xisf(spark, paths)
+    if kind == "auto":
+        kind = solution.classify(summary.panel_stats(summary.wide(xisf.pixels(strips))).select("panel_id", "n_covered"), shapes)
+    if kind == "aligned":
+        if len(set(shapes)) > 1:
+            raise ValueError("aligned panels of different geometries")
+        width, height, _ = shapes[0]
+    else:
+        if len({s[2] for s in shapes}) > 1:
+            raise ValueError("panels of different numbers of channels")
+        models = models_of(files)
+        frame = astrometry.choose_frame([(m.wcs, w, h) for m, w, h in models.values()])
+        width, height = frame.width, frame.height
+        write(spark.createDataFrame([(*frame.crval, frame.scale, width, height, frame.rotation)], "ra double, dec double, scale double, width long, height long, rotation double"), path, "frame")
+        strips = write(align.reproject(strips, models, frame), path, "aligned")
+    px = xisf.pixels(strips)
+    analyze(px, width, height, path, options)
+    return px
 
-    def keep(name: str, df: DataFrame) -> DataFrame:
-        df.withColumn("schema_version", F.lit(VERSION)).write.mode("overwrite").parquet(f"{path}/{name}")
-        return load(spark, path, name)
 
+def analyze(px: DataFrame, width: int, height: int, path: str, options: Options = Options()) -> None:
+    """px (panel_id, ch, x, y, v) to the session's tables and reports."""
+    spark = px.sparkSession
+    keep = lambda name, df: write(df, path, name)
     keep("canvas", spark.createDataFrame([(width, height)], "width long, height long"))
     wide = summary.wide(px)
     keep("panels", summary.panel_stats(wide))
@@ -52,11 +128,30 @@ def analyze(px: DataFrame, width: int, height: int, path: str, options: Options
     corrections = keep("corrections", photometry.solve(cells, edges, fits, options.gain == "unity"))
     values = photometry.corrected(cells, corrections)
     if options.surface is None:
-        keep("surfaces", corrections.select("panel_id", "ch", F.expr("cast(array() as array<double>)").alias("coef")))
+        surf = keep("surfaces", corrections.select("panel_id", "ch", F.expr("cast(array() as array<double>)").alias("coef")))
     else:
-        keep("surfaces", surfaces.fit_surfaces(values, edges, width, height, options.surface))
-    keep("distance", overlap.distance_map(cells, -(-width // 8), -(-height // 8)))
-    keep("masks", masks.mask_table(cells))
+        surf = keep("surfaces", surfaces.fit_surfaces(values, edges, width, height, options.surface))
+    distance = keep("distance", overlap.distance_map(cells, -(-width // 8), -(-height // 8)))
+    masked = keep("masks", masks.mask_table(cells))
+    values = photometry.corrected(cells, corrections, surf, width, height)
+    owner = keep("owner", seam.owner_map(values, edges, distance, masked, options.feather))
+    deltas = keep("report_seams", seam.edge_flags(seam.seam_deltas(seam.boundary_cells(owner), values)))
+    keep("report_panels", diag.panel_report(cells, corrections).join(surf.drop("coef"), ["panel_id", "ch"], "left"))
+    keep("report_fits", diag.fit_flags(fits).drop("stats"))
+    keep("report_components", overlap.component_table(cells, edges))
+    box = output_box(load(spark, path, "panels"), None)
+    w8, h8 = -(-box[2] // 8) - box[0] // 8, -(-box[3] // 8) - box[1] // 8
+    one = diag.mosaic_summary(cells, edges, owner, deltas, w8, h8)
+    one = one.withColumns({"width": F.lit(box[2] - box[0]), "height": F.lit(box[3] - box[1]), "megapixels": F.lit((box[2] - box[0]) * (box[3] - box[1]) / 1e6)})
+    one.coalesce(1).write.mode("overwrite").json(f"{path}/summary.json")
+
+
+def output_box(panels: DataFrame, roi: tuple[int, int, int, int] | None) -> tuple[int, int, int, int]:
+    """Box of the output; ValueError if no panel has content, or none in the region of interest."""
+    box = summary.union_bbox(panels, roi).first()
+    if box is None:
+        raise ValueError("the region of interest meets no panel" if roi else "no panel has content")
+    return box.x0, box.y0, box.x1, box.y1
 
 
 def load(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -68,10 +163,16 @@ def load(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def blend_session(px: DataFrame, path: str, options: Options = Options()) -> DataFrame:
-    """x, y, ch, value of the mosaic (cells x8, y8 with downsample 8), from a session's tables and its pixels."""
+    """x, y, ch, value of the mosaic (cells x8, y8 with downsample 8), from a session's tables and its pixels. Values are clamped to [0, 1], those that are not finite are 0."""
+    out = _blend(px, path, options)
+    return out.withColumn("value", sanitize(F.col("value")))
+
+
+def _blend(px: DataFrame, path: str, options: Options) -> DataFrame:
     spark = px.sparkSession
     t = {n: load(spark, path, n) for n in TABLES}
     width, height = t["canvas"].first()
+    x0, y0, x1, y1 = output_box(t["panels"], options.roi)
     surf = t["surfaces"]
     values = photometry.corrected(t["cells"], t["corrections"], surf, width, height)
     if options.flatten:
@@ -79,9 +180,9 @@ def blend_session(px: DataFrame, path: str, options: Options = Options()) -> Dat
         surf = surfaces.fold_flatten(surf, fit)
         values = photometry.corrected(t["cells"], t["corrections"], surf, width, height)
     if options.downsample == 8:
+        values = values.where(f"x8 >= {x0 // 8} and x8 < {-(-x1 // 8)} and y8 >= {y0 // 8} and y8 < {-(-y1 // 8)}")
         return blend.preview(values, t["distance"], options.feather)
     if options.roi:
-        x0, y0, x1, y1 = options.roi
         px = px.where(f"x >= {x0} and x < {x1} and y >= {y0} and y < {y1}")
     samples = blend.apply_corrections(summary.wide(px), t["corrections"], surf, width, height)
     if options.mode == "feather":

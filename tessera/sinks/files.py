@@ -1,4 +1,7 @@
-"""FITS and PNG output. Rows come sorted by y from Spark and are written as they arrive; the driver holds one row of strips at a time."""
+"""FITS and PNG output. Rows come sorted by y from Spark and are written as they arrive; the driver holds one row of strips at a time.
+
+Writers take rows in order; `write` feeds any number of them from one pass over the mosaic. Paths are the driver's.
+"""
 
 from __future__ import annotations
 
@@ -56,20 +59,79 @@ def fits_header(width: int, height: int, channels: int, keywords: list[tuple[str
     return text + b" " * (-len(text) % BLOCK)
 
 
+class Fits:
+    """A FITS file, row by row. close() raises ValueError if a row of a channel never came."""
+
+    def __init__(self, path: str, width: int, height: int, channels: int, keywords: list = ()):
+        self.head, self.shape = fits_header(width, height, channels, keywords), (channels, height, width)
+        self.file, self.came = open(path, "wb"), np.zeros((channels, height), bool)
+        self.file.write(self.head)
+        self.file.truncate(len(self.head) + 4 * width * height * channels)
+
+    def row(self, y: int, x: np.ndarray, values: np.ndarray) -> None:
+        """values: channels x pixels at the columns x of row y; the row's other pixels are 0."""
+        lines = np.zeros((self.shape[0], self.shape[2]), ">f4")
+        lines[:, x] = values
+        for ch, line in enumerate(lines):
+            self.file.seek(len(self.head) + 4 * self.shape[2] * (ch * self.shape[1] + y))
+            self.file.write(line.tobytes())
+        self.came[:, y] = True
+
+    def close(self) -> None:
+        with self.file as f:
+            f.seek(0, 2)
+            f.write(b"\0" * (-f.tell() % BLOCK))
+        if not self.came.all():
+            raise ValueError(f"{int((~self.came).any(0).sum())} rows are missing, the first is {int((~self.came).any(0).argmax())}")
+
+
+class Png:
+    """An 8-bit stretched picture, row by row; one or three channels and 64 Mpx at most. levels: ch, clip, midtone of each channel."""
+
+    def __init__(self, path: str, width: int, height: int, channels: int, levels: dict[int, tuple[float, float]]):
+        if width * height > MOST_PNG or channels not in (1, 3):
+            raise ValueError("too large, or not 1 or 3 channels")
+        self.path, self.shape, self.levels = path, (channels, height, width), levels
+        self.packed, self.body, self.done = zlib.compressobj(6), b"", 0
+
+    def _blank(self, rows: int) -> None:
+        self.body += self.packed.compress(b"\0" * ((1 + self.shape[2] * self.shape[0]) * rows))
+
+    def row(self, y: int, x: np.ndarray, values: np.ndarray) -> None:
+        self._blank(y - self.done)
+        line = np.zeros((self.shape[2], self.shape[0]), np.uint8)
+        for ch, v in enumerate(values):
+            clip, m = self.levels.get(ch, (0.0, 0.5))
+            v = np.clip((v - clip) / (1 - clip), 0, 1)
+            line[x, ch] = np.floor(np.where(v >= 1, 1.0, (m - 1) * v / ((2 * m - 1) * v - m)) * 255 + 0.5)
+        self.body += self.packed.compress(b"\0" + line.tobytes())
+        self.done = y + 1
+
+    def close(self) -> None:
+        self._blank(self.shape[1] - self.done)
+        chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+        channels, height, width = self.shape
+        with open(self.path, "wb") as f:
+            f.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0 if channels == 1 else 2, 0, 0, 0)) + chunk(b"IDAT", self.body + self.packed.flush()) + chunk(b"IEND", b""))
+
+
+def write(mosaic: DataFrame, channels: int, *sinks: Fits | Png) -> None:
+    """mosaic (x, y, ch, value) to all sinks in one pass; rows without covered pixels don't come. The first error stops all."""
+    pixels = mosaic.groupBy("y", "x").agg(F.array_sort(F.collect_list(F.struct("ch", "value"))).alias("v"))
+    rows = pixels.groupBy("y").agg(F.collect_list(F.struct("x", F.transform("v", lambda e: e["value"]).alias("v"))).alias("r")).orderBy("y")
+    for r in rows.toLocalIterator():
+        x, v = np.array([e.x for e in r.r]), np.array([e.v for e in r.r], float).T
+        if len(v) != channels:
+            raise ValueError(f"row {r.y} has not {channels} channels")
+        for sink in sinks:
+            sink.row(r.y, x, v)
+    for sink in sinks:
+        sink.close()
+
+
 def write_fits(mosaic: DataFrame, path: str, width: int, height: int, channels: int, keywords: list = ()) -> None:
-    """mosaic: x, y, ch, value (missing pixels are 0). Rows are gathered in Spark and written at their offsets; a missing row is an error only if no pixel of any row arrives."""
-    head = fits_header(width, height, channels, keywords)
-    rows = mosaic.groupBy("ch", "y").agg(F.array_sort(F.collect_list(F.struct("x", "value"))).alias("r")).orderBy("y", "ch")
-    with open(path, "wb") as f:
-        f.write(head)
-        f.truncate(len(head) + 4 * width * height * channels)
-        for r in rows.toLocalIterator():
-            line = np.zeros(width, ">f4")
-            line[[e.x for e in r.r]] = [e.value for e in r.r]
-            f.seek(len(head) + 4 * width * (r.ch * height + r.y))
-            f.write(line.tobytes())
-        f.seek(0, 2)
-        f.write(b"\0" * (-f.tell() % BLOCK))
+    """mosaic: x, y, ch, value; pixels that are missing from a row are 0, a missing row is an error."""
+    write(mosaic, channels, Fits(path, width, height, channels, keywords))
 
 
 @F.pandas_udf(LongType())
@@ -117,26 +179,20 @@ def stretch(samples: DataFrame) -> DataFrame:
     return d.withColumn("clip", clip).withColumn("midtone", mid).select("ch", "m", "mad", "clip", "midtone")
 
 
-def write_png(mosaic: DataFrame, path: str, width: int, height: int, channels: int) -> None:
-    """An 8-bit stretched picture of x, y, ch, value; one or three channels and 64 Mpx at most."""
-    if width * height > MOST_PNG or channels not in (1, 3):
-        raise ValueError("too large, or not 1 or 3 channels")
-    s = stretch(mosaic.where("value <> 0"))
-    v = (F.col("value") - F.col("clip")) / (1 - F.col("clip"))
-    m = F.col("midtone")
-    level = F.when(v <= 0, 0.0).when(v >= 1, 1.0).otherwise((m - 1) * v / ((2 * m - 1) * v - m))
-    rows = mosaic.join(F.broadcast(s), "ch", "left").select("x", "y", "ch", F.coalesce(F.round(level * 255), F.lit(0)).cast("int").alias("b"))
-    rows = rows.groupBy("y").agg(F.collect_list(F.struct("x", "ch", "b")).alias("r")).orderBy("y")
-    z, done = zlib.compressobj(6), 0
-    body = b""
-    for r in rows.toLocalIterator():
-        body += z.compress(b"\0" * ((1 + width * channels) * (r.y - done)))
-        line = np.zeros((width, channels), np.uint8)
-        for e in r.r:
-            line[e.x, e.ch] = e.b
-        body += z.compress(b"\0" + line.tobytes())
-        done = r.y + 1
-    body += z.compress(b"\0" * ((1 + width * channels) * (height - done))) + z.flush()
-    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
-    with open(path, "wb") as f:
-        f.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0 if channels == 1 else 2, 0, 0, 0)) + chunk(b"IDAT", body) + chunk(b"IEND", b""))
+def full_block_means(mosaic: DataFrame) -> DataFrame:
+    """ch, value: means over the mosaic's 8 x 8 blocks without a missing pixel, which a stretch needs instead of all pixels."""
+    g = mosaic.groupBy("ch", F.expr("x div 8"), F.expr("y div 8")).agg(F.avg("value").alias("value"), F.count("*").alias("n"))
+    return g.where("n = 64").select("ch", "value")
+
+
+def stretch_levels(samples: DataFrame) -> dict[int, tuple[float, float]]:
+    return {r.ch: (r.clip, r.midtone) for r in stretch(samples).collect()}  # a row a channel
+
+
+def write_png(mosaic: DataFrame, path: str, width: int, height: int, channels: int, cells: DataFrame | None = None) -> None:
+    """A stretched picture of x, y, ch, value. cells (ch, value): what the stretch is taken from; by default the mosaic's full blocks, of small mosaics the pixels."""
+    if cells is None:
+        cells = full_block_means(mosaic)
+        if cells.isEmpty():
+            cells = mosaic.select("ch", "value")
+    write(mosaic, channels, Png(path, width, height, channels, stretch_levels(cells)))

@@ -1,5 +1,6 @@
 """Small exact grids, numerical solvers, files and blending."""
 
+import dataclasses
 import math
 import struct
 import zlib
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import astrometry, scalar
-from tessera.operators import align, blend, masks, overlap, photometry, pyramid, seam, summary
+from tessera.operators import align, blend, masks, overlap, photometry, pyramid, seam, summary, surfaces
 from tessera.plans import queries, rasters
 from tessera.sinks import files
 from tessera.sources import xisf
@@ -111,7 +112,7 @@ def test_derived_raster_solves_to_its_truth(spark, sf_dir):
 
 
 def test_blends_give_back_the_sky(spark, sf_dir):
-    star = F.expr(f"if({rasters.STAR}, {rasters.GLOW}, 0)")
+    star = F.expr(f"if({rasters.STAR}, {rasters.GLOW}D, 0D)")
     truth = {(x.x, x.y): (x.t + 0.6 + x.star, x.t * 0.5 + 0.45 + x.star) for x in rasters.sky(spark, sf_dir).withColumn("star", star).collect()}
     for name in ("blend_two_band", "blend_pyramid", "feather_pixels"):
         rows = queries.QUERIES[name](spark, sf_dir).collect()
@@ -160,6 +161,66 @@ def test_pyramid_reconstructs():
     assert defined.all() and np.abs(out - plane).max() < 1e-9
     assert [scalar.levels_for_feather(f) for f in (256, 24, 64, 8, 1e9)] == [5, 2, 3, 2, 6]
     assert np.allclose(pyramid.smooth(np.full((5, 6), 3.0)), 3.0)
+    # that many differences and what remains, each plane half as large
+    assert [p.shape for p in pyramid.build(plane, one, 4)] == [p.shape for p in pyramid.mask_levels(one, one, 4)] == [(37, 53), (19, 27), (10, 14), (5, 7), (3, 4)]
+
+
+def test_blends_do_not_depend_on_tiles(spark, sf_dir):
+    r = queries.Raster(spark, sf_dir)
+    owner = seam.owner_map(r.values, r.edges, r.distance, masks.mask_table(r.cells), queries.FEATHER, queries.SEAM).persist()
+    prep = blend.panel_prep(r.values, r.distance).persist()
+    samples = blend.apply_corrections(r.wide, r.corrections, None, rasters.WIDTH, r.height).persist()
+    whole = blend.two_band(samples, blend.tile_prep(prep, owner, queries.FEATHER, tile=4096), queries.FEATHER, side=4096).toPandas()
+    parts = blend.two_band(samples, blend.tile_prep(prep, owner, queries.FEATHER, tile=32), queries.FEATHER, side=48).toPandas()
+    a, b = (d.sort_values(["x", "y", "ch"]).reset_index(drop=True) for d in (whole, parts))
+    assert a[["x", "y", "ch"]].equals(b[["x", "y", "ch"]]) and np.abs(a["value"] - b["value"]).max() < 1e-6
+    spark.catalog.clearCache()
+
+
+def test_sparse_solves_equal_dense_ones():
+    rng = np.random.default_rng(12)
+    n = 30
+    ia = np.array([int(rng.integers(0, i)) for i in range(1, n)] + rng.integers(0, 10, 40).tolist())
+    ib = np.array(list(range(1, n)) + rng.integers(10, n, 40).tolist())
+    w, diff = rng.uniform(0.1, 3, len(ia)), rng.normal(size=len(ia))
+    m, v = photometry.RIDGE * np.eye(n), np.zeros(n)
+    for a, b, k, d in zip(ia, ib, w, diff):
+        e = np.eye(n)[a] - np.eye(n)[b]
+        m += k * np.outer(e, e)
+        v += k * d * e
+    m[3], v[3] = np.eye(n)[3], 0
+    assert np.allclose(photometry.solve_differences(n, ia, ib, w, diff, [3]), np.linalg.solve(m, v), atol=1e-8)
+
+
+def test_surfaces_equal_a_dense_solution(spark, sf_dir):
+    r = queries.Raster(spark, sf_dir)
+    got = {(x.panel_id, x.ch): x.coef for x in surfaces.fit_surfaces(r.values, r.edges, rasters.WIDTH, r.height, 2).collect()}
+    cells = summary.full_cells(r.values).toPandas()
+    gauges = {g.panel_id for g in overlap.gauge_panels(r.values, r.edges).collect()}
+    residuals = surfaces.background_residuals(r.values, r.edges).toPandas()
+    panels = sorted(cells["panel_id"].unique())
+    place = lambda d: surfaces.basis((d["x8"].to_numpy() + 0.5) * 8 / rasters.WIDTH, (d["y8"].to_numpy() + 0.5) * 8 / r.height, 6)
+    for ch in (0, 1):
+        m, v = np.zeros((6 * len(panels),) * 2), np.zeros(6 * len(panels))
+        for (a, b), d in residuals[residuals["ch"] == ch].groupby(["a", "b"]):
+            x, keep = d["r"].to_numpy(), np.ones(len(d), bool)
+            for _ in range(2):
+                keep = np.abs(x - x[keep].mean()) <= max(2.5 * x[keep].std(), 1e-7)
+            phi = place(d[keep])
+            wide = np.zeros((keep.sum(), len(v)))
+            wide[:, 6 * panels.index(a) :][:, :6], wide[:, 6 * panels.index(b) :][:, :6] = phi, -phi
+            m += wide.T @ wide / keep.sum()
+            v -= wide.T @ x[keep] / keep.sum()
+        for i, p in enumerate(panels):
+            phi = place(cells[(cells["panel_id"] == p) & (cells["ch"] == ch)])
+            m[6 * i : 6 * i + 6, 6 * i : 6 * i + 6] += 1e-3 * phi.T @ phi / len(phi)
+        m += np.diag(1e-9 * (1 + np.diag(m)))
+        for g in gauges:
+            m[6 * panels.index(g)], v[6 * panels.index(g)] = np.eye(len(v))[6 * panels.index(g)], 0
+        want = np.linalg.solve(m, v).reshape(-1, 6)
+        for i, p in enumerate(panels):
+            assert np.allclose(got[p, ch], want[i], rtol=1e-4, atol=1e-4 * np.abs(want).max())
+    spark.catalog.clearCache()
 
 
 def test_star_free_base_fills_from_outside():
@@ -236,7 +297,15 @@ def test_fits_and_png(spark, tmp_path):
     assert len(data) % 2880 == 0 and b"CRPIX1  =                 92.0" in data and b"OBJECT  = 'M 42    ' / name" in data
     v = np.frombuffer(data, ">f4", 20, 2880).reshape(4, 5)
     assert v[1, 3] == 14 and v[2, 2] == 0
+    with pytest.raises(ValueError, match="1 rows are missing"):
+        files.write_fits(df.where("y <> 1"), str(tmp_path / "b.fits"), 5, 4, 1)
+    both = [files.Fits(str(tmp_path / "c.fits"), 5, 4, 1), files.Png(str(tmp_path / "c.png"), 5, 4, 1, files.stretch_levels(df))]
+    files.write(df, 1, *both)  # one pass, two files
     files.write_png(df, str(tmp_path / "a.png"), 5, 4, 1)
+    assert (tmp_path / "c.png").read_bytes() == (tmp_path / "a.png").read_bytes()
+    assert (tmp_path / "c.fits").read_bytes()[2880:] == data[2880:]
+    wide = spark.range(32 * 24).select((F.col("id") % 32).alias("x"), F.expr("id div 32").alias("y"), F.lit(0).alias("ch"), F.rand(1).alias("value"))
+    assert files.full_block_means(wide).count() == 12
     png = (tmp_path / "a.png").read_bytes()
     at = png.index(b"IDAT")
     raw = zlib.decompress(png[at + 4 : at + 4 + struct.unpack(">I", png[at - 4 : at])[0]])
@@ -253,7 +322,18 @@ def test_session_and_stream(spark, sf_dir, tmp_path):
     height = queries.Raster(spark, sf_dir).height
     options = session.Options(surface=1, feather=32.0, mode="feather")
     session.analyze(px, rasters.WIDTH, height, str(tmp_path / "s"), options)
-    assert session.blend_session(px, str(tmp_path / "s"), session.Options(feather=32.0, downsample=8)).count() > 900
+    small = session.blend_session(px, str(tmp_path / "s"), session.Options(feather=32.0, downsample=8))
+    assert small.count() > 900 and small.agg(F.max("value")).first()[0] <= 1 and small.agg(F.min("value")).first()[0] >= 0
+    part = session.blend_session(px, str(tmp_path / "s"), session.Options(feather=32.0, downsample=8, roi=(10, 20, 50, 60)))
+    assert part.agg(F.min("x8"), F.max("x8"), F.min("y8"), F.max("y8")).first()[:] == (1, 6, 2, 7)
+    for options in (session.Options(downsample=8, roi=(64, 0, 90, 10)), session.Options(roi=(0, height, 10, height + 5))):
+        with pytest.raises(ValueError, match="meets no panel"):
+            session.blend_session(px, str(tmp_path / "s"), options)
+    told = spark.read.json(str(tmp_path / "s" / "summary.json")).first()
+    assert (told.n_panels, told.width, told.height) == (4, 64, height) and 0.9 < told.covered_frac <= 1
+    assert all(session.load(spark, str(tmp_path / "s"), t).count() for t in session.REPORTS)
+    full = session.blend_session(px, str(tmp_path / "s"), session.Options(feather=32.0)).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).first()
+    assert full.lo >= 0 and full.hi == 1.0  # stars are brighter than 1
     out = session.blend_session(px, str(tmp_path / "s"), session.Options(feather=32.0, mode="twoband", roi=(10, 20, 50, 60), flatten=1))
     assert out.count() == 40 * 40 * 2 - 2 * (40 * 40 - out.count() // 2)
     with pytest.raises(ValueError):
@@ -286,7 +366,81 @@ def test_solutions(spark):
     assert np.allclose(model.to_sky(33.3, 12.1), w.to_sky(33.3, 12.1)) and np.isnan(model.to_sky(200, 0)[0])
     with pytest.raises(ValueError):
         solution.checked(solution.Model(w, 100, 80, (native[1], native[0])))
-    assert solution.nodes(100, 30) == 5
+    assert solution.nodes(100, 30) == 5 and solution.nodes(0.3, 0.1) == 4
+
+
+def grid_properties(width, height, delta, bend):
+    """A solution at (120, 20) with lookup grids whose distortion is `bend` pixels at most, as property dicts and as XML."""
+    from tessera.functions import solution
+
+    s, ref = 1e-3, (width / 2, height / 2)
+    xs, ys = np.meshgrid(np.arange(solution.nodes(width, delta)) * delta, np.arange(solution.nodes(height, delta)) * delta)
+    curve = lambda x, y: bend * np.sin(3 * (x - ref[0]) / width) * np.cos(2 * (y - ref[1]) / height)
+    xi, eta = -s * (xs - ref[0] + curve(xs, ys)), s * (ys - ref[1])
+    half, d = (s * (width / 2 + 4), s * (height / 2 + 4)), s * delta
+    us, vs = np.meshgrid(-half[0] + np.arange(solution.nodes(2 * half[0], d)) * d, -half[1] + np.arange(solution.nodes(2 * half[1], d)) * d)
+    x, y = -us / s + ref[0], vs / s + ref[1]
+    for _ in range(20):
+        x = -us / s + ref[0] - curve(x, y)
+    vec = {"ReferenceCelestialCoordinates": [120.0, 20.0], "ReferenceImageCoordinates": list(ref), "LinearTransformationMatrix": [-s, 0.0, 0.0, s]}
+    rows = [{"id": solution.PREFIX + k, "f64s": v} for k, v in vec.items()]
+    for way, rect, step, gx, gy in (("ImageToNative", [0.0, 0.0, width, height], delta, xi, eta), ("NativeToImage", [-half[0], -half[1], half[0], half[1]], d, x, y)):
+        name = f"{solution.SPLINE}PointGridInterpolation:{way}:"
+        rows += [{"id": name + "Rect", "f64s": rect}, {"id": name + "Delta", "f64": step}]
+        rows += [{"id": name + k, "f64s": g.ravel().tolist(), "rows": g.shape[0], "cols": g.shape[1]} for k, g in (("GridX", gx), ("GridY", gy))]
+    return rows
+
+
+def test_solutions_with_lookup_grids():
+    from tessera.functions import solution
+
+    rows = grid_properties(100, 80, 10.0, 0.4)
+    m = solution.from_properties(rows, 100, 80)
+    x, y = np.array([5.0, 50.0, 93.0]), np.array([7.0, 40.0, 71.0])
+    back = m.to_pixel(*m.to_sky(x, y))
+    assert np.allclose(back[0], x, atol=0.02) and np.allclose(back[1], y, atol=0.02)
+    assert np.abs(np.array(m.to_sky(x, y)) - np.array(m.wcs.to_sky(x, y))).max() > 1e-5
+    assert solution.from_properties(rows[:3], 100, 80).to_native is None and solution.from_properties(rows[:2], 100, 80) is None
+    for wrong in (rows[:-1], rows[:4] + rows[5:], [r | {"cols": 3} if r["id"].endswith("GridX") else r for r in rows], rows + [{"id": solution.PREFIX + "ReferenceNativeCoordinates", "f64s": [0.0, 80.0]}], [r | {"f64s": r["f64s"][::-1]} if r["id"].endswith("ImageToNative:GridX") else r for r in rows]):
+        with pytest.raises(ValueError):
+            solution.from_properties(wrong, 100, 80)
+    with pytest.raises(ValueError):
+        solution.from_properties(rows, 140, 80)
+
+
+def test_solved_files_end_to_end(spark, tmp_path):
+    """Panels cut from one sky, each solved by its own reference point, come back as that sky."""
+    from tessera.plans import session
+
+    s, rng = 1e-3, np.random.default_rng(13)
+    yy, xx = np.mgrid[0:150, 0:260]
+    sky = 0.3 + 0.1 * np.sin(xx / 17) * np.cos(yy / 23) + 0.05 * np.sin(xx / 5)
+    props = '<Property id="PCL:AstrometricSolution:{}" type="F64{}" {} location="inline:hex">{}</Property>'
+    flat = lambda v: np.array(v, "<f8").tobytes().hex()
+    (tmp_path / "in").mkdir()
+    for i, x0 in enumerate((0, 100)):
+        ref = (130.0 - x0, 75.0)
+        text = props.format("ReferenceCelestialCoordinates", "Vector", 'length="2"', flat([120.0, 20.0])) + props.format("ReferenceImageCoordinates", "Vector", 'length="2"', flat(ref)) + props.format("LinearTransformationMatrix", "Matrix", 'rows="2" columns="2"', flat([-s, 0.0, 0.0, s]))
+        (tmp_path / "in" / f"{i}.xisf").write_bytes(xisf.encode((sky[None, :, x0 : x0 + 160] + rng.normal(0, 1e-4, (1, 150, 160))).astype(np.float32), text))
+    shapes, frame = session.probe(spark, str(tmp_path / "in"))
+    assert shapes == [(160, 150, 1)] * 2 and abs(frame.width - 260) < 40 and session.probe(spark, str(tmp_path / "in"), "aligned")[1] is None
+    out = str(tmp_path / "s")
+    px = session.analyze_files(spark, str(tmp_path / "in"), out, session.Options(surface=None, feather=32.0))
+    assert session.load(spark, out, "aligned").count() > 200 and session.load(spark, out, "frame").first().rotation == pytest.approx(0, abs=1e-6)
+    rows = session.blend_session(px, out, session.Options(feather=32.0, mode="feather")).toPandas()
+    plane = np.full((int(rows["y"].max()) + 1, int(rows["x"].max()) + 1), np.nan)
+    plane[rows["y"], rows["x"]] = rows["value"]
+    off = min(np.nanmedian(np.abs(plane[dy + 20 : dy + 120, dx + 20 : dx + 240] - sky[20:120, 20:240])) for dx in range(10, 24) for dy in range(10, 24))
+    assert off < 0.01 and np.isfinite(plane).mean() > 0.7
+    (tmp_path / "in" / "9.xisf").write_bytes(xisf.encode(np.ones((1, 10, 10), np.float32)))
+    with pytest.raises(ValueError, match="9.xisf: no solution"):
+        session.analyze_files(spark, str(tmp_path / "in"), out, kind="solved")
+    assert session.probe(spark, str(tmp_path / "in"))[1] is None
+
+
+def test_classification_of_inputs(spark):
+    from tessera.functions import solution
+
     stats = spark.createDataFrame([(10,), (60,)], "n_covered long")
     assert solution.classify(stats, [(10, 10, 1)] * 2) == "solved" and solution.classify(stats.limit(1), [(10, 10, 1)] * 2) == "aligned" and solution.classify(stats, [(10, 10, 1)]) == "solved"
 
@@ -295,7 +449,13 @@ def test_synthetic_gains_and_seam_map(spark, tmp_path):
     from tessera.sinks import seam_map
     from tessera.sources import synth
 
-    truth, panels, done = synth.generate(synth.Spec(width=256, height=192, stars=20))
+    base = synth.Spec(width=256, height=192, stars=20)
+    truth, panels, done = synth.generate(base)
+    more = dataclasses.replace(base, blobs=3, core=(120.0, 90.0, 32.0, 0.5), spikes=(0.0, 0.3, 0.6, 0.9), defects=((1, 150, 20, 40, 0.8),))
+    truth2, panels2, _ = synth.generate(more)
+    assert (truth2 >= truth - 1e-12).all() and truth2[0, 90, 120] > truth[0, 90, 120] + 0.2
+    assert (panels2[1][0, 20, 155:185] - panels[1][0, 20, 155:185] > 0.5).all() and (panels2[0][0, 20] - panels[0][0, 20] < 0.6).all()
+    assert np.array_equal(synth.generate(dataclasses.replace(base, defects=()))[1][0], panels[0])
     rows = [pd.DataFrame({"panel_id": p, "ch": 0, "y": (ix := np.nonzero(v[0]))[0], "x": ix[1], "v": v[0][ix]}) for p, v in enumerate(panels)]
     px = spark.createDataFrame(pd.concat(rows)[["panel_id", "ch", "x", "y", "v"]])
     cells = summary.cells(summary.wide(px), 256, 192).persist()
