@@ -38,3 +38,16 @@ ORACLE_SQL: dict[str, str] = {
         comp AS (SELECT p, min(q) AS c FROM reach GROUP BY p)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, doc_id = coalesce(c, doc_id) AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.p = doc_id""".replace("both AS", "common AS").replace("FROM both", "FROM common"),
 }
+
+# Exact, as the search is on tables small enough for SQL.
+ORACLE_SQL["op2_nearest_neighbours"] = """WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+    ok AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]), lambda a, b: a + b) AS score FROM ok q JOIN ok c ON q.vec_id % 20 = 0 AND q.r <> c.r AND len(q.e) = len(c.e)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS n FROM s)
+    SELECT query_id, n::INTEGER AS rank, vec_id, score FROM k WHERE n <= 20"""
+# For pages that mark their article; what else the operator takes off is not in it.
+ORACLE_SQL["op6_html_text"] = r"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)(</article>|$)', 1) AS t FROM pages),
+    b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '</?(a|b|i|em|strong|span|u|small|code)( [^>]*)?>', '', 'g') AS t FROM a),
+    c AS (SELECT page_id, url, replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM b),
+    d AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM c)
+    SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d"""
