@@ -244,14 +244,24 @@ def in_test(doc_id: Column) -> Column:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER) -> Models:
     """Models from the text and lang of at most per_language labelled documents a language.
 
-    Documents are taken by the smallest hashes of (doc_id, text); rows that are equal in both count once.
+    Documents are taken by the smallest hashes of (doc_id, text); rows that are equal in both count once. How many rows a language
+    has says below which hash these lie; languages where that holds too few (rows that are equal) are ranked whole.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_test(F.col("doc_id"))).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    limits = labelled.select("lang", "h").distinct()
+    known = docs.where(F.col("lang").isNotNull() & ~in_test(F.col("doc_id")))
+    labelled = known.where(F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    share = F.least(F.lit(1.0), F.lit(3.0 * per_language + 300) / F.count("*"))
+    shares = known.groupBy("lang").agg(share.alias("share"))
+    every = labelled.select("lang", "h").join(F.broadcast(shares), "lang")  # a row a language
+    near = every.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share")).groupBy("lang", "h").agg(F.max("share").alias("share")).cache()
+    cached = near
+    short = [r.lang for r in near.groupBy("lang").agg(F.count("*").alias("n"), F.max("share").alias("share")).where((F.col("n") < per_language) & (F.col("share") < 1)).collect()]
+    missing = [r.lang for r in shares.where("share < 1").join(near.select("lang").distinct(), "lang", "left_anti").collect()]
+    if short or missing:
+        near = near.where(~F.col("lang").isin(short)).unionByName(every.where(F.col("lang").isin(short + missing)).distinct())
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    bound = limits.withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("h").alias("most"))
+    bound = near.withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("h").alias("most"), F.count("*").alias("have"))
     sample = labelled.join(F.broadcast(bound), "lang").where("h <= most").dropDuplicates(["lang", "h"])  # per_language rows a language at most
-    held = F.pmod(F.xxhash64("h"), F.lit(1000)) < int(1000 * CALIBRATE)
+    held = (F.pmod(F.xxhash64("h"), F.lit(1000)) < int(1000 * CALIBRATE)) & (F.col("have") >= 20)
     sample = sample.select("lang", "text", held.alias("held")).repartition(8).cache()
 
     def count(batches):
@@ -266,6 +276,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER)
     rows = sample.where("not held").select("lang", "text").mapInArrow(count, "lang string, gram array<long>, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
     calibration = [(r.lang, normal(r.text)) for r in sample.where("held").select("lang", "text").collect()]
     sample.unpersist()
+    cached.unpersist()
     langs = sorted({r.lang for r in rows})
     counts: list[dict[tuple, int]] = [{} for _ in langs]
     for r in rows:

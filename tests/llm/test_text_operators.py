@@ -417,6 +417,10 @@ def test_language_models(spark, empty, sf_dir):
     assert not any(rows[i].rejected for i in truth)
     noise = "".join(np.random.default_rng(1).choice(list("abcdefghijklmnopqrstuvwxyzéüß "), 2000))
     assert models.predict([noise])[0][2]
+    # the sample is that of the smallest hashes, however many rows and equal rows there are
+    many = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, F.lit(8)).otherwise(F.col("id")).alias("doc_id"), F.lit("xy").alias("lang")).withColumn("text", F.concat(F.lit("word number "), F.col("doc_id").cast("string")))
+    alike = spark.range(3000).select(F.lit(6).cast("long").alias("doc_id"), F.lit("zz").alias("lang"), F.lit("only these words").alias("text"))
+    assert lang_id.train(many.drop("id").unionByName(alike), per_language=30).langs == ["xy", "zz"]
     none = lang_id.train(empty)
     assert none.predict(["abc", None]) == [("und", 0.0, True)] * 2
 
