@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -86,6 +87,29 @@ def map_texts(df: DataFrame, keep: list[str], run: Callable, fields: str, most:
     return df.select(*keep, "text").mapInArrow(mapped, schema)
 
 
+def common_subsequence(own: list, other: list) -> list[tuple[int, int]]:
+    """(place in own, place in other) of a longest common subsequence: for each element its places in the other from last to first, then a longest increasing run."""
+    places: dict = {}
+    for j, h in enumerate(other):
+        places.setdefault(h, []).append(j)
+    tails: list[int] = []
+    chain: list[tuple] = []
+    for i, h in enumerate(own):
+        for j in reversed(places.get(h, ())):
+            k = bisect_left(tails, j)
+            link = (i, j, chain[k - 1] if k else None)
+            if k == len(tails):
+                tails.append(j)
+                chain.append(link)
+            else:
+                tails[k], chain[k] = j, link
+    out, link = [], chain[-1] if chain else None
+    while link:
+        out.append(link[:2])
+        link = link[2]
+    return out[::-1]
+
+
 _UNSAFE = re.compile(r"\s ")
 _SAFE = re.compile(r"(?<=\S) ")
 

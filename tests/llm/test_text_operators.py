@@ -388,12 +388,12 @@ def test_license_blocks(spark, docs, empty):
     got = {(r.doc_id, r.license): r for r in license_scan.scan_licenses(df).collect()}
     assert set(got) == {(1, "GPL-3.0"), (2, "GPL-2.0"), (4, "proprietary"), (4, "MIT")}
     r = got[1, "GPL-3.0"]
-    assert rows[0][1][r.start : r.end] == "This work is licensed under the GNU General Public License, version 3." and r.exact
+    assert rows[0][1][r.start : r.end] == "This work is licensed under the GNU General Public License, version 3" and r.exact
     assert license_scan.scan_licenses(empty).count() == 0 and license_scan.scan_licenses(docs).count() == 1
 
 
 def test_all_licenses_of_a_block(spark):
-    mit = license_scan.TEMPLATES["MIT-grant"]
+    mit = license_scan.NOTICES["MIT-grant"]
     rows = [(1, mit + ".\nThis work is licensed under the GNU General Public License,\nversion 3."), (2, "This work is licensed under the GNU Lesser General Public License, version 3.")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r.doc_id, r.license) for r in license_scan.scan_licenses(df).collect()} == {(1, "MIT-grant"), (1, "GPL-3.0"), (2, "LGPL-3.0")}
@@ -401,7 +401,55 @@ def test_all_licenses_of_a_block(spark):
     t = {f"V{i}": f"Licensed under the Example Public License with exception {w}, version {i}.5." for i, w in enumerate("alpha beta gamma delta".split())}
     t["true"] = "Example Public License."
     block = "Licensed under the Example Public License with exception omega, version 9."
-    assert [m[0] for m in license_scan.Scanner(t).match(block)] == ["true"]
+    assert [m[0] for m in license_scan.Scanner(t).scan(block)] == ["true"]
+
+
+def test_full_license_texts(spark):
+    """Whole texts in comments, wrapped otherwise and with a holder put in; ties and repeated rows; one very long line."""
+    texts = license_scan.read_templates()
+    wrap = lambda t, w: "\n".join("# " + " ".join(t.split()[i : i + w]) for i in range(0, len(t.split()), w))
+    rows, want = [], set()
+    for i, (name, text) in enumerate(texts.items()):
+        rows += [(i, "Some prose.\n\n" + wrap(text.replace("Copyright (c)", "Copyright (c) 2020 The Holders"), 7) + "\n\ncode()")] * 2
+        want.add((i, f"{name}-text"))
+    filler = " ".join(f"w{n}" for n in range(200_000))
+    rows += [(100, f"{filler} {' '.join(texts['ISC'].split())} {filler}"), (101, "All rights reserved. " * 1000), (102, "All day the rights were reserved.")]
+    want |= {(100, "ISC-text"), (101, "proprietary")}
+    found = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license) for r in found} == want
+    by = Counter((r.doc_id, r.license) for r in found)
+    assert by[0, want and sorted(w for i, w in want if i == 0)[0]] == 2 and by[101, "proprietary"] == 1000
+    isc = next(r for r in found if r.doc_id == 100)
+    assert rows[2 * len(texts)][1][isc.start : isc.end].startswith("ISC License") and isc.saved_rank == 1 and isc.exact
+
+
+def test_licenses_equal_all_templates_on_all_stretches():
+    """Random edits of notices in prose: every template on every stretch of words, by the same rule, without index or compression."""
+    rng = np.random.default_rng(14)
+    names = ["MIT", "Apache-2.0", "GPL-3.0", "CC0-1.0", "proprietary", "BSD-grant"]
+    scanner = license_scan.Scanner({n: license_scan.NOTICES[n] for n in names})
+    prose = "the of and software license work under version to in copies permitted".split()
+    seen = Counter()
+    for _ in range(150):
+        words = list(rng.choice(prose, rng.integers(0, 12)))
+        for n in rng.choice(names, rng.integers(0, 3)):
+            own = license_scan.NOTICES[n].rstrip(".").split()
+            for _ in range(rng.integers(0, 3)):
+                at = int(rng.integers(0, len(own)))
+                own[at : at + int(rng.integers(0, 2))] = list(rng.choice(prose, rng.integers(0, 2)))
+            words += own + list(rng.choice(prose, rng.integers(0, 6)))
+        text = " ".join(words)
+        low = license_scan.words_of(text)
+        want = set()
+        for t, name in enumerate(names):
+            m = len(scanner.words[t])
+            for lo in range(len(low)):
+                if any(scanner.confirm(t, low[lo:hi]) for hi in range(lo + 1, min(lo + m + scanner.put_in(t), len(low)) + 1)):
+                    want.add(name)
+        got = {r[0] for r in scanner.scan(text)}
+        assert got == want, text
+        seen.update(got)
+    assert len(seen) == len(names) and min(seen.values()) >= 5
 
 
 def test_language_models(spark, empty, sf_dir):
