@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .overlap import gauge_panels
 from .photometry import solve_dense, solve_sparse
-from .summary import full_cells
+from .summary import by_channel, exact_medians, full_cells
 
 BG_K, CLIP, ROUNDS, FLOOR, RIDGE, STABLE, WARN = 3.0, 2.5, 2, 1e-7, 1e-3, 1e-9, 5.0
 FLATTEN_K, LEAST_BACKGROUND = 3.0, 0.2
@@ -120,9 +120,14 @@ def merged_background(values: DataFrame, distance: DataFrame, masked: DataFrame
 def fit_flatten(background: DataFrame, width: int, height: int, order: int = 1) -> DataFrame:
     """ch, coef of one polynomial a channel over background cells (at most median + 3 MAD in every channel); ValueError if these are under a fifth."""
     n = n_terms(order)
-    med = background.groupBy("ch").agg(F.median("value").alias("med"))
-    mad = background.join(med, "ch").groupBy("ch", "med").agg(F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
-    dark = background.join(mad, "ch").groupBy("x8", "y8").agg(F.bool_and(F.col("value") <= F.col("med") + FLATTEN_K * F.col("mad")).alias("dark"))
+    counts = background.groupBy("ch", "value").agg(F.count("*").alias("n")).persist()
+    med = exact_medians(counts)
+    if not med:
+        raise ValueError("no cells are background")
+    mad = exact_medians(counts.groupBy("ch", F.abs(F.col("value") - by_channel(med)).alias("value")).agg(F.sum("n").alias("n")))
+    counts.unpersist()
+    limit = by_channel({c: med[c] + FLATTEN_K * mad[c] for c in med})
+    dark = background.groupBy("x8", "y8").agg(F.bool_and(F.col("value") <= limit).alias("dark"))
     share = dark.agg(F.avg(F.col("dark").cast("double"))).first()[0] or 0.0
     if share < LEAST_BACKGROUND:
         raise ValueError(f"only {share:.2f} of the cells are background")

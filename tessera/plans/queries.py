@@ -446,6 +446,68 @@ def blend_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blend(spark, sf_dir, True, True)
 
 
+#: How far the reprojected sky lies off its frame, in pixels, and the size of a pixel in degrees.
+SHIFT, PIXEL = (0.3, -0.4), 1e-5
+
+
+@query(f"""WITH taps AS (SELECT i, {SHIFT[0]} + 2 - i AS tx, {SHIFT[1]} + 3 - i AS ty FROM (SELECT unnest(range(6)) AS i)),
+lz AS (SELECT i, 3 * sin(pi() * tx) * sin(pi() * tx / 3) / (pi() * tx * pi() * tx) AS wx, 3 * sin(pi() * ty) * sin(pi() * ty / 3) / (pi() * ty * pi() * ty) AS wy FROM taps),
+wt AS (SELECT i, wx / sum(wx) OVER () AS wx, wy / sum(wy) OVER () AS wy FROM lz),
+sky AS (SELECT vec_id AS y, unnest(generate_series(0, len(embedding) - 1)) AS x, unnest(embedding)::DOUBLE + 0.6 AS v FROM embeddings),
+o AS (SELECT s.x + 2 - a.i AS x, s.y + 3 - b.i AS y, sum(a.wx * b.wy * v) AS v FROM sky s, wt a, wt b GROUP BY 1, 2)
+SELECT x, y, round(v, 4) AS v FROM o WHERE x >= 2 AND x <= {WIDTH - 4} AND y >= 3 AND y <= (SELECT max(vec_id) - 2 FROM embeddings)""")
+def reprojected_sky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sky as one solved panel, resampled to a frame that lies a fraction of a pixel off."""
+    from ..functions.astrometry import Frame, LinearWcs
+    from ..operators.align import reproject
+    from ..sources.xisf import pixels
+
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    height = (e.agg(F.max("vec_id")).first()[0] or 0) + 1
+    strips = e.select(F.lit(0).cast("long").alias("panel_id"), F.lit(0).cast("long").alias("ch"), F.col("vec_id").alias("y"), F.lit(0).cast("long").alias("x0"), F.transform("embedding", lambda v: v.cast("double") + 0.6).alias("row"))
+    model = LinearWcs((10.0, 0.0), (WIDTH / 2 + 1 + SHIFT[0], height / 2 + 1 + SHIFT[1]), ((-PIXEL, 0.0), (0.0, PIXEL)))
+    out = pixels(reproject(strips, {0: (model, WIDTH, height)}, Frame((10.0, 0.0), PIXEL, WIDTH, height)))
+    return out.where("v <> 0").select("x", "y", F.round("v", 4).alias("v"))
+
+
+@query(FITS + ", fm AS (SELECT ch, median(rms) AS m FROM fits GROUP BY 1) SELECT a, b, ch, n, rms > 3 * m AS flag FROM fits JOIN fm USING (ch)")
+def fit_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.diag import fit_flags as run
+
+    r = Raster(spark, sf_dir)
+    return run(photometry.fit_edges(photometry.edge_pairs(r.cells, r.edges))).select("a", "b", "ch", "n", "flag")
+
+
+@query(MASK + " SELECT x8, y8, ch, round(sum(greatest(d, 1) * value) / sum(greatest(d, 1)) + 0.0013, 2) AS value FROM fullc f JOIN dist USING (panel_id, x8, y8) LEFT JOIN stars s USING (panel_id, x8, y8) GROUP BY ALL HAVING NOT bool_or(s.compact IS NOT NULL)")
+def masked_background(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Raster(spark, sf_dir)
+    return surfaces.merged_background(r.values, r.distance, masks.mask_table(r.cells)).withColumn("value", F.round(F.col("value") + 0.0013, 2))
+
+
+@query(DIST + f""", o AS (SELECT x8, y8, ch, sum(w * value) / sum(w) / {SCALE} AS v FROM fullc JOIN wts USING (panel_id, x8, y8) GROUP BY ALL),
+m AS (SELECT ch, list_sort(list(v))[count(*) // 2 + 1] AS m FROM o GROUP BY 1), d AS (SELECT ch, any_value(m) AS m, list_sort(list(abs(v - m)))[count(*) // 2 + 1] AS mad FROM o JOIN m USING (ch) GROUP BY 1),
+c AS (SELECT ch, m, greatest(least(m - 2.8 * 1.4826 * mad, 0.99), 0) AS clip FROM d), t AS (SELECT ch, clip, CASE WHEN (m - clip) / (1 - clip) <= 0 THEN 0.5 ELSE 0.75 * (m - clip) / (1 - clip) / (0.5 * (m - clip) / (1 - clip) + 0.25) END AS mid FROM c),
+s AS (SELECT x8, y8, ch, mid, least(greatest((v - clip) / (1 - clip), 0), 1) AS v FROM o JOIN t USING (ch))
+SELECT x8, y8, ch, round(CASE WHEN v <= 0 THEN 0 WHEN v >= 1 THEN 1 ELSE (mid - 1) * v / ((2 * mid - 1) * v - mid) END, 6) AS level FROM s""")
+def stretched_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sinks.files import stretch
+
+    r = Raster(spark, sf_dir)
+    o = blend.preview(r.values, r.distance, FEATHER).withColumn("value", F.col("value") / SCALE)
+    s = o.join(F.broadcast(stretch(o.select("ch", "value"))), "ch")  # a row a channel
+    return s.select("x8", "y8", "ch", F.round(S.mtf(F.col("midtone"), (F.col("value") - F.col("clip")) / (1 - F.col("clip"))), 6).alias("level"))
+
+
+@query(CELLS + f" SELECT CASE WHEN count(*) >= 2 AND max(n)::DOUBLE / ({WIDTH} * any_value(h)) < 0.5 THEN 'aligned' ELSE 'solved' END AS kind, max(n) AS most_covered FROM (SELECT panel_id, count(*) AS n FROM cov GROUP BY 1), top")
+def input_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.solution import classify
+
+    r = Raster(spark, sf_dir)
+    stats = summary.panel_stats(r.wide).select("panel_id", "n_covered").distinct().persist()
+    kind = classify(stats, [(WIDTH, r.height, rasters.CHANNELS)] * stats.count())
+    return stats.agg(F.lit(kind).alias("kind"), F.max("n_covered").alias("most_covered"))
+
+
 @query()
 def star_free_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Raster(spark, sf_dir)

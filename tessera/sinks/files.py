@@ -9,10 +9,11 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from ..operators.summary import by_channel, values_of_rank
 
 BLOCK, CARD, MOST_PNG = 2880, 80, 64_000_000
 #: Keywords that describe the file itself and are not passed on.
@@ -134,41 +135,13 @@ def write_fits(mosaic: DataFrame, path: str, width: int, height: int, channels:
     write(mosaic, channels, Fits(path, width, height, channels, keywords))
 
 
-@F.pandas_udf(LongType())
-def _order(value: pd.Series) -> pd.Series:
-    """Numbers in the order of the values (doubles): their bits, those of negative ones turned around."""
-    bits = value.to_numpy(float).view(np.int64)
-    return pd.Series(bits ^ ((bits >> 63) & np.int64(2**63 - 1)))
-
-
-def upper_medians(counts: DataFrame) -> dict[object, float]:
-    """Each channel's value of rank n div 2 + 1, from distinct values and how often each occurs (ch, value, n).
-
-    Exact for any number of values: they are narrowed down by 16 bits of their order at a time, through 65536 sums a channel at most. The driver gets one sum a channel.
-    """
-    left = counts.select("ch", "value", "n", _order(F.col("value").cast("double")).alias("order"))
-    rank = {r.ch: r.rank for r in left.groupBy("ch").agg((F.expr("sum(n) div 2") + 1).alias("rank")).collect()}
-    if not rank:
-        return {}
-    per = lambda values: F.coalesce(*(F.when(F.col("ch").eqNullSafe(F.lit(c)), F.lit(v)) for c, v in values.items()))
-    for shift in (48, 32, 16, 0):
-        part = F.shiftright("order", shift)
-        sums = left.groupBy("ch", part.alias("part")).agg(F.sum("n").alias("n"))
-        sums = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("ch").orderBy("part"))).withColumn("rank", per(rank) - F.col("upto") + F.col("n"))
-        found = sums.where((F.col("rank") > 0) & (F.col("rank") <= F.col("n"))).collect()
-        left = left.where(part == per({r.ch: r.part for r in found}))
-        rank = {r.ch: r.rank for r in found}
-    return {r.ch: r.value for r in left.collect()}
-
-
 def stretch(samples: DataFrame) -> DataFrame:
     """ch, m, mad, clip, midtone from covered samples (value): upper medians; midtone maps the background to a quarter."""
     counts = samples.groupBy("ch", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("n")).persist()
-    m = upper_medians(counts)
+    m = values_of_rank(counts)
     rows = []
     if m:
-        middle = F.coalesce(*(F.when(F.col("ch").eqNullSafe(F.lit(c)), F.lit(v)) for c, v in m.items()))
-        mad = upper_medians(counts.groupBy("ch", F.abs(F.col("value") - middle).alias("value")).agg(F.sum("n").alias("n")))
+        mad = values_of_rank(counts.groupBy("ch", F.abs(F.col("value") - by_channel(m)).alias("value")).agg(F.sum("n").alias("n")))
         rows = [(c, m[c], mad[c]) for c in m]
     d = samples.sparkSession.createDataFrame(rows, StructType([counts.schema["ch"], StructField("m", DoubleType()), StructField("mad", DoubleType())]))
     counts.unpersist()
