@@ -28,28 +28,28 @@ def preview(values: DataFrame, distance: DataFrame, feather: float) -> DataFrame
 
 
 def apply_corrections(rows: DataFrame, corrections: DataFrame, surfaces: DataFrame | None, width: int, height: int) -> DataFrame:
-    """panel_id, x, y, ch, v: covered samples of wide() rows after gain, offset and surface (at whole pixel indices)."""
-    v = rows.where("covered").select("panel_id", "x", "y", F.posexplode("vals").alias("ch", "raw")).withColumn("ch", F.col("ch").cast("long"))
+    """panel_id, x8, y8, x, y, ch, v: covered samples of wide() rows after gain, offset and surface (at whole pixel indices)."""
+    v = rows.where("covered").select("panel_id", "x8", "y8", "x", "y", F.posexplode("vals").alias("ch", "raw")).withColumn("ch", F.col("ch").cast("long"))
     v = v.join(corrections.select("panel_id", "ch", "gain", "offset"), ["panel_id", "ch"], "left")
     out = F.coalesce("gain", F.lit(1.0)) * F.col("raw") + F.coalesce("offset", F.lit(0.0))
     if surfaces is not None:
         v = v.join(surfaces.select("panel_id", "ch", "coef"), ["panel_id", "ch"], "left")
         terms = [F.coalesce(F.get("coef", F.lit(i)), F.lit(0.0)) for i in range(6)]
         out = out + horner(6, terms, F.col("x") / width, F.col("y") / height)
-    return v.select("panel_id", "x", "y", "ch", out.alias("v"))
+    return v.select("panel_id", "x8", "y8", "x", "y", "ch", out.alias("v"))
 
 
 def feather_pixels(samples: DataFrame, distance: DataFrame, feather: float) -> DataFrame:
     """x, y, ch, value: weighted mean over covering panels; the weight follows the distance (in cells, bilinear at (x/8, y/8)).
 
     Four equi joins with computed keys would shuffle pixels four times; instead each cell brings its right, lower and
-    diagonal neighbours' distances along, so that pixels are joined once.
+    diagonal neighbours' distances along, so that pixels are joined once, where they lie: samples are dealt by cell.
     """
     d = distance.select("panel_id", "x8", "y8", "d")
     moved = lambda dx, dy, name: d.select("panel_id", (F.col("x8") - dx).alias("x8"), (F.col("y8") - dy).alias("y8"), F.col("d").alias(name))
     taps = d.join(moved(1, 0, "dr"), ["panel_id", "x8", "y8"], "left").join(moved(0, 1, "dd"), ["panel_id", "x8", "y8"], "left").join(moved(1, 1, "dx"), ["panel_id", "x8", "y8"], "left")
     taps = taps.select("panel_id", "x8", "y8", "d", F.coalesce("dr", "d").alias("dr"), F.coalesce("dd", "d").alias("dd"), F.coalesce("dx", "dr", "dd", "d").alias("dx"))
-    s = samples.withColumn("x8", F.expr("x div 8")).withColumn("y8", F.expr("y div 8")).join(taps, ["panel_id", "x8", "y8"])
+    s = samples.join(taps, ["panel_id", "x8", "y8"])
     tx, ty = F.col("x") / 8 - F.col("x8"), F.col("y") / 8 - F.col("y8")
     dist = (F.col("d") * (1 - tx) + F.col("dr") * tx) * (1 - ty) + (F.col("dd") * (1 - tx) + F.col("dx") * tx) * ty
     w = feather_weight(8 * dist, feather)
@@ -178,9 +178,9 @@ def _taps(plane: np.ndarray, gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
 def two_band(samples: DataFrame, tiles: DataFrame, feather: float, veto: bool = True, side: int = 512) -> DataFrame:
     """x, y, ch, value: the reference base plus the owner's detail, mixed across seams only.
 
-    samples: panel_id, x, y, ch, v (corrected). tiles: of tile_prep(). One group is a square of pixels (`side` is a multiple of 8) with the cells that touch it.
+    samples: panel_id, x8, y8, x, y, ch, v (corrected). tiles: of tile_prep(). One group is a square of pixels (`side` is a multiple of 8) with the cells that touch it.
     """
-    pix = samples.groupBy("panel_id", "x", "y").agg(F.array_sort(F.collect_list(F.struct("ch", "v"))).alias("v")).select(F.expr(f"y div {side}").alias("sy"), F.expr(f"x div {side}").alias("sx"), "panel_id", "x", "y", F.transform("v", lambda e: e["v"]).alias("v"))
+    pix = samples.groupBy("panel_id", "x8", "y8", "x", "y").agg(F.array_sort(F.collect_list(F.struct("ch", "v"))).alias("v")).select(F.expr(f"y div {side}").alias("sy"), F.expr(f"x div {side}").alias("sx"), "panel_id", "x", "y", F.transform("v", lambda e: e["v"]).alias("v"))
     near = lambda axis: F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.greatest(F.col(axis) + k, F.lit(0)) / (side // 8))))
     cells = tiles.withColumn("sy", F.explode(near("y8"))).withColumn("sx", F.explode(near("x8")))
 

@@ -22,10 +22,11 @@ def scan_stats(px: DataFrame) -> DataFrame:
 
 
 def wide(px: DataFrame) -> DataFrame:
-    """panel_id, x, y, vals (by channel), covered: one row a pixel."""
-    g = px.groupBy("panel_id", "x", "y").agg(F.array_sort(F.collect_list(F.struct("ch", "v"))).alias("c"))
+    """panel_id, x8, y8, x, y, vals (by channel), covered: one row a pixel. Pixels are dealt by cell, so that sums and joins by cell need no other shuffle."""
+    by_cell = px.withColumns({"x8": _cell("x"), "y8": _cell("y")}).repartition("panel_id", "x8", "y8")
+    g = by_cell.groupBy("panel_id", "x8", "y8", "x", "y").agg(F.array_sort(F.collect_list(F.struct("ch", "v"))).alias("c"))
     vals = F.transform("c", lambda e: e["v"])
-    return g.select("panel_id", "x", "y", vals.alias("vals"), F.forall(vals, lambda v: v != 0).alias("covered"))
+    return g.select("panel_id", "x8", "y8", "x", "y", vals.alias("vals"), F.forall(vals, lambda v: v != 0).alias("covered"))
 
 
 def covered(px: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def covered(px: DataFrame) -> DataFrame:
 
 
 def _cell(axis: str) -> Column:
-    return F.expr(f"{axis} div {BLOCK}").alias(f"{axis}8")
+    return F.expr(f"{axis} div {BLOCK}")
 
 
 def cells(rows: DataFrame, width: Column | int, height: Column | int) -> DataFrame:
@@ -44,7 +45,7 @@ def cells(rows: DataFrame, width: Column | int, height: Column | int) -> DataFra
     n: covered pixels; area: pixels of the cell inside the canvas; s, ss: sums of values and squares;
     detail: population deviation.
     """
-    c = rows.where("covered").select("panel_id", _cell("x"), _cell("y"), F.posexplode("vals").alias("ch", "v"))
+    c = rows.where("covered").select("panel_id", "x8", "y8", F.posexplode("vals").alias("ch", "v"))
     sums = c.groupBy("panel_id", F.col("ch").cast("long").alias("ch"), "x8", "y8").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v").cast("double") * F.col("v")).alias("ss"))
     side = lambda axis, size: F.least(F.lit(BLOCK), size - F.col(axis) * BLOCK)
     width, height = (F.lit(v) if isinstance(v, int) else v for v in (width, height))
