@@ -12,6 +12,7 @@ one doc_id share its postings (verification is by row); an empty table gives an
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 from re import _constants as sre
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from .common import table
 
 
-
 @dataclass(frozen=True)
 class Rule:
     """Matches of regex (leftmost, not overlapping) whose group has at least `least` characters are secrets."""
@@ -116,20 +116,35 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, set
     return hits.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds")), {k for k, ands in queries.items() if not ands}
 
 
+def by_blocks(rows: Column, passed: Callable[[Column, Column], Column], make: Callable[[Column, Column, Column], Column], block: int = 128) -> Column:
+    """An array: make(rows of a block, position before it, position after it) of each block of an array, where passed(position, row) is the position after a row.
+
+    Arrays and texts are appended to only within a block, so that a row with very many elements isn't copied once for each of them.
+    """
+    part = lambda r, i: F.slice(r, i * block + 1, F.lit(block))
+    numbers = lambda r: F.sequence(F.lit(0), F.floor(F.greatest(F.size(r) - 1, F.lit(0)) / block).cast("int"))
+
+    def marks(r: Column) -> Column:
+        return F.aggregate(numbers(r), F.array(F.lit(0)), lambda acc, i: F.concat(acc, F.array(F.aggregate(part(r, i), F.element_at(acc, -1), passed))))
+
+    whole = lambda r: F.transform(F.array(marks(r)), lambda m: F.transform(numbers(r), lambda i: make(part(r, i), F.get(m, i), F.get(m, i + 1))))[0]
+    return F.transform(F.array(rows), whole)[0]  # the lambdas' variables are computed once
+
+
 def found(rule: Rule, order: int) -> Column:
     """Spans (start, rule's place, end, kind) of a rule in the column text; positions are sums of the lengths of matches and of what lies between them."""
     whole, group = F.regexp_extract_all("text", F.lit(rule.regex), F.lit(0)), F.regexp_extract_all("text", F.lit(rule.regex), F.lit(rule.group))
     between = F.split("text", rule.regex, -1)
     rows = F.arrays_zip(F.transform(between, F.length).alias("b"), F.transform(whole, F.length).alias("m"), F.transform(group, F.length).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,place:int,end:int,kind:string>>)").alias("out"))
+    none = F.expr("cast(array() as array<struct<start:int,place:int,end:int,kind:string>>)")
+    after = lambda at, row: at + row["b"] + F.coalesce(row["m"], F.lit(0))
 
     def step(acc: Column, row: Column) -> Column:
-        begin = acc["at"] + row["b"]
-        end = begin + F.coalesce(row["m"], F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(order).alias("place"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+        end = after(acc["at"], row)
+        span = F.struct((acc["at"] + row["b"]).alias("start"), F.lit(order).alias("place"), end.alias("end"), F.lit(rule.kind).alias("kind"))
         return F.struct(end.alias("at"), F.when(row["g"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    return F.flatten(by_blocks(rows, after, lambda part, at, _: F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -153,14 +168,20 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     packed = docs.select("doc_id", "text", F.struct(F.struct(*rest).alias("rest"), F.col("text").isNull().alias("was_null")).alias("row"))
     kept = scan(packed, rules, ("row",))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    after = lambda at, s: F.greatest(at, s["end"])
+
+    def pieces(part: Column, at: Column, end: Column) -> Column:
+        """The text between two positions, with its secrets replaced."""
+
+        def step(acc: Column, s: Column) -> Column:
+            begin = F.greatest(s["start"], acc["at"])
+            more = F.concat(acc["out"], F.substring(acc["cut"], acc["at"] - at + 1, begin - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
+            return F.struct(after(acc["at"], s).alias("at"), F.when(s["end"] > acc["at"], more).otherwise(acc["out"]).alias("out"), acc["cut"].alias("cut"))
 
-    def step(acc: Column, s: Column) -> Column:
-        begin = F.greatest(s["start"], acc["at"])
-        more = F.concat(acc["out"], F.substring("text", acc["at"] + 1, begin - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.when(s["end"] > acc["at"], more).otherwise(acc["out"]).alias("out"))
+        return F.aggregate(part, F.struct(at.alias("at"), F.lit("").alias("out"), F.substring("text", at + 1, end - at).alias("cut")), step, lambda acc: acc["out"])
 
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
+    last = F.coalesce(F.array_max(F.transform("spans", lambda s: s["end"])), F.lit(0))
+    clean = F.concat(F.array_join(by_blocks(F.col("spans"), after, pieces), ""), F.substring("text", last + 1, F.length("text")))
     text = F.when(F.col("row.was_null"), F.lit(None).cast("string")).when(F.size("spans") == 0, F.col("text")).otherwise(clean)
     kept = kept.select("row", text.alias("text"))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}

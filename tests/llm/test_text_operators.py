@@ -187,6 +187,24 @@ def test_secret_spans_equal_brute_force(spark, docs, empty, sf_dir):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_texts_with_thousands_of_secrets(spark):
+    """Spans and redaction across many blocks, overlapping spans and characters beyond one byte or unit."""
+    rng = np.random.default_rng(4)
+    words = ["token = abc" + "é", "é🙂", "0123456789abcdef" * 2, "AKIA" + "0" * 20, "secret:" + "ab12" * 8, "x", "\n", "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + ".c", "password=eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + ".cc_dd"]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), n)) for n in (1, 5, 127, 128, 129, 700, 9000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secret_scan.scan(df, secret_scan.BASE).select("text", secret_scan.written(F.col("spans")).alias("s")).collect()
+    assert all(r.s == brute_spans(r.text) for r in rows) and max(r.s.count(",") for r in rows) > 4000
+    spans = {r.doc_id: r.spans for r in secret_scan.scan(df).collect()}
+    for r in secret_scan.redact(df).collect():
+        text, at, out = texts[r.doc_id], 0, []
+        for s in spans[r.doc_id]:
+            if s.end > at:
+                out += [text[at : max(s.start, at)], f"[{s.kind}]"]
+                at = s.end
+        assert r.text == "".join(out) + text[at:]
+
+
 def test_trigram_queries():
     q = secret_scan.trigram_query(secret_scan.BASE[0].regex)
     assert frozenset(("tok", "oke", "ken")) in q and frozenset(("api", "pi_", "i_k", "_ke", "key")) in q and len(q) == 6
