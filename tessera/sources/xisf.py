@@ -1,7 +1,8 @@
 """Monolithic image files (XISF): header, properties, keywords and row strips as DataFrames.
 
-`scan_xisf` lists files with Spark's binaryFile reader, so any store that Spark reads will do; each task decodes its files and
-emits rows (panel_id, ch, y, x0, row). Only uncompressed, planar, little-endian Float32 images are read.
+Spark lists the files; tasks open them and read ranges of bytes: headers without pixels, and pixels by blocks of rows, which are dealt
+over all tasks, so that a file may be of any size. `open_file` opens a path for that; the default takes what pyarrow's file systems take.
+Rows come out as (panel_id, ch, y, x0, row). Only uncompressed, planar, little-endian Float32 images are read.
 """
 
 from __future__ import annotations
@@ -11,25 +12,44 @@ import binascii
 import re
 import struct
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAGIC = b"XISF0100"
-PIXELS = "path string, ch long, y long, x0 long, row array<float>"
+PIXELS = "panel_id long, ch long, y long, x0 long, row array<float>"
 HEADERS = "path string, width long, height long, channels long, keywords array<struct<name:string,value:string,comment:string>>, properties array<struct<id:string,type:string,str:string,f64:double,i64:long,f64s:array<double>,rows:int,cols:int>>"
 
 
-def header(data: bytes) -> ET.Element:
-    if data[:8] != MAGIC:
+def open_file(path: str) -> BinaryIO:
+    """A file of Spark's listing, for reading at any place."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + (rest or path).lstrip("/"))
+    store, inner = fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
+    return store.open_input_file(inner)
+
+
+def read_range(f: BinaryIO, at: int, size: int) -> bytes:
+    f.seek(at)
+    return f.read(size)
+
+
+def header(f: BinaryIO) -> ET.Element:
+    """The header of an open file; nothing behind it is read."""
+    start = read_range(f, 0, 16)
+    if start[:8] != MAGIC or len(start) < 16:
         raise ValueError("not an XISF file")
-    size = struct.unpack_from("<I", data, 8)[0]
-    if 16 + size > len(data):
+    size = struct.unpack_from("<I", start, 8)[0]
+    text = f.read(size)
+    if len(text) < size:
         raise ValueError("header is cut off")
-    return ET.fromstring(data[16 : 16 + size].rstrip(b"\0"))
+    return ET.fromstring(text.rstrip(b"\0"))
 
 
 def _local(e: ET.Element) -> str:
@@ -74,8 +94,8 @@ def decode_hex(s: str) -> bytes | None:
         return None
 
 
-def read_property(e: ET.Element, data: bytes) -> dict:
-    """A property's typed value; what can't be read has none."""
+def read_property(e: ET.Element, f: BinaryIO) -> dict:
+    """A property's typed value, from the header or from its place in the file; what can't be read has none."""
     kind, text = e.get("type", ""), e.get("value") if e.get("value") is not None else (e.text or "").strip()
     out = dict.fromkeys(("str", "f64", "i64", "f64s", "rows", "cols")) | {"id": e.get("id"), "type": kind}
     if kind in ("F64Vector", "F64Matrix"):
@@ -88,7 +108,7 @@ def read_property(e: ET.Element, data: bytes) -> dict:
             raw = decode_hex(e.text or "")
         elif m := re.fullmatch(r"attachment:(\d+):(\d+)", where):
             at, size = map(int, m.groups())
-            raw = data[at : at + size] if at + size <= len(data) else None
+            raw = read_range(f, at, size) if size == 8 * n else None
         if raw is not None and len(raw) == 8 * n:
             out["f64s"] = np.frombuffer(raw, "<f8").tolist()
             if kind == "F64Matrix":
@@ -104,39 +124,54 @@ def read_property(e: ET.Element, data: bytes) -> dict:
     return out
 
 
-def scan_headers(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+def _files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """path, length. Without its column `content` the reader lists files and opens none."""
+    return spark.read.format("binaryFile").load(paths).select("path", "length")
+
+
+def scan_headers(spark: SparkSession, paths: list[str] | str, open_file: Callable[[str], BinaryIO] = open_file) -> DataFrame:
     """A row a file: geometry, keywords and properties of its first image."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for path, data in zip(pdf["path"], pdf["content"]):
-                root = header(data)
-                e, w, h, ch, _ = image(root, len(data))
-                keys = [{k: x.get(k) for k in ("name", "value", "comment")} for x in e if _local(x) == "FITSKeyword"]
-                rows.append((path, w, h, ch, keys, [read_property(x, data) for x in root.iter() if _local(x) == "Property"]))
+            for path, length in zip(pdf["path"], pdf["length"]):
+                with open_file(path) as f:
+                    root = header(f)
+                    e, w, h, ch, _ = image(root, length)
+                    keys = [{k: x.get(k) for k in ("name", "value", "comment")} for x in e if _local(x) == "FITSKeyword"]
+                    rows.append((path, w, h, ch, keys, [read_property(x, f) for x in root.iter() if _local(x) == "Property"]))
             yield pd.DataFrame(rows, columns=["path", "width", "height", "channels", "keywords", "properties"])
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, HEADERS)
+    return _files(spark, paths).mapInPandas(run, HEADERS)
 
 
-def scan_xisf(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """panel_id (files in the order of their paths), ch, y, x0, row: all pixels as row strips."""
+def scan_xisf(spark: SparkSession, paths: list[str] | str, open_file: Callable[[str], BinaryIO] = open_file, block: int = 256) -> DataFrame:
+    """panel_id (files in the order of their paths), ch, y, x0, row: all pixels as row strips, read in blocks of rows."""
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, length in zip(pdf["path"], pdf["length"]):
+                with open_file(path) as f:
+                    rows.append((path, *image(header(f), length)[1:]))
+            yield pd.DataFrame(rows, columns=["path", "width", "height", "channels", "at"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path, data in zip(pdf["path"], pdf["content"]):
-                _, w, h, ch, at = image(header(data), len(data))
-                for c in range(ch):
-                    for y in range(0, h, 256):
-                        n = min(256, h - y)
-                        rows = np.frombuffer(data, "<f4", n * w, at + 4 * (c * h + y) * w).reshape(n, w)
-                        yield pd.DataFrame({"path": path, "ch": c, "y": np.arange(y, y + n), "x0": 0, "row": list(rows)})
-
-    files = spark.read.format("binaryFile").load(paths)
+            for b in pdf.itertuples(index=False):
+                n = min(block, b.height - b.y)
+                with open_file(b.path) as f:
+                    data = read_range(f, b.at + 4 * (b.ch * b.height + b.y) * b.width, 4 * n * b.width)
+                yield pd.DataFrame({"panel_id": b.panel_id, "ch": b.ch, "y": np.arange(b.y, b.y + n), "x0": 0, "row": list(np.frombuffer(data, "<f4").reshape(n, b.width))})
+
+    files = _files(spark, paths)
     ids = {p: i for i, p in enumerate(sorted(r[0] for r in files.select("path").collect()))}  # a name a panel
     names = spark.createDataFrame(list(ids.items()), "path string, panel_id long")
-    return files.select("path", "content").mapInPandas(run, PIXELS).join(F.broadcast(names), "path").select("panel_id", "ch", "y", "x0", "row")
+    found = files.mapInPandas(places, "path string, width long, height long, channels long, at long").join(F.broadcast(names), "path")
+    planes = found.where("width > 0 and height > 0 and channels > 0").withColumn("ch", F.explode(F.expr("sequence(0, channels - 1)")))
+    blocks = planes.withColumn("y", F.explode(F.expr(f"sequence(0, height - 1, {block})")))
+    return blocks.repartition("panel_id", "ch", "y").mapInPandas(run, PIXELS)
 
 
 def pixels(strips: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Small exact grids, numerical solvers, files and blending."""
 
 import dataclasses
+import io
 import math
 import struct
 import zlib
@@ -274,7 +275,33 @@ def test_xisf_files(spark, tmp_path):
     for old, new in ((b"Float32", b"Float64"), (b"XISF0100", b"XISF0200"), (b"3:2:2", b"3:2:3")):
         with pytest.raises(ValueError):
             data = good.replace(old, new)
-            xisf.image(xisf.header(data), len(data))
+            xisf.image(xisf.header(io.BytesIO(data)), len(data))
+    with pytest.raises(ValueError, match="cut off"):
+        xisf.header(io.BytesIO(good[:100]))
+    parts = {(r.ch, r.y): list(r.row) for r in xisf.scan_xisf(spark, str(tmp_path), block=1).collect()}
+    assert parts == rows
+
+
+def test_headers_are_read_without_pixels(spark, tmp_path):
+    """A file beyond 2 GB, which no single value holds; sparse, so it takes no room."""
+    path, start = tmp_path / "a large panel.xisf", xisf.encode(np.zeros((1, 1, 1), np.float32))
+    head = start[:4096].replace(b"1:1:1", b"30000:20000:1").replace(b"4096:4", b"4096:2400000000")
+    text = head[16:].rstrip(b"\0")
+    with open(path, "wb") as f:
+        f.write(head[:8] + len(text).to_bytes(4, "little") + b"\0" * 4 + text)
+        f.seek(4096 + 4 * 30000 * 19999)
+        f.write(np.full(30000, 2.0, "<f4").tobytes())
+    h = xisf.scan_headers(spark, str(tmp_path)).first()
+    assert (h.width, h.height, h.channels) == (30000, 20000, 1)
+
+    class Counting(io.FileIO):
+        def read(self, size=-1):
+            assert 0 <= size <= 1 << 20
+            return super().read(size)
+
+    assert xisf.scan_headers(spark, str(tmp_path), lambda p: Counting(p.removeprefix("file:"))).count() == 1
+    with xisf.open_file(f"file:{path}") as f:
+        assert np.frombuffer(xisf.read_range(f, 4096 + 4 * 30000 * 19999, 4 * 30000), "<f4").sum() == 60000
 
 
 def test_stretch_medians_are_exact_and_gather_no_channel(spark, monkeypatch):
