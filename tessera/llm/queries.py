@@ -6,6 +6,7 @@ from .ann import op2_nearest_neighbours
 from .bpe import op5_byte_bpe
 from .html_extract import op6_html_text
 from .lang_id import op8_language_id
+from .lexical_search import op12_lexical_search
 from .license_scan import op4_license_scan
 from .media import op9_media
 from .minhash import op10_minhash
@@ -13,13 +14,14 @@ from .packing import op3_packing
 from .secret_scan import BASE, RULES, op1_secret_scan
 from .token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_packing, op4_license_scan, op5_byte_bpe, op6_html_text, op7_token_counts, op8_language_id, op9_media, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_packing, op4_license_scan, op5_byte_bpe, op6_html_text, op7_token_counts, op8_language_id, op9_media, op10_minhash, op12_lexical_search)}
 _RULES = "\n UNION ALL ".join(
     f"SELECT doc_id, '{r.kind}' AS kind, {i} AS place, {r.least} AS least, regexp_extract_all(text, {q}, 0) AS m, regexp_extract_all(text, {q}, {r.group}) AS g, string_split_regex(text, {q}) AS p FROM d"
     for i, r in enumerate(RULES)
     for q in ["'" + r.regex.replace("'", "''") + "'"]
 )
-_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), r AS ({_RULES}),
@@ -51,3 +53,12 @@ ORACLE_SQL["op6_html_text"] = r"""WITH a AS (SELECT page_id, url, regexp_extract
     c AS (SELECT page_id, url, replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM b),
     d AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM c)
     SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d"""
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE_SQL["op12_lexical_search"] = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents), n AS (SELECT r, doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+    c AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM n), i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+    tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+    w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, c GROUP BY term, n_docs),
+    s AS (SELECT item_id, r, n.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score FROM i JOIN tf USING (term) JOIN w USING (term) JOIN n USING (r), c GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 50"""
