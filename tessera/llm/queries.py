@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op2_nearest_neighbours
 from .bpe import op5_byte_bpe
+from .collocations import op11_collocations
 from .html_extract import op6_html_text
 from .lang_id import op8_language_id
 from .lexical_search import op12_lexical_search
@@ -14,7 +15,7 @@ from .packing import op3_packing
 from .secret_scan import BASE, RULES, op1_secret_scan
 from .token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_packing, op4_license_scan, op5_byte_bpe, op6_html_text, op7_token_counts, op8_language_id, op9_media, op10_minhash, op12_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_packing, op4_license_scan, op5_byte_bpe, op6_html_text, op7_token_counts, op8_language_id, op9_media, op10_minhash, op11_collocations, op12_lexical_search)}
 _RULES = "\n UNION ALL ".join(
     f"SELECT doc_id, '{r.kind}' AS kind, {i} AS place, {r.least} AS least, regexp_extract_all(text, {q}, 0) AS m, regexp_extract_all(text, {q}, {r.group}) AS g, string_split_regex(text, {q}) AS p FROM d"
     for i, r in enumerate(RULES)
@@ -62,3 +63,17 @@ ORACLE_SQL["op12_lexical_search"] = f"""WITH d AS (SELECT row_number() OVER () A
     s AS (SELECT item_id, r, n.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score FROM i JOIN tf USING (term) JOIN w USING (term) JOIN n USING (r), c GROUP BY ALL),
     k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
     SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 50"""
+
+ORACLE_SQL["op11_collocations"] = f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+    pc AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS w FROM d),
+    g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pc, (VALUES (1), (2), (3), (4)) v(k) WHERE len(w) >= k)),
+    f AS (SELECT lang, k, p, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30), t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pc GROUP BY lang),
+    c AS (SELECT lang, k, p, f AS a, string_split(p, ' ') AS w FROM f WHERE k > 1),
+    i AS (SELECT lang, a, k, w, n, unnest(range(1, k - n + 2)) AS i FROM c, (VALUES (2), (3)) v(n) WHERE n < k),
+    m AS (SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS p, max(a) AS longer FROM i GROUP BY ALL),
+    o AS (SELECT c.* FROM c LEFT JOIN m USING (lang, p) WHERE longer IS NULL OR 100 * longer < 80 * a),
+    cut AS (SELECT o.lang, o.p, a, w, k, unnest(range(1, k)) AS j FROM o),
+    b AS (SELECT cut.lang, cut.p, a, j, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score FROM cut JOIN f x ON x.lang = cut.lang AND x.p = array_to_string(w[1:j], ' ') JOIN f y ON y.lang = cut.lang AND y.p = array_to_string(w[j + 1:cut.k], ' ')),
+    z AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, j) AS best FROM b),
+    k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM z WHERE best = 1)
+    SELECT lang, rank, p AS phrase, a, l, r, n, score::BIGINT AS score FROM k JOIN t USING (lang) WHERE rank <= 2000"""
