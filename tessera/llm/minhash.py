@@ -16,7 +16,7 @@ are one class; a null doc_id takes no part (component_id null, kept false); an e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,7 +133,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int, group: int
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label of every node in the links (a, b). Each round every node takes its smallest neighbour's number and links are contracted."""
+    """node, label of every node in the links (a, b), as a table. Each round every node takes its smallest neighbour's number and links are contracted."""
     edges = materialise(links.where("a <> b").select("a", "b"), "links")
     label: DataFrame | None = None
     while not edges.isEmpty():
@@ -144,8 +144,14 @@ def components(links: DataFrame) -> DataFrame:
         contracted = materialise(contracted, "links")
         discard(edges)
         edges = contracted
-        step = parent.select(F.col("a").alias("label"), "p")
-        label = parent.select(F.col("a").alias("node"), F.col("p").alias("label")) if label is None else label.join(step, "label", "left").select("node", F.coalesce("p", "label").alias("label"))
+        if label is None:
+            label = materialise(parent.select(F.col("a").alias("node"), F.col("p").alias("label")), "labels")
+        else:
+            step = parent.select(F.col("a").alias("label"), "p")
+            further = materialise(label.join(step, "label", "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
+            discard(label)
+            label = further
+        discard(parent)
     return label if label is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
@@ -155,13 +161,20 @@ def reaches(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(one) + len(other) - both)
 
 
-def cross_links(members: DataFrame, texts: DataFrame, k: int, percent: int, block: int = 512) -> DataFrame:
+def by_signature(low: np.ndarray, own: np.ndarray, percent: int) -> np.ndarray:
+    """Rows of `low` that may be similar to `own` (a byte of each signature value), likeliest first."""
+    estimate = ((low == own).mean(1) * 256 - 1) / 255
+    near = np.flatnonzero(estimate >= percent / 100 - SLACK)
+    return near[np.argsort(-estimate[near], kind="stable")]
+
+
+def cross_links(members: DataFrame, texts: DataFrame, k: int, percent: int, block: int = 512, likely: Callable[[np.ndarray, np.ndarray, int], np.ndarray] = by_signature) -> DataFrame:
     """Links (a, b) between members of different components in a bucket; enough of them to join all components that any such link joins.
 
     members: key, node, label, low. Buckets with the same members count once. Members outside the bucket's largest
-    component (minors) are held against all members of other components, block by block: pairs whose signatures rule the
-    threshold out are passed over, the others are compared on their full sets, likeliest first, until they are in one
-    component. Only links leave a task.
+    component (minors) are held against all members of other components, block by block: `likely` names those that a member
+    may be linked with, which are compared on their full sets, likeliest first, until they are in one component. Only links
+    leave a task.
     """
     sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"))
     buckets = sizes.groupBy("key").agg(F.sum("n").alias("m"), F.sum("h").alias("h"), F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"))
@@ -173,7 +186,6 @@ def cross_links(members: DataFrame, texts: DataFrame, k: int, percent: int, bloc
     placed = rows.select("key", "node", "label", "low", F.lit(0).alias("role"), F.pmod("h", "own").cast("int").alias("part"), every(F.col("minors")).alias("minor_part")).unionByName(
         rows.where("label <> main").select("key", "node", "label", "low", F.lit(1).alias("role"), every(F.col("own")).alias("part"), F.pmod("h", "minors").cast("int").alias("minor_part"))
     )
-    least = percent / 100 - SLACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -189,9 +201,7 @@ def cross_links(members: DataFrame, texts: DataFrame, k: int, percent: int, bloc
             nodes = list(rows)
             low = np.frombuffer(b"".join(rows[n][1] for n in nodes), np.uint8).reshape(len(nodes), -1)
             for node, (label, own_low, kept) in minors.items():
-                estimate = ((low == np.frombuffer(own_low, np.uint8)).mean(1) * 256 - 1) / 255
-                near = np.flatnonzero(estimate >= least)
-                for i in near[np.argsort(-estimate[near], kind="stable")].tolist():
+                for i in likely(low, np.frombuffer(own_low, np.uint8), percent).tolist():
                     other = rows[nodes[i]]
                     a, b = find(label), find(other[0])
                     if a != b and reaches(kept, other[2], percent):
@@ -231,23 +241,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     keys = nodes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("m")).where("m > 1").select("key", "first")
     members = materialise(keys.join(shared, "key"), "buckets")
-    stars = materialise(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    of_node = joined_nodes(nodes, members, docs, k, percent)
+    out = sigs.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
+
+def joined_nodes(nodes: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int, likely: Callable = by_signature) -> DataFrame:
+    """node, component_id (smallest doc_id of the component) as a table; the tables `nodes` (node, rep, low) and `members` (key, node, first: buckets with their smallest node) go."""
+    stars = materialise(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     involved = members.select("node").distinct().join(nodes.select("node", F.col("rep").alias("doc_id")), "node")
     texts = materialise(docs.select("doc_id", "text").join(involved, "doc_id").select("node", "doc_id", "text"), "texts")
     links = materialise(confirm(stars, texts, k, percent), "links")
     label = components(links)
     labelled = members.join(nodes.select("node", "low"), "node").join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "low")
-    more = materialise(cross_links(labelled, texts, k, percent), "links")
+    more = materialise(cross_links(labelled, texts, k, percent, likely=likely), "links")
     if not more.isEmpty():
+        discard(label)
         label = components(links.unionByName(more))
-
     grouped = nodes.select("node", "rep").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_node = grouped.join(smallest, "label").select("node", "component_id")
-    out = sigs.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    out = materialise(grouped.join(smallest, "label").select("node", "component_id"), "components")
+    for done in (stars, texts, links, more, label, members, nodes):
+        discard(done)
+    return out
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

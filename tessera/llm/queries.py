@@ -6,6 +6,7 @@ from .ann import op2_nearest_neighbours
 from .bpe import op5_byte_bpe
 from .collocations import op11_collocations
 from .html_extract import op6_html_text
+from .jaccard_join import op13_jaccard_join
 from .lang_id import op8_language_id
 from .lexical_search import op12_lexical_search
 from .license_scan import op4_license_scan
@@ -15,7 +16,7 @@ from .packing import op3_packing
 from .secret_scan import BASE, RULES, op1_secret_scan
 from .token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_packing, op4_license_scan, op5_byte_bpe, op6_html_text, op7_token_counts, op8_language_id, op9_media, op10_minhash, op11_collocations, op12_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_packing, op4_license_scan, op5_byte_bpe, op6_html_text, op7_token_counts, op8_language_id, op9_media, op10_minhash, op11_collocations, op12_lexical_search, op13_jaccard_join)}
 _RULES = "\n UNION ALL ".join(
     f"SELECT doc_id, '{r.kind}' AS kind, {i} AS place, {r.least} AS least, regexp_extract_all(text, {q}, 0) AS m, regexp_extract_all(text, {q}, {r.group}) AS g, string_split_regex(text, {q}) AS p FROM d"
     for i, r in enumerate(RULES)
@@ -77,3 +78,5 @@ ORACLE_SQL["op11_collocations"] = f"""WITH d AS (SELECT row_number() OVER () AS
     z AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, j) AS best FROM b),
     k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM z WHERE best = 1)
     SELECT lang, rank, p AS phrase, a, l, r, n, score::BIGINT AS score FROM k JOIN t USING (lang) WHERE rank <= 2000"""
+
+ORACLE_SQL["op13_jaccard_join"] = ORACLE_SQL["op10_minhash"].replace("w[i:i + 3]", "w[i:i + 4]").replace("len(w) - 2, 2", "len(w) - 3, 2").replace(", doc_id = coalesce(c, doc_id) AS kept", "")
