@@ -54,7 +54,7 @@ def list_rows(n: int, percent: int) -> int:
 
 @lru_cache(512)
 def _left_out(n: int, d: int) -> np.ndarray:
-    return np.array(list(combinations(range(n), d)), np.intp).reshape(-1, d)
+    return np.array(list(combinations(range(n), d)), np.intp).reshape(comb(n, d), d)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -125,7 +125,7 @@ def occurrences(docs: DataFrame, k: int, limit: int = 4_000_000) -> DataFrame:
 
 
 def boundary_of(sizes: dict[int, int], partners: float, percent: int) -> int:
-    """The size from which sets are heavy, by cost. sizes: how many sets of each size under HEAVY; partners: sets that an entry of a list meets there on average."""
+    """The size from which sets are heavy, by cost. sizes: how many sets of each size under HEAVY; partners: sets that an entry meets on an average list."""
 
     def cost(x: int) -> float:
         light = sum(c * (subset_rows(n, percent) + (list_rows(n, percent) if n >= least_shared(x, percent) else 0)) for n, c in sizes.items() if n < x)
@@ -163,7 +163,7 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     known = seen.where((F.col("kind") == 0) & (F.col("n") >= least)).select("key", "n").toArrow()  # FREQUENT rows at most
     frequent, counts = known.column(0).to_numpy().view(np.uint64), known.column(1).to_numpy()
     order = np.argsort(frequent)
-    partners = seen.where((F.col("kind") == 1) & (F.col("n") < least)).agg(F.sum(F.col("n") * (F.col("n") - 1)) / F.sum("n")).first()[0] or 0.0
+    partners = seen.where("kind = 1").agg(F.avg(F.col("n") - 1)).first()[0] or 0.0
     boundary = boundary_of({r.key: r.n for r in seen.where("kind = 2").collect()}, partners, percent)  # HEAVY rows at most
 
     sigs = materialise(keyed(docs, k, percent, boundary, frequent[order], counts[order]), "keyed")
