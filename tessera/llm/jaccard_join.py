@@ -11,8 +11,9 @@ The boundary is where the estimated cost of all sets is least: a row for each su
 the pairs that it is expected to meet there. How often shingles occur comes from all documents: those that make up more than
 1 / FREQUENT of all occurrences are known with counts (so there are FREQUENT at most), the others count as rare.
 
-Sets that share a subset or list are compared as the buckets of near-duplicates are: each with the smallest first, then, where that leaves
-several components, members across components in blocks, after an exact bound (sizes, and parity bits of the sets). Links are exact.
+Members of a list whose sizes and parity bits rule a link with every other member out (an exact bound) leave it before any text is
+read. Those left are compared as the buckets of near-duplicates are: each with the smallest first, then, where that leaves several
+components, members across components in blocks. Links are confirmed on full sets.
 
 Defined cases: a document without words (or null) has an empty set and is linked with nothing; fewer words than k make one
 shingle of all of them; repeated rows are one set; a null doc_id takes no part (component_id null); an empty table gives an
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise, table
+from .common import discard, map_texts, materialise, table
 from .minhash import joined_nodes, node_of, shingles
 
 #: Most frequent shingles that are told apart; sizes from which sets are always heavy; cost of a pair in rows; one shingle of so many is counted for the estimate of pairs; parity bits.
@@ -84,15 +85,74 @@ def parity(kept: np.ndarray) -> bytes:
     return np.uint32(len(kept)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def by_parity(low: np.ndarray, own: np.ndarray, percent: int) -> np.ndarray:
-    """Rows of `low` whose sizes and parities don't rule a link with `own` out, likeliest first: sets differ in as many shingles as their parities do at least."""
+def apart(low: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets (rows of parity()): shingles by which they differ at least (as many as their parities, or sizes), shingles of both together."""
     size = lambda x: np.ascontiguousarray(x[..., :4]).view(np.uint32)[..., 0].astype(np.int64)
-    differ = np.maximum(np.bitwise_count(low[:, 4:] ^ own[4:]).sum(1, dtype=np.int64), np.abs(size(low) - size(own)))
-    both = size(low) + size(own)
-    near = np.flatnonzero((100 + percent) * (both - differ) >= 2 * percent * both)
+    return np.maximum(np.bitwise_count(low[..., 4:] ^ other[..., 4:]).sum(-1, dtype=np.int64), np.abs(size(low) - size(other))), size(low) + size(other)
+
+
+def allowed(low: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Whether they can be linked."""
+    differ, both = apart(low, other)
+    return (100 + percent) * (both - differ) >= 2 * percent * both
+
+
+def by_parity(low: np.ndarray, own: np.ndarray, percent: int) -> np.ndarray:
+    """Rows of `low` that are allowed a link with `own`, likeliest first."""
+    differ, both = apart(low, own)
+    near = np.flatnonzero(allowed(low, own, percent))
     return near[np.argsort(differ[near] / both[near], kind="stable")]
 
 
+def plausible(members: DataFrame, lows: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """key, node, first (the smallest left) of list members that another member may be linked with.
+
+    members: key, node, first; lows: node, low. Members that the first one doesn't allow are held against all others, in blocks.
+    """
+
+    def with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (3, 4))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(allowed(low, other, percent))], names=["key", "node", "first", "low", "ok"])
+
+    both = members.where("node <> first").join(lows, "node").join(lows.select(F.col("node").alias("first"), F.col("low").alias("first_low")), "first")
+    near = materialise(both.select("key", "node", "first", "low", "first_low").mapInArrow(with_first, "key long, node long, first long, low binary, ok boolean"), "near")
+    sizes = near.groupBy("key").agg(F.count("*").alias("m"), F.count_if(~F.col("ok")).alias("apart")).where("apart > 0 and m > 1")
+    parts = lambda n: F.ceil(F.col(n) / block).cast("int")
+    rows = near.join(sizes, "key").withColumns({"h": F.xxhash64("node"), "own": parts("m"), "others": parts("apart")})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    placed = rows.select("key", "node", "low", F.lit(0).alias("role"), F.pmod("h", "own").cast("int").alias("part"), every("others").alias("apart_part")).unionByName(
+        rows.where("not ok").select("key", "node", "low", F.lit(1).alias("role"), every("own").alias("part"), F.pmod("h", "others").cast("int").alias("apart_part"))
+    )
+
+    def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, ([], [])
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if held[0] and held[1]:
+                nodes = [np.array([n for n, _ in h], np.int64) for h in held]
+                low, own = (np.frombuffer(b"".join(x for _, x in h), np.uint8).reshape(len(h), -1) for h in held)
+                keep = [bool((allowed(low, o, percent) & (nodes[0] != n)).any()) for n, o in zip(nodes[1], own)]
+                yield pa.RecordBatch.from_arrays([pa.array([at[0]] * sum(keep), pa.int64()), pa.array(nodes[1][keep])], names=["key", "node"])
+
+        for batch in batches:
+            for key, part, apart_part, role, node, low in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (key, part, apart_part):
+                    yield from found()
+                    at, held = (key, part, apart_part), ([], [])
+                held[role].append((node, low))
+        yield from found()
+
+    dealt = placed.select("key", "part", "apart_part", "role", "node", "low").repartition("key", "part", "apart_part").sortWithinPartitions("key", "part", "apart_part")
+    good = near.where("ok").select("key", "node").unionByName(near.where("ok").select("key", F.col("first").alias("node"))).unionByName(dealt.mapInArrow(in_blocks, "key long, node long"))
+    # who is held against one that is apart may stand with the first already, or be found itself: what is allowed is allowed both ways
+    good = materialise(good.distinct(), "plausible")
+    out = materialise(good.join(good.groupBy("key").agg(F.min("node").alias("first")), "key"), "lists")
+    discard(near)
+    discard(good)
+    return out
+
+
 def occurrences(docs: DataFrame, k: int, limit: int = 4_000_000) -> DataFrame:
     """kind, key, n, added up over tasks. 0: shingles that are frequent in a stretch of `limit` occurrences; 1: all shingles whose hash is one of ESTIMATE; 2: sets by size (under HEAVY); 3: occurrences."""
 
@@ -165,6 +225,7 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     order = np.argsort(frequent)
     partners = seen.where("kind = 1").agg(F.avg(F.col("n") - 1)).first()[0] or 0.0
     boundary = boundary_of({r.key: r.n for r in seen.where("kind = 2").collect()}, partners, percent)  # HEAVY rows at most
+    discard(seen)
 
     sigs = materialise(keyed(docs, k, percent, boundary, frequent[order], counts[order]), "keyed")
     one = sigs.where("node is not null and doc_id is not null").groupBy("node")
@@ -173,7 +234,9 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("m"), F.expr("bit_xor(xxhash64(node))").alias("h"), F.max("n").alias("most"))
     shared = found.where((F.col("m") > 1) & ((F.col("key") % 2 != 0) | (F.col("most") >= boundary)))
     shared = shared.groupBy("first", "m", "h").agg(F.min("key").alias("key"))  # lists of the same sets count once
-    members = materialise(keys.select("node", "key").join(shared.select("key", "first"), "key"), "lists")
+    lists = materialise(keys.select("node", "key").join(shared.select("key", "first"), "key"), "lists")
+    members = plausible(lists, nodes.select("node", "low"), percent)
+    discard(lists)
     of_node = joined_nodes(nodes, members, docs, k, percent, by_parity)
     out = sigs.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
