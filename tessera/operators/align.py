@@ -1,17 +1,18 @@
 """Reprojection of solved panels to the mosaic's frame with Lanczos-3.
 
-Output strips are the unit: a strip needs the source rows that its footprint maps to, so source rows are sent to the strips
-that may use them and each group resamples one strip of one panel.
+Output strips are the unit: a strip needs the source bands that its footprint maps to, so bands are sent to the strips
+that may use them and each group resamples one strip of one panel, all channels together.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.astrometry import Frame, LinearWcs, boundary
+from .summary import band_arrays
 
 PAD, TAPS = 3, 6
 
@@ -50,9 +51,9 @@ def footprint(model: LinearWcs, width: int, height: int, frame: Frame) -> tuple[
     return int(lo[0]), int(lo[1]), int(hi[0]), int(hi[1])
 
 
-def reproject(strips: DataFrame, models: dict[int, tuple[LinearWcs, int, int]], frame: Frame, rows: int = 64) -> DataFrame:
-    """strips (panel_id, ch, y, x0, row) in the frame's grid. models: solution, width and height of each panel (a few numbers a panel)."""
-    spark = strips.sparkSession
+def reproject(bands: DataFrame, models: dict[int, tuple[LinearWcs, int, int]], frame: Frame, rows: int = 64) -> DataFrame:
+    """Bands (panel_id, y, x0, vals) in the frame's grid. models: solution, width and height of each panel (a few numbers a panel)."""
+    spark = bands.sparkSession
     need = []
     for p, (model, width, height) in models.items():
         x0, y0, x1, y1 = footprint(model, width, height, frame)
@@ -61,27 +62,28 @@ def reproject(strips: DataFrame, models: dict[int, tuple[LinearWcs, int, int]],
             sy = model.to_pixel(*frame.wcs().to_sky(*edge.T))[1]
             need.append((p, s, int(np.floor(np.nanmin(sy))) - 4, int(np.ceil(np.nanmax(sy))) + 5))
     ranges = spark.createDataFrame(need, "panel_id long, strip long, lo long, hi long")  # a row for each output strip of a panel
-    sent = strips.join(F.broadcast(ranges), (strips.panel_id == ranges.panel_id) & (strips.y >= ranges.lo) & (strips.y < ranges.hi)).select(strips.panel_id, "strip", "ch", "y", "x0", "row")
+    sent = bands.join(F.broadcast(ranges), (bands.panel_id == ranges.panel_id) & (bands.y >= ranges.lo) & (bands.y < ranges.hi)).select(bands.panel_id, "strip", "y", "x0", "vals")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p, s = int(key[0]), int(key[1])
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        p, s = int(key[0].as_py()), int(key[1].as_py())
         model, width, height = models[p]
         x0, y0, x1, y1 = footprint(model, width, height, frame)
         lo, hi = max(y0, s * rows), min(y1, (s + 1) * rows)
-        if lo >= hi:
-            return pd.DataFrame({"panel_id": [], "ch": [], "y": [], "x0": [], "row": []})
+        t = t.combine_chunks()
+        y, parts = t["y"].to_numpy(), list(band_arrays(t["x0"].chunk(0), t["vals"].chunk(0)))
+        if lo >= hi or not parts:
+            return pa.table({"panel_id": pa.array([], pa.int64()), "y": pa.array([], pa.int64()), "x0": pa.array([], pa.int64()), "vals": pa.array([], pa.list_(pa.list_(pa.float64())))})
         yy, xx = np.mgrid[lo:hi, x0:x1]
         # the output pixel (i, j) carries the coordinate (i, j); the source is sampled half a pixel before it
         sx, sy = model.to_pixel(*frame.wcs().to_sky(xx, yy))
-        top = int(pdf["y"].min())
-        planes = []
-        for _, g in sorted(pdf.groupby("ch"), key=lambda g: g[0]):
-            plane = np.zeros((int(pdf["y"].max()) - top + 1, width))
-            for y, at, row in zip(g["y"], g["x0"], g["row"]):
-                plane[y - top, at : at + len(row)] = row
-            planes.append(resample(plane, sx - 0.5, sy - 0.5 - top))
-        out = np.stack(planes)
+        top = int(y.min())
+        planes = np.zeros((max(v.shape[1] for _, _, v in parts), int(y.max()) - top + 1, width))
+        for at, x, v in parts:
+            planes[: v.shape[1], y[at] - top, x : x + v.shape[2]] = np.moveaxis(v, 0, 1)
+        out = np.stack([resample(plane, sx - 0.5, sy - 0.5 - top) for plane in planes])
         out[:, ~np.isfinite(out).all(0)] = 0.0
-        return pd.concat([pd.DataFrame({"panel_id": p, "ch": c, "y": np.arange(lo, hi), "x0": x0, "row": list(out[c])}) for c in range(len(out))])
+        c, n, w = out.shape
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(n * c + 1) * w, pa.int32()), pa.array(np.moveaxis(out, 1, 0).ravel()))
+        return pa.table({"panel_id": np.full(n, p), "y": np.arange(lo, hi), "x0": np.full(n, x0), "vals": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * c, pa.int32()), inner)})
 
-    return sent.groupBy("panel_id", "strip").applyInPandas(run, "panel_id long, ch long, y long, x0 long, row array<double>")
+    return sent.groupBy("panel_id", "strip").applyInArrow(run, "panel_id long, y long, x0 long, vals array<array<double>>")

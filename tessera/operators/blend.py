@@ -1,21 +1,25 @@
-"""Blending panels into a mosaic: feather and preview as plain aggregation, two-band and pyramid over tiles and strips.
+"""Blending panels into a mosaic: previews as plain aggregation, feather, two-band and pyramid over tiles.
 
 Cells are 1/64 of the pixels. Star-free bases are made panel by panel; seam ramps, the reference base and the pyramid tile by
-tile of cells, each with a halo wider than any filter reaches; pixels tile by tile, joined with the cells that bilinear taps
-need. No group holds the whole mosaic, or a whole row of it.
+tile of cells, each with a halo wider than any filter reaches. Pixels travel as bands, cut at the borders of squares, and are
+corrected and blended there, with the cells that bilinear taps need; mosaics come out as strips of such squares (y, x0, vals; null
+where nothing is covered). No group holds the whole mosaic, or a whole row of it, and no pixel is a row.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import feather_weight, horner, levels_for_feather
+from ..functions.scalar import feather_weight, levels_for_feather
 from .masks import AROUND, base_reach, detail_reference, plane_of, shifted, star_mask, transitions, upper_median
 from .pyramid import blend as blend_levels
 from .pyramid import build, mask_levels
+from .summary import band_arrays, tiles
 
 LEAST_WEIGHT, RAMP_PX, ANCHOR_K, LOCAL_LAYERS, FILL_ROUNDS, VETO = 1e-4, 32.0, 20.0, 8, 256, 6.0
 
@@ -27,33 +31,119 @@ def preview(values: DataFrame, distance: DataFrame, feather: float) -> DataFrame
     return f.groupBy("x8", "y8", "ch").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"))
 
 
-def apply_corrections(rows: DataFrame, corrections: DataFrame, surfaces: DataFrame | None, width: int, height: int) -> DataFrame:
-    """panel_id, x8, y8, x, y, ch, v: covered samples of wide() rows after gain, offset and surface (at whole pixel indices)."""
-    v = rows.where("covered").select("panel_id", "x8", "y8", "x", "y", F.posexplode("vals").alias("ch", "raw")).withColumn("ch", F.col("ch").cast("long"))
-    v = v.join(corrections.select("panel_id", "ch", "gain", "offset"), ["panel_id", "ch"], "left")
-    out = F.coalesce("gain", F.lit(1.0)) * F.col("raw") + F.coalesce("offset", F.lit(0.0))
-    if surfaces is not None:
-        v = v.join(surfaces.select("panel_id", "ch", "coef"), ["panel_id", "ch"], "left")
-        terms = [F.coalesce(F.get("coef", F.lit(i)), F.lit(0.0)) for i in range(6)]
-        out = out + horner(6, terms, F.col("x") / width, F.col("y") / height)
-    return v.select("panel_id", "x8", "y8", "x", "y", "ch", out.alias("v"))
+MOSAIC_DDL = "y long, x0 long, vals array<array<double>>"
+
+
+def with_corrections(bands: DataFrame, corrections: DataFrame, surfaces: DataFrame | None) -> DataFrame:
+    """Bands with their panel's gain and offset (arrays by channel) and coefs (surface terms by channel); a row a panel is joined."""
+    c = corrections.select("panel_id", "ch", "gain", "offset")
+    c = c.join(surfaces.select("panel_id", "ch", "coef"), ["panel_id", "ch"], "left") if surfaces is not None else c.withColumn("coef", F.expr("cast(null as array<double>)"))
+    by = c.groupBy("panel_id").agg(F.array_sort(F.collect_list(F.struct("ch", "gain", "offset", F.coalesce("coef", F.expr("cast(array() as array<double>)")).alias("coef")))).alias("fix"))
+    return bands.join(by, "panel_id", "left")
+
+
+class Square:
+    """The pixels of a tile: corrected values and coverage of each panel in it."""
+
+    def __init__(self, t: pa.Table, width: int, height: int):
+        t = t.combine_chunks()
+        panel, y = (t[c].to_numpy() for c in ("panel_id", "y"))
+        x0, vals = (t[c].chunk(0) for c in ("x0", "vals"))
+        size = pc.list_value_length(pc.list_element(vals, 0)).to_numpy()
+        at = x0.to_numpy()
+        self.x0, self.y0 = int(at.min()), int(y.min())
+        self.shape = (int(y.max()) - self.y0 + 1, int((at + size).max()) - self.x0)
+        self.channels = len(vals[0])
+        self.panels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        raw = {int(p): np.zeros((self.channels, *self.shape)) for p in np.unique(panel)}
+        for rows, x, v in band_arrays(x0, vals):
+            for p, line, one in zip(panel[rows].tolist(), (y[rows] - self.y0).tolist(), v):
+                raw[p][:, line, x - self.x0 : x - self.x0 + one.shape[1]] = one
+        _, first = np.unique(panel, return_index=True)
+        fixes = dict(zip(panel[first].tolist(), t["fix"].take(first).to_pylist()))
+        self.yy, self.xx = np.mgrid[self.y0 : self.y0 + self.shape[0], self.x0 : self.x0 + self.shape[1]]
+        for p, v in sorted(raw.items()):
+            covered = (v != 0).all(0)
+            for f in fixes[p] or ():
+                v[f["ch"]] = f["gain"] * v[f["ch"]] + f["offset"]
+                if f["coef"]:
+                    x, y = self.xx / width, self.yy / height
+                    v[f["ch"]] += sum(k * term for k, term in zip(f["coef"], (1.0, x, y, x * x, x * y, y * y)))
+            self.panels[p] = (np.where(covered, v, 0.0), covered)
+
+    def rows(self, values: np.ndarray, some: np.ndarray, box: tuple[int, int, int, int] | None, **more: np.ndarray) -> pa.Table:
+        """Strips of the mosaic: values (by channel) are null where `some` is false; only what lies in the box."""
+        (h, w), (x0, y0) = self.shape, (self.x0, self.y0)
+        lo_x, lo_y, hi_x, hi_y = (max(box[0], x0) - x0, max(box[1], y0) - y0, min(box[2], x0 + w) - x0, min(box[3], y0 + h) - y0) if box else (0, 0, w, h)
+        if lo_x >= hi_x or lo_y >= hi_y:
+            return _no_strips(*more)
+        cut = lambda a: a[..., lo_y:hi_y, lo_x:hi_x]
+        v, ok = np.moveaxis(cut(values), 0, 1), cut(some)
+        n, c, k = v.shape
+        flat = pa.array(v.ravel(), mask=~np.broadcast_to(ok[:, None], v.shape).ravel())
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(n * c + 1) * k, pa.int32()), flat)
+        cols = {"y": pa.array(np.arange(n) + y0 + lo_y), "x0": pa.array(np.full(n, x0 + lo_x)), "vals": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * c, pa.int32()), inner)}
+        for name, a in more.items():
+            cols[name] = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(cut(a).ravel().astype(np.int32)))
+        return pa.table(cols)
+
+
+def mosaic_pixels(mosaic: DataFrame, *more: str) -> DataFrame:
+    """Strips of a mosaic as covered samples: x, y, ch, value, and of columns of arrays by pixel their elements."""
+    rows = mosaic.select("y", "x0", F.posexplode("vals").alias("ch", "row"), *more)
+    out = rows.select("y", "x0", F.col("ch").cast("long").alias("ch"), F.posexplode("row").alias("i", "value"), *more).where("value is not null")
+    return out.select((F.col("x0") + F.col("i")).alias("x"), "y", "ch", "value", *(F.get(m, F.col("i")).cast("long").alias(m) for m in more))
+
+
+def _near(table: DataFrame, side: int) -> DataFrame:
+    """Cells with the squares of pixels (sx, sy) that they or a neighbour touch."""
+    near = lambda axis: F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.greatest(F.col(axis) + k, F.lit(0)) / (side // 8))))
+    return table.withColumn("sy", F.explode(near("y8"))).withColumn("sx", F.explode(near("x8")))
 
 
-def feather_pixels(samples: DataFrame, distance: DataFrame, feather: float) -> DataFrame:
-    """x, y, ch, value: weighted mean over covering panels; the weight follows the distance (in cells, bilinear at (x/8, y/8)).
+def feather(bands: DataFrame, corrections: DataFrame, surfaces: DataFrame | None, width: int, height: int, distance: DataFrame, feather: float, side: int = 512, box: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """Strips of the mosaic (y, x0, vals, n_panels): weighted mean over covering panels; the weight follows the distance (in cells, bilinear at (x/8, y/8)).
 
-    Four equi joins with computed keys would shuffle pixels four times; instead each cell brings its right, lower and
-    diagonal neighbours' distances along, so that pixels are joined once, where they lie: samples are dealt by cell.
+    A tap beyond the panel's cells takes its nearest neighbour's distance. One group is a square of pixels with the cells that touch it.
     """
-    d = distance.select("panel_id", "x8", "y8", "d")
-    moved = lambda dx, dy, name: d.select("panel_id", (F.col("x8") - dx).alias("x8"), (F.col("y8") - dy).alias("y8"), F.col("d").alias(name))
-    taps = d.join(moved(1, 0, "dr"), ["panel_id", "x8", "y8"], "left").join(moved(0, 1, "dd"), ["panel_id", "x8", "y8"], "left").join(moved(1, 1, "dx"), ["panel_id", "x8", "y8"], "left")
-    taps = taps.select("panel_id", "x8", "y8", "d", F.coalesce("dr", "d").alias("dr"), F.coalesce("dd", "d").alias("dd"), F.coalesce("dx", "dr", "dd", "d").alias("dx"))
-    s = samples.join(taps, ["panel_id", "x8", "y8"])
-    tx, ty = F.col("x") / 8 - F.col("x8"), F.col("y") / 8 - F.col("y8")
-    dist = (F.col("d") * (1 - tx) + F.col("dr") * tx) * (1 - ty) + (F.col("dd") * (1 - tx) + F.col("dx") * tx) * ty
-    w = feather_weight(8 * dist, feather)
-    return s.groupBy("x", "y", "ch").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("value"), F.count("*").alias("n_panels"))
+    fixed = tiles(with_corrections(bands, corrections, surfaces), side)
+
+    def run(pix: pa.Table, cell: pa.Table) -> pa.Table:
+        sq = Square(pix, width, height) if pix.num_rows else None
+        if sq is None:
+            return _no_strips("n_panels")
+        g = cell.to_pandas()
+        total, weight, count = np.zeros((sq.channels, *sq.shape)), np.zeros(sq.shape), np.zeros(sq.shape, np.int64)
+        own = {int(p): c for p, c in g.groupby("panel_id")}
+        x8, y8 = sq.xx // 8, sq.yy // 8
+        left, top = int(x8.min()), int(y8.min())
+        h8, w8 = int(y8.max()) - top + 2, int(x8.max()) - left + 2
+        tx, ty = sq.xx / 8 - x8, sq.yy / 8 - y8
+        for p, (v, covered) in sq.panels.items():
+            if not covered.any():
+                continue
+            d = np.full((h8, w8), np.nan)
+            c = own[p]
+            inside = (c["x8"] >= left) & (c["x8"] < left + w8) & (c["y8"] >= top) & (c["y8"] < top + h8)
+            d[c["y8"][inside] - top, c["x8"][inside] - left] = c["d"][inside]
+            at = lambda dy, dx, d=d: d[y8 - top + dy, x8 - left + dx]
+            a, r, b, x = at(0, 0), at(0, 1), at(1, 0), at(1, 1)
+            x = np.where(np.isnan(x), np.where(np.isnan(r), np.where(np.isnan(b), a, b), r), x)
+            r, b = np.where(np.isnan(r), a, r), np.where(np.isnan(b), a, b)
+            dist = (a * (1 - tx) + r * tx) * (1 - ty) + (b * (1 - tx) + x * tx) * ty
+            w = np.where(covered, np.maximum(np.clip(8 * dist / feather, 0, 1), LEAST_WEIGHT), 0)
+            total += np.where(covered, w * v, 0)
+            weight += w
+            count += covered
+        some = count > 0
+        return sq.rows(total / np.where(some, weight, 1), some, box, n_panels=count)
+
+    cells_ = _near(distance.select("panel_id", "x8", "y8", "d"), side)
+    return fixed.groupBy("sy", "sx").cogroup(cells_.groupBy("sy", "sx")).applyInArrow(run, MOSAIC_DDL + ", n_panels array<int>")
+
+
+def _no_strips(*more: str) -> pa.Table:
+    return pa.table({"y": pa.array([], pa.int64()), "x0": pa.array([], pa.int64()), "vals": pa.array([], pa.list_(pa.list_(pa.float64()))), **{m: pa.array([], pa.list_(pa.int32())) for m in more}})
 
 
 def star_free_base(values: np.ndarray, coverage: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,23 +265,21 @@ def _taps(plane: np.ndarray, gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
     return (plane[y, x] * (1 - tx) + plane[y, x1] * tx) * (1 - ty) + (plane[y1, x] * (1 - tx) + plane[y1, x1] * tx) * ty
 
 
-def two_band(samples: DataFrame, tiles: DataFrame, feather: float, veto: bool = True, side: int = 512) -> DataFrame:
-    """x, y, ch, value: the reference base plus the owner's detail, mixed across seams only.
+def two_band(bands: DataFrame, corrections: DataFrame, surfaces: DataFrame | None, width: int, height: int, tiles_: DataFrame, feather: float, veto: bool = True, side: int = 512, box: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """Strips of the mosaic (y, x0, vals): the reference base plus the owner's detail, mixed across seams only.
 
-    samples: panel_id, x8, y8, x, y, ch, v (corrected). tiles: of tile_prep(). One group is a square of pixels (`side` is a multiple of 8) with the cells that touch it.
+    tiles_: of tile_prep(). One group is a square of pixels (`side` is a multiple of 8) with the cells that touch it.
     """
-    pix = samples.groupBy("panel_id", "x8", "y8", "x", "y").agg(F.array_sort(F.collect_list(F.struct("ch", "v"))).alias("v")).select(F.expr(f"y div {side}").alias("sy"), F.expr(f"x div {side}").alias("sx"), "panel_id", "x", "y", F.transform("v", lambda e: e["v"]).alias("v"))
-    near = lambda axis: F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.greatest(F.col(axis) + k, F.lit(0)) / (side // 8))))
-    cells = tiles.withColumn("sy", F.explode(near("y8"))).withColumn("sx", F.explode(near("x8")))
-
-    def run(pdf: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty or cell.empty:
-            return pd.DataFrame({"x": [], "y": [], "ch": [], "value": []}).astype({"x": int, "y": int, "ch": int})
-        x0, y0, x8, y8 = int(pdf["x"].min()), int(pdf["y"].min()), int(cell["x8"].min()), int(cell["y8"].min())
-        hgt, wid, h8, w8 = int(pdf["y"].max()) - y0 + 1, int(pdf["x"].max()) - x0 + 1, int(cell["y8"].max()) - y8 + 1, int(cell["x8"].max()) - x8 + 1
+    fixed, cells = tiles(with_corrections(bands, corrections, surfaces), side), _near(tiles_, side)
+
+    def run(pix: pa.Table, near: pa.Table) -> pa.Table:
+        if not pix.num_rows or not near.num_rows:
+            return _no_strips()
+        sq, cell = Square(pix, width, height), near.to_pandas()
+        x8, y8 = int(cell["x8"].min()), int(cell["y8"].min())
+        (hgt, wid), nch, yy, xx = sq.shape, sq.channels, sq.yy, sq.xx
+        h8, w8 = int(cell["y8"].max()) - y8 + 1, int(cell["x8"].max()) - x8 + 1
         cell = cell.assign(x8=cell["x8"] - x8, y8=cell["y8"] - y8)
-        nch = len(pdf["v"].iloc[0])
-        yy, xx = np.mgrid[y0 : y0 + hgt, x0 : x0 + wid]
         gx, gy = (xx + 0.5) / 8 - 0.5 - x8, (yy + 0.5) / 8 - 0.5 - y8
         cy, cx = np.clip(yy // 8 - y8, 0, h8 - 1), np.clip(xx // 8 - x8, 0, w8 - 1)
 
@@ -212,10 +300,9 @@ def two_band(samples: DataFrame, tiles: DataFrame, feather: float, veto: bool =
         own_cells = {int(p): g for p, g in cell.groupby("panel_id")}
         got = {}
         wsum, base_sum = np.zeros((hgt, wid)), np.zeros((nch, hgt, wid))
-        for p, g in sorted((int(p), g) for p, g in pdf.groupby("panel_id")):
-            v, cov = np.zeros((nch, hgt, wid)), np.zeros((hgt, wid), bool)
-            y, x = g["y"].to_numpy() - y0, g["x"].to_numpy() - x0
-            v[:, y, x], cov[y, x] = np.stack(g["v"].to_numpy()).T, True
+        for p, (v, cov) in sq.panels.items():
+            if not cov.any():
+                continue
             k = own_cells[p]
             d = 8 * _taps(np.minimum(plane(k, "d"), 1e6), xx / 8 - x8, yy / 8 - y8)
             w = np.where(cov, np.maximum(np.clip(d / feather, 0, 1), LEAST_WEIGHT), 0)
@@ -261,8 +348,6 @@ def two_band(samples: DataFrame, tiles: DataFrame, feather: float, veto: bool =
                         limit = VETO * np.minimum(vdet, got[q][5])
                         swap = at & (np.abs(detail[p] - detail[q]) > limit)
                         det = np.where(swap, np.where(np.abs(detail[q]) < np.abs(detail[p]), detail[q], detail[p]), det)
-        out = bref + det
-        y, x = np.nonzero(some)
-        return pd.concat([pd.DataFrame({"x": x + x0, "y": y + y0, "ch": ch, "value": out[ch, y, x]}) for ch in range(nch)])
+        return sq.rows(bref + det, some, box)
 
-    return pix.groupBy("sy", "sx").cogroup(cells.groupBy("sy", "sx")).applyInPandas(run, "x long, y long, ch long, value double")
+    return fixed.groupBy("sy", "sx").cogroup(cells.groupBy("sy", "sx")).applyInArrow(run, MOSAIC_DDL)

@@ -32,7 +32,7 @@ class Raster:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        self.px = rasters.pixels(spark, sf_dir)
+        self.bands = rasters.bands(spark, sf_dir)
         top = spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.max("vec_id")).first()[0]
         self.height = 0 if top is None else top + 1
         self._made: dict = {}
@@ -43,13 +43,13 @@ class Raster:
         return self._made[name]
 
     @property
-    def wide(self) -> DataFrame:
-        return self._once("wide", lambda: summary.wide(self.px))
+    def scan(self) -> DataFrame:
+        """Read by several steps of most plans; kept in memory, spilled to disk where that is short."""
+        return self._once("scan", lambda: summary.scan(self.bands).persist())
 
     @property
     def cells(self) -> DataFrame:
-        """Read by several steps of most plans; kept in memory, spilled to disk where that is short."""
-        return self._once("cells", lambda: summary.cells(self.wide, WIDTH, self.height).persist())
+        return self._once("cells", lambda: summary.cells(self.scan, WIDTH, self.height))
 
     @property
     def edges(self) -> DataFrame:
@@ -105,12 +105,12 @@ bound AS (SELECT DISTINCT o.x8, o.y8, o.owner, q.owner AS other FROM owner o JOI
 
 @query(WITH + " SELECT panel_id, ch, count(*) AS n, count(*) FILTER (v <> 0) AS n_nonzero, min(v) FILTER (v <> 0) AS v_min, max(v) FILTER (v <> 0) AS v_max, round(avg(v) FILTER (v <> 0), 3) AS v_mean FROM px GROUP BY ALL")
 def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.scan_stats(rasters.pixels(spark, sf_dir))
+    return summary.scan_stats(Raster(spark, sf_dir).scan)
 
 
 @query(CELLS + ", box AS (SELECT panel_id, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, count(*) AS n_covered FROM cov GROUP BY 1) SELECT panel_id, ch, x0, y0, x1, y1, n_covered, min(v) AS ch_min, max(v) AS ch_max, round(avg(v), 3) AS ch_mean FROM cpx JOIN box USING (panel_id) GROUP BY ALL")
 def panel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.panel_stats(Raster(spark, sf_dir).wide)
+    return summary.panel_stats(Raster(spark, sf_dir).scan)
 
 
 @query(CELLS + " SELECT panel_id, ch, x8, y8, n, area, round(n / area, 9) AS coverage, round(mean, 4) AS mean, round(sqrt(greatest(ss / n - mean * mean, 0)), 3) AS detail FROM cells")
@@ -149,22 +149,22 @@ def gauge_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CELLS + " SELECT min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM cov")
 def union_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.union_bbox(summary.panel_stats(Raster(spark, sf_dir).wide))
+    return summary.union_bbox(summary.panel_stats(Raster(spark, sf_dir).scan))
 
 
 @query(CELLS + " SELECT greatest(min(x), 10) AS x0, greatest(min(y), 100) AS y0, least(max(x) + 1, 50) AS x1, least(max(y) + 1, 1000000) AS y1 FROM cov")
 def roi_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.union_bbox(summary.panel_stats(Raster(spark, sf_dir).wide), (10, 100, 50, 1_000_000))
+    return summary.union_bbox(summary.panel_stats(Raster(spark, sf_dir).scan), (10, 100, 50, 1_000_000))
 
 
 @query(CELLS + ", box AS (SELECT panel_id, min(y) AS y0, max(y) + 1 AS y1 FROM cov GROUP BY 1), b AS (SELECT panel_id, unnest(generate_series(y0 // 64, (y1 - 1) // 64)) AS band FROM box) SELECT band, count(*) AS n_panels, min(panel_id) AS first_panel, max(panel_id) AS last_panel FROM b GROUP BY 1")
 def active_panels_per_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.active_panels(summary.panel_stats(Raster(spark, sf_dir).wide), 64)
+    return summary.active_panels(summary.panel_stats(Raster(spark, sf_dir).scan), 64)
 
 
 @query(CELLS + " SELECT n_panels, count(*) AS n_pixels FROM (SELECT x, y, count(*) AS n_panels FROM cov GROUP BY 1, 2) GROUP BY 1")
 def covering_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.covering_counts(Raster(spark, sf_dir).wide)
+    return summary.covering_counts(Raster(spark, sf_dir).bands)
 
 
 SUMS = PAIRS + ", es AS (SELECT p.a, p.b, p.ch, count(*) AS n, sum(ma) AS sx, sum(mb) AS sy, sum(ma * ma) AS sxx, sum(ma * mb) AS sxy FROM pairs p JOIN edges e ON p.a = e.a AND p.b = e.b GROUP BY ALL), sl AS (SELECT *, CASE WHEN n * sxx - sx * sx > n * sxx * 1e-12 THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) ELSE 1 END AS slope FROM es)"
@@ -254,8 +254,8 @@ sw AS (SELECT p.x, p.y, p.ch, (p.v - {OFFSET.replace('panel_id', 'p.panel_id')}
 SELECT x, y, ch, round(sum(w * v) / sum(w), 2) AS value, count(*) AS n_panels FROM sw GROUP BY ALL""")
 def feather_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Raster(spark, sf_dir)
-    samples = blend.apply_corrections(r.wide, r.corrections, None, WIDTH, r.height)
-    return blend.feather_pixels(samples, r.distance, FEATHER).withColumn("value", F.round("value", 2))
+    mosaic = blend.feather(r.bands, r.corrections, None, WIDTH, r.height, r.distance, FEATHER)
+    return blend.mosaic_pixels(mosaic, "n_panels").withColumn("value", F.round("value", 2))
 
 
 @query(DIST + " SELECT x8, y8, ch, round(sum(greatest(d, 1) * value) / sum(greatest(d, 1)) + 0.0013, 2) AS value FROM fullc JOIN dist USING (panel_id, x8, y8) GROUP BY ALL")
@@ -433,7 +433,7 @@ def _blend(spark: SparkSession, sf_dir: str, pyramid: bool, veto: bool) -> DataF
     r = Raster(spark, sf_dir)
     owner = seam.owner_map(r.values, r.edges, r.distance, masks.mask_table(r.cells), FEATHER, SEAM)
     tiles = blend.tile_prep(blend.panel_prep(r.values, r.distance), owner, FEATHER, pyramid)
-    return blend.two_band(blend.apply_corrections(r.wide, r.corrections, None, WIDTH, r.height), tiles, FEATHER, veto)
+    return blend.mosaic_pixels(blend.two_band(r.bands, r.corrections, None, WIDTH, r.height, tiles, FEATHER, veto))
 
 
 @query()
@@ -460,13 +460,12 @@ def reprojected_sky(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sky as one solved panel, resampled to a frame that lies a fraction of a pixel off."""
     from ..functions.astrometry import Frame, LinearWcs
     from ..operators.align import reproject
-    from ..sources.xisf import pixels
 
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     height = (e.agg(F.max("vec_id")).first()[0] or 0) + 1
-    strips = e.select(F.lit(0).cast("long").alias("panel_id"), F.lit(0).cast("long").alias("ch"), F.col("vec_id").alias("y"), F.lit(0).cast("long").alias("x0"), F.transform("embedding", lambda v: v.cast("double") + 0.6).alias("row"))
+    bands = e.select(F.lit(0).cast("long").alias("panel_id"), F.col("vec_id").alias("y"), F.lit(0).cast("long").alias("x0"), F.array(F.transform("embedding", lambda v: v.cast("double") + 0.6)).alias("vals"))
     model = LinearWcs((10.0, 0.0), (WIDTH / 2 + 1 + SHIFT[0], height / 2 + 1 + SHIFT[1]), ((-PIXEL, 0.0), (0.0, PIXEL)))
-    out = pixels(reproject(strips, {0: (model, WIDTH, height)}, Frame((10.0, 0.0), PIXEL, WIDTH, height)))
+    out = summary.pixels(reproject(bands, {0: (model, WIDTH, height)}, Frame((10.0, 0.0), PIXEL, WIDTH, height)))
     return out.where("v <> 0").select("x", "y", F.round("v", 4).alias("v"))
 
 
@@ -503,7 +502,7 @@ def input_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.solution import classify
 
     r = Raster(spark, sf_dir)
-    stats = summary.panel_stats(r.wide).select("panel_id", "n_covered").distinct().persist()
+    stats = summary.panel_stats(r.scan).select("panel_id", "n_covered").distinct().persist()
     kind = classify(stats, [(WIDTH, r.height, rasters.CHANNELS)] * stats.count())
     return stats.agg(F.lit(kind).alias("kind"), F.max("n_covered").alias("most_covered"))
 

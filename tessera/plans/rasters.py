@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import summary
+
 BAND, OVER, SCALE, CHANNELS, BLOCK = 300, 120, 1_000_000, 2, 8
 COLUMNS = ((0, 40), (24, 64))
 WIDTH = 64
@@ -31,15 +33,20 @@ def sky(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("x").cast("long"), F.col("vec_id").alias("y"), F.col("e").cast("double").alias("t"))
 
 
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """panel_id, y, x0, vals: all panels' rows; samples are fixed-point BIGINTs. A vector is cut and scaled where it is read: no row a pixel."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("y"), "embedding").where("y is not null and embedding is not null")
+    bands_ = F.expr(f"filter(array(y div {BAND} - 1, y div {BAND}), b -> b >= 0 and y < b * {BAND} + {BAND + OVER})")
+    cols = F.array(*(F.struct(F.lit(i).alias("c"), F.lit(a).cast("long").alias("x0"), F.lit(b - a).alias("n")) for i, (a, b) in enumerate(COLUMNS)))
+    p = e.withColumn("band", F.explode(bands_)).withColumn("col", F.explode(cols)).select("y", "embedding", (F.col("band") * 2 + F.col("col.c")).alias("panel_id"), "col.x0", "col.n")
+    sample = f"if(({{x}} * 31 + y * 17 + panel_id * 13 + c * 5) % 1009 = 0, 0L, cast(floor(((if(c = 0, t + 0.6D, t * 0.5D + 0.45D) + if({STAR.replace('x *', '{x} *')}, {GLOW}D, 0.0D)) * {gain_sql()} + {offset_sql()}) * {SCALE} + 0.5D) as bigint))".format(x="(x0 + i)")
+    vals = f"transform(sequence(0, {CHANNELS - 1}), c -> transform(transform(slice(embedding, cast(x0 as int) + 1, n), t -> cast(t as double)), (t, i) -> {sample}))"
+    return p.select("panel_id", "y", "x0", F.expr(vals).alias("vals")).where("size(vals[0]) > 0")
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """panel_id, ch, x, y, v: all panels' pixels; v is a fixed-point BIGINT."""
-    band = F.floor(F.col("y") / BAND)
-    bands = F.filter(F.array(band - 1, band), lambda b: (b >= 0) & (F.col("y") < b * BAND + BAND + OVER))
-    cols = F.filter(F.array(F.lit(0), F.lit(1)), lambda c: ((c == 0) & (F.col("x") < COLUMNS[0][1])) | ((c == 1) & (F.col("x") >= COLUMNS[1][0])))
-    p = sky(spark, sf_dir).withColumn("band", F.explode(bands)).withColumn("col", F.explode(cols)).withColumn("panel_id", (F.col("band") * 2 + F.col("col")).cast("long"))
-    p = p.withColumn("ch", F.explode(F.sequence(F.lit(0), F.lit(CHANNELS - 1)))).withColumn("s", F.expr(f"if(ch = 0, t + 0.6D, t * 0.5D + 0.45D) + if({STAR}, {GLOW}D, 0.0D)"))
-    hole = F.expr("(x * 31 + y * 17 + panel_id * 13 + ch * 5) % 1009 = 0")
-    return p.select("panel_id", F.col("ch").cast("long"), "x", "y", F.when(hole, F.lit(0)).otherwise(F.floor(F.expr(f"(s * {gain_sql()} + {offset_sql()}) * {SCALE} + 0.5D"))).cast("long").alias("v"))
+    """The same as samples: panel_id, ch, x, y, v."""
+    return summary.pixels(bands(spark, sf_dir))
 
 
 #: The same in DuckDB SQL: the common table expression px.

@@ -1,4 +1,8 @@
-"""Sessions: the tables of an analysed mosaic in one folder, so that blending never analyses again."""
+"""Sessions: the tables of an analysed mosaic in one folder, so that blending never analyses again, and what is written from them.
+
+Pixels are bands (panel_id, y, x0, vals). One scan of them gives statistics and cells. Reprojected panels are stored in tiles, in the order of
+the tiles along a Morton curve, so that a region of interest reads few row groups; files are pruned by their data source.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +14,15 @@ from pyspark.sql import functions as F
 from ..functions import astrometry, solution
 from ..functions.scalar import sanitize
 from ..operators import align, blend, diag, masks, overlap, photometry, seam, summary, surfaces
-from ..sources import xisf
+from ..sinks import files as sinks
+from ..sources import panels, xisf
 
 VERSION = 1
 TABLES = ("canvas", "panels", "cells", "edges", "fits", "corrections", "surfaces", "distance", "masks")
 #: Tables of a session for people to read, beside the one-row `summary.json`.
-REPORTS = ("report_panels", "report_fits", "report_seams", "report_components")
+REPORTS = ("report_panels", "report_fits", "report_seams", "report_components", "report_samples")
+#: Side of a stored tile in pixels.
+STORED = 512
 
 
 @dataclass(frozen=True)
@@ -46,6 +53,16 @@ def write(df: DataFrame, path: str, name: str) -> DataFrame:
     return load(df.sparkSession, path, name)
 
 
+def write_tiles(bands: DataFrame, path: str, name: str, side: int = STORED) -> DataFrame:
+    """Bands, cut into tiles and stored in the order of a Morton curve: a file holds neighbouring tiles, and its row groups' least and largest y and x0 let a region's plan skip them."""
+    cut = summary.tiles(bands, side)
+    bits = lambda c: [F.shiftright(F.col(c), i).bitwiseAND(F.lit(1)) for i in range(20)]
+    key = sum((F.shiftleft(x, 2 * i) + F.shiftleft(y, 2 * i + 1) for i, (x, y) in enumerate(zip(bits("sx"), bits("sy")))), F.lit(0).cast("long"))
+    ordered = cut.withColumn("tile", key).repartitionByRange("tile", "panel_id", "y").sortWithinPartitions("tile", "panel_id", "y").drop("tile", "sx", "sy")
+    ordered.withColumn("schema_version", F.lit(VERSION)).write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/{name}")
+    return load(bands.sparkSession, path, name)
+
+
 def panel_files(spark: SparkSession, paths: list[str] | str) -> list:
     """A row a file with panel_id (the order of paths), geometry, keywords and properties."""
     rows = sorted(xisf.scan_headers(spark, paths).collect(), key=lambda r: r.path)
@@ -86,7 +103,7 @@ def probe(spark: SparkSession, paths: list[str] | str, kind: str = "auto") -> tu
 
 
 def analyze_files(spark: SparkSession, paths: list[str] | str, path: str, options: Options = Options(), kind: str = "auto") -> DataFrame:
-    """Panel files to a session's tables; gives the pixels that blend_session() takes.
+    """Panel files to a session's tables; gives the bands that blend_session() takes.
 
     aligned: all on one grid; solved: brought to a common frame by their solutions, which must be sound for every file. auto: aligned if
     all have one geometry and none covers most of it. Reprojected panels are the session's table `aligned`, the frame is `frame`.
@@ -95,9 +112,10 @@ def analyze_files(spark: SparkSession, paths: list[str] | str, path: str, option
         raise ValueError("kind is auto, aligned or solved")
     files = panel_files(spark, paths)
     shapes = [(r.width, r.height, r.channels) for _, r in files]
-    strips = xisf.scan_xisf(spark, paths)
+    bands = panels.read_panels(spark, paths)
+    scanned = write(summary.scan(bands), path, "scan") if kind != "solved" else None
     if kind == "auto":
-        kind = solution.classify(summary.panel_stats(summary.wide(xisf.pixels(strips))).select("panel_id", "n_covered"), shapes)
+        kind = solution.classify(summary.panel_stats(scanned).select("panel_id", "n_covered").distinct(), shapes)
     if kind == "aligned":
         if len(set(shapes)) > 1:
             raise ValueError("aligned panels of different geometries")
@@ -109,20 +127,35 @@ def analyze_files(spark: SparkSession, paths: list[str] | str, path: str, option
         frame = astrometry.choose_frame([(m.wcs, w, h) for m, w, h in models.values()])
         width, height = frame.width, frame.height
         write(spark.createDataFrame([(*frame.crval, frame.scale, width, height, frame.rotation)], "ra double, dec double, scale double, width long, height long, rotation double"), path, "frame")
-        strips = write(align.reproject(strips, models, frame), path, "aligned")
-    px = xisf.pixels(strips)
-    analyze(px, width, height, path, options)
-    return px
+        bands = write_tiles(align.reproject(bands, models, frame), path, "aligned")
+        scanned = None
+    keep_metadata(spark, files[0][1], path, kind == "solved")
+    analyze(bands, width, height, path, options, scanned)
+    return bands
+
+
+def keep_metadata(spark: SparkSession, first: object, path: str, solved: bool) -> None:
+    """Keywords and solution of the first file, from which the output's header is made (of solved input the frame has the solution)."""
+    rows = [(i, k.name or "", k.value or "", k.comment or "") for i, k in enumerate(first.keywords)]
+    write(spark.createDataFrame(rows, "ord int, name string, value string, comment string"), path, "keywords")
+    try:
+        found = None if solved else solution.from_properties([x.asDict() for x in first.properties], first.width, first.height)
+    except ValueError:  # an unsound solution is none
+        found = None
+    w = found.wcs if found else None
+    rows = [(*w.crval, *w.crpix, *w.cd[0], *w.cd[1], w.code, w.radesys)] if w else []
+    write(spark.createDataFrame(rows, "ra double, dec double, x double, y double, cd11 double, cd12 double, cd21 double, cd22 double, code string, radesys string"), path, "solution")
 
 
-def analyze(px: DataFrame, width: int, height: int, path: str, options: Options = Options()) -> None:
-    """px (panel_id, ch, x, y, v) to the session's tables and reports."""
-    spark = px.sparkSession
+def analyze(bands: DataFrame, width: int, height: int, path: str, options: Options = Options(), scanned: DataFrame | None = None) -> None:
+    """Bands to the session's tables and reports. scanned: their scan(), if it is there already."""
+    spark = bands.sparkSession
     keep = lambda name, df: write(df, path, name)
     keep("canvas", spark.createDataFrame([(width, height)], "width long, height long"))
-    wide = summary.wide(px)
-    keep("panels", summary.panel_stats(wide))
-    cells = keep("cells", summary.cells(wide, width, height))
+    scanned = keep("scan", summary.scan(bands)) if scanned is None else scanned
+    keep("panels", summary.panel_stats(scanned))
+    keep("report_samples", summary.odd_samples(scanned))
+    cells = keep("cells", summary.cells(scanned, width, height))
     edges = keep("edges", overlap.overlap_edges(cells))
     fits = keep("fits", photometry.fit_edges(photometry.edge_pairs(cells, edges)))
     corrections = keep("corrections", photometry.solve(cells, edges, fits, options.gain == "unity"))
@@ -162,31 +195,98 @@ def load(spark: SparkSession, path: str, name: str) -> DataFrame:
     return df.drop("schema_version")
 
 
-def blend_session(px: DataFrame, path: str, options: Options = Options()) -> DataFrame:
-    """x, y, ch, value of the mosaic (cells x8, y8 with downsample 8), from a session's tables and its pixels. Values are clamped to [0, 1], those that are not finite are 0."""
-    out = _blend(px, path, options)
-    return out.withColumn("value", sanitize(F.col("value")))
+def blend_session(bands: DataFrame, path: str, options: Options = Options()) -> DataFrame:
+    """x, y, ch, value of the mosaic (cells x8, y8 with downsample 8), from a session's tables and its bands. Values are clamped to [0, 1], those that are not finite are 0."""
+    if options.downsample == 1:
+        return blend.mosaic_pixels(mosaic_strips(bands, path, options))
+    t, surf, values, box = _prepared(bands, path, options)
+    x0, y0, x1, y1 = box
+    values = values.where(f"x8 >= {x0 // 8} and x8 < {-(-x1 // 8)} and y8 >= {y0 // 8} and y8 < {-(-y1 // 8)}")
+    return blend.preview(values, t["distance"], options.feather).withColumn("value", sanitize(F.col("value")))
 
 
-def _blend(px: DataFrame, path: str, options: Options) -> DataFrame:
-    spark = px.sparkSession
-    t = {n: load(spark, path, n) for n in TABLES}
+def _prepared(bands: DataFrame, path: str, options: Options) -> tuple[dict[str, DataFrame], DataFrame, DataFrame, tuple[int, int, int, int]]:
+    """A session's tables, surfaces (with the flattening folded in), corrected cells and the output's box."""
+    t = {n: load(bands.sparkSession, path, n) for n in TABLES}
     width, height = t["canvas"].first()
-    x0, y0, x1, y1 = output_box(t["panels"], options.roi)
     surf = t["surfaces"]
     values = photometry.corrected(t["cells"], t["corrections"], surf, width, height)
     if options.flatten:
         fit = surfaces.fit_flatten(surfaces.merged_background(values, t["distance"], t["masks"]), width, height, options.flatten)
         surf = surfaces.fold_flatten(surf, fit)
         values = photometry.corrected(t["cells"], t["corrections"], surf, width, height)
-    if options.downsample == 8:
-        values = values.where(f"x8 >= {x0 // 8} and x8 < {-(-x1 // 8)} and y8 >= {y0 // 8} and y8 < {-(-y1 // 8)}")
-        return blend.preview(values, t["distance"], options.feather)
+    return t, surf, values, output_box(t["panels"], options.roi)
+
+
+def mosaic_strips(bands: DataFrame, path: str, options: Options = Options()) -> DataFrame:
+    """The full-resolution mosaic in strips (y, x0, vals, clamped to [0, 1], null where nothing is covered), cut to the output's box.
+
+    A region reads the bands of the panels that meet it, and of those only what meets it, as far as their source prunes.
+    """
+    t, surf, values, box = _prepared(bands, path, options)
+    width, height = t["canvas"].first()
     if options.roi:
-        px = px.where(f"x >= {x0} and x < {x1} and y >= {y0} and y < {y1}")
-    samples = blend.apply_corrections(summary.wide(px), t["corrections"], surf, width, height)
+        meet = t["panels"].where(f"x0 < {box[2]} and x1 > {box[0]} and y0 < {box[3]} and y1 > {box[1]}").select("panel_id").distinct()
+        bands = panels.in_box(bands, box, sorted(r.panel_id for r in meet.collect()))  # a number a panel
     if options.mode == "feather":
-        return blend.feather_pixels(samples, t["distance"], options.feather)
-    owner = seam.owner_map(values, t["edges"], t["distance"], t["masks"], options.feather)
-    tiles = blend.tile_prep(blend.panel_prep(values, t["distance"]), owner, options.feather, options.mode == "pyramid")
-    return blend.two_band(samples, tiles, options.feather, options.veto)
+        out = blend.feather(bands, t["corrections"], surf, width, height, t["distance"], options.feather, box=box)
+    else:
+        owner = seam.owner_map(values, t["edges"], t["distance"], t["masks"], options.feather)
+        tiles = blend.tile_prep(blend.panel_prep(values, t["distance"]), owner, options.feather, options.mode == "pyramid")
+        out = blend.two_band(bands, t["corrections"], surf, width, height, tiles, options.feather, options.veto, box=box)
+    clean = F.transform("vals", lambda r: F.transform(r, lambda v: F.when(v.isNotNull(), sanitize(v))))
+    return out.select("y", "x0", clean.alias("vals"))
+
+
+def header_cards(spark: SparkSession, path: str, options: Options, flipped: bool = False) -> list[tuple[str, object, str]]:
+    """The output's keywords: the first panel's, moved with the crop, without those of its own geometry if it was reprojected, and cards of the mosaic's solution (also with rows counted from below) at full resolution."""
+    x0, y0, x1, y1 = output_box(load(spark, path, "panels"), options.roi)
+    crop = x0 // options.downsample, y0 // options.downsample
+    kept = [(r.name, sinks.text_value(r.value), r.comment) for r in load(spark, path, "keywords").orderBy("ord").collect()]
+    frame = load(spark, path, "frame").first() if exists(spark, f"{path}/frame") else None
+    found = load(spark, path, "solution").first()
+    if frame:
+        kept = [k for k in kept if not sinks.geometry_card(k[0])]
+        wcs = astrometry.Frame((frame.ra, frame.dec), frame.scale, frame.width, frame.height, frame.rotation).wcs()
+    elif found:
+        wcs = astrometry.LinearWcs((found.ra, found.dec), (found.x, found.y), ((found.cd11, found.cd12), (found.cd21, found.cd22)), code=found.code, radesys=found.radesys)
+    else:
+        wcs = None
+    out = sinks.pass_on(kept, crop)
+    if wcs is not None and options.downsample == 1:
+        own = astrometry.cards(wcs, (x0, y0), y1 - y0 if flipped else None)
+        names = {k for k, _ in own}
+        out = [k for k in out if k[0].strip().upper() not in names] + [(k, v, "") for k, v in own]
+    return out
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_session(bands: DataFrame, path: str, fits: str | None = None, png: str | None = None, options: Options = Options(), flipped: bool = False) -> None:
+    """A session's mosaic as FITS and as a stretched picture, made once for both."""
+    spark = bands.sparkSession
+    boxes = load(spark, path, "panels")
+    box = output_box(boxes, options.roi)
+    d = options.downsample
+    if d == 8:
+        cells = blend_session(bands, path, options)
+        box = box[0] // 8, box[1] // 8, -(-box[2] // 8), -(-box[3] // 8)
+        mosaic = summary.bands_of_pixels(cells.select(F.lit(0).cast("long").alias("panel_id"), "ch", F.col("x8").alias("x"), F.col("y8").alias("y"), F.col("value").alias("v"))).drop("panel_id")
+    else:
+        mosaic = mosaic_strips(bands, path, options)
+    channels = boxes.agg(F.max("ch")).first()[0] + 1
+    # rows between panels that no strip has; a number a row of the mosaic at most
+    reach = boxes.select((F.col("y0") / d).cast("long").alias("lo"), F.ceil(F.col("y1") / d).alias("hi")).distinct()
+    rows = spark.range(box[1], box[3]).select(F.col("id").alias("y"))
+    blank = rows if d > 1 else rows.join(F.broadcast(reach), (F.col("y") >= F.col("lo")) & (F.col("y") < F.col("hi")), "left_anti")
+    mosaic = mosaic.unionByName(blank.select("y", F.lit(box[0]).cast("long").alias("x0"), F.expr(f"array_repeat(cast(array() as array<double>), {channels})").alias("vals")))
+    size = box[2] - box[0], box[3] - box[1], channels
+    out: list = []
+    if fits:
+        out.append(sinks.Fits(fits, *size, header_cards(spark, path, options, flipped), box[:2]))
+    if png:
+        out.append(sinks.Png(png, *size, origin=box[:2]))
+    sinks.write(mosaic, *out)

@@ -1,8 +1,7 @@
-"""Monolithic image files (XISF): header, properties, keywords and row strips as DataFrames.
+"""Monolithic image files (XISF): header, properties and keywords. Their pixels are read by the data source in panels.py.
 
-Spark lists the files; tasks open them and read ranges of bytes: headers without pixels, and pixels by blocks of rows, which are dealt
-over all tasks, so that a file may be of any size. `open_file` opens a path for that; the default takes what pyarrow's file systems take.
-Rows come out as (panel_id, ch, y, x0, row). Only uncompressed, planar, little-endian Float32 images are read.
+Spark lists the files; tasks open them and read ranges of bytes: headers without pixels. `open_file` opens a path for that; the default
+takes what pyarrow's file systems take. Only uncompressed, planar, little-endian Float32 images are read.
 """
 
 from __future__ import annotations
@@ -19,10 +18,8 @@ import numpy as np
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 MAGIC = b"XISF0100"
-PIXELS = "panel_id long, ch long, y long, x0 long, row array<float>"
 HEADERS = "path string, width long, height long, channels long, keywords array<struct<name:string,value:string,comment:string>>, properties array<struct<id:string,type:string,str:string,f64:double,i64:long,f64s:array<double>,rows:int,cols:int>>"
 
 
@@ -124,7 +121,7 @@ def read_property(e: ET.Element, f: BinaryIO) -> dict:
     return out
 
 
-def _files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+def listed(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """path, length. Without its column `content` the reader lists files and opens none."""
     return spark.read.format("binaryFile").load(paths).select("path", "length")
 
@@ -143,41 +140,7 @@ def scan_headers(spark: SparkSession, paths: list[str] | str, open_file: Callabl
                     rows.append((path, w, h, ch, keys, [read_property(x, f) for x in root.iter() if _local(x) == "Property"]))
             yield pd.DataFrame(rows, columns=["path", "width", "height", "channels", "keywords", "properties"])
 
-    return _files(spark, paths).mapInPandas(run, HEADERS)
-
-
-def scan_xisf(spark: SparkSession, paths: list[str] | str, open_file: Callable[[str], BinaryIO] = open_file, block: int = 256) -> DataFrame:
-    """panel_id (files in the order of their paths), ch, y, x0, row: all pixels as row strips, read in blocks of rows."""
-
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, length in zip(pdf["path"], pdf["length"]):
-                with open_file(path) as f:
-                    rows.append((path, *image(header(f), length)[1:]))
-            yield pd.DataFrame(rows, columns=["path", "width", "height", "channels", "at"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for b in pdf.itertuples(index=False):
-                n = min(block, b.height - b.y)
-                with open_file(b.path) as f:
-                    data = read_range(f, b.at + 4 * (b.ch * b.height + b.y) * b.width, 4 * n * b.width)
-                yield pd.DataFrame({"panel_id": b.panel_id, "ch": b.ch, "y": np.arange(b.y, b.y + n), "x0": 0, "row": list(np.frombuffer(data, "<f4").reshape(n, b.width))})
-
-    files = _files(spark, paths)
-    ids = {p: i for i, p in enumerate(sorted(r[0] for r in files.select("path").collect()))}  # a name a panel
-    names = spark.createDataFrame(list(ids.items()), "path string, panel_id long")
-    found = files.mapInPandas(places, "path string, width long, height long, channels long, at long").join(F.broadcast(names), "path")
-    planes = found.where("width > 0 and height > 0 and channels > 0").withColumn("ch", F.explode(F.expr("sequence(0, channels - 1)")))
-    blocks = planes.withColumn("y", F.explode(F.expr(f"sequence(0, height - 1, {block})")))
-    return blocks.repartition("panel_id", "ch", "y").mapInPandas(run, PIXELS)
-
-
-def pixels(strips: DataFrame) -> DataFrame:
-    """Strips in long form: panel_id, ch, x, y, v."""
-    s = strips.select("panel_id", "ch", "y", "x0", F.posexplode("row").alias("i", "v"))
-    return s.select("panel_id", "ch", (F.col("x0") + F.col("i")).alias("x"), "y", F.col("v").cast("double").alias("v"))
+    return listed(spark, paths).mapInPandas(run, HEADERS)
 
 
 def encode(planes: np.ndarray, properties: str = "", keywords: str = "", at: int = 4096) -> bytes:

@@ -1,27 +1,16 @@
-"""Cell sums that grow as row strips arrive. Counts, sums and sums of squares add up, so a batch is summed on its own and merged."""
+"""Cell sums that grow as bands arrive. A scan's sums, least and largest values add up, so a batch is summed on its own and merged."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators.summary import scan
 
-def batch_sums(strips: DataFrame) -> DataFrame:
-    """panel_id, ch, x8, y8, n, s, ss of a batch of strips (panel_id, y, x0, rows: an array of samples for each channel); covered pixels only."""
-    p = strips.select("panel_id", "y", "x0", "rows", F.explode(F.sequence(F.lit(0), F.size(F.col("rows")[0]) - 1)).alias("i"))
-    p = p.select("panel_id", "y", (F.col("x0") + F.col("i")).alias("x"), F.transform("rows", lambda r: F.get(r, F.col("i"))).alias("v")).where(F.forall("v", lambda v: v != 0))
-    c = p.select("panel_id", F.expr("x div 8").alias("x8"), F.expr("y div 8").alias("y8"), F.posexplode("v").alias("ch", "v"))
-    return c.groupBy("panel_id", F.col("ch").cast("long").alias("ch"), "x8", "y8").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss"))
 
-
-def merge(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("panel_id", "ch", "x8", "y8").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-
-
-def stream_sums(strips: DataFrame, out: str, checkpoint: str):
-    """Start a query that appends each batch's sums to the table at `out`; a batch that is run again replaces its own part. Read it with merge()."""
+def stream_sums(bands: DataFrame, out: str, checkpoint: str):
+    """Start a query that appends each batch's sums to the table at `out`; a batch that is run again replaces its own part. Read it with summary.merged()."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch_sums(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        scan(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return strips.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return bands.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
