@@ -104,25 +104,51 @@ def by_parity(low: np.ndarray, own: np.ndarray, percent: int) -> np.ndarray:
     return near[np.argsort(differ[near] / both[near], kind="stable")]
 
 
-def plausible(members: DataFrame, lows: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """key, node, first (the smallest left) of list members that another member may be linked with.
+def may_link(one: list, other: list, percent: int) -> np.ndarray:
+    """Whether sets are allowed a link and have different labels. Marks: label (8 bytes) and parity() of each."""
+    x, y = (np.frombuffer(b"".join(m), np.uint8).reshape(len(m), -1) for m in (one, other))
+    return allowed(x[:, 8:], y[:, 8:], percent) & (x[:, :8] != y[:, :8]).any(1)
 
-    members: key, node, first; lows: node, low. Members that the first one doesn't allow are held against all others, in blocks.
+
+def marked(members: DataFrame, label: str) -> DataFrame:
+    return members.withColumn("mark", F.concat(F.unhex(F.lpad(F.hex(label), 16, "0")), "low"))
+
+
+def allowed_pairs(pairs: DataFrame, lows: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are allowed a link. lows: node, low."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                low, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield batch.select(["a", "b"]).filter(pa.array(allowed(low, other, percent)))
+
+    both = pairs.join(lows.toDF("a", "la"), "a").join(lows.toDF("b", "lb"), "b").select("a", "b", "la", "lb")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def plausible(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """key, node of list members (key, node, mark) that another member of the list may be linked with, as a table.
+
+    Each is held against the smallest first; those that it doesn't allow against all others, in blocks.
     """
+    first = members.groupBy("key").agg(F.min("node").alias("first"))
+    firsts = members.join(first, "key").where("node = first").select("key", "first", F.col("mark").alias("first_mark"))
 
     def with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (3, 4))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(allowed(low, other, percent))], names=["key", "node", "first", "low", "ok"])
+            if batch.num_rows:
+                ok = may_link(batch.column(3).to_pylist(), batch.column(4).to_pylist(), percent)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ok)], names=["key", "node", "first", "mark", "ok"])
 
-    both = members.where("node <> first").join(lows, "node").join(lows.select(F.col("node").alias("first"), F.col("low").alias("first_low")), "first")
-    near = materialise(both.select("key", "node", "first", "low", "first_low").mapInArrow(with_first, "key long, node long, first long, low binary, ok boolean"), "near")
+    both = members.join(firsts, "key").where("node <> first").select("key", "node", "first", "mark", "first_mark")
+    near = materialise(both.mapInArrow(with_first, "key long, node long, first long, mark binary, ok boolean"), "near")
     sizes = near.groupBy("key").agg(F.count("*").alias("m"), F.count_if(~F.col("ok")).alias("apart")).where("apart > 0 and m > 1")
     parts = lambda n: F.ceil(F.col(n) / block).cast("int")
     rows = near.join(sizes, "key").withColumns({"h": F.xxhash64("node"), "own": parts("m"), "others": parts("apart")})
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    placed = rows.select("key", "node", "low", F.lit(0).alias("role"), F.pmod("h", "own").cast("int").alias("part"), every("others").alias("apart_part")).unionByName(
-        rows.where("not ok").select("key", "node", "low", F.lit(1).alias("role"), every("own").alias("part"), F.pmod("h", "others").cast("int").alias("apart_part"))
+    placed = rows.select("key", "node", "mark", F.lit(0).alias("role"), F.pmod("h", "own").cast("int").alias("part"), every("others").alias("apart_part")).unionByName(
+        rows.where("not ok").select("key", "node", "mark", F.lit(1).alias("role"), every("own").alias("part"), F.pmod("h", "others").cast("int").alias("apart_part"))
     )
 
     def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,26 +156,25 @@ def plausible(members: DataFrame, lows: DataFrame, percent: int, block: int = 51
 
         def found() -> Iterator[pa.RecordBatch]:
             if held[0] and held[1]:
-                nodes = [np.array([n for n, _ in h], np.int64) for h in held]
-                low, own = (np.frombuffer(b"".join(x for _, x in h), np.uint8).reshape(len(h), -1) for h in held)
-                keep = [bool((allowed(low, o, percent) & (nodes[0] != n)).any()) for n, o in zip(nodes[1], own)]
-                yield pa.RecordBatch.from_arrays([pa.array([at[0]] * sum(keep), pa.int64()), pa.array(nodes[1][keep])], names=["key", "node"])
+                nodes = np.array([n for n, _ in held[0]], np.int64)
+                marks = [m for _, m in held[0]]
+                keep = [n for n, m in held[1] if (may_link(marks, [m], percent) & (nodes != n)).any()]
+                yield pa.RecordBatch.from_arrays([pa.array([at[0]] * len(keep), pa.int64()), pa.array(keep, pa.int64())], names=["key", "node"])
 
         for batch in batches:
-            for key, part, apart_part, role, node, low in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, part, apart_part, role, node, mark in zip(*(c.to_pylist() for c in batch.columns)):
                 if at != (key, part, apart_part):
                     yield from found()
                     at, held = (key, part, apart_part), ([], [])
-                held[role].append((node, low))
+                held[role].append((node, mark))
         yield from found()
 
-    dealt = placed.select("key", "part", "apart_part", "role", "node", "low").repartition("key", "part", "apart_part").sortWithinPartitions("key", "part", "apart_part")
-    good = near.where("ok").select("key", "node").unionByName(near.where("ok").select("key", F.col("first").alias("node"))).unionByName(dealt.mapInArrow(in_blocks, "key long, node long"))
-    # who is held against one that is apart may stand with the first already, or be found itself: what is allowed is allowed both ways
-    good = materialise(good.distinct(), "plausible")
-    out = materialise(good.join(good.groupBy("key").agg(F.min("node").alias("first")), "key"), "lists")
+    dealt = placed.select("key", "part", "apart_part", "role", "node", "mark").repartition("key", "part", "apart_part").sortWithinPartitions("key", "part", "apart_part")
+    # of two that may be linked each is in: for the first one's sake, or because it finds the other
+    stand = near.where("ok")
+    good = stand.select("key", "node").unionByName(stand.select("key", F.col("first").alias("node"))).unionByName(dealt.mapInArrow(in_blocks, "key long, node long"))
+    out = materialise(good.distinct(), "plausible")
     discard(near)
-    discard(good)
     return out
 
 
@@ -214,6 +239,12 @@ def keyed(docs: DataFrame, k: int, percent: int, boundary: int, frequent: np.nda
     return map_texts(docs, ["doc_id"], run, "n_shingles long, node long, keys array<long>, low binary")
 
 
+def across(labelled: DataFrame, percent: int) -> DataFrame:
+    """Members (key, node, label, low) that may be linked with a member of another label."""
+    labelled = materialise(labelled, "labelled")
+    return labelled.join(plausible(marked(labelled, "label").select("key", "node", "mark"), percent), ["key", "node"], "left_semi")
+
+
 def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of a similarity of percent / 100 or more)."""
     docs = docs.select("doc_id", "text")
@@ -227,17 +258,23 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     boundary = boundary_of({r.key: r.n for r in seen.where("kind = 2").collect()}, partners, percent)  # HEAVY rows at most
     discard(seen)
 
-    sigs = materialise(keyed(docs, k, percent, boundary, frequent[order], counts[order]), "keyed")
-    one = sigs.where("node is not null and doc_id is not null").groupBy("node")
+    every = materialise(keyed(docs, k, percent, boundary, frequent[order], counts[order]), "keyed")
+    one = every.where("node is not null and doc_id is not null").groupBy("node")
     nodes = materialise(one.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("low").alias("low")), "classes")
+    sigs = materialise(every.select("doc_id", "n_shingles", "node"), "sets")
+    discard(every)
     keys = nodes.select("node", "n", F.explode("keys").alias("key"))
     found = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("m"), F.expr("bit_xor(xxhash64(node))").alias("h"), F.max("n").alias("most"))
     shared = found.where((F.col("m") > 1) & ((F.col("key") % 2 != 0) | (F.col("most") >= boundary)))
     shared = shared.groupBy("first", "m", "h").agg(F.min("key").alias("key"))  # lists of the same sets count once
-    lists = materialise(keys.select("node", "key").join(shared.select("key", "first"), "key"), "lists")
-    members = plausible(lists, nodes.select("node", "low"), percent)
+    lists = materialise(keys.select("node", "key").join(shared.select("key"), "key"), "lists")
+    lows = nodes.select("node", "low")
+    left = plausible(marked(lists.join(lows, "node"), "node").select("key", "node", "mark"), percent)
     discard(lists)
-    of_node = joined_nodes(nodes, members, docs, k, percent, by_parity)
+    members = materialise(left.join(left.groupBy("key").agg(F.min("node").alias("first")), "key"), "members")
+    discard(left)
+
+    of_node = joined_nodes(nodes, members, docs, k, percent, by_parity, lambda pairs: allowed_pairs(pairs, lows, percent), lambda members: across(members, percent))
     out = sigs.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 

@@ -168,17 +168,17 @@ def by_signature(low: np.ndarray, own: np.ndarray, percent: int) -> np.ndarray:
     return near[np.argsort(-estimate[near], kind="stable")]
 
 
-def cross_links(members: DataFrame, texts: DataFrame, k: int, percent: int, block: int = 512, likely: Callable[[np.ndarray, np.ndarray, int], np.ndarray] = by_signature) -> DataFrame:
+def cross_links(members: DataFrame, texts: DataFrame, k: int, percent: int, block: int = 512, least: int = 3, likely: Callable[[np.ndarray, np.ndarray, int], np.ndarray] = by_signature) -> DataFrame:
     """Links (a, b) between members of different components in a bucket; enough of them to join all components that any such link joins.
 
-    members: key, node, label, low. Buckets with the same members count once. Members outside the bucket's largest
+    members: key, node, label, low. Buckets of at least `least` members (of two, the pair is known already) with the same members count once. Members outside the bucket's largest
     component (minors) are held against all members of other components, block by block: `likely` names those that a member
     may be linked with, which are compared on their full sets, likeliest first, until they are in one component. Only links
     leave a task.
     """
     sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"))
     buckets = sizes.groupBy("key").agg(F.sum("n").alias("m"), F.sum("h").alias("h"), F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"))
-    open_ = buckets.where("labels > 1 and m > 2").groupBy("m", "h").agg(F.min(F.struct("key", "main", "n_main")).alias("b")).select("b.*", "m")
+    open_ = buckets.where(f"labels > 1 and m >= {least}").groupBy("m", "h").agg(F.min(F.struct("key", "main", "n_main")).alias("b")).select("b.*", "m")
     own_blocks = F.ceil(F.col("m") / block).cast("int")
     minor_blocks = F.ceil((F.col("m") - F.col("n_main")) / block).cast("int")
     rows = members.join(open_, "key").withColumn("own", own_blocks).withColumn("minors", minor_blocks).withColumn("h", F.xxhash64("node"))
@@ -247,15 +247,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def joined_nodes(nodes: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int, likely: Callable = by_signature) -> DataFrame:
-    """node, component_id (smallest doc_id of the component) as a table; the tables `nodes` (node, rep, low) and `members` (key, node, first: buckets with their smallest node) go."""
-    stars = materialise(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+def joined_nodes(nodes: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int, likely: Callable = by_signature, allowed: Callable = lambda pairs: pairs, open_: Callable | None = None) -> DataFrame:
+    """node, component_id (smallest doc_id of the component) as a table; the tables `nodes` (node, rep, low) and `members` (key, node, first: buckets with their smallest node) go.
+
+    allowed: leaves pairs (a, b) out that can't be links; open_: leaves members (key, node, label, low) out that can't have links beyond their label.
+    """
+    stars = materialise(allowed(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()), "pairs")
     involved = members.select("node").distinct().join(nodes.select("node", F.col("rep").alias("doc_id")), "node")
     texts = materialise(docs.select("doc_id", "text").join(involved, "doc_id").select("node", "doc_id", "text"), "texts")
     links = materialise(confirm(stars, texts, k, percent), "links")
     label = components(links)
     labelled = members.join(nodes.select("node", "low"), "node").join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "low")
-    more = materialise(cross_links(labelled, texts, k, percent, likely=likely), "links")
+    more = cross_links(open_(labelled), texts, k, percent, least=2, likely=likely) if open_ else cross_links(labelled, texts, k, percent, likely=likely)
+    more = materialise(more, "links")
     if not more.isEmpty():
         discard(label)
         label = components(links.unionByName(more))

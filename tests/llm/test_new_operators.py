@@ -176,6 +176,25 @@ def test_all_similar_sets_share_a_key():
             assert len(jaccard_join.by_parity(low, np.frombuffer(jaccard_join.parity(b), np.uint8), 80)) == 1
 
 
+def test_links_between_members_that_the_first_of_a_list_has_nothing_to_do_with(spark):
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 10**6, n))
+    core, other = words(100), words(90)
+    texts = [words(80), core, core + " " + words(3), other, words(4) + " " + other, words(70)]
+    sets = [(minhash.shingles(t, 5), t) for t in texts]
+    rows = sorted((minhash.node_of(s), i, jaccard_join.parity(s), t) for i, (s, t) in enumerate(sets))
+    for first in range(len(rows)):  # whichever number is the smallest
+        renamed = {n: j for j, (n, *_) in enumerate(rows[first:] + rows[:first])}
+        ddl = "node long, rep long, low binary"
+        lists = spark.createDataFrame([(1, renamed[n], low) for n, _, low, _ in rows], "key long, node long, low binary")
+        left = {r.node for r in jaccard_join.plausible(jaccard_join.marked(lists, "node").select("key", "node", "mark"), 80, block=2).collect()}
+        assert left == {renamed[n] for n, i, *_ in rows if 1 <= i <= 4}
+    members = spark.createDataFrame([(1, n, rows[0][0]) for n, *_ in rows], "key long, node long, first long")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = minhash.joined_nodes(spark.createDataFrame([r[:3] for r in rows], ddl), members, docs, 5, 80, jaccard_join.by_parity, open_=lambda m: jaccard_join.across(m, 80))
+    assert {r.node: r.component_id for r in of.collect()} == {n: {2: 1, 4: 3}.get(i, i) for n, i, *_ in rows}
+
+
 def test_the_boundary_follows_the_cost():
     assert jaccard_join.boundary_of({}, 1.0, 80) == 1
     few, many = jaccard_join.boundary_of({n: 100 for n in range(5, 25)}, 0.01, 80), jaccard_join.boundary_of({n: 100 for n in range(5, 25)}, 50.0, 80)
