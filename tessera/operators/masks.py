@@ -36,12 +36,12 @@ def dilate(plane: np.ndarray, times: int = 1) -> np.ndarray:
 
 
 def flood(seeds: np.ndarray, open_: np.ndarray, steps=AROUND) -> np.ndarray:
-    """Cells that are reached from the seeds through open ones."""
-    seen, now = seeds.copy(), seeds
-    while now.any():
-        now = np.logical_or.reduce([shifted(now, dx, dy) for dx, dy in steps]) & open_ & ~seen
-        seen |= now
-    return seen
+    """Cells that are reached from the seeds through open ones: the components that hold a seed."""
+    numbers, n = label(seeds | open_, len(steps) > 4)
+    hit = np.zeros(n + 1, bool)
+    hit[numbers[seeds]] = True
+    hit[0] = False
+    return hit[numbers]
 
 
 def star_mask(coverage: np.ndarray, detail: np.ndarray) -> np.ndarray:
@@ -54,33 +54,65 @@ def star_mask(coverage: np.ndarray, detail: np.ndarray) -> np.ndarray:
     return flood(some & (detail > SEED * m), some & (detail > GROW * m))
 
 
-def label(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """8-connected components, numbered from 1 in the order of their first cells."""
-    out, n = np.zeros(mask.shape, np.int64), 0
-    for y, x in zip(*np.nonzero(mask)):
-        if out[y, x]:
-            continue
-        n += 1
-        out[y, x], todo = n, [(y, x)]
-        while todo:
-            cy, cx = todo.pop()
-            for dx, dy in AROUND:
-                ny, nx = cy + dy, cx + dx
-                if 0 <= ny < mask.shape[0] and 0 <= nx < mask.shape[1] and mask[ny, nx] and not out[ny, nx]:
-                    out[ny, nx] = n
-                    todo.append((ny, nx))
+def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the runs of true cells along rows, in order."""
+    h, w = mask.shape
+    wide = np.zeros((h, w + 2), np.int8)
+    wide[:, 1:-1] = mask
+    change = np.diff(wide, axis=1)
+    row, start = np.nonzero(change == 1)
+    return row, start, np.nonzero(change == -1)[1]
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each of n nodes' component, from links a, b: the smaller root is handed on and paths are halved, in rounds."""
+    root = np.arange(n)
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while not np.array_equal(up := root[root], root):
+            root = up
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
+def labelled_runs(mask: np.ndarray, diagonal: bool = True) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, int]:
+    """(runs, the number of each run's component, components), from 0 in the order of their first cells. Time follows the cells."""
+    row, start, end = found = runs(mask)
+    wide, d = mask.shape[1] + 2, int(diagonal)
+    lo = np.searchsorted(row * wide + end, (row + 1) * wide + start + 1 - d)  # first run of the next row that ends late enough
+    hi = np.searchsorted(row * wide + start, (row + 1) * wide + end - 1 + d, "right")
+    n = np.maximum(hi - lo, 0)
+    a = np.repeat(np.arange(len(row)), n)
+    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    _, number = np.unique(joined(len(row), a, b), return_inverse=True)
+    return found, number, int(number.max(initial=-1)) + 1
+
+
+def label(mask: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, int]:
+    """8-connected components (4-connected without diagonals), numbered from 1 in the order of their first cells."""
+    (_, start, end), number, n = labelled_runs(mask, diagonal)
+    out = np.zeros(mask.shape, np.int64)
+    out[mask] = np.repeat(number + 1, end - start)
     return out, n
 
 
+def is_compact(area, longest):
+    """Whether components are small, short or thin; of numbers, arrays or columns."""
+    return (area <= AREA) | (longest <= DIM) | (area <= THIN * longest)
+
+
 def split(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(compact, structure): components are compact if small, short or thin."""
-    numbers, n = label(mask)
+    """(compact, structure) cells."""
+    (row, start, end), number, n = labelled_runs(mask)
+    area = np.bincount(number, end - start, n)
+    low, high = np.full((2, n), np.iinfo(np.int64).max), np.full((2, n), -1)
+    for axis, (first, last) in enumerate(((row, row), (start, end - 1))):
+        np.minimum.at(low[axis], number, first)
+        np.maximum.at(high[axis], number, last)
     compact = np.zeros(mask.shape, bool)
-    for i in range(1, n + 1):
-        ys, xs = np.nonzero(numbers == i)
-        longest = max(np.ptp(ys), np.ptp(xs)) + 1
-        if len(ys) <= AREA or longest <= DIM or len(ys) <= THIN * longest:
-            compact[ys, xs] = True
+    compact[mask] = np.repeat(is_compact(area, (high - low).max(0) + 1)[number], end - start)
     return compact, mask & ~compact
 
 

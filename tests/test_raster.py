@@ -145,6 +145,55 @@ def test_masks():
     assert masks.fill_holes(ring).sum() == 25 and masks.base_reach(ring * 1.0).all()
 
 
+def test_components_of_masks_equal_a_walk():
+    rng = np.random.default_rng(7)
+
+    def walk(mask, steps):
+        out, n = np.zeros(mask.shape, int), 0
+        for y, x in zip(*np.nonzero(mask)):
+            if out[y, x]:
+                continue
+            n += 1
+            out[y, x], todo = n, [(y, x)]
+            while todo:
+                cy, cx = todo.pop()
+                for dx, dy in steps:
+                    ny, nx = cy + dy, cx + dx
+                    if 0 <= ny < mask.shape[0] and 0 <= nx < mask.shape[1] and mask[ny, nx] and not out[ny, nx]:
+                        out[ny, nx] = n
+                        todo.append((ny, nx))
+        return out, n
+
+    for share in (0.05, 0.3, 0.45, 0.6, 0.95):
+        for shape in ((1, 1), (1, 30), (30, 1), (25, 31)):
+            mask = rng.random(shape) < share
+            for steps in (masks.AROUND, masks.DIAMOND):
+                got, want = masks.label(mask, len(steps) > 4), walk(mask, steps)
+                assert got[1] == want[1] and np.array_equal(got[0], want[0])
+                seeds = mask & (rng.random(shape) < 0.1)
+                hit = np.isin(want[0], want[0][seeds]) & (want[0] > 0)
+                assert np.array_equal(masks.flood(seeds, mask, steps), hit)
+            numbers, n = walk(mask, masks.AROUND)
+            compact = np.zeros(shape, bool)
+            for i in range(1, n + 1):
+                ys, xs = np.nonzero(numbers == i)
+                longest = max(np.ptp(ys), np.ptp(xs)) + 1
+                compact |= (numbers == i) & (len(ys) <= masks.AREA or longest <= masks.DIM or len(ys) <= masks.THIN * longest)
+            got = masks.split(mask)
+            assert np.array_equal(got[0], compact) and np.array_equal(got[1], mask & ~compact)
+
+
+def test_masks_of_ten_million_cells_take_seconds():
+    import time
+
+    rng = np.random.default_rng(1)
+    mask = rng.random((3200, 3200)) < 0.01
+    mask[1000:1400, 500:2500] = True
+    start = time.time()
+    compact, structure = masks.split(mask)
+    assert compact.sum() + structure.sum() == mask.sum() and structure[1200, 900] and time.time() - start < 20
+
+
 def test_owner_boundaries_and_seams(spark):
     grid = {(0, 0): 0, (1, 0): 0, (2, 0): 1, (3, 0): 1, (0, 1): 0, (1, 1): 0, (3, 1): 1, (0, 2): 0, (1, 2): 0, (2, 2): 1, (3, 2): 1}
     owner = spark.createDataFrame([(x, y, o) for (x, y), o in grid.items()], "x8 long, y8 long, owner long")
