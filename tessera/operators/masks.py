@@ -1,6 +1,6 @@
 """Star masks and planes of cells: flood fill, component split, dilation, hole fill, transitions.
 
-A panel's cells are a small plane (one number for 64 pixels), so these order-dependent operators take one group a panel.
+Functions of planes are numpy and take time in proportion to the cells; mask_table() labels tiles and joins their labels in Spark.
 """
 
 from __future__ import annotations
@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
 from .overlap import chamfer
+from .summary import by_channel, values_of_rank
 
 SEED, GROW, AREA, DIM, THIN = 3.0, 1.5, 40, 12, 6
 AROUND = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dx, dy) != (0, 0)]
@@ -164,17 +166,45 @@ def plane_of(pdf: pd.DataFrame, column: str, w8: int, h8: int, fill=0.0) -> np.n
     return out
 
 
-def mask_table(cells: DataFrame) -> DataFrame:
-    """panel_id, x8, y8, compact: masked cells of every panel and whether their component is compact."""
+def thresholds(cells: DataFrame) -> dict[int, float]:
+    """Each panel's upper median of detail over its fully covered cells (x8, y8, coverage, detail: the greatest over channels); a number a panel."""
+    full = cells.where("coverage >= 1").groupBy(F.col("panel_id").alias("ch"), F.col("detail").alias("value")).agg(F.count("*").alias("n"))
+    return values_of_rank(full)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x0, y0 = pdf["x8"].min(), pdf["y8"].min()
-        own = pdf.assign(x8=pdf["x8"] - x0, y8=pdf["y8"] - y0)
-        w, h = own["x8"].max() + 1, own["y8"].max() + 1
-        mask = star_mask(plane_of(own, "coverage", w, h), plane_of(own, "detail", w, h))
-        compact, _ = split(mask)
-        ys, xs = np.nonzero(mask)
-        return pd.DataFrame({"panel_id": pdf["panel_id"].iloc[0], "x8": xs + x0, "y8": ys + y0, "compact": compact[ys, xs]})
 
+def mask_table(cells: DataFrame, side: int = 512) -> DataFrame:
+    """panel_id, x8, y8, compact: masked cells of every panel and whether their component is compact.
+
+    Cells of enough detail are labelled in tiles (`side` cells); labels that touch across a border of tiles are links, whose components
+    join them. A component is masked if one of its cells has the greater detail. So no group is larger than a tile.
+    """
     c = cells.groupBy("panel_id", "x8", "y8").agg(F.max("coverage").alias("coverage"), F.max("detail").alias("detail"))
-    return c.groupBy("panel_id").applyInPandas(run, "panel_id long, x8 long, y8 long, compact boolean")
+    limit = thresholds(c)
+    median = by_channel(limit, "panel_id") if limit else F.lit(None).cast("double")
+    grow = c.withColumn("m", median).where((F.col("coverage") > 0) & (F.col("detail") > GROW * F.col("m"))).select("panel_id", "x8", "y8", (F.col("detail") > SEED * F.col("m")).alias("seed"))
+    tile = lambda axis: F.floor(F.col(axis) / side)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x0, y0 = int(key[2]) * side, int(key[1]) * side
+        x, y = pdf["x8"].to_numpy() - x0, pdf["y8"].to_numpy() - y0
+        plane = np.zeros((side, side), bool)
+        plane[y, x] = True
+        numbers, n = label(plane)
+        ys, xs = np.nonzero(plane)
+        _, first = np.unique(numbers[ys, xs], return_index=True)
+        name = (np.int64(key[0]) << 44) + ((ys[first] + y0).astype(np.int64) << 22) + xs[first] + x0  # a label's first cell names it
+        out = pdf[["panel_id", "x8", "y8", "seed"]].copy()
+        out["part"] = name[numbers[y, x] - 1]
+        out["border"] = (x == 0) | (y == 0) | (x == side - 1) | (y == side - 1)
+        return out
+
+    parts = grow.groupBy("panel_id", tile("y8").alias("ty"), tile("x8").alias("tx")).applyInPandas(run, "panel_id long, x8 long, y8 long, seed boolean, part long, border boolean").persist()
+    rim = parts.where("border").select("panel_id", "x8", "y8", "part")
+    steps = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1)))))
+    moved = rim.withColumn("d", steps).select("panel_id", (F.col("x8") + F.col("d.dx")).alias("x8"), (F.col("y8") + F.col("d.dy")).alias("y8"), F.col("part").alias("other"))
+    links = rim.join(moved, ["panel_id", "x8", "y8"]).select(F.col("part").alias("a"), F.col("other").alias("b"))
+    found = graph.components(links)
+    whole = parts.join(found, F.col("part") == F.col("node"), "left").select("panel_id", "x8", "y8", "seed", F.coalesce("label", "part").alias("part"))
+    longest = F.greatest(F.max("x8") - F.min("x8"), F.max("y8") - F.min("y8")) + 1
+    kinds = whole.groupBy("part").agg(F.count("*").alias("area"), longest.alias("longest"), F.max("seed").alias("seed")).where("seed").select("part", is_compact(F.col("area"), F.col("longest")).alias("compact"))
+    return whole.join(kinds, "part").select("panel_id", "x8", "y8", "compact")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import graph
 from .summary import full_cells
 
 MIN_EDGE_CELLS = 16
@@ -28,31 +29,11 @@ def overlap_edges(cells: DataFrame, least: int = MIN_EDGE_CELLS) -> DataFrame:
     return g.where(F.col("n_cells") >= least)
 
 
-def components(edges: list[tuple[int, int]], panels: list[int]) -> list[list[int]]:
-    """Connected panels, each component sorted, components by their smallest panel. A mosaic's panels and edges are metadata: a row a panel, a few a panel."""
-    parent = {p: p for p in panels}
-
-    def root(p: int) -> int:
-        while parent[p] != p:
-            parent[p] = parent[parent[p]]
-            p = parent[p]
-        return p
-
-    for a, b in edges:
-        a, b = sorted((root(a), root(b)))
-        parent[b] = a
-    out: dict[int, list[int]] = {}
-    for p in sorted(panels):
-        out.setdefault(root(p), []).append(p)
-    return [out[k] for k in sorted(out)]
-
-
 def component_table(cells: DataFrame, edges: DataFrame) -> DataFrame:
     """panel_id, component (its smallest panel)."""
-    panels = [r[0] for r in cells.select("panel_id").distinct().collect()]
-    found = components([(r.a, r.b) for r in edges.select("a", "b").collect()], panels)
-    rows = [(p, c[0]) for c in found for p in c]
-    return cells.sparkSession.createDataFrame(rows, "panel_id long, component long")
+    panels = cells.select("panel_id").distinct()
+    found = graph.components(edges).select(F.col("node").alias("panel_id"), "label")
+    return panels.join(found, "panel_id", "left").select("panel_id", F.coalesce("label", "panel_id").alias("component"))
 
 
 def full_counts(cells: DataFrame) -> DataFrame:

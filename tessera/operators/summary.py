@@ -205,9 +205,9 @@ def _order(value: pd.Series) -> pd.Series:
     return pd.Series(bits ^ ((bits >> 63) & np.int64(2**63 - 1)))
 
 
-def by_channel(values: dict) -> Column:
-    """A channel's value as a column."""
-    return F.coalesce(*(F.when(F.col("ch").eqNullSafe(F.lit(c)), F.lit(v)) for c, v in values.items()))
+def by_channel(values: dict, key: str = "ch") -> Column:
+    """A channel's (or other key's) value as a column."""
+    return F.coalesce(*(F.when(F.col(key).eqNullSafe(F.lit(c)), F.lit(v)) for c, v in values.items()))
 
 
 def values_of_rank(counts: DataFrame, rank: str = "sum(n) div 2 + 1") -> dict[object, float]:

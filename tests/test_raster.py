@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import astrometry, scalar
-from tessera.operators import align, blend, masks, overlap, photometry, pyramid, seam, summary, surfaces
+from tessera.operators import align, blend, graph, masks, overlap, photometry, pyramid, seam, summary, surfaces
 from tessera.plans import queries, rasters
 from tessera.sinks import files
 from tessera.sources import panels, xisf
@@ -53,8 +53,7 @@ def test_ragged_and_half_cells(spark):
     assert c[0, 0, 0].coverage == 63 / 64 and c[0, 1, 1].mean == pytest.approx(0.4) and c[0, 1, 1].detail == pytest.approx(0.2) and c[1, 1, 1].detail == 0
 
 
-def test_components_and_chamfer():
-    assert overlap.components([(0, 1), (1, 2)], [0, 1, 2, 3]) == [[0, 1, 2], [3]]
+def test_chamfer():
     open_ = np.ones((8, 8), bool)
     open_[3, 4] = False
     d = overlap.chamfer(open_)
@@ -183,6 +182,36 @@ def test_components_of_masks_equal_a_walk():
             assert np.array_equal(got[0], compact) and np.array_equal(got[1], mask & ~compact)
 
 
+def test_components_by_contraction(spark):
+    ids = np.random.default_rng(1).permutation(300).tolist()
+    links = [(a, b) for a, b in zip(ids, ids[1:])] + [(1000, 1001), (5, 5), (1001, 1000), (2**50, 2**50 + 1)]
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == dict.fromkeys(ids, 0) | {1000: 1000, 1001: 1000, 2**50: 2**50, 2**50 + 1: 2**50}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    cells = spark.createDataFrame([(i,) for i in range(4)], "panel_id long")
+    table = overlap.component_table(cells, spark.createDataFrame([(0, 1), (1, 2)], "a long, b long")).collect()
+    assert sorted(map(tuple, table)) == [(0, 0), (1, 0), (2, 0), (3, 3)]
+
+
+def test_mask_tables_do_not_depend_on_tiles(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], set()
+    for p in (0, 3):
+        det = rng.random((60, 70))
+        cov = np.where(rng.random((60, 70)) < 0.05, 0.5, 1.0)
+        det[10:14, 5:60] = det[14:50, 30:33] = 2.0  # a structure over many tiles
+        det[40:44, 2:6], det[12, 20], det[42, 3] = 1.5, 9.0, 9.0
+        mask = masks.star_mask(cov, det)
+        compact, _ = masks.split(mask)
+        want |= {(p, int(x), int(y), bool(compact[y, x])) for y, x in zip(*np.nonzero(mask))}
+        rows += [(p, 0, x, y, float(cov[y, x]), float(det[y, x])) for y in range(60) for x in range(70)]
+    cells = spark.createDataFrame(rows, "panel_id long, ch long, x8 long, y8 long, coverage double, detail double")
+    assert {True, False} == {c for *_, c in want}
+    for side in (7, 16, 512):
+        assert {tuple(r) for r in masks.mask_table(cells, side).collect()} == want
+    assert masks.mask_table(cells.limit(0)).count() == 0
+
+
 def test_masks_of_ten_million_cells_take_seconds():
     import time
 
