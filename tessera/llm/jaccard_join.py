@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, map_texts, materialise, table
-from .minhash import joined_nodes, node_of, shingles
+from .minhash import distinct, joined_nodes, node_of, shingle_hashes, shingles
 
 #: Most frequent shingles that are told apart; sizes from which sets are always heavy; cost of a pair in rows; one shingle of so many is counted for the estimate of pairs; parity bits.
 FREQUENT, HEAVY, PAIR_COST, ESTIMATE, BITS = 1 << 19, 25, 30.0, 256, 1024
@@ -71,18 +71,49 @@ def subset_keys(kept: np.ndarray, percent: int) -> np.ndarray:
     return _mixed(np.concatenate(sums)) | np.uint64(1)
 
 
+_slots: tuple[np.ndarray, np.ndarray] | None = None
+
+
+def _slots_of(frequent: np.ndarray) -> np.ndarray:
+    """Which first 24 bits frequent shingles have; of the last array asked for."""
+    global _slots
+    if _slots is None or _slots[0] is not frequent:
+        table = np.zeros(1 << 24, bool)
+        table[frequent >> np.uint64(40)] = True
+        _slots = frequent, table
+    return _slots[1]
+
+
 def list_keys(kept: np.ndarray, percent: int, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Even numbers of a set's first shingles, rarest first (by count, then by hash). frequent: sorted, with its counts."""
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, kept), len(frequent) - 1)
-        kept = kept[np.argsort(np.where(frequent[at] == kept, counts[at], 0), kind="stable")]
+    count = np.zeros(len(kept), np.int64)
+    near = np.flatnonzero(_slots_of(frequent)[kept >> np.uint64(40)]) if len(frequent) else np.zeros(0, np.int64)
+    if len(near):  # only those whose first bits are a frequent one's are looked up
+        at = np.minimum(np.searchsorted(frequent, kept[near]), len(frequent) - 1)
+        count[near] = np.where(frequent[at] == kept[near], counts[at], 0)
+        kept = kept[np.argsort(count, kind="stable")]
     return _mixed(kept[: list_rows(len(kept), percent)]) & ~np.uint64(1)
 
 
-def parity(kept: np.ndarray) -> bytes:
-    """A set's size (4 bytes), and for each of BITS classes of shingles whether it holds an odd number of them."""
-    odd = np.bincount((_mixed(kept) >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
-    return np.uint32(len(kept)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+def parity(kept: np.ndarray, bits: int = BITS) -> bytes:
+    """A set's size (4 bytes), and for each of `bits` classes of shingles whether it holds an odd number of them."""
+    odd = np.bincount((_mixed(kept) >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.uint32(len(kept)).tobytes() + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fine_parity(kept: np.ndarray) -> bytes:
+    """Of a set that is large for BITS classes, parities of at least twice as many classes as shingles (a power of two, 2 ** 24 at most); else empty."""
+    return parity(kept, 1 << min(2 * len(kept), 1 << 24).bit_length())[4:] if 2 * len(kept) > BITS else b""
+
+
+def differ_finely(one: bytes, other: bytes) -> int:
+    """Shingles by which two sets differ at least, from their fine parities (0 if one has none). The finer one's classes are joined to the other's."""
+    if not one or not other:
+        return 0
+    a, b = (np.frombuffer(x, np.uint8) for x in (one, other))
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, size), 0) for x in (a, b))
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
 def apart(low: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,26 +135,44 @@ def by_parity(low: np.ndarray, own: np.ndarray, percent: int) -> np.ndarray:
     return near[np.argsort(differ[near] / both[near], kind="stable")]
 
 
+#: Bytes of a mark before the fine parity: label, size, parities.
+HEAD = 8 + 4 + BITS // 8
+
+
+def finely(one: list, other: list, ok: np.ndarray, percent: int) -> np.ndarray:
+    """ok, without pairs that their fine parities rule out. Marks: label, size and parity(), fine parity."""
+    for i in np.flatnonzero(ok).tolist():
+        a, b = one[i], other[i]
+        if len(a) > HEAD and len(b) > HEAD:
+            both = int.from_bytes(a[8:12], "little") + int.from_bytes(b[8:12], "little")
+            ok[i] = (100 + percent) * (both - differ_finely(a[HEAD:], b[HEAD:])) >= 2 * percent * both
+    return ok
+
+
+def heads(marks: list) -> np.ndarray:
+    return np.frombuffer(b"".join(m[:HEAD] for m in marks), np.uint8).reshape(len(marks), HEAD)
+
+
 def may_link(one: list, other: list, percent: int) -> np.ndarray:
-    """Whether sets are allowed a link and have different labels. Marks: label (8 bytes) and parity() of each."""
-    x, y = (np.frombuffer(b"".join(m), np.uint8).reshape(len(m), -1) for m in (one, other))
-    return allowed(x[:, 8:], y[:, 8:], percent) & (x[:, :8] != y[:, :8]).any(1)
+    """Whether sets, pair by pair, are allowed a link and have different labels."""
+    x, y = heads(one), heads(other)
+    return finely(one, other, allowed(x[:, 8:], y[:, 8:], percent) & (x[:, :8] != y[:, :8]).any(1), percent)
 
 
 def marked(members: DataFrame, label: str) -> DataFrame:
-    return members.withColumn("mark", F.concat(F.unhex(F.lpad(F.hex(label), 16, "0")), "low"))
+    return members.withColumn("mark", F.concat(F.unhex(F.lpad(F.hex(label), 16, "0")), "low", "fine"))
 
 
 def allowed_pairs(pairs: DataFrame, lows: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that are allowed a link. lows: node, low."""
+    """Those of the pairs (a, b) that are allowed a link. lows: node, low, fine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                low, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-                yield batch.select(["a", "b"]).filter(pa.array(allowed(low, other, percent)))
+                yield batch.select(["a", "b"]).filter(pa.array(may_link(batch.column(2).to_pylist(), batch.column(3).to_pylist(), percent)))
 
-    both = pairs.join(lows.toDF("a", "la"), "a").join(lows.toDF("b", "lb"), "b").select("a", "b", "la", "lb")
+    marks = marked(lows, "node").select("node", "mark")
+    both = pairs.join(marks.toDF("a", "ma"), "a").join(marks.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -158,7 +207,12 @@ def plausible(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
             if held[0] and held[1]:
                 nodes = np.array([n for n, _ in held[0]], np.int64)
                 marks = [m for _, m in held[0]]
-                keep = [n for n, m in held[1] if (may_link(marks, [m], percent) & (nodes != n)).any()]
+                head, keep = heads(marks), []
+                for n, m in held[1]:
+                    own = heads([m])
+                    ok = allowed(head[:, 8:], own[:, 8:], percent) & (head[:, :8] != own[:, :8]).any(1) & (nodes != n)
+                    if any(finely([marks[i]], [m], np.ones(1, bool), percent)[0] for i in np.flatnonzero(ok).tolist()):
+                        keep.append(n)
                 yield pa.RecordBatch.from_arrays([pa.array([at[0]] * len(keep), pa.int64()), pa.array(keep, pa.int64())], names=["key", "node"])
 
         for batch in batches:
@@ -187,7 +241,7 @@ def occurrences(docs: DataFrame, k: int, limit: int = 4_000_000) -> DataFrame:
         def through() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(held), return_counts=True)
             often, some = n >= max(2, size / FREQUENT), found % np.uint64(ESTIMATE) == 0
-            sizes, sets = np.unique([len(x) for x in held if len(x) < HEAVY], return_counts=True)
+            sizes, sets = np.unique(np.array([len(x) for x in held if len(x) < HEAVY], np.int64), return_counts=True)
             keys = [found[often].view(np.int64), found[some].view(np.int64), sizes.astype(np.int64), np.zeros(1, np.int64)]
             values = [n[often], n[some], sets, np.array([size])]
             kinds = np.repeat(np.arange(4), [len(x) for x in keys])
@@ -196,10 +250,10 @@ def occurrences(docs: DataFrame, k: int, limit: int = 4_000_000) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                kept = shingles(text.as_py(), k)
-                if len(kept):
-                    held.append(kept)
-                    size += len(kept)
+                found = shingle_hashes(text.as_py(), k)  # repeats in a text may count
+                if len(found):
+                    held.append(found if len(found) >= 4 * HEAVY else distinct(found))
+                    size += len(found)
                 if size > limit:
                     yield through()
                     size = 0
@@ -220,7 +274,7 @@ def boundary_of(sizes: dict[int, int], partners: float, percent: int) -> int:
 
 
 def keyed(docs: DataFrame, k: int, percent: int, boundary: int, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, node, keys (subsets odd, lists even), low (size and parities)."""
+    """doc_id, n_shingles, node, keys (subsets odd, lists even), low (size and parities), fine."""
     known = docs.sparkSession.sparkContext.broadcast((frequent, counts))  # FREQUENT at most
 
     def run(texts: list) -> list:
@@ -228,21 +282,22 @@ def keyed(docs: DataFrame, k: int, percent: int, boundary: int, frequent: np.nda
         for text in texts:
             kept = shingles(text, k)
             if not len(kept):
-                out.append((0, None, None, None))
+                out.append((0, None, None, None, None))
                 continue
             keys = [subset_keys(kept, percent)] if len(kept) < boundary else []
             if len(kept) >= least_shared(boundary, percent):
                 keys.append(list_keys(kept, percent, *known.value))
-            out.append((len(kept), node_of(kept), np.concatenate(keys).view(np.int64), parity(kept)))
+            out.append((len(kept), node_of(kept), np.concatenate(keys).view(np.int64), parity(kept), fine_parity(kept)))
         return list(zip(*out))
 
-    return map_texts(docs, ["doc_id"], run, "n_shingles long, node long, keys array<long>, low binary")
+    return map_texts(docs, ["doc_id"], run, "n_shingles long, node long, keys array<long>, low binary, fine binary")
 
 
-def across(labelled: DataFrame, percent: int) -> DataFrame:
+def across(labelled: DataFrame, lows: DataFrame, percent: int) -> DataFrame:
     """Members (key, node, label, low) that may be linked with a member of another label."""
     labelled = materialise(labelled, "labelled")
-    return labelled.join(plausible(marked(labelled, "label").select("key", "node", "mark"), percent), ["key", "node"], "left_semi")
+    members = marked(labelled.select("key", "node", "label").join(lows, "node"), "label").select("key", "node", "mark")
+    return labelled.join(plausible(members, percent), ["key", "node"], "left_semi")
 
 
 def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -260,21 +315,21 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     every = materialise(keyed(docs, k, percent, boundary, frequent[order], counts[order]), "keyed")
     one = every.where("node is not null and doc_id is not null").groupBy("node")
-    nodes = materialise(one.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("low").alias("low")), "classes")
+    nodes = materialise(one.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("low").alias("low"), F.first("fine").alias("fine")), "classes")
     sigs = materialise(every.select("doc_id", "n_shingles", "node"), "sets")
     discard(every)
     keys = nodes.select("node", "n", F.explode("keys").alias("key"))
-    found = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("m"), F.expr("bit_xor(xxhash64(node))").alias("h"), F.max("n").alias("most"))
+    found = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("m"), F.bit_xor("node").alias("h"), F.max("n").alias("most"))
     shared = found.where((F.col("m") > 1) & ((F.col("key") % 2 != 0) | (F.col("most") >= boundary)))
     shared = shared.groupBy("first", "m", "h").agg(F.min("key").alias("key"))  # lists of the same sets count once
     lists = materialise(keys.select("node", "key").join(shared.select("key"), "key"), "lists")
-    lows = nodes.select("node", "low")
+    lows = nodes.select("node", "low", "fine")
     left = plausible(marked(lists.join(lows, "node"), "node").select("key", "node", "mark"), percent)
     discard(lists)
     members = materialise(left.join(left.groupBy("key").agg(F.min("node").alias("first")), "key"), "members")
     discard(left)
 
-    of_node = joined_nodes(nodes, members, docs, k, percent, by_parity, lambda pairs: allowed_pairs(pairs, lows, percent), lambda members: across(members, percent))
+    of_node = joined_nodes(nodes, members, docs, k, percent, by_parity, lambda pairs: allowed_pairs(pairs, lows, percent), lambda members: across(members, lows, percent))
     out = sigs.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 

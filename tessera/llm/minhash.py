@@ -33,33 +33,63 @@ BANDS = 2 * PERMUTATIONS // ROWS
 SLACK = 0.18
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words; frequent words stay known."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_word_hash = _WordHashes()
 _factors = np.random.default_rng(SEED).integers(0, 1 << 63, (2, PERMUTATIONS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's k-word shingles. Words are split at ASCII white space, A-Z lower-cased."""
-    words = (text or "").encode().lower().split()
-    n = len(words)
-    if n == 0:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, n)
-    m = max(1, n - k + 1)
+#: Words are sums of a random number for each byte times a power of an odd base for its place, so that a text's words are differences of one running sum.
+PIECE = 1 << 18
+_bytes = np.random.default_rng(SEED + 1).integers(0, 1 << 64, 256, dtype=np.uint64)
+_bytes[65:91] = _bytes[97:123]  # A-Z count as a-z
+_base = 0x9E3779B97F4A7C15
+_powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(PIECE, _base, np.uint64)]))
+_inverse = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(PIECE, pow(_base, -1, 1 << 64), np.uint64)]))
+_space = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words (between ASCII white space, A-Z lower-cased) of a text; long texts go by pieces that end with white space."""
+    data = np.frombuffer(text, np.uint8)
+    out, at = [], 0
+    while at < len(data):
+        part = data[at : at + PIECE]
+        if at + PIECE < len(data):
+            gaps = np.flatnonzero(_space[part])
+            if not len(gaps):  # a word longer than a piece
+                rest = np.flatnonzero(_space[data[at:]])
+                end = at + int(rest[0]) if len(rest) else len(data)
+                out.append(np.array([xxhash.xxh3_64_intdigest(data[at:end].tobytes().lower())], np.uint64))
+                at = end
+                continue
+            part = part[: gaps[-1] + 1]
+        at += len(part)
+        word = np.zeros(len(part) + 2, bool)
+        np.logical_not(_space[part], out=word[1:-1])
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_bytes[part] * _powers[: len(part)], out=sums[1:])
+        start, end = edges[::2], edges[1::2]
+        out.append((sums[end] - sums[start]) * _inverse[start])
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([np.ones(1, bool), values[1:] != values[:-1]])] if len(values) else values
+
+
+def shingle_hashes(text: str | None, k: int) -> np.ndarray:
+    """64-bit hashes of a text's k-word shingles, with repeats; of all words if there are fewer."""
+    h = word_hashes((text or "").encode())
+    n = len(h)
+    m = max(1, n - k + 1) if n else 0
     out = np.full(m, min(n, k), np.uint64)
     for i in range(min(n, k)):
         out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : i + m]
     out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(out ^ (out >> np.uint64(32)))
+    return out ^ (out >> np.uint64(32))
+
+
+def shingles(text: str | None, k: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's k-word shingles."""
+    return distinct(shingle_hashes(text, k))
 
 
 def node_of(kept: np.ndarray) -> int:

@@ -183,18 +183,53 @@ def test_links_between_members_that_the_first_of_a_list_has_nothing_to_do_with(s
     texts = [words(80), core, core + " " + words(3), other, words(4) + " " + other, words(70)]
     sets = [(minhash.shingles(t, 5), t) for t in texts]
     rows = sorted((minhash.node_of(s), i, jaccard_join.parity(s), t) for i, (s, t) in enumerate(sets))
+    fine = {n: jaccard_join.fine_parity(sets[i][0]) for n, i, *_ in rows}
     for first in range(len(rows)):  # whichever number is the smallest
         renamed = {n: j for j, (n, *_) in enumerate(rows[first:] + rows[:first])}
         ddl = "node long, rep long, low binary"
-        lists = spark.createDataFrame([(1, renamed[n], low) for n, _, low, _ in rows], "key long, node long, low binary")
+        lists = spark.createDataFrame([(1, renamed[n], low, fine[n]) for n, _, low, _ in rows], "key long, node long, low binary, fine binary")
         left = {r.node for r in jaccard_join.plausible(jaccard_join.marked(lists, "node").select("key", "node", "mark"), 80, block=2).collect()}
         assert left == {renamed[n] for n, i, *_ in rows if 1 <= i <= 4}
+    lows = spark.createDataFrame([(n, low, fine[n]) for n, _, low, _ in rows], "node long, low binary, fine binary")
     members = spark.createDataFrame([(1, n, rows[0][0]) for n, *_ in rows], "key long, node long, first long")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    of = minhash.joined_nodes(spark.createDataFrame([r[:3] for r in rows], ddl), members, docs, 5, 80, jaccard_join.by_parity, open_=lambda m: jaccard_join.across(m, 80))
+    of = minhash.joined_nodes(spark.createDataFrame([r[:3] for r in rows], ddl), members, docs, 5, 80, jaccard_join.by_parity, open_=lambda m: jaccard_join.across(m, lows, 80))
     assert {r.node: r.component_id for r in of.collect()} == {n: {2: 1, 4: 3}.get(i, i) for n, i, *_ in rows}
 
 
+def test_word_hashes_follow_the_words():
+    rng = np.random.default_rng(11)
+    for _ in range(30):
+        words = [bytes(rng.integers(33, 255, rng.integers(1, 12)).astype(np.uint8)) for _ in range(50)] + [b"AbC", b"abc", b"x" * (minhash.PIECE + 5), b"X" * (minhash.PIECE + 5)]
+        gaps = [b" ", b"\t\n", b"\x0b", b"\x0c\r "]
+        order = rng.integers(0, len(words), 300)
+        text = b"  " + b"".join(words[i] + gaps[rng.integers(0, 4)] for i in order)
+        got = minhash.word_hashes(text)
+        low = [words[i].lower() for i in order]
+        assert text.lower().split() == low and len(got) == 300
+        first = {}
+        for w, h in zip(low, got.tolist()):
+            assert first.setdefault(w, h) == h
+        assert len(set(first.values())) == len(first)
+    assert len(minhash.word_hashes(b"")) == len(minhash.word_hashes(b" \n")) == 0
+
+
+def test_parities_never_rule_out_a_link():
+    rng = np.random.default_rng(12)
+    for n in (3, 100, 600, 3000, 9000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for share in (0.0, 0.05, 0.11, 0.3, 1.0):
+            new = rng.integers(0, 1 << 63, int(share * n)).astype(np.uint64)
+            b = np.unique(np.concatenate([a[len(new) :], new]))
+            both = len(np.intersect1d(a, b))
+            assert jaccard_join.differ_finely(jaccard_join.fine_parity(a), jaccard_join.fine_parity(b)) <= len(a) + len(b) - 2 * both
+            marks = [[bytes(7) + bytes([i]) + jaccard_join.parity(x) + jaccard_join.fine_parity(x)] for i, x in enumerate((a, b))]
+            if minhash.reaches(a, b, 80):
+                assert jaccard_join.may_link(*marks, 80)[0]
+            elif n >= 600 and share >= 0.3:
+                assert not jaccard_join.may_link(*marks, 80)[0]
+
+
 def test_the_boundary_follows_the_cost():
     assert jaccard_join.boundary_of({}, 1.0, 80) == 1
     few, many = jaccard_join.boundary_of({n: 100 for n in range(5, 25)}, 0.01, 80), jaccard_join.boundary_of({n: 100 for n in range(5, 25)}, 50.0, 80)
