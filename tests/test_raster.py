@@ -606,6 +606,40 @@ def test_solutions_with_lookup_grids():
         solution.from_properties(rows, 140, 80)
 
 
+KEYWORDS = "".join(f'<FITSKeyword name="{n}" value="{v}" comment="c"/>' for n, v in (("OBJECT", "'M 42'"), ("EXPTIME", "300."), ("EPOCH", "2000"), ("CTYPE1A", "'X'"), ("ctype1", "'X'"), ("CRPIX1", "7.5"), ("BITPIX", "16"), ("RA", "1.0")))
+
+
+def test_aligned_files_keep_their_cards(spark, tmp_path):
+    """Files on one grid: the first one's solution goes to the output, moved with the crop; rows between panels are blank."""
+    from tessera.plans import session
+
+    s, rng = 1e-3, np.random.default_rng(3)
+    flat = lambda v: np.array(v, "<f8").tobytes().hex()
+    props = '<Property id="PCL:AstrometricSolution:{}" type="F64{}" {} location="inline:hex">{}</Property>'
+    text = props.format("ReferenceCelestialCoordinates", "Vector", 'length="2"', flat([120.0, 20.0])) + props.format("ReferenceImageCoordinates", "Vector", 'length="2"', flat([40.0, 60.0])) + props.format("LinearTransformationMatrix", "Matrix", 'rows="2" columns="2"', flat([-s, 0.0, 0.0, s]))
+    planes = [np.zeros((3, 150, 90), np.float32) for _ in range(3)]
+    sky = 0.2 + 0.3 * rng.random((3, 150, 90))
+    for p, (y, x) in zip(planes, ((slice(10, 60), slice(8, 50)), (slice(10, 60), slice(30, 80)), (slice(90, 140), slice(8, 80)))):
+        p[:, y, x] = sky[:, y, x]
+    planes[1][1, 20, 40] = np.nan
+    (tmp_path / "in").mkdir()
+    for i, p in enumerate(planes):
+        (tmp_path / "in" / f"{i}.xisf").write_bytes(xisf.encode(p, text, KEYWORDS))
+    out = str(tmp_path / "s")
+    px = session.analyze_files(spark, str(tmp_path / "in"), out, session.Options(surface=None, feather=32.0), kind="aligned")
+    assert {(r.panel_id, r.ch): r.n_odd for r in session.load(spark, out, "report_samples").collect()} == {(p, c): int((p, c) == (1, 1)) for p in range(3) for c in range(3)}
+    options = session.Options(feather=32.0, mode="twoband")
+    session.write_session(px, out, str(tmp_path / "m.fits"), str(tmp_path / "m.png"), options)
+    data = (tmp_path / "m.fits").read_bytes()
+    keys = {k: v for k, v, _ in session.header_cards(spark, out, options)}
+    assert (keys["CRPIX1"], keys["CRPIX2"], keys["CTYPE1"], keys["RA"]) == (40.5 - 8, 60.5 - 10, "RA---TAN", 1.0) and "BITPIX" not in keys and "ctype1" not in keys
+    size = len(data) - 2880 * (len(data) // 2880)
+    stored = np.frombuffer(data[len(data) // 2880 * 2880 - -(-3 * 130 * 72 * 4 // 2880) * 2880 :], ">f4", 3 * 130 * 72).reshape(3, 130, 72)
+    known = np.ones((130, 72), bool)
+    known[:24, 16:44] = False  # cells around the sample that is not finite have no base
+    assert size == 0 and (stored[:, 50:80] == 0).all() and (stored[:, :50][:, known[:50]] > 0).all() and (stored[:, 80:] > 0).all()
+
+
 def test_solved_files_end_to_end(spark, tmp_path):
     """Panels cut from one sky, each solved by its own reference point, come back as that sky."""
     from tessera.plans import session
@@ -619,7 +653,7 @@ def test_solved_files_end_to_end(spark, tmp_path):
     for i, x0 in enumerate((0, 100)):
         ref = (130.0 - x0, 75.0)
         text = props.format("ReferenceCelestialCoordinates", "Vector", 'length="2"', flat([120.0, 20.0])) + props.format("ReferenceImageCoordinates", "Vector", 'length="2"', flat(ref)) + props.format("LinearTransformationMatrix", "Matrix", 'rows="2" columns="2"', flat([-s, 0.0, 0.0, s]))
-        (tmp_path / "in" / f"{i}.xisf").write_bytes(xisf.encode((sky[None, :, x0 : x0 + 160] + rng.normal(0, 1e-4, (1, 150, 160))).astype(np.float32), text))
+        (tmp_path / "in" / f"{i}.xisf").write_bytes(xisf.encode((sky[None, :, x0 : x0 + 160] + rng.normal(0, 1e-4, (1, 150, 160))).astype(np.float32), text, KEYWORDS))
     shapes, frame = session.probe(spark, str(tmp_path / "in"))
     assert shapes == [(160, 150, 1)] * 2 and abs(frame.width - 260) < 40 and session.probe(spark, str(tmp_path / "in"), "aligned")[1] is None
     out = str(tmp_path / "s")
@@ -630,6 +664,30 @@ def test_solved_files_end_to_end(spark, tmp_path):
     plane[rows["y"], rows["x"]] = rows["value"]
     off = min(np.nanmedian(np.abs(plane[dy + 20 : dy + 120, dx + 20 : dx + 240] - sky[20:120, 20:240])) for dx in range(10, 24) for dy in range(10, 24))
     assert off < 0.01 and np.isfinite(plane).mean() > 0.7
+    options = session.Options(feather=32.0, mode="feather")
+    session.write_session(px, out, str(tmp_path / "m.fits"), str(tmp_path / "m.png"), options)
+    data = (tmp_path / "m.fits").read_bytes()
+    head = {data[i : i + 8].decode().strip(): data[i + 10 : i + 80].decode().split(" / ")[0].strip() for i in range(0, 2880, 80)}
+    w, h = int(head["NAXIS1"]), int(head["NAXIS2"])
+    stored = np.frombuffer(data, ">f4", w * h, 2880).reshape(h, w)
+    x0, y0 = int(rows["x"].min()), int(rows["y"].min())
+    want = np.nan_to_num(plane[y0 : y0 + h, x0 : x0 + w]).astype(np.float32)
+    assert np.array_equal(stored, want) and (rows["x"].max() - x0 + 1, rows["y"].max() - y0 + 1) == (w, h)
+    assert head["OBJECT"] == "'M 42    '" and head["EXPTIME"] == "300.0" and "EPOCH" not in head and "CTYPE1A" not in head and head["CTYPE1"] == "'RA---TAN'"
+    grid = session.load(spark, out, "frame").first()
+    assert float(head["CRPIX1"]) == grid.width / 2 + 0.5 - x0 and float(head["CRVAL1"]) == pytest.approx(grid.ra)
+    flipped = dict((k, v) for k, v, _ in session.header_cards(spark, out, options, flipped=True))
+    assert flipped["CRPIX2"] == h + 1 - float(head["CRPIX2"]) and flipped["CD2_2"] == -float(head["CD2_2"])
+    assert (tmp_path / "m.png").read_bytes()[:8] == b"\x89PNG\r\n\x1a\n"
+    box = (x0 + 40, y0 + 30, x0 + 90, y0 + 70)
+    session.write_session(px, out, str(tmp_path / "r.fits"), options=dataclasses.replace(options, roi=box))
+    part = np.frombuffer((tmp_path / "r.fits").read_bytes(), ">f4", 50 * 40, 2880).reshape(40, 50)
+    assert np.array_equal(part, want[30:70, 40:90])
+    plan = session.mosaic_strips(px, out, dataclasses.replace(options, roi=box))._jdf.queryExecution().toString()
+    assert f"LessThan(y,{box[3]})" in plan and f"GreaterThanOrEqual(y,{box[1]})" in plan and "PushedFilters" in plan
+    session.write_session(px, out, str(tmp_path / "s.fits"), options=dataclasses.replace(options, downsample=8))
+    small = [k for k, *_ in session.header_cards(spark, out, dataclasses.replace(options, downsample=8))]
+    assert "CTYPE1" not in small and "OBJECT" in small
     (tmp_path / "in" / "9.xisf").write_bytes(xisf.encode(np.ones((1, 10, 10), np.float32)))
     with pytest.raises(ValueError, match="9.xisf: no solution"):
         session.analyze_files(spark, str(tmp_path / "in"), out, kind="solved")
