@@ -299,6 +299,17 @@ def test_html_text(spark):
         ("<article>Real text</article><section class='comments'><article class='comment'><p>Troll</article></section>", "Real text"),
         ("<article><p>Real text<article class='comment'>Troll", "Real text"),
         ("<aside><article>Teaser</article></aside><header><article>Promo</article></header><article>Real text</article>", "Real text"),
+        ("<p>Menu</p><main class='has-comments'><p>Real text that is longer", "Real text that is longer"),
+        ("<nav>Home</nav><main class='has-comments'><p>Real text that is longer", "Real text that is longer"),
+        ("<nav>Home</nav><article class='post type-post category-search'><p>Real text", "Real text"),
+        ("<header>Home</header><article class='post promo'><p>Real text</article><div class='promo'>Buy</div>", "Real text"),
+        ("<nav>Home</nav><article id='header-story'><p>Real text</article>", "Real text"),
+        ("<p>Real text</p><div class='related'>" + "<p>many other stories that are much longer</p>" * 20 + "</div>", "Real text"),
+        ("<p>Real text</p><div class='comments sidebar'>" + "<p>many comments that are much longer</p>" * 20 + "</div>", "Real text"),
+        ("<p>Real text</p><div id='post-sidebar'>" + "<p>many links</p>" * 90 + "</div>", "Real text"),
+        ("<article><p>Real <p class='footer-note'>text</p><div class='social-share'>Share</div><div class='related-posts'>More</div><div class='ad-300x250'>Buy</div></article>", "Real text"),
+        ("<article><p>Real text</p><section id='reader-responses'>Me too</section></article>", "Real text"),
+        ("<div class='no-sidebar with-ads'><p>Real text</p></div><div class='ads'>Buy</div>", "Real text"),
         ("<div class='layout has-sidebar'><div class='content'><p>Real text", "Real text"),
         ("<h1>Re</h1><div class='has-sidebar'><p>al text, and much of it<div class='sidebar'>side</div></div>", "Re al text, and much of it"),
         ("<p>Real text</p><div class='comments'><p>A comment that is far longer than the text that it is about</div>", "Real text"),
