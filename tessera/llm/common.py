@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -54,6 +55,12 @@ def discard(df: DataFrame | None) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_runs(text: pa.Array, most: int = 1_500_000) -> list[tuple[int, int]]:
     """First and last (exclusive) row of runs of texts that have about `most` bytes together."""
     size = pc.fill_null(pc.binary_length(text), 0).to_numpy()

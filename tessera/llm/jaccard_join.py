@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, map_texts, materialise, table
+from .common import discard, map_texts, materialise, release, table
 from .minhash import distinct, joined_nodes, node_of, shingle_hashes, shingles
 
 #: Most frequent shingles that are told apart; sizes from which sets are always heavy; cost of a pair in rows; one shingle of so many is counted for the estimate of pairs; parity bits.
@@ -300,6 +300,36 @@ def across(labelled: DataFrame, lows: DataFrame, percent: int) -> DataFrame:
     return labelled.join(plausible(members, percent), ["key", "node"], "left_semi")
 
 
+def classes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables: doc_id, n_shingles, node of every row; node, rep (smallest doc_id), n, keys, low, fine of every set. sets: of keyed()."""
+    every = materialise(sets, "keyed")
+    one = every.where("node is not null and doc_id is not null").groupBy("node")
+    nodes = materialise(one.agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c if c != "n_shingles" else "n") for c in ("n_shingles", "keys", "low", "fine"))), "classes")
+    sigs = materialise(every.select("doc_id", "n_shingles", "node"), "sets")
+    discard(every)
+    return sigs, nodes
+
+
+def shared_lists(nodes: DataFrame, boundary: int) -> DataFrame:
+    """key, node of subsets and lists that several sets are on, lists with a heavy one only; of those with the same sets one. As a table."""
+    keys = nodes.select("node", "n", F.explode("keys").alias("key"))
+    found = keys.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor("node").alias("h"), F.max("n").alias("most"))
+    shared = found.where((F.col("m") > 1) & ((F.col("key") % 2 != 0) | (F.col("most") >= boundary))).groupBy("m", "h").agg(F.min("key").alias("key"))
+    return materialise(keys.select("node", "key").join(shared.select("key"), "key"), "lists")
+
+
+def likely_members(lists: DataFrame, lows: DataFrame, percent: int) -> DataFrame:
+    """key, node, first (the smallest) of list members that may be linked with another one, as a table: by their coarse parities, then by the fine ones. The lists go."""
+    left = lists
+    for marks in (lows.withColumn("fine", F.lit(b"")), lows):
+        fewer = plausible(marked(left.select("key", "node").join(marks, "node"), "node").select("key", "node", "mark"), percent)
+        discard(left)
+        left = fewer
+    out = materialise(left.join(left.groupBy("key").agg(F.min("node").alias("first")), "key"), "members")
+    discard(left)
+    return out
+
+
 def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of a similarity of percent / 100 or more)."""
     docs = docs.select("doc_id", "text")
@@ -313,22 +343,11 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     boundary = boundary_of({r.key: r.n for r in seen.where("kind = 2").collect()}, partners, percent)  # HEAVY rows at most
     discard(seen)
 
-    every = materialise(keyed(docs, k, percent, boundary, frequent[order], counts[order]), "keyed")
-    one = every.where("node is not null and doc_id is not null").groupBy("node")
-    nodes = materialise(one.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("low").alias("low"), F.first("fine").alias("fine")), "classes")
-    sigs = materialise(every.select("doc_id", "n_shingles", "node"), "sets")
-    discard(every)
-    keys = nodes.select("node", "n", F.explode("keys").alias("key"))
-    found = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("m"), F.bit_xor("node").alias("h"), F.max("n").alias("most"))
-    shared = found.where((F.col("m") > 1) & ((F.col("key") % 2 != 0) | (F.col("most") >= boundary)))
-    shared = shared.groupBy("first", "m", "h").agg(F.min("key").alias("key"))  # lists of the same sets count once
-    lists = materialise(keys.select("node", "key").join(shared.select("key"), "key"), "lists")
+    sigs, nodes = classes_of(keyed(docs, k, percent, boundary, frequent[order], counts[order]))
+    release(docs.sparkSession)
     lows = nodes.select("node", "low", "fine")
-    left = plausible(marked(lists.join(lows, "node"), "node").select("key", "node", "mark"), percent)
-    discard(lists)
-    members = materialise(left.join(left.groupBy("key").agg(F.min("node").alias("first")), "key"), "members")
-    discard(left)
-
+    members = likely_members(shared_lists(nodes, boundary), lows, percent)
+    release(docs.sparkSession)
     of_node = joined_nodes(nodes, members, docs, k, percent, by_parity, lambda pairs: allowed_pairs(pairs, lows, percent), lambda members: across(members, lows, percent))
     out = sigs.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
