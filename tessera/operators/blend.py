@@ -1,7 +1,7 @@
 """Blending panels into a mosaic: previews as plain aggregation, feather, two-band and pyramid over tiles.
 
-Cells are 1/64 of the pixels. Star-free bases are made panel by panel; seam ramps, the reference base and the pyramid tile by
-tile of cells, each with a halo wider than any filter reaches. Pixels travel as bands, cut at the borders of squares, and are
+Cells are 1/64 of the pixels. Star-free bases, seam ramps, the reference base and the pyramid are made tile by
+tile of cells, each with a halo wider than any filling or filter reaches. Pixels travel as bands, cut at the borders of squares, and are
 corrected and blended there, with the cells that bilinear taps need; mosaics come out as strips of such squares (y, x0, vals; null
 where nothing is covered). No group holds the whole mosaic, or a whole row of it, and no pixel is a row.
 """
@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import feather_weight, levels_for_feather
-from .masks import AROUND, base_reach, detail_reference, plane_of, shifted, star_mask, transitions, upper_median
+from .masks import AROUND, base_reach, detail_reference, dilate, plane_of, transitions, upper_median
 from .pyramid import blend as blend_levels
 from .pyramid import build, mask_levels
-from .summary import band_arrays, tiles
+from .summary import band_arrays, by_channel, tiles, values_of_rank
 
-LEAST_WEIGHT, RAMP_PX, ANCHOR_K, LOCAL_LAYERS, FILL_ROUNDS, VETO = 1e-4, 32.0, 20.0, 8, 256, 6.0
+LEAST_WEIGHT, RAMP_PX, ANCHOR_K, LEAST_MAD, LOCAL_LAYERS, FILL_ROUNDS, VETO = 1e-4, 32.0, 20.0, 1e-7, 8, 256, 6.0
 
 
 def preview(values: DataFrame, distance: DataFrame, feather: float) -> DataFrame:
@@ -152,55 +152,90 @@ def star_free_base(values: np.ndarray, coverage: np.ndarray, mask: np.ndarray) -
     After LOCAL_LAYERS rounds cells brighter than the background by ANCHOR_K deviations no longer spread.
     """
     source = (coverage >= 1) & ~mask
-    reach = base_reach(coverage)
     if not source.any():
         return values, coverage > 0
     limit = np.empty(len(values))
     for i, v in enumerate(values):
         m = upper_median(v[source])
-        limit[i] = m + ANCHOR_K * max(upper_median(np.abs(v[source] - m)), 1e-7)
-    base, known = np.where(source, values, 0.0), source.copy()
+        limit[i] = m + ANCHOR_K * max(upper_median(np.abs(v[source] - m)), LEAST_MAD)
+    return fill(values, source, base_reach(coverage), limit)
+
+
+def fill(values: np.ndarray, source: np.ndarray, reach: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(base, known): source cells spread over the reach, a layer a round, each new cell taking the mean of its known neighbours. Only a round's layer is looked at, so time follows the cells."""
+    pad = lambda a: np.pad(a, [(0, 0)] * (a.ndim - 2) + [(1, 1), (1, 1)])
+    shape = pad(source).shape
+    base, known, todo = pad(np.where(source, values, 0.0)).reshape(len(values), -1), pad(source).ravel(), pad(reach & ~source).ravel()
     spreads = known.copy()
+    steps = np.array([dy * shape[1] + dx for dx, dy in AROUND])
+    now = np.flatnonzero(pad(dilate(source) & reach & ~source).ravel())
     for i in range(FILL_ROUNDS):
         if i == LOCAL_LAYERS:
-            spreads &= ~(base > limit[:, None, None]).any(0)
-        todo = reach & ~known
-        count = sum(shifted(spreads.astype(int), dx, dy, 0) for dx, dy in AROUND)
-        now = todo & (count > 0)
-        if not now.any():
+            spreads &= ~(base > limit[:, None]).any(0)
+        near = now[:, None] + steps
+        own = spreads[near]
+        some = own.any(1)
+        now, near, own = now[some], near[some], own[some]
+        if not len(now):
             break
-        total = sum(np.stack([shifted(np.where(spreads, b, 0.0), dx, dy, 0.0) for b in base]) for dx, dy in AROUND)
-        base[:, now] = total[:, now] / count[now]
-        known |= now
-        spreads |= now
-    return base, known
+        base[:, now] = np.where(own, base[:, near], 0.0).sum(-1) / own.sum(1)
+        known[now] = spreads[now] = True
+        todo[now] = False
+        now = np.unique(near)
+        now = now[todo[now]]
+    inner = lambda a: a.reshape(*a.shape[:-1], *shape)[..., 1:-1, 1:-1]
+    return inner(base), inner(known)
 
 
 PREP_DDL = "panel_id long, x8 long, y8 long, base array<double>, coverage double, d double, vdet double, masked boolean, compact boolean"
 
 
-def panel_prep(values: DataFrame, distance: DataFrame) -> DataFrame:
-    """Per panel and cell: star-free base (also two cells beyond its coverage), coverage, distance, detail and masks. One group a panel."""
-    c = values.groupBy("panel_id", "x8", "y8").agg(F.array_sort(F.collect_list(F.struct("ch", "value"))).alias("v"), F.max("coverage").alias("coverage"), F.max("detail").alias("raw"), F.max(F.col("detail") * F.coalesce("gain", F.lit(1.0))).alias("vdet"))
-    c = c.join(distance.select("panel_id", "x8", "y8", "d"), ["panel_id", "x8", "y8"]).select("panel_id", "x8", "y8", F.transform("v", lambda e: e["value"]).alias("v"), "coverage", "raw", "vdet", "d")
+def spread_limits(values: DataFrame, masked: DataFrame) -> dict[int, list[float]]:
+    """Of each panel, by channel: the brightness from which its cells don't spread, from upper medians over cells that do; some numbers a panel."""
+    source = values.where("coverage >= 1").join(masked.select("panel_id", "x8", "y8"), ["panel_id", "x8", "y8"], "left_anti")
+    keys = {r.k: (r.panel_id, r.ch) for r in source.select(F.xxhash64("panel_id", "ch").alias("k"), "panel_id", "ch").distinct().collect()}
+    if not keys:
+        return {}
+    counts = source.groupBy(F.xxhash64("panel_id", "ch").alias("ch"), "value").agg(F.count("*").alias("n")).persist()
+    m = values_of_rank(counts)
+    mad = values_of_rank(counts.groupBy("ch", F.abs(F.col("value") - by_channel(m)).alias("value")).agg(F.sum("n").alias("n")))
+    counts.unpersist()
+    out: dict[int, list[float]] = {}
+    for k, (p, _) in sorted(keys.items(), key=lambda x: x[1]):
+        out.setdefault(p, []).append(m[k] + ANCHOR_K * max(mad[k], LEAST_MAD))
+    return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from .masks import split
 
+def panel_prep(values: DataFrame, distance: DataFrame, masked: DataFrame, tile: int = 1024) -> DataFrame:
+    """Per panel and cell: star-free base (also two cells beyond its coverage), coverage, distance, detail and masks (masked: of mask_table()).
+
+    Tiles of cells come with a halo of as many cells as a filling can cross, so they don't depend on each other.
+    """
+    limits = spread_limits(values, masked)
+    c = values.groupBy("panel_id", "x8", "y8").agg(F.array_sort(F.collect_list(F.struct("ch", "value"))).alias("v"), F.max("coverage").alias("coverage"), F.max(F.col("detail") * F.coalesce("gain", F.lit(1.0))).alias("vdet"))
+    c = c.join(distance.select("panel_id", "x8", "y8", "d"), ["panel_id", "x8", "y8"]).join(masked.select("panel_id", "x8", "y8", "compact"), ["panel_id", "x8", "y8"], "left")
+    c = c.select("panel_id", "x8", "y8", F.transform("v", lambda e: e["value"]).alias("v"), "coverage", "vdet", "d", F.col("compact").isNotNull().alias("masked"), F.coalesce("compact", F.lit(False)).alias("compact"))
+    halo = FILL_ROUNDS + 4
+    over = lambda axis: F.explode(F.sequence(F.floor((F.col(axis) - halo) / tile), F.floor((F.col(axis) + halo) / tile)))
+    tiles_ = c.withColumn("ty", over("y8")).withColumn("tx", over("x8"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x0, y0 = pdf["x8"].min() - 2, pdf["y8"].min() - 2
         own = pdf.assign(x8=pdf["x8"] - x0, y8=pdf["y8"] - y0)
         w, h = own["x8"].max() + 3, own["y8"].max() + 3
-        cov, det, vdet, d = (plane_of(own, k, w, h) for k in ("coverage", "raw", "vdet", "d"))
+        cov, vdet, d, mask, compact = (plane_of(own, k, w, h) for k in ("coverage", "vdet", "d", "masked", "compact"))
         vals = np.stack(own["v"].to_numpy()).astype(float)
         planes = np.zeros((vals.shape[1], h, w))
         planes[:, own["y8"], own["x8"]] = vals.T
-        mask = star_mask(cov, det)
-        compact, _ = split(mask)
-        base, known = star_free_base(planes, cov, mask)
-        ys, xs = np.nonzero((known | (cov > 0)) & (np.add.outer(np.arange(h) + y0, np.arange(w) * 0) >= 0) & (np.add.outer(np.arange(h) * 0, np.arange(w) + x0) >= 0))
-        return pd.DataFrame({"panel_id": pdf["panel_id"].iloc[0], "x8": xs + x0, "y8": ys + y0, "base": list(base[:, ys, xs].T), "coverage": cov[ys, xs], "d": d[ys, xs], "vdet": vdet[ys, xs], "masked": mask[ys, xs], "compact": compact[ys, xs]})
-
-    return c.groupBy("panel_id").applyInPandas(run, PREP_DDL)
+        limit = limits.get(int(key[0]))
+        base, known = fill(planes, (cov >= 1) & (mask == 0), base_reach(cov), np.array(limit)) if limit else (planes, cov > 0)
+        inside = lambda n, at, k: (np.arange(n) + at >= max(k * tile, 0)) & (np.arange(n) + at < (k + 1) * tile)
+        ys, xs = np.nonzero((known | (cov > 0)) & inside(h, y0, int(key[1]))[:, None] & inside(w, x0, int(key[2])))
+        out = pd.DataFrame({"panel_id": int(key[0]), "x8": xs + x0, "y8": ys + y0, "base": None, "coverage": cov[ys, xs], "d": d[ys, xs], "vdet": vdet[ys, xs], "masked": mask[ys, xs] > 0, "compact": compact[ys, xs] > 0})
+        out["base"] = pd.Series(list(base[:, ys, xs].T), dtype=object)  # also where there are none
+        return out
+
+    return tiles_.groupBy("panel_id", "ty", "tx").applyInPandas(run, PREP_DDL)
 
 
 TILE_DDL = "panel_id long, x8 long, y8 long, base array<double>, d double, vdet double, masked boolean, ramp double, ref double, hard boolean, owner long, bref array<double>, defined boolean"

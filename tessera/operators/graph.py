@@ -13,18 +13,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     nodes that still have links falls at least by half, so rounds follow its logarithm. A round's tables go to Spark's checkpoint folder
     where there is one, else they are kept in memory and on disk.
     """
-    edges = _kept(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
+    edges = kept(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     label: DataFrame | None = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = _kept(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")))
+        parent = kept(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")))
         pa, pb = parent.select("a", F.col("p").alias("pa")), parent.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        edges = _kept(edges.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        edges = kept(edges.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
         step = parent.select(F.col("a").alias("label"), "p")
-        label = _kept(step.select(F.col("label").alias("node"), F.col("p").alias("label")) if label is None else label.join(step, "label", "left").select("node", F.coalesce("p", "label").alias("label")))
+        label = kept(step.select(F.col("label").alias("node"), F.col("p").alias("label")) if label is None else label.join(step, "label", "left").select("node", F.coalesce("p", "label").alias("label")))
     return label if label is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
+    """A small table that many steps read, made once: a checkpoint where Spark has a folder for them, else persisted."""
     context = df.sparkSession.sparkContext
     return df.checkpoint() if context._jsc.sc().getCheckpointDir().isDefined() or context.getConf().get("spark.checkpoint.dir") else df.persist()

@@ -41,9 +41,9 @@ def full_counts(cells: DataFrame) -> DataFrame:
     return full_cells(cells.where("ch = 0")).groupBy("panel_id").agg(F.count("*").alias("n_full"))
 
 
-def gauge_panels(cells: DataFrame, edges: DataFrame) -> DataFrame:
-    """component, panel_id: in each component the panel of most fully covered cells, ties to the lowest id."""
-    counts = component_table(cells, edges).join(full_counts(cells), "panel_id", "left").fillna(0, ["n_full"])
+def gauge_panels(cells: DataFrame, edges: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """component, panel_id: in each component the panel of most fully covered cells, ties to the lowest id. table: component_table(), if it is there."""
+    counts = (component_table(cells, edges) if table is None else table).join(full_counts(cells), "panel_id", "left").fillna(0, ["n_full"])
     w = Window.partitionBy("component").orderBy(F.desc("n_full"), "panel_id")
     return counts.withColumn("r", F.row_number().over(w)).where("r = 1").select("component", "panel_id", "n_full")
 

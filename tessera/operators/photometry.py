@@ -1,7 +1,7 @@
 """Photometric matching: robust line fits on overlaps, then global gains and offsets.
 
-Edge fits run one group an edge and channel (its shared cells). The global solves couple all panels through a few
-numbers an edge; these and only these are collected, and solved by conjugate gradients in memory that grows with edges and panels.
+Edge fits run one group an edge and channel (its shared cells). The global solves couple the panels of a component through a few
+numbers an edge: one task solves a component's channel by conjugate gradients, in memory that grows with its edges and panels.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .overlap import cell_pairs, gauge_panels
+from . import graph
+from .overlap import cell_pairs, component_table, gauge_panels
 
 CLIP, ROUNDS, FLOOR, LEAST_R, RIDGE, IRLS_ROUNDS, L1_FLOOR = 2.5, 3, 1e-7, 0.5, 1e-6, 60, 1e-4
 
@@ -167,17 +168,23 @@ def global_offsets(fits: list, gauges: set[int], panels: list[int], gains: dict[
 
 
 def solve(cells: DataFrame, edges: DataFrame, fits: DataFrame, unity: bool = False) -> DataFrame:
-    """panel_id, ch, gain, offset. Collects a row an edge and channel, and one a panel."""
-    rows = fits.collect()
-    panels = sorted(r[0] for r in cells.select("panel_id").distinct().collect())
-    gauges = {r.panel_id for r in gauge_panels(cells, edges).collect()}
-    out = []
-    for ch in sorted({r.ch for r in rows} | {r[0] for r in cells.select("ch").distinct().collect()}):
-        own = sorted((r for r in rows if r.ch == ch), key=lambda r: (r.a, r.b))
-        gains = dict.fromkeys(panels, 1.0) if unity else global_gains(own, gauges, panels)
-        offsets = global_offsets(own, gauges, panels, gains)
-        out += [(p, ch, gains[p], offsets[p]) for p in panels]
-    return cells.sparkSession.createDataFrame(out, "panel_id long, ch long, gain double, offset double")
+    """panel_id, ch, gain, offset. One group is a component of the overlap graph and a channel: a row a panel and an edge; nothing is collected."""
+    table = component_table(cells, edges)
+    gauges = gauge_panels(cells, edges, table).select("panel_id").withColumn("gauge", F.lit(True))
+    panels = cells.select("panel_id", "ch").distinct().join(table, "panel_id").join(gauges, "panel_id", "left").select("component", "ch", "panel_id", F.coalesce("gauge", F.lit(False)).alias("gauge"))
+    own = fits.join(table.select(F.col("panel_id").alias("a"), F.col("component").alias("part")), "a").select("part", "ch", "a", "b", "gain", "n", "stats", "identifiable")
+
+    def run(key: tuple, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        if nodes.empty:
+            return pd.DataFrame({"panel_id": [], "ch": [], "gain": [], "offset": []})
+        ids = sorted(nodes["panel_id"].tolist())
+        fixed = set(nodes.loc[nodes["gauge"], "panel_id"].tolist())
+        rows = list(links.sort_values(["a", "b"]).itertuples(index=False))
+        gains = dict.fromkeys(ids, 1.0) if unity else global_gains(rows, fixed, ids)
+        offsets = global_offsets(rows, fixed, ids, gains)
+        return pd.DataFrame({"panel_id": ids, "ch": key[1], "gain": [gains[p] for p in ids], "offset": [offsets[p] for p in ids]})
+
+    return graph.kept(panels.groupBy("component", "ch").cogroup(own.groupBy("part", "ch")).applyInPandas(run, "panel_id long, ch long, gain double, offset double"))
 
 
 def corrected(cells: DataFrame, corrections: DataFrame, surfaces: DataFrame | None = None, width: int = 1, height: int = 1) -> DataFrame:

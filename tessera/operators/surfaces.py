@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .overlap import gauge_panels
+from . import graph
+from .overlap import component_table, gauge_panels
 from .photometry import solve_dense, solve_sparse
 from .summary import by_channel, exact_medians, full_cells
 
@@ -38,11 +39,38 @@ def background_residuals(values: DataFrame, edges: DataFrame) -> DataFrame:
     return side("a").join(side("b"), ["ch", "x8", "y8"]).join(edges.select("a", "b"), ["a", "b"]).select("a", "b", "ch", "x8", "y8", (F.col("va") - F.col("vb")).alias("r"))
 
 
+def solve_panels(own: np.ndarray, pp: np.ndarray, pr: np.ndarray, ia: np.ndarray, ib: np.ndarray, gauge: np.ndarray) -> np.ndarray:
+    """Terms of a component's panels from the panels' own matrices and the edges' sums; gauge panels' constants are 0. By conjugate gradients with a block a panel."""
+    n = own.shape[-1]
+    blocks = own.copy()  # the diagonal blocks of the whole matrix
+    np.add.at(blocks, ia, pp)
+    np.add.at(blocks, ib, pp)
+    stable = STABLE * (1 + np.einsum("pii->pi", blocks))
+    np.einsum("pii->pi", blocks)[...] += stable
+    free = np.ones((len(own), n), bool)
+    free[gauge, 0] = False
+    right = np.zeros((len(own), n))
+    np.add.at(right, ia, -pr)
+    np.add.at(right, ib, pr)
+
+    def times(x: np.ndarray) -> np.ndarray:
+        y = np.einsum("pij,pj->pi", own, x) + stable * x
+        e = np.einsum("eij,ej->ei", pp, x[ia] - x[ib])
+        np.add.at(y, ia, e)
+        np.add.at(y, ib, -e)
+        return y
+
+    # a fixed term is left out of its panel's block
+    kept = np.where(free[:, :, None] & free[:, None, :], blocks, np.eye(n))
+    inverse = np.stack([np.stack([solve_dense(k, unit) for unit in np.eye(n)], 1) for k in kept])
+    return solve_sparse(times, right, lambda r: np.einsum("pij,pj->pi", inverse, r), free)
+
+
 def fit_surfaces(values: DataFrame, edges: DataFrame, width: int, height: int, order: int = 2) -> DataFrame:
     """panel_id, ch, coef, max_abs_s, bg_mad.
 
-    Each edge's clipped residuals and each panel's cells become sums over basis functions in Spark; the driver gets a
-    matrix of (terms of a panel)² numbers for each edge and panel, and solves for all panels of a channel by conjugate gradients.
+    Each edge's clipped residuals and each panel's cells become sums over basis functions; one task solves a component's channel
+    from a matrix of (terms of a panel)² numbers for each edge and panel. Nothing is collected.
     """
     n = n_terms(order)
 
@@ -60,49 +88,32 @@ def fit_surfaces(values: DataFrame, edges: DataFrame, width: int, height: int, o
         m = keep.sum()
         return pd.DataFrame([{"a": key[0], "b": key[1], "ch": key[2], "pp": (phi.T @ phi / m).ravel().tolist(), "pr": (phi.T @ r[keep] / m).tolist()}])
 
-    rows = background_residuals(values, edges).groupBy("a", "b", "ch").applyInPandas(edge_sums, "a long, b long, ch long, pp array<double>, pr array<double>").collect()
+    sums = background_residuals(values, edges).groupBy("a", "b", "ch").applyInPandas(edge_sums, "a long, b long, ch long, pp array<double>, pr array<double>")
     x, y = (F.col("x8") + 0.5) * 8 / width, (F.col("y8") + 0.5) * 8 / height
     phi = [F.lit(1.0), x, y, x * x, x * y, y * y][:n]
     full = full_cells(values)
-    norm = full.groupBy("panel_id", "ch").agg(*(F.avg(phi[i] * phi[j]).alias(f"p{i}_{j}") for i in range(n) for j in range(n))).collect()
-    gauges = {r.panel_id for r in gauge_panels(values, edges).collect()}
-    panels = sorted({r.panel_id for r in norm})
-    at = {p: i for i, p in enumerate(panels)}
-    out = []
-    for ch in sorted({r.ch for r in norm}):
-        use = sorted((r for r in rows if r.ch == ch), key=lambda r: (r.a, r.b))
-        ia, ib = (np.array([at[getattr(r, s)] for r in use], int) for s in "ab")
-        pp, pr = np.array([r.pp for r in use]).reshape(-1, n, n), np.array([r.pr for r in use]).reshape(-1, n)
-        own = np.zeros((len(panels), n, n))
-        for r in norm:
-            if r.ch == ch:
-                own[at[r.panel_id]] = RIDGE * np.array([[r[f"p{i}_{j}"] for j in range(n)] for i in range(n)])
-        blocks = own.copy()  # the diagonal blocks of the whole matrix
-        np.add.at(blocks, ia, pp)
-        np.add.at(blocks, ib, pp)
-        stable = STABLE * (1 + np.einsum("pii->pi", blocks))
-        np.einsum("pii->pi", blocks)[...] += stable
-        free = np.ones((len(panels), n), bool)
-        free[[at[g] for g in gauges if g in at], 0] = False
-        right = np.zeros((len(panels), n))
-        np.add.at(right, ia, -pr)
-        np.add.at(right, ib, pr)
-
-        def times(x: np.ndarray) -> np.ndarray:
-            y = np.einsum("pij,pj->pi", own, x) + stable * x
-            e = np.einsum("eij,ej->ei", pp, x[ia] - x[ib])
-            np.add.at(y, ia, e)
-            np.add.at(y, ib, -e)
-            return y
-
-        # a fixed term is left out of its panel's block
-        kept = np.where(free[:, :, None] & free[:, None, :], blocks, np.eye(n))
-        inverse = np.stack([np.stack([solve_dense(k, unit) for unit in np.eye(n)], 1) for k in kept])
-        coef = solve_sparse(times, right, lambda r: np.einsum("pij,pj->pi", inverse, r), free)
-        out += [(p, ch, coef[at[p]].tolist()) for p in panels]
-    surf = values.sparkSession.createDataFrame(out, "panel_id long, ch long, coef array<double>")
+    table = component_table(values, edges)
+    gauges = gauge_panels(values, edges, table).select("panel_id").withColumn("gauge", F.lit(True))
+    norm = full.groupBy("panel_id", "ch").agg(F.array(*(F.avg(phi[i] * phi[j]) for i in range(n) for j in range(n))).alias("own"))
+    panels = norm.join(table, "panel_id").join(gauges, "panel_id", "left").select("component", "ch", "panel_id", "own", F.coalesce("gauge", F.lit(False)).alias("gauge"))
+    links = sums.join(table.select(F.col("panel_id").alias("a"), F.col("component").alias("part")), "a").select("part", "ch", "a", "b", "pp", "pr")
+
+    def run(key: tuple, nodes: pd.DataFrame, use: pd.DataFrame) -> pd.DataFrame:
+        if nodes.empty:
+            return pd.DataFrame({"panel_id": [], "ch": [], "coef": []})
+        nodes, use = nodes.sort_values("panel_id"), use.sort_values(["a", "b"])
+        ids = nodes["panel_id"].tolist()
+        at = {p: i for i, p in enumerate(ids)}
+        use = use[use["a"].isin(at) & use["b"].isin(at)]
+        ia, ib = (np.array([at[p] for p in use[s]], int) for s in "ab")
+        pp, pr = (np.array(use[c].tolist(), float).reshape(-1, *shape) for c, shape in (("pp", (n, n)), ("pr", (n,))))
+        own = RIDGE * np.array(nodes["own"].tolist(), float).reshape(-1, n, n)
+        coef = solve_panels(own, pp, pr, ia, ib, nodes["gauge"].to_numpy())
+        return pd.DataFrame({"panel_id": ids, "ch": key[1], "coef": coef.tolist()})
+
+    surf = graph.kept(panels.groupBy("component", "ch").cogroup(links.groupBy("part", "ch")).applyInPandas(run, "panel_id long, ch long, coef array<double>"))
     s = sum((F.element_at("coef", i + 1) * phi[i] for i in range(1, n)), F.element_at("coef", 1) * phi[0])
-    largest = full.join(F.broadcast(surf), ["panel_id", "ch"]).groupBy("panel_id", "ch").agg(F.max(F.abs(s)).alias("max_abs_s"))
+    largest = full.join(surf, ["panel_id", "ch"]).groupBy("panel_id", "ch").agg(F.max(F.abs(s)).alias("max_abs_s"))
     return surf.join(largest, ["panel_id", "ch"]).join(thresholds(values).select("panel_id", "ch", F.col("mad").alias("bg_mad")), ["panel_id", "ch"]).withColumn("warn", F.col("max_abs_s") > WARN * F.col("bg_mad"))
 
 

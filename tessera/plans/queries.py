@@ -59,6 +59,10 @@ class Raster:
     def distance(self) -> DataFrame:
         return self._once("distance", lambda: overlap.distance_map(self.cells, -(-WIDTH // 8), -(-self.height // 8)).persist())
 
+    @property
+    def masked(self) -> DataFrame:
+        return self._once("masked", lambda: masks.mask_table(self.cells).persist())
+
     @property
     def corrections(self) -> DataFrame:
         """The inverse of the panels' known gains and offsets."""
@@ -431,8 +435,8 @@ def dp_seam_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _blend(spark: SparkSession, sf_dir: str, pyramid: bool, veto: bool) -> DataFrame:
     r = Raster(spark, sf_dir)
-    owner = seam.owner_map(r.values, r.edges, r.distance, masks.mask_table(r.cells), FEATHER, SEAM)
-    tiles = blend.tile_prep(blend.panel_prep(r.values, r.distance), owner, FEATHER, pyramid)
+    owner = seam.owner_map(r.values, r.edges, r.distance, r.masked, FEATHER, SEAM)
+    tiles = blend.tile_prep(blend.panel_prep(r.values, r.distance, r.masked), owner, FEATHER, pyramid)
     return blend.mosaic_pixels(blend.two_band(r.bands, r.corrections, None, WIDTH, r.height, tiles, FEATHER, veto))
 
 
@@ -510,4 +514,4 @@ def input_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def star_free_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Raster(spark, sf_dir)
-    return blend.panel_prep(r.values, r.distance).select("panel_id", "x8", "y8", "base", "masked", "compact")
+    return blend.panel_prep(r.values, r.distance, r.masked).select("panel_id", "x8", "y8", "base", "masked", "compact")

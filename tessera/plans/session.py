@@ -232,7 +232,7 @@ def mosaic_strips(bands: DataFrame, path: str, options: Options = Options()) ->
         out = blend.feather(bands, t["corrections"], surf, width, height, t["distance"], options.feather, box=box)
     else:
         owner = seam.owner_map(values, t["edges"], t["distance"], t["masks"], options.feather)
-        tiles = blend.tile_prep(blend.panel_prep(values, t["distance"]), owner, options.feather, options.mode == "pyramid")
+        tiles = blend.tile_prep(blend.panel_prep(values, t["distance"], t["masks"]), owner, options.feather, options.mode == "pyramid")
         out = blend.two_band(bands, t["corrections"], surf, width, height, tiles, options.feather, options.veto, box=box)
     clean = F.transform("vals", lambda r: F.transform(r, lambda v: F.when(v.isNotNull(), sanitize(v))))
     return out.select("y", "x0", clean.alias("vals"))

@@ -250,7 +250,8 @@ def test_pyramid_reconstructs():
 def test_blends_do_not_depend_on_tiles(spark, sf_dir):
     r = queries.Raster(spark, sf_dir)
     owner = seam.owner_map(r.values, r.edges, r.distance, masks.mask_table(r.cells), queries.FEATHER, queries.SEAM).persist()
-    prep = blend.panel_prep(r.values, r.distance).persist()
+    masked = masks.mask_table(r.cells).persist()
+    prep = blend.panel_prep(r.values, r.distance, masked).persist()
     mosaic = lambda tile, side: blend.mosaic_pixels(blend.two_band(r.bands, r.corrections, None, rasters.WIDTH, r.height, blend.tile_prep(prep, owner, queries.FEATHER, tile=tile), queries.FEATHER, side=side)).toPandas()
     whole, parts = mosaic(4096, 4096), mosaic(32, 48)
     a, b = (d.sort_values(["x", "y", "ch"]).reset_index(drop=True) for d in (whole, parts))
@@ -304,6 +305,49 @@ def test_surfaces_equal_a_dense_solution(spark, sf_dir):
     spark.catalog.clearCache()
 
 
+def test_bases_do_not_depend_on_tiles(spark):
+    """Planes with masks across tiles' borders; one plane by layers of the whole plane is the measure."""
+    rng = np.random.default_rng(5)
+    rows, masked, want = [], [], {}
+    for p in (0, 2):
+        h, w = 40, 90
+        v = rng.random((2, h, w))
+        cov = np.where(rng.random((h, w)) < 0.03, 0.5, 1.0)
+        cov[:5, :9] = cov[:2] = cov[-2:] = 0
+        cov[:, :2] = cov[:, -2:] = 0  # a base reaches two cells beyond its coverage
+        mask = rng.random((h, w)) < 0.05
+        mask[8:35, 20:70] = True
+        v[0, 10, 19] = 900.0
+        source = (cov >= 1) & ~mask
+        limit = [np.sort(x[source])[source.sum() // 2] for x in v]
+        limit = [m + 20 * max(np.sort(np.abs(x[source] - m))[source.sum() // 2], 1e-7) for m, x in zip(limit, v)]
+        base, known = np.where(source, v, 0.0), source.copy()
+        spreads, reach = known.copy(), masks.base_reach(cov)
+        for i in range(256):
+            if i == 8:
+                spreads &= ~(base > np.array(limit)[:, None, None]).any(0)
+            count = sum(masks.shifted(spreads.astype(int), dx, dy, 0) for dx, dy in masks.AROUND)
+            now = reach & ~known & (count > 0)
+            if not now.any():
+                break
+            total = sum(np.stack([masks.shifted(np.where(spreads, b, 0.0), dx, dy, 0.0) for b in base]) for dx, dy in masks.AROUND)
+            base[:, now] = total[:, now] / count[now]
+            known |= now
+            spreads |= now
+        got = blend.star_free_base(v * (cov > 0), cov, mask)
+        assert np.array_equal(got[1], known) and np.allclose(got[0][:, known], base[:, known], rtol=1e-12)
+        want |= {(p, x, y): base[:, y, x] for y, x in zip(*np.nonzero(known))}
+        rows += [(p, c, x, y, float(cov[y, x]), 0.1, 1.0, float(v[c, y, x])) for c in (0, 1) for y in range(h) for x in range(w) if cov[y, x]]
+        masked += [(p, x, y, False) for y, x in zip(*np.nonzero(mask & (cov > 0)))]
+    values = spark.createDataFrame(rows, "panel_id long, ch long, x8 long, y8 long, coverage double, detail double, gain double, value double")
+    table = spark.createDataFrame(pd.DataFrame(masked, columns=["panel_id", "x8", "y8", "compact"]))
+    distance = values.where("ch = 0").select("panel_id", "x8", "y8", F.lit(1.0).alias("d"))
+    for tile in (300, 1024):
+        got = {(r.panel_id, r.x8, r.y8): r for r in blend.panel_prep(values, distance, table, tile).collect()}
+        own = {k: v for k, v in want.items() if min(k[1:]) >= 0}
+        assert own.keys() <= got.keys() and all(np.allclose(got[k].base, v, rtol=1e-9) for k, v in own.items())
+
+
 def test_star_free_base_fills_from_outside():
     values = np.full((1, 20, 20), 0.1)
     values[0, 8:12, 8:12] = 5.0
