@@ -511,7 +511,28 @@ def input_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.agg(F.lit(kind).alias("kind"), F.max("n_covered").alias("most_covered"))
 
 
-@query()
+BASE = MASK + f""",
+cv AS (SELECT f.panel_id, f.x8, f.y8, max(f.n / f.area) AS coverage, list((1 / {G}) * mean + (-{O} * {SCALE} / {G}) ORDER BY ch) AS v FROM cells f GROUP BY ALL),
+src AS (SELECT cv.* FROM cv ANTI JOIN stars USING (panel_id, x8, y8) WHERE coverage >= 1),
+sv AS (SELECT panel_id, unnest(range(1, len(v) + 1)) AS ch, unnest(v) AS v FROM src), sm AS (SELECT panel_id, ch, list_sort(list(v))[count(*) // 2 + 1] AS m FROM sv GROUP BY ALL),
+sl AS (SELECT panel_id, ch, any_value(m) + {blend.ANCHOR_K} * greatest(list_sort(list(abs(v - m)))[count(*) // 2 + 1], {blend.LEAST_MAD}) AS lim FROM sv JOIN sm USING (panel_id, ch) GROUP BY ALL),
+li AS (SELECT panel_id, list(lim ORDER BY ch) AS lim FROM sl GROUP BY 1),
+around AS (SELECT dx, dy FROM (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy) WHERE dx <> 0 OR dy <> 0),
+reach AS (SELECT DISTINCT panel_id, x8 + dx AS x8, y8 + dy AS y8 FROM cv, (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy)),
+rim AS (SELECT r.* FROM reach r ANTI JOIN src USING (panel_id, x8, y8) WHERE r.panel_id IN (SELECT panel_id FROM src)),
+layer(i, panel_id, x8, y8, v, since) AS (SELECT 0, panel_id, x8, y8, v, 0 FROM src
+  UNION ALL SELECT i, panel_id, x8, y8, any_value(v), any_value(since) FROM (
+    SELECT i + 1 AS i, panel_id, x8, y8, v, since FROM layer WHERE i < {blend.FILL_ROUNDS} AND i <= (SELECT max(since) FROM layer)
+    UNION ALL SELECT f.i + 1, r.panel_id, r.x8, r.y8, [avg(f.v[1]), avg(f.v[2])], f.i + 1 FROM rim r, around a, layer f, li
+      WHERE f.panel_id = r.panel_id AND f.x8 = r.x8 + a.dx AND f.y8 = r.y8 + a.dy AND li.panel_id = r.panel_id AND f.i < {blend.FILL_ROUNDS} AND f.i <= (SELECT max(since) FROM layer)
+        AND NOT (f.i >= {blend.LOCAL_LAYERS} AND f.since <= {blend.LOCAL_LAYERS} AND (f.v[1] > li.lim[1] OR f.v[2] > li.lim[2]))
+        AND NOT EXISTS (SELECT 1 FROM layer g WHERE g.panel_id = r.panel_id AND g.x8 = r.x8 AND g.y8 = r.y8) GROUP BY ALL) GROUP BY i, panel_id, x8, y8),
+base AS (SELECT * FROM layer WHERE i = (SELECT max(i) FROM layer) UNION ALL SELECT 0, panel_id, x8, y8, v, 0 FROM cv WHERE panel_id NOT IN (SELECT panel_id FROM src))"""
+
+
+@query(BASE + """ SELECT panel_id, x8, y8, round(coalesce(b.v, [0, 0])[1], 2) AS base0, round(coalesce(b.v, [0, 0])[2], 2) AS base1, s.compact IS NOT NULL AS masked, coalesce(s.compact, false) AS compact
+    FROM base b FULL JOIN (SELECT panel_id, x8, y8 FROM cv) c USING (panel_id, x8, y8) LEFT JOIN stars s USING (panel_id, x8, y8) WHERE x8 >= 0 AND y8 >= 0""")
 def star_free_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Raster(spark, sf_dir)
-    return blend.panel_prep(r.values, r.distance, r.masked).select("panel_id", "x8", "y8", "base", "masked", "compact")
+    base = [F.round(F.get("base", F.lit(i)), 2).alias(f"base{i}") for i in (0, 1)]
+    return blend.panel_prep(r.values, r.distance, r.masked).select("panel_id", "x8", "y8", *base, "masked", "compact")
