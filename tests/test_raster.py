@@ -437,7 +437,6 @@ def test_filters_reach_the_files(spark, tmp_path):
 
     box = (100, 64, 170, 121)  # 2 % of a panel
     frame = panels.in_box(read(), box, [1], columns=40)
-    assert "PushedFilters" in frame._jdf.queryExecution().toString() or True
     rows, reads, size = measured(frame)
     assert set(rows) == {(1, y, x) for y in range(64, 121) for x in (80, 120, 160)} and all(rows[k] == every[k] for k in rows)
     assert size == 4 * 2 * 57 * 120 and size < 0.035 * 4 * planes[0].size
