@@ -378,6 +378,51 @@ def test_differencing_equals_brute_force(spark):
         assert got[i] == " ".join(x for x in text if x not in shared) and shared
 
 
+def test_runs_of_near_copies_are_looked_past_to_their_ends(spark):
+    """Small blocks against a search that goes as far as it must, in runs longer than a block and its reach."""
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(400)]
+    line = lambda: " ".join(rng.choice(words, 12))
+    rows = []
+    for host, runs in (("a.b", (1, 30, 1)), ("c.d", (40,)), ("e.f", (1, 1, 9, 25, 1)), ("g.h", (21, 1))):
+        menu = [line() for _ in range(5)]
+        for run, size in enumerate(runs):
+            body = [line() for _ in range(6)]
+            rows += [(f"http://{host}/{run}/{i:03}", menu + body + [f"this story was read {100 + i} times so far by all of our friends"] + ([line()] if i % 11 == 3 else [])) for i in range(size)]
+    df = spark.createDataFrame([(u, u, "".join(f"<p>{x}</p>" for x in t)) for u, t in rows], "key string, url string, html string")
+    want = {}
+    for i, (url, text) in enumerate(rows):
+        sides = []
+        for step in (-1, 1):
+            j = i + step
+            while 0 <= j < len(rows) and rows[j][0][:10] == url[:10]:
+                both = html_extract.shared_lines(text, rows[j][1])
+                if not html_extract.near_copy(text, html_extract.sketches(text), rows[j][1], html_extract.sketches(rows[j][1]), both):
+                    sides.append((-len(os.path.commonprefix([url, rows[j][0]])), both))
+                    break
+                j += step
+        if sides and (both := min(sides, key=lambda s: s[0])[1]):  # of equal ones the one before
+            want[url] = both
+    assert len(want) > 60 and not any(u.startswith("http://c.d") and u[-3:] == "000" for u in want)
+    for block, reach in ((4, 1), (256, 64)):
+        assert {r.key: r.places for r in html_extract.deletions(df, block=block, reach=reach).collect()} == want
+
+
+def test_plain_copies_are_near_copies():
+    rng = np.random.default_rng(14)
+    text = [f"line {w} of a page with words {w * 7} and more" for w in range(7)]
+    sketch = lambda t: np.array(html_extract.sketches(t), np.int64)
+    code = lambda t: np.array([hash(x) for x in t], np.int64)
+    pages = [[t if rng.random() < 0.9 else [t + "!", text[int(rng.integers(7))], f"else {rng.random()}"][int(rng.integers(3))] for t in text] for _ in range(300)]
+    checked = 0
+    for own in pages[:40]:
+        got = html_extract.plain_copies(code(own), sketch(own), np.stack([code(p) for p in pages]), np.stack([sketch(p) for p in pages]))
+        near = [html_extract.near_copy(own, html_extract.sketches(own), p, html_extract.sketches(p), html_extract.shared_lines(own, p)) for p in pages]
+        checked += int(got.sum())
+        assert all(n for g, n in zip(got, near) if g)
+    assert checked > 1000
+
+
 def test_html_text_of_copies_and_stubs(spark):
     menu = "".join(f"<p>Menu entry {w}</p>" for w in "home news maps shop jobs help".split())
     words = "granite harbour violet lantern meadow copper orchard thunder saddle river velvet compass".split()
