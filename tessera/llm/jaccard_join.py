@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import discard, map_texts, materialise, release, table
 from .minhash import distinct, joined_nodes, node_of, shingle_hashes, shingles
 
-#: Most frequent shingles that are told apart; sizes from which sets are always heavy; cost of a pair in rows; one shingle of so many is counted for the estimate of pairs; parity bits.
-FREQUENT, HEAVY, PAIR_COST, ESTIMATE, BITS = 1 << 19, 25, 30.0, 256, 1024
+#: Most frequent shingles that are told apart; sizes from which sets are always heavy; cost of a pair in rows; one shingle of so many is counted for the estimate of pairs; parity bits, and those of the first pass over the lists.
+FREQUENT, HEAVY, PAIR_COST, ESTIMATE, BITS, THIN = 1 << 19, 25, 30.0, 256, 1024, 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -150,7 +150,8 @@ def finely(one: list, other: list, ok: np.ndarray, percent: int) -> np.ndarray:
 
 
 def heads(marks: list) -> np.ndarray:
-    return np.frombuffer(b"".join(m[:HEAD] for m in marks), np.uint8).reshape(len(marks), HEAD)
+    """Marks before their fine parities, a row each; those of a pass are equally long."""
+    return np.frombuffer(b"".join(m[:HEAD] for m in marks), np.uint8).reshape(len(marks), min(HEAD, len(marks[0])))
 
 
 def may_link(one: list, other: list, percent: int) -> np.ndarray:
@@ -274,7 +275,7 @@ def boundary_of(sizes: dict[int, int], partners: float, percent: int) -> int:
 
 
 def keyed(docs: DataFrame, k: int, percent: int, boundary: int, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, node, keys (subsets odd, lists even), low (size and parities), fine."""
+    """doc_id, n_shingles, node, keys (subsets odd, lists even), low (size and parities), fine, thin (low of fewer bits)."""
     known = docs.sparkSession.sparkContext.broadcast((frequent, counts))  # FREQUENT at most
 
     def run(texts: list) -> list:
@@ -282,15 +283,15 @@ def keyed(docs: DataFrame, k: int, percent: int, boundary: int, frequent: np.nda
         for text in texts:
             kept = shingles(text, k)
             if not len(kept):
-                out.append((0, None, None, None, None))
+                out.append((0, None, None, None, None, None))
                 continue
             keys = [subset_keys(kept, percent)] if len(kept) < boundary else []
             if len(kept) >= least_shared(boundary, percent):
                 keys.append(list_keys(kept, percent, *known.value))
-            out.append((len(kept), node_of(kept), np.concatenate(keys).view(np.int64), parity(kept), fine_parity(kept)))
+            out.append((len(kept), node_of(kept), np.concatenate(keys).view(np.int64), parity(kept), fine_parity(kept), parity(kept, THIN)))
         return list(zip(*out))
 
-    return map_texts(docs, ["doc_id"], run, "n_shingles long, node long, keys array<long>, low binary, fine binary")
+    return map_texts(docs, ["doc_id"], run, "n_shingles long, node long, keys array<long>, low binary, fine binary, thin binary")
 
 
 def across(labelled: DataFrame, lows: DataFrame, percent: int) -> DataFrame:
@@ -301,10 +302,10 @@ def across(labelled: DataFrame, lows: DataFrame, percent: int) -> DataFrame:
 
 
 def classes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tables: doc_id, n_shingles, node of every row; node, rep (smallest doc_id), n, keys, low, fine of every set. sets: of keyed()."""
+    """Tables: doc_id, n_shingles, node of every row; node, rep (smallest doc_id), n, keys, low, fine, thin of every set. sets: of keyed()."""
     every = materialise(sets, "keyed")
     one = every.where("node is not null and doc_id is not null").groupBy("node")
-    nodes = materialise(one.agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c if c != "n_shingles" else "n") for c in ("n_shingles", "keys", "low", "fine"))), "classes")
+    nodes = materialise(one.agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c if c != "n_shingles" else "n") for c in ("n_shingles", "keys", "low", "fine", "thin"))), "classes")
     sigs = materialise(every.select("doc_id", "n_shingles", "node"), "sets")
     discard(every)
     return sigs, nodes
@@ -319,9 +320,10 @@ def shared_lists(nodes: DataFrame, boundary: int) -> DataFrame:
 
 
 def likely_members(lists: DataFrame, lows: DataFrame, percent: int) -> DataFrame:
-    """key, node, first (the smallest) of list members that may be linked with another one, as a table: by their coarse parities, then by the fine ones. The lists go."""
+    """key, node, first (the smallest) of list members that may be linked with another one, as a table: by their thin parities, which most members don't pass and all are dealt with, then by the coarse, then by the fine ones. The lists go. lows: node, low, fine, thin."""
     left = lists
-    for marks in (lows.withColumn("fine", F.lit(b"")), lows):
+    none = F.lit(b"").alias("fine")
+    for marks in (lows.select("node", F.col("thin").alias("low"), none), lows.select("node", "low", none), lows.select("node", "low", "fine")):
         fewer = plausible(marked(left.select("key", "node").join(marks, "node"), "node").select("key", "node", "mark"), percent)
         discard(left)
         left = fewer
@@ -345,8 +347,8 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     sigs, nodes = classes_of(keyed(docs, k, percent, boundary, frequent[order], counts[order]))
     release(docs.sparkSession)
+    members = likely_members(shared_lists(nodes, boundary), nodes.select("node", "low", "fine", "thin"), percent)
     lows = nodes.select("node", "low", "fine")
-    members = likely_members(shared_lists(nodes, boundary), lows, percent)
     release(docs.sparkSession)
     of_node = joined_nodes(nodes, members, docs, k, percent, by_parity, lambda pairs: allowed_pairs(pairs, lows, percent), lambda members: across(members, lows, percent))
     out = sigs.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")

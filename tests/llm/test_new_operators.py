@@ -230,6 +230,36 @@ def test_parities_never_rule_out_a_link():
                 assert not jaccard_join.may_link(*marks, 80)[0]
 
 
+def test_lists_are_dealt_with_short_marks_first(spark, monkeypatch):
+    """All members of all lists travel with THIN parity bits; only those left travel with more."""
+    rng = np.random.default_rng(15)
+    base = np.unique(rng.integers(0, 1 << 63, 900).astype(np.uint64))
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (40, 90, 200, 201, 330, 2000)] + [base, base[20:], np.concatenate([base[:300], np.arange(600, dtype=np.uint64)])]
+    lows = spark.createDataFrame([(i, jaccard_join.parity(x), jaccard_join.fine_parity(x), jaccard_join.parity(x, jaccard_join.THIN)) for i, x in enumerate(map(np.sort, sets))], "node long, low binary, fine binary, thin binary")
+    lists = spark.createDataFrame([(key, i) for key in (1, 2) for i in range(len(sets))], "key long, node long")
+    passes, plausible = [], jaccard_join.plausible
+
+    def seen(members, percent):
+        passes.append((members.count(), max(len(r.mark) for r in members.collect())))
+        return plausible(members, percent)
+
+    monkeypatch.setattr(jaccard_join, "plausible", seen)
+    got = sorted((r.key, r.node, r.first) for r in jaccard_join.likely_members(lists, lows, 80).collect())
+    assert got == [(1, 6, 6), (1, 7, 6), (2, 6, 6), (2, 7, 6)]
+    assert passes[0] == (2 * len(sets), 8 + 4 + jaccard_join.THIN // 8) and len(passes) == 3
+    assert passes[1][0] < passes[0][0] and passes[1][1] == jaccard_join.HEAD < passes[2][1]
+
+
+def test_thin_parities_never_rule_out_a_link():
+    rng = np.random.default_rng(16)
+    for n in (3, 100, 600, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for cut in (0, n // 10, n // 5, n // 2):
+            marks = [[bytes(7) + bytes([i]) + jaccard_join.parity(x, jaccard_join.THIN)] for i, x in enumerate((a, a[cut:]))]
+            ok = jaccard_join.may_link(*marks, 80)[0]
+            assert ok if minhash.reaches(a, a[cut:], 80) else n < 100 or not ok
+
+
 def test_the_boundary_follows_the_cost():
     assert jaccard_join.boundary_of({}, 1.0, 80) == 1
     few, many = jaccard_join.boundary_of({n: 100 for n in range(5, 25)}, 0.01, 80), jaccard_join.boundary_of({n: 100 for n in range(5, 25)}, 50.0, 80)
