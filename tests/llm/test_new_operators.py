@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -250,6 +251,37 @@ def test_lists_are_dealt_with_short_marks_first(spark, monkeypatch):
     assert passes[1][0] < passes[0][0] and passes[1][1] == jaccard_join.HEAD < passes[2][1]
 
 
+def test_marks_of_short_lists_are_dealt_once(spark):
+    """Members whose marks rule out all others of their list: marks are not dealt again for each step."""
+    rng = np.random.default_rng(17)
+    sets = [np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64)) for _ in range(60)]
+    lows = [(i, jaccard_join.parity(x), jaccard_join.fine_parity(x)) for i, x in enumerate(sets)]
+    lists = spark.createDataFrame([(key, *lows[i]) for key in range(100) for i in rng.permutation(len(sets))[:8].tolist()], "key long, node long, low binary, fine binary")
+    members = jaccard_join.materialise(jaccard_join.marked(lists, "node").select("key", "node", "mark"), "members")
+    jvm = spark.sparkContext._jsc.sc()
+
+    def dealt():
+        jvm.listenerBus().waitUntilEmpty()
+        time.sleep(1)
+        return jvm.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = dealt()
+    assert jaccard_join.plausible(members, 80).count() == 0
+    marks = 800 * (jaccard_join.HEAD + len(lows[0][2]))
+    assert 0 < dealt() - before < 1.5 * marks
+
+
+def test_filters_lose_no_value(spark):
+    rng = np.random.default_rng(18)
+    inside, outside = (rng.integers(-(1 << 63), 1 << 63, 5000, dtype=np.int64) for _ in range(2))
+    inside[:4] = -1, 0, 1 << 62, -(1 << 63)
+    known = jaccard_join.filter_of(spark.createDataFrame([(int(x),) for x in inside], "v long"))
+    assert jaccard_join.in_filter(known.value, inside).all() and jaccard_join.in_filter(known.value, outside).mean() < 0.01
+    rows = spark.createDataFrame([(int(x), i) for i, x in enumerate([*inside, *outside])], "v long, i long")
+    left = {r.i for r in jaccard_join.filtered(rows, known).collect()}
+    assert left >= set(range(5000)) and left.isdisjoint(r.i for r in jaccard_join.filtered(rows, known, inside=False).collect())
+
+
 def test_thin_parities_never_rule_out_a_link():
     rng = np.random.default_rng(16)
     for n in (3, 100, 600, 3000):
