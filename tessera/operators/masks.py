@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
+from .graph import joined
 from .overlap import chamfer
 from .summary import by_channel, values_of_rank
 
@@ -66,19 +67,6 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, start, np.nonzero(change == -1)[1]
 
 
-def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest member of each of n nodes' component, from links a, b: the smaller root is handed on and paths are halved, in rounds."""
-    root = np.arange(n)
-    while len(a):
-        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-        np.minimum.at(root, high, low)
-        while not np.array_equal(up := root[root], root):
-            root = up
-        apart = root[a] != root[b]
-        a, b = a[apart], b[apart]
-    return root
-
-
 def labelled_runs(mask: np.ndarray, diagonal: bool = True) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, int]:
     """(runs, the number of each run's component, components), from 0 in the order of their first cells. Time follows the cells."""
     row, start, end = found = runs(mask)

@@ -193,6 +193,23 @@ def test_components_by_contraction(spark):
     assert sorted(map(tuple, table)) == [(0, 0), (1, 0), (2, 0), (3, 3)]
 
 
+def test_components_of_a_chain_of_ascending_numbers_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    kept = graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df: rounds.append(df) or kept(df))
+    chain = spark.range(2000).selectExpr("id as a", "id + 1 as b").union(spark.range(5000, 5100).selectExpr("id + 1 as a", "id as b"))
+    table = graph.components(chain).collect()
+    assert len(rounds) <= 3 and len(table) == 2102 and {(r.node >= 5000, r.label) for r in table} == {(False, 0), (True, 5000)}
+    rounds.clear()
+    assert sorted(graph.components(chain, few=500).collect()) == sorted(table) and len(rounds) <= 3 * 12
+    rounds.clear()
+    mosaic = [(0, x, y, 64, 64) for x in range(4) for y in range(4)]  # panels in a row, each of which meets the next
+    cells = spark.createDataFrame([(p, 0, x + 4 * (p + i), y, n, area, 1.0, 1.0) for p in range(60) for i in (0, 1) for _, x, y, n, area in mosaic], "panel_id long, ch long, x8 long, y8 long, n long, area long, mean double, detail double")
+    edges = overlap.overlap_edges(cells)
+    assert {(r.component, r.panel_id, r.n_full) for r in overlap.gauge_panels(cells, edges).collect()} == {(0, 0, 32)} and len(rounds) <= 3
+    spark.catalog.clearCache()
+
+
 def test_mask_tables_do_not_depend_on_tiles(spark):
     rng = np.random.default_rng(4)
     rows, want = [], set()
