@@ -210,6 +210,15 @@ def test_components_of_a_chain_of_ascending_numbers_take_few_rounds(spark, monke
     spark.catalog.clearCache()
 
 
+def test_panel_components_of_long_rows_of_panels(spark):
+    """Two rows of panels, of which each meets the next; rounds of contraction must not follow the rows' length."""
+    edges = spark.range(400).where("id <> 150").selectExpr("id as a", "id + 1 as b")
+    table = overlap.component_table(spark.range(402).selectExpr("id as panel_id"), edges)
+    assert {(r.panel_id, r.component) for r in table.collect()} == {(p, 0 if p <= 150 else 151 if p <= 400 else 401) for p in range(402)}
+    assert table._jdf.queryExecution().analyzed().toString().count("Join") == 1
+    spark.catalog.clearCache()
+
+
 def test_mask_tables_do_not_depend_on_tiles(spark):
     rng = np.random.default_rng(4)
     rows, want = [], set()
