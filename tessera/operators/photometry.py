@@ -1,7 +1,8 @@
 """Photometric matching: robust line fits on overlaps, then global gains and offsets.
 
 Edge fits run one group an edge and channel (its shared cells). The global solves couple the panels of a component through a few
-numbers an edge: one task solves a component's channel by conjugate gradients, in memory that grows with its edges and panels.
+numbers an edge: one task solves a component's channel by elimination in blocks of neighbouring panels, or by conjugate gradients where
+these are too wide, in memory that grows with its edges and panels.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from . import graph
 from .overlap import cell_pairs, component_table, gauge_panels
 
 CLIP, ROUNDS, FLOOR, LEAST_R, RIDGE, IRLS_ROUNDS, L1_FLOOR = 2.5, 3, 1e-7, 0.5, 1e-6, 60, 1e-4
+#: Numbers of a matrix in blocks; larger ones are solved by conjugate gradients.
+MOST_NUMBERS = 1 << 23
 
 
 def solve_dense(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,13 +60,103 @@ def solve_sparse(times: Callable[[np.ndarray], np.ndarray], b: np.ndarray, preco
     return x
 
 
-def solve_differences(n: int, ia: np.ndarray, ib: np.ndarray, w: np.ndarray, diff: np.ndarray, fixed: list[int]) -> np.ndarray:
-    """x of least weighted squares of x[ia] - x[ib] - diff with a small ridge; fixed entries are 0."""
+class Blocks:
+    """Nodes of a graph in blocks, each linked with itself and the blocks beside it only: levels of a breadth-first walk from an end of the graph."""
+
+    def __init__(self, n: int, ia: np.ndarray, ib: np.ndarray, least: int = 16):
+        """ia, ib: links. least: nodes of a block; levels are put together until they have as many."""
+        self.n, self.ia, self.ib = n, ia, ib
+        a, b = np.concatenate([ia, ib]), np.concatenate([ib, ia])
+        order = np.argsort(a, kind="stable")
+        to, start = b[order], np.searchsorted(a[order], np.arange(n + 1))
+        seen, blocks = np.zeros(n, bool), []
+
+        def levels(node: int) -> list[np.ndarray]:
+            found = [np.array([node])]
+            seen[node] = True
+            while len(now := found[-1]):
+                size = start[now + 1] - start[now]
+                new = np.unique(to[np.repeat(start[now] + size - np.cumsum(size), size) + np.arange(size.sum())])
+                found.append(new[~seen[new]])
+                seen[found[-1]] = True
+            return found[:-1]
+
+        for node in range(n):
+            if seen[node]:
+                continue
+            for _ in range(2):
+                walk = levels(node)
+                seen[np.concatenate(walk)] = False
+                node = int(walk[-1][0])
+            for level in levels(node):
+                if blocks and len(blocks[-1]) < least:
+                    blocks[-1] = np.concatenate([blocks[-1], level])
+                else:
+                    blocks.append(level)
+        self.size = np.array([len(b) for b in blocks], np.int64)
+        self.block, self.place = np.zeros((2, n), np.int64)
+        for i, b in enumerate(blocks):
+            self.block[b], self.place[b] = i, np.arange(len(b))
+        self.nodes = blocks
+
+    def fit(self, k: int) -> bool:
+        """Whether a matrix of k numbers a node is small enough."""
+        s = self.size * k
+        return int((s * s).sum() + (s[:-1] * s[1:]).sum()) <= MOST_NUMBERS
+
+    def solve(self, own: np.ndarray, off: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Solution of the symmetric system with the nodes' blocks `own` (n x k x k) on the diagonal and -off (by link, k x k) beside it."""
+        k = own.shape[-1]
+        s = self.size * k
+        first = lambda x: np.concatenate([[0], np.cumsum(x)])
+        at, beside = first(s * s), first(s[:-1] * s[1:])
+        d, e = np.zeros(at[-1]), np.zeros(beside[-1])
+
+        def put(out: np.ndarray, base: np.ndarray, width: np.ndarray, p: np.ndarray, q: np.ndarray, v: np.ndarray) -> None:
+            row, col = (self.place[x][:, None] * k + np.arange(k) for x in (p, q))
+            np.add.at(out, base[:, None, None] + row[:, :, None] * width[:, None, None] + col[:, None, :], v)
+
+        every = np.arange(self.n)
+        put(d, at[self.block], s[self.block], every, every, own)
+        turned = self.block[self.ia] > self.block[self.ib]
+        lo, hi = np.where(turned, self.ib, self.ia), np.where(turned, self.ia, self.ib)
+        v = -np.where(turned[:, None, None], off.swapaxes(1, 2), off)
+        same = self.block[lo] == self.block[hi]
+        p, q, w = lo[same], hi[same], v[same]
+        put(d, at[self.block[p]], s[self.block[p]], p, q, w)
+        put(d, at[self.block[p]], s[self.block[p]], q, p, w.swapaxes(1, 2))
+        p, q, w = lo[~same], hi[~same], v[~same]
+        put(e, beside[self.block[p]], s[self.block[q]], p, q, w)
+        done, left = [], None
+        for i, nodes in enumerate(self.nodes):
+            m, r = d[at[i] : at[i + 1]].reshape(s[i], s[i]), right[nodes].reshape(-1, 1)
+            if left is not None:
+                m, r = m - left.T @ done[-1][:, :-1], r - left.T @ done[-1][:, -1:]
+            left = e[beside[i] : beside[i + 1]].reshape(s[i], s[i + 1]) if i + 1 < len(s) else np.zeros((s[i], 0))
+            try:
+                done.append(np.linalg.solve(m, np.concatenate([left, r], 1)))
+            except np.linalg.LinAlgError:
+                raise ArithmeticError("singular system") from None
+        x, after = np.zeros(right.shape), np.zeros(0)
+        for nodes, part in zip(reversed(self.nodes), reversed(done)):
+            after = part[:, -1] - part[:, :-1] @ after
+            x[nodes] = after.reshape(-1, k)
+        if not np.isfinite(x).all():
+            raise ArithmeticError("singular system")
+        return x
+
+
+def solve_differences(n: int, ia: np.ndarray, ib: np.ndarray, w: np.ndarray, diff: np.ndarray, fixed: list[int], blocks: Blocks | None = None) -> np.ndarray:
+    """x of least weighted squares of x[ia] - x[ib] - diff with a small ridge; fixed entries are 0. blocks: those of the links, if they are there."""
     free = np.ones(n, bool)
     free[fixed] = False
     sums = lambda e: np.bincount(ia, e, n) - np.bincount(ib, e, n)
     diagonal = RIDGE + np.bincount(ia, w, n) + np.bincount(ib, w, n)
-    return solve_sparse(lambda x: RIDGE * x + sums(w * (x[ia] - x[ib])), sums(w * diff), lambda r: r / diagonal, free)
+    times = lambda x: RIDGE * x + sums(w * (x[ia] - x[ib]))
+    blocks = Blocks(n, ia, ib) if blocks is None else blocks
+    if not blocks.fit(1):
+        return solve_sparse(times, sums(w * diff), lambda r: r / diagonal, free)
+    return blocks.solve(np.where(free, diagonal, 1.0)[:, None, None], (w * free[ia] * free[ib])[:, None, None], np.where(free, sums(w * diff), 0.0)[:, None])[:, 0]
 
 
 def edge_pairs(cells: DataFrame, edges: DataFrame) -> DataFrame:
@@ -146,8 +239,9 @@ def global_gains(fits: list, gauges: set[int], panels: list[int]) -> dict[int, f
     rhs, base = np.log([f.gain for f in use]), np.array([f.n / mean_n for f in use])
     robust = np.ones(len(use))
     fixed = [at[g] for g in gauges]
+    blocks = Blocks(len(panels), ia, ib)
     for _ in range(IRLS_ROUNDS):
-        log_gain = solve_differences(len(panels), ia, ib, base * robust, rhs, fixed)
+        log_gain = solve_differences(len(panels), ia, ib, base * robust, rhs, fixed, blocks)
         new = L1_FLOOR / np.maximum(np.abs(log_gain[ia] - log_gain[ib] - rhs), L1_FLOOR)
         new /= new.max()
         moved = np.abs(new - robust) / np.maximum(robust, 1e-300)

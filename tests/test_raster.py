@@ -5,6 +5,7 @@ import io
 import math
 import struct
 import zlib
+from collections import namedtuple
 
 import numpy as np
 import pandas as pd
@@ -300,6 +301,51 @@ def test_sparse_solves_equal_dense_ones():
     assert np.allclose(photometry.solve_differences(n, ia, ib, w, diff, [3]), np.linalg.solve(m, v), atol=1e-8)
 
 
+def test_solves_in_blocks_equal_dense_ones(monkeypatch):
+    rng = np.random.default_rng(13)
+    for n, k, links, least in ((1, 2, 0, 4), (40, 3, 30, 2), (40, 3, 120, 4), (60, 1, 59, 1)):
+        ia, ib = rng.integers(0, n, (2, links)) if links != 59 else (np.arange(59), np.arange(1, 60))
+        ia, ib = ia[ia != ib], ib[ia != ib]
+        f, g, right = rng.normal(size=(len(ia), k, k)), rng.normal(size=(n, k, k)), rng.normal(size=(n, k))
+        off, own = f @ f.swapaxes(1, 2), g @ g.swapaxes(1, 2) + 0.1 * np.eye(k)
+        np.add.at(own, ia, off)
+        np.add.at(own, ib, off)
+        m = np.zeros((n, k, n, k))
+        for i in range(n):
+            m[i, :, i] = own[i]
+        for a, b, o in zip(ia, ib, off):
+            m[a, :, b] -= o
+            m[b, :, a] -= o
+        want = np.linalg.solve(m.reshape(n * k, n * k), right.ravel()).reshape(n, k)
+        assert np.allclose(photometry.Blocks(n, ia, ib, least).solve(own, off, right), want, atol=1e-8)
+    row = np.arange(200)
+    w, diff = rng.uniform(0.1, 3, 200), rng.normal(size=200)
+    by_blocks = photometry.solve_differences(201, row, row + 1, w, diff, [3])
+    monkeypatch.setattr(photometry, "MOST_NUMBERS", 0)
+    assert np.allclose(photometry.solve_differences(201, row, row + 1, w, diff, [3]), by_blocks, atol=1e-8)
+
+
+def _rows_of_panels(bands):
+    """Links of two columns of panels, and a generator."""
+    links = [(2 * b, 2 * b + 1) for b in range(bands)] + [(2 * b + i, 2 * b + 2 + j) for b in range(bands - 1) for i in (0, 1) for j in (0, 1)]
+    return np.array(sorted(links)), np.random.default_rng(1)
+
+
+def test_gains_of_thousands_of_panels_take_seconds():
+    import time
+
+    links, rng = _rows_of_panels(2400)
+    truth = rng.normal(0, 0.1, 4800)
+    truth[0] = 0
+    fit = namedtuple("fit", "a b gain n identifiable")
+    fits = [fit(a, b, float(np.exp(truth[a] - truth[b])), int(rng.integers(20, 100)), True) for a, b in links.tolist()]
+    start = time.time()
+    gains = photometry.global_gains(fits, {0}, list(range(4800)))
+    assert np.allclose(np.log([gains[p] for p in range(4800)]), truth, atol=0.05)
+    noisy = [f._replace(gain=f.gain * float(np.exp(rng.normal(0, 0.01)))) for f in fits]
+    assert len(photometry.global_gains(noisy, {0}, list(range(4800)))) == 4800 and time.time() - start < 30
+
+
 def test_surfaces_equal_a_dense_solution(spark, sf_dir):
     r = queries.Raster(spark, sf_dir)
     got = {(x.panel_id, x.ch): x.coef for x in surfaces.fit_surfaces(r.values, r.edges, rasters.WIDTH, r.height, 2).collect()}
