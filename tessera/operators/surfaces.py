@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import graph
 from .overlap import component_table, gauge_panels
-from .photometry import solve_dense, solve_sparse
+from .photometry import Blocks, solve_dense, solve_sparse
 from .summary import by_channel, exact_medians, full_cells
 
 BG_K, CLIP, ROUNDS, FLOOR, RIDGE, STABLE, WARN = 3.0, 2.5, 2, 1e-7, 1e-3, 1e-9, 5.0
@@ -40,7 +40,7 @@ def background_residuals(values: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def solve_panels(own: np.ndarray, pp: np.ndarray, pr: np.ndarray, ia: np.ndarray, ib: np.ndarray, gauge: np.ndarray) -> np.ndarray:
-    """Terms of a component's panels from the panels' own matrices and the edges' sums; gauge panels' constants are 0. By conjugate gradients with a block a panel."""
+    """Terms of a component's panels from the panels' own matrices and the edges' sums; gauge panels' constants are 0. By elimination in blocks of neighbouring panels; where these are too wide, by conjugate gradients with a block a panel."""
     n = own.shape[-1]
     blocks = own.copy()  # the diagonal blocks of the whole matrix
     np.add.at(blocks, ia, pp)
@@ -62,6 +62,11 @@ def solve_panels(own: np.ndarray, pp: np.ndarray, pr: np.ndarray, ia: np.ndarray
 
     # a fixed term is left out of its panel's block
     kept = np.where(free[:, :, None] & free[:, None, :], blocks, np.eye(n))
+    near = Blocks(len(own), ia, ib, 4)
+    if near.fit(n):
+        off, one = pp * (free[ia][:, :, None] & free[ib][:, None, :]), np.where(free, right, 0.0)
+        x = near.solve(kept, off, one)
+        return x + near.solve(kept, off, np.where(free, one - times(x), 0.0))  # what rounding left
     inverse = np.stack([np.stack([solve_dense(k, unit) for unit in np.eye(n)], 1) for k in kept])
     return solve_sparse(times, right, lambda r: np.einsum("pij,pj->pi", inverse, r), free)
 

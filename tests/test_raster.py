@@ -346,6 +346,28 @@ def test_gains_of_thousands_of_panels_take_seconds():
     assert len(photometry.global_gains(noisy, {0}, list(range(4800)))) == 4800 and time.time() - start < 30
 
 
+def test_surfaces_of_hundreds_of_panels_take_seconds():
+    import time
+
+    links, rng = _rows_of_panels(400)
+    ia, ib = links.T
+    place = lambda p: surfaces.basis(rng.random(50), (p // 2 + rng.random(50)) / 400, 6)
+    own = np.stack([1e-3 * f.T @ f / 50 for f in map(place, range(800))])
+    phi = np.stack([place(a) for a in ia])
+    pp, pr = phi.swapaxes(1, 2) @ phi / 50, (phi.swapaxes(1, 2) @ rng.normal(size=(len(ia), 50, 1)))[:, :, 0] / 50
+    start = time.time()
+    x = surfaces.solve_panels(own, pp, pr, ia, ib, np.arange(800) == 0)
+    took = time.time() - start
+    diagonal = np.einsum("pii->pi", own).copy()
+    for i in (ia, ib):
+        np.add.at(diagonal, i, np.einsum("eii->ei", pp))
+    left = np.einsum("pij,pj->pi", own, x) + surfaces.STABLE * (1 + diagonal) * x
+    for i, sign in ((ia, 1), (ib, -1)):
+        np.add.at(left, i, sign * (np.einsum("eij,ej->ei", pp, x[ia] - x[ib]) + pr))
+    left[0, 0] = 0  # the gauge's constant is fixed
+    assert x[0, 0] == 0 and np.abs(left).max() < 1e-6 * np.abs(pr).max() and took < 20
+
+
 def test_surfaces_equal_a_dense_solution(spark, sf_dir):
     r = queries.Raster(spark, sf_dir)
     got = {(x.panel_id, x.ch): x.coef for x in surfaces.fit_surfaces(r.values, r.edges, rasters.WIDTH, r.height, 2).collect()}
