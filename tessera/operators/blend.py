@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import feather_weight, levels_for_feather
+from .graph import kept
 from .masks import AROUND, base_reach, detail_reference, dilate, plane_of, transitions, upper_median
 from .pyramid import blend as blend_levels
 from .pyramid import build, mask_levels
-from .summary import band_arrays, by_channel, tiles, values_of_rank
+from .summary import band_arrays, tiles, upper_medians
 
 LEAST_WEIGHT, RAMP_PX, ANCHOR_K, LEAST_MAD, LOCAL_LAYERS, FILL_ROUNDS, VETO = 1e-4, 32.0, 20.0, 1e-7, 8, 256, 6.0
 
@@ -190,20 +191,13 @@ def fill(values: np.ndarray, source: np.ndarray, reach: np.ndarray, limit: np.nd
 PREP_DDL = "panel_id long, x8 long, y8 long, base array<double>, coverage double, d double, vdet double, masked boolean, compact boolean"
 
 
-def spread_limits(values: DataFrame, masked: DataFrame) -> dict[int, list[float]]:
-    """Of each panel, by channel: the brightness from which its cells don't spread, from upper medians over cells that do; some numbers a panel."""
-    source = values.where("coverage >= 1").join(masked.select("panel_id", "x8", "y8"), ["panel_id", "x8", "y8"], "left_anti")
-    keys = {r.k: (r.panel_id, r.ch) for r in source.select(F.xxhash64("panel_id", "ch").alias("k"), "panel_id", "ch").distinct().collect()}
-    if not keys:
-        return {}
-    counts = source.groupBy(F.xxhash64("panel_id", "ch").alias("ch"), "value").agg(F.count("*").alias("n")).persist()
-    m = values_of_rank(counts)
-    mad = values_of_rank(counts.groupBy("ch", F.abs(F.col("value") - by_channel(m)).alias("value")).agg(F.sum("n").alias("n")))
-    counts.unpersist()
-    out: dict[int, list[float]] = {}
-    for k, (p, _) in sorted(keys.items(), key=lambda x: x[1]):
-        out.setdefault(p, []).append(m[k] + ANCHOR_K * max(mad[k], LEAST_MAD))
-    return out
+def spread_limits(values: DataFrame, masked: DataFrame) -> DataFrame:
+    """panel_id, lim: by channel the brightness from which a panel's cells don't spread, from upper medians over cells that do. Panels without such cells have no row."""
+    source = values.where("coverage >= 1").join(masked.select("panel_id", "x8", "y8"), ["panel_id", "x8", "y8"], "left_anti").select("panel_id", "ch", "value")
+    m = kept(upper_medians(source, "panel_id", "ch"))
+    mad = upper_medians(source.join(m, ["panel_id", "ch"]).select("panel_id", "ch", F.abs(F.col("value") - F.col("m")).alias("value")), "panel_id", "ch")
+    limit = m.join(mad.withColumnRenamed("m", "mad"), ["panel_id", "ch"]).select("panel_id", "ch", (F.col("m") + ANCHOR_K * F.greatest(F.col("mad"), F.lit(LEAST_MAD))).alias("limit"))
+    return limit.groupBy("panel_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ch", "limit"))), lambda e: e["limit"]).alias("lim"))
 
 
 def panel_prep(values: DataFrame, distance: DataFrame, masked: DataFrame, tile: int = 1024) -> DataFrame:
@@ -211,10 +205,10 @@ def panel_prep(values: DataFrame, distance: DataFrame, masked: DataFrame, tile:
 
     Tiles of cells come with a halo of as many cells as a filling can cross, so they don't depend on each other.
     """
-    limits = spread_limits(values, masked)
     c = values.groupBy("panel_id", "x8", "y8").agg(F.array_sort(F.collect_list(F.struct("ch", "value"))).alias("v"), F.max("coverage").alias("coverage"), F.max(F.col("detail") * F.coalesce("gain", F.lit(1.0))).alias("vdet"))
     c = c.join(distance.select("panel_id", "x8", "y8", "d"), ["panel_id", "x8", "y8"]).join(masked.select("panel_id", "x8", "y8", "compact"), ["panel_id", "x8", "y8"], "left")
     c = c.select("panel_id", "x8", "y8", F.transform("v", lambda e: e["value"]).alias("v"), "coverage", "vdet", "d", F.col("compact").isNotNull().alias("masked"), F.coalesce("compact", F.lit(False)).alias("compact"))
+    c = c.join(kept(spread_limits(values, masked)), "panel_id", "left")
     halo = FILL_ROUNDS + 4
     over = lambda axis: F.explode(F.sequence(F.floor((F.col(axis) - halo) / tile), F.floor((F.col(axis) + halo) / tile)))
     tiles_ = c.withColumn("ty", over("y8")).withColumn("tx", over("x8"))
@@ -227,8 +221,8 @@ def panel_prep(values: DataFrame, distance: DataFrame, masked: DataFrame, tile:
         vals = np.stack(own["v"].to_numpy()).astype(float)
         planes = np.zeros((vals.shape[1], h, w))
         planes[:, own["y8"], own["x8"]] = vals.T
-        limit = limits.get(int(key[0]))
-        base, known = fill(planes, (cov >= 1) & (mask == 0), base_reach(cov), np.array(limit)) if limit else (planes, cov > 0)
+        limit = pdf["lim"].iloc[0]
+        base, known = fill(planes, (cov >= 1) & (mask == 0), base_reach(cov), np.array(limit)) if limit is not None else (planes, cov > 0)
         inside = lambda n, at, k: (np.arange(n) + at >= max(k * tile, 0)) & (np.arange(n) + at < (k + 1) * tile)
         ys, xs = np.nonzero((known | (cov > 0)) & inside(h, y0, int(key[1]))[:, None] & inside(w, x0, int(key[2])))
         out = pd.DataFrame({"panel_id": int(key[0]), "x8": xs + x0, "y8": ys + y0, "base": None, "coverage": cov[ys, xs], "d": d[ys, xs], "vdet": vdet[ys, xs], "masked": mask[ys, xs] > 0, "compact": compact[ys, xs] > 0})

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import graph
 from .graph import joined
 from .overlap import chamfer
-from .summary import by_channel, values_of_rank
+from .summary import upper_medians
 
 SEED, GROW, AREA, DIM, THIN = 3.0, 1.5, 40, 12, 6
 AROUND = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dx, dy) != (0, 0)]
@@ -154,10 +154,9 @@ def plane_of(pdf: pd.DataFrame, column: str, w8: int, h8: int, fill=0.0) -> np.n
     return out
 
 
-def thresholds(cells: DataFrame) -> dict[int, float]:
-    """Each panel's upper median of detail over its fully covered cells (x8, y8, coverage, detail: the greatest over channels); a number a panel."""
-    full = cells.where("coverage >= 1").groupBy(F.col("panel_id").alias("ch"), F.col("detail").alias("value")).agg(F.count("*").alias("n"))
-    return values_of_rank(full)
+def thresholds(cells: DataFrame) -> DataFrame:
+    """panel_id, m: each panel's upper median of detail over its fully covered cells (x8, y8, coverage, detail: the greatest over channels)."""
+    return upper_medians(cells.where("coverage >= 1").select("panel_id", F.col("detail").alias("value")), "panel_id")
 
 
 def mask_table(cells: DataFrame, side: int = 512) -> DataFrame:
@@ -167,9 +166,7 @@ def mask_table(cells: DataFrame, side: int = 512) -> DataFrame:
     join them. A component is masked if one of its cells has the greater detail. So no group is larger than a tile.
     """
     c = cells.groupBy("panel_id", "x8", "y8").agg(F.max("coverage").alias("coverage"), F.max("detail").alias("detail"))
-    limit = thresholds(c)
-    median = by_channel(limit, "panel_id") if limit else F.lit(None).cast("double")
-    grow = c.withColumn("m", median).where((F.col("coverage") > 0) & (F.col("detail") > GROW * F.col("m"))).select("panel_id", "x8", "y8", (F.col("detail") > SEED * F.col("m")).alias("seed"))
+    grow = c.join(graph.kept(thresholds(c)), "panel_id").where((F.col("coverage") > 0) & (F.col("detail") > GROW * F.col("m"))).select("panel_id", "x8", "y8", (F.col("detail") > SEED * F.col("m")).alias("seed"))
     tile = lambda axis: F.floor(F.col(axis) / side)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -229,6 +229,15 @@ def values_of_rank(counts: DataFrame, rank: str = "sum(n) div 2 + 1") -> dict[ob
     return {r.ch: r.value for r in left.collect()}
 
 
+def upper_medians(values: DataFrame, *keys: str) -> DataFrame:
+    """The keys and m: the upper median of `value` for each of any number of keys (panels). Values are counted, then sorted within their key; nothing is collected."""
+    counts = values.groupBy(*keys, "value").agg(F.count("*").alias("times"))
+    own = Window.partitionBy(*keys)
+    upto = F.sum("times").over(own.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.withColumn("upto", upto).withColumn("half", F.floor(F.sum("times").over(own) / 2))
+    return ranked.where("upto > half and upto - times <= half").select(*keys, F.col("value").alias("m"))
+
+
 def exact_medians(counts: DataFrame) -> dict[object, float]:
     """Each channel's median (the mean of the two middle values), from (ch, value, n)."""
     low, high = values_of_rank(counts, "(sum(n) + 1) div 2"), values_of_rank(counts)

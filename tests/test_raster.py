@@ -239,6 +239,25 @@ def test_mask_tables_do_not_depend_on_tiles(spark):
     assert masks.mask_table(cells.limit(0)).count() == 0
 
 
+def test_plans_do_not_grow_with_the_panels(spark):
+    """Numbers by panel are tables: not a literal in the plans, nor sent to the driver, and the medians are exact."""
+    rng = np.random.default_rng(6)
+    sizes = {}
+    for n in (3, 120):
+        rows = [(p, 0, x, y, 1.0, float(d), float(d), 1.0) for p in range(n) for y in range(4) for x, d in enumerate(rng.integers(1, 9, 4))]
+        cells = spark.createDataFrame(pd.DataFrame(rows, columns="panel_id ch x8 y8 coverage detail value gain".split()))
+        groups = pd.DataFrame(rows).groupby(0)[5]
+        want = {p: float(np.sort(v)[len(v) // 2]) for p, v in groups}
+        assert {r.panel_id: r.m for r in summary.upper_medians(cells, "panel_id").collect()} == want
+        masked = masks.mask_table(cells)
+        prep = blend.panel_prep(cells, cells.select("panel_id", "x8", "y8", F.lit(1.0).alias("d")), masked)
+        sizes[n] = [len(df._jdf.queryExecution().optimizedPlan().toString()) for df in (masked, prep)]
+        limits = {r.panel_id: r.lim for r in blend.spread_limits(cells, masked.limit(0)).collect()}
+        assert {p: [m + blend.ANCHOR_K * max(float(np.sort(np.abs(groups.get_group(p) - m))[8]), blend.LEAST_MAD)] for p, m in want.items()} == limits
+        spark.catalog.clearCache()
+    assert all(b < 1.2 * a for a, b in zip(sizes[3], sizes[120])), sizes
+
+
 def test_masks_of_ten_million_cells_take_seconds():
     import time
 
