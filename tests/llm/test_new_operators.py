@@ -1,11 +1,13 @@
 """Collocations, lexical search and the similarity join against brute force, and their defined cases."""
 
 import math
+import os
 import re
 import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import collocations, jaccard_join, lexical_search, minhash
@@ -54,6 +56,22 @@ def prose():
     return rows + [("en", None), ("en", ""), ("xx", "one word"), rows[0], rows[0], ("en", "tick tock " * 5000)]
 
 
+def test_collocations_hold_little_in_workers_and_free_their_tries(spark, prose, monkeypatch):
+    from pyspark import SparkContext
+
+    made, put = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: made.append((put(self, value), type(value))) or made[-1][0])
+    assert collocations.collocations(spark.createDataFrame(prose, "lang string, text string"), 30, 50, size=200).count()
+    tries = [b for b, kind in made if kind is collocations.DoubleArray]
+    assert tries and not any(os.path.exists(b._path) for b in tries)
+    blobs = spark.range(0, 40, 1, 1).selectExpr("cast(repeat('x', 1000000) as binary) as words")
+    sizes = lambda: [r.n for r in blobs.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in bs), "n long").collect()]
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with collocations.small_batches(spark):
+        assert max(sizes()) <= 10
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before and sum(sizes()) == 40
+
+
 def test_collocations_equal_brute_force(spark, prose):
     df = spark.createDataFrame([(i, lang, text, 1, "q") for i, (lang, text) in enumerate(prose)], "doc_id long, lang string, text string, h long, word string")
     got = collocations.collocations(df, 30, 50, size=200)  # several tries a length
