@@ -378,6 +378,16 @@ def test_differencing_equals_brute_force(spark):
         assert got[i] == " ".join(x for x in text if x not in shared) and shared
 
 
+def test_pages_without_a_scheme_or_with_odd_hosts_are_differenced(spark):
+    hosts = ["http://a.org", "b.org", "localhost:8080", "http://[c.org", "//d.org", "HTTPS://E.org"]
+    own = ["a cat sat upon its mat", "rivers freeze in winter months", "trains depart from platform nine", "bread needs flour yeast salt"]
+    pages = [(i * 10 + k, f"{h}/news/{k}", f"<p>Menu of the site</p><p>{own[k]}</p><p>All rights reserved</p>") for i, h in enumerate(hosts) for k in range(4)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {p: own[p % 10] for p, *_ in pages}
+    assert html_extract._host_path("b.org/x/?q=1#f") == ("b.org", "/x?q=1") and html_extract._host_path("http://h.org/x?y") == ("h.org", "/x?y")
+    assert html_extract._host_path(None) == html_extract._host_path("/a/b") == html_extract._host_path("mailto:x") == (None, "")
+
+
 def test_runs_of_near_copies_are_looked_past_to_their_ends(spark):
     """Small blocks against a search that goes as far as it must, in runs longer than a block and its reach."""
     rng = np.random.default_rng(13)
